@@ -145,3 +145,197 @@ LEFT JOIN slope s ON s.user_id = p.user_id
 LEFT JOIN halves h ON h.user_id = p.user_id
 """
     return view_ctes("users", "properties", "generations") + sql
+
+
+def _tenure(start_us: str) -> str:
+    return clip_lo(fdays(OBS, start_us), 1)
+
+
+def subscription_v1() -> str:
+    from .. import config as cfg
+    from .sqlkit import case_map, top_n
+    plan = "subscription_plan"
+    cc = "trim(upper(country_code))"
+    return view_ctes("users", "properties") + f"""
+SELECT user_id,
+  CAST({case_map(plan, {k: v[0] for k, v in cfg.PLAN_INFO.items()})} AS DOUBLE) AS plan_ordinal,
+  CAST({case_map(plan, {k: v[1] for k, v in cfg.PLAN_INFO.items()})} AS DOUBLE) AS plan_monthly_credits,
+  CAST({case_map(plan, {k: v[2] for k, v in cfg.PLAN_INFO.items()})} AS DOUBLE) AS plan_monthly_cost_usd,
+  {_tenure('epoch_us(subscription_start_date)')} AS tenure_days,
+  CAST(month(subscription_start_date) AS BIGINT) AS subscription_start_month,
+  CAST(isodow(subscription_start_date) - 1 AS BIGINT) AS subscription_start_dayofweek,
+  {top_n(cc, cfg.TOP_COUNTRIES)} AS country_encoded
+FROM properties"""
+
+
+def purchases_v1() -> str:
+    return view_ctes("purchases") + f"""
+, p AS (SELECT user_id, transaction_id, purchase_time, purchase_type,
+               CAST(purchase_amount_dollars AS DOUBLE) AS amt, epoch_us(purchase_time) AS us FROM purchases),
+upd AS (SELECT user_id, amt - lag(amt) OVER (PARTITION BY user_id ORDER BY (us IS NULL), us, transaction_id) AS delta
+        FROM p WHERE purchase_type = 'Subscription Update'),
+chg AS (SELECT user_id, count_if(delta > 0) AS up, count_if(delta < 0) AS down FROM upd GROUP BY user_id),
+agg AS (
+  SELECT user_id, count(*) AS n, count(purchase_type) AS nt,
+    {cnt("purchase_type = 'Subscription Create'")} AS creates,
+    {cnt("purchase_type = 'Subscription Update'")} AS updates,
+    {cnt("purchase_type = 'Credits package'")} AS credits,
+    {cnt("purchase_type = 'Upsell'")} AS upsells,
+    {cnt("purchase_type = 'Reactivation'")} AS react,
+    sum(amt) AS s, avg(amt) AS a, max(amt) AS m,
+    sum(amt) FILTER (WHERE purchase_type = 'Credits package') AS cs,
+    min(us) AS first_us, max(us) AS last_us, count(us) AS n_time
+  FROM p GROUP BY user_id)
+SELECT a.user_id, a.n AS n_purchases_total,
+  CASE WHEN nt > 0 THEN creates END AS n_subscription_creates,
+  CASE WHEN nt > 0 THEN updates END AS n_subscription_updates,
+  CASE WHEN nt > 0 THEN credits END AS n_credit_package_purchases,
+  CASE WHEN nt > 0 THEN upsells END AS n_upsell_purchases,
+  CASE WHEN nt > 0 THEN CAST(react > 0 AS BIGINT) END AS has_reactivation_purchase,
+  round(CASE WHEN nt > 0 THEN {sdiv('credits', 'a.n')} ELSE CAST(0 AS DOUBLE) END, 6) AS pct_credit_package_purchases,
+  round(coalesce(s, CAST(0 AS DOUBLE)), 6) AS total_purchase_dollars,
+  round(a.a, 6) AS avg_purchase_dollars, round(m, 6) AS max_purchase_dollars,
+  round(CASE WHEN credits > 0 THEN coalesce(cs, CAST(0 AS DOUBLE)) END, 6) AS credit_package_spend_total,
+  {fdays(OBS, 'last_us')} AS days_since_last_purchase,
+  round(CASE WHEN n_time >= 2 THEN ((last_us - first_us) / {D}.0) / (n_time - 1) END, 6) AS avg_days_between_purchases,
+  CAST(CASE WHEN c.up > 0 THEN 1 END AS BIGINT) AS has_plan_upgrade,
+  CAST(CASE WHEN c.down > 0 THEN 1 END AS BIGINT) AS has_plan_downgrade,
+  CASE WHEN nt > 0 THEN updates END AS n_plan_changes
+FROM agg a LEFT JOIN chg c ON c.user_id = a.user_id"""
+
+
+_TXN = f"""
+, t AS (SELECT *, failure_code IS NOT NULL AS failed, failure_code IS NULL AS succ,
+               epoch_us(transaction_time) AS us, CAST(amount_in_usd AS DOUBLE) AS amt FROM transactions)"""
+
+
+def transactions_v1() -> str:
+    from .sqlkit import b2l
+    return view_ctes("transactions", "purchases") + _TXN + f""",
+pids AS (SELECT DISTINCT transaction_id FROM purchases WHERE transaction_id IS NOT NULL),
+nomatch AS (SELECT t.user_id, count(*) AS n FROM t LEFT JOIN pids ON pids.transaction_id = t.transaction_id
+            WHERE t.failed AND pids.transaction_id IS NULL GROUP BY t.user_id),
+retry AS (SELECT user_id, count_if(h <= 24) AS r FROM (
+            SELECT user_id, (us - lag(us) OVER (PARTITION BY user_id, amt ORDER BY (us IS NULL), us, transaction_id)) / {H}.0 AS h
+            FROM t WHERE failed AND amt IS NOT NULL) GROUP BY user_id),
+first AS (SELECT user_id, CAST(failed AS BIGINT) AS f FROM (
+            SELECT user_id, failed, row_number() OVER (PARTITION BY user_id ORDER BY (us IS NULL), us, transaction_id) AS rn FROM t) WHERE rn = 1),
+{mode_cte('mcode', 't', 'user_id', 'failure_code', 'failed')},
+{mode_cte('mbill', 't', 'user_id', 'billing_address_country')},
+agg AS (
+  SELECT user_id, count(*) AS n, count_if(succ) AS ns, count_if(failed) AS nf,
+    count(DISTINCT amt) FILTER (WHERE failed) AS namts,
+    {cnt(f'us >= {OBS} - 30 * {D}')} AS nr, {cnt(f'failed AND us >= {OBS} - 30 * {D}')} AS nrf,
+    {cnt("failure_code = 'card_declined'")} AS dec, {cnt("failure_code IN ('incorrect_cvc', 'invalid_cvc')")} AS cvc,
+    {cnt("failure_code = 'expired_card'")} AS exp, {cnt("failure_code = 'authentication_required'")} AS auth,
+    {cnt("failure_code = 'processing_error'")} AS proc,
+    {b2l('bool_or(CAST(is_prepaid AS DOUBLE) <> 0)')} AS uses_prepaid_card,
+    {cnt('CAST(is_prepaid AS DOUBLE) = 1')} AS npre,
+    {cnt("cvc_check = 'fail'")} AS ncf, {cnt("cvc_check = 'unavailable'")} AS n_cvc_unavailable,
+    sum(amt) FILTER (WHERE succ) AS ssum, avg(amt) AS aamt, {cnt('succ AND amt > 100')} AS nhv,
+    max(us) FILTER (WHERE failed) AS lf, max(us) FILTER (WHERE succ) AS ls
+  FROM t GROUP BY user_id)
+SELECT a.user_id,
+  CASE WHEN nf > 0 THEN CAST(ns = 0 AS BIGINT) END AS has_failed_but_no_successful_payment,
+  nm.n AS n_failed_without_matching_purchase,
+  fi.f AS first_transaction_was_failure,
+  CASE WHEN nf > 0 THEN namts END AS n_distinct_amounts_attempted,
+  a.n AS n_total_transaction_attempts, nullif(ns, 0) AS n_successful_transactions, nullif(nf, 0) AS n_failed_transactions,
+  round({sdiv('nf', 'a.n')}, 6) AS transaction_failure_rate,
+  round(CASE WHEN nr > 0 THEN nrf / nr END, 6) AS transaction_failure_rate_recent,
+  round(CASE WHEN nr > 0 THEN nrf / nr END - {sdiv('nf', 'a.n')}, 6) AS failure_rate_acceleration,
+  nullif(dec, 0) AS n_card_declined, nullif(cvc, 0) AS n_cvc_failures, nullif(exp, 0) AS n_expired_card,
+  nullif(auth, 0) AS n_auth_required_failures, nullif(proc, 0) AS n_processing_errors,
+  mcode.mode_value AS dominant_failure_code,
+  nullif(r.r, 0) AS payment_retry_count,
+  uses_prepaid_card, CAST(0 AS BIGINT) AS uses_virtual_card, CAST(0 AS BIGINT) AS uses_business_card,
+  CAST(0 AS BIGINT) AS uses_digital_wallet,
+  CAST(NULL AS VARCHAR) AS card_funding_type, CAST(NULL AS VARCHAR) AS dominant_card_brand,
+  mbill.mode_value AS dominant_billing_country,
+  round({sdiv('npre', 'a.n')}, 6) AS pct_prepaid_transactions,
+  CAST(NULL AS BIGINT) AS n_3d_secure_friction,
+  CAST(CASE WHEN ncf > 0 THEN 1 END AS BIGINT) AS has_any_cvc_failure,
+  round({sdiv('ncf', 'a.n')}, 6) AS cvc_fail_rate,
+  n_cvc_unavailable,
+  round(CASE WHEN ns > 0 THEN coalesce(ssum, CAST(0 AS DOUBLE)) END, 6) AS total_transaction_amount_usd,
+  round(aamt, 6) AS avg_transaction_amount_usd,
+  nullif(nhv, 0) AS n_high_value_transactions,
+  {fdays(OBS, 'lf')} AS days_since_last_failed_transaction,
+  {fdays(OBS, 'ls')} AS days_since_last_successful_transaction
+FROM agg a
+LEFT JOIN nomatch nm ON nm.user_id = a.user_id
+LEFT JOIN retry r ON r.user_id = a.user_id
+LEFT JOIN first fi ON fi.user_id = a.user_id
+LEFT JOIN mcode ON mcode.user_id = a.user_id
+LEFT JOIN mbill ON mbill.user_id = a.user_id"""
+
+
+def quiz_v1() -> str:
+    from .. import config as cfg
+    from .sqlkit import b2l, case_map, lit, top_n
+    frust = (f"(CASE lower(trim(frustration)) "
+             + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in cfg.FRUSTRATION_CANON.items())
+             + " ELSE lower(trim(frustration)) END)")
+    commercial = ", ".join(lit(x) for x in cfg.COMMERCIAL_USAGE_PLANS)
+    depth = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in cfg.QUIZ_FIELDS)
+    return view_ctes("users", "quizzes") + f"""
+, q AS (SELECT user_id, source, CAST(NULL AS VARCHAR) AS flow_type, team_size, experience,
+               CAST(NULL AS VARCHAR) AS usage_plan, frustration, first_feature, CAST(NULL AS VARCHAR) AS role
+        FROM quizzes)
+SELECT user_id,
+  {depth} AS quiz_completion_depth,
+  CAST({case_map('lower(trim(source))', cfg.SOURCE_INTENT, '1')} AS BIGINT) AS acquisition_channel_intent,
+  {top_n('source', cfg.TOP_SOURCES)} AS source_encoded,
+  CAST({case_map('lower(trim(team_size))', cfg.TEAM_SIZE_ORDINAL, '0')} AS BIGINT) AS team_size_ordinal,
+  CAST({case_map('lower(trim(experience))', cfg.EXPERIENCE_ORDINAL, '0')} AS BIGINT) AS experience_ordinal,
+  {b2l(f'lower(trim(usage_plan)) IN ({commercial})')} AS usage_plan_commercial,
+  coalesce(lower(trim(usage_plan)), 'unknown') AS usage_plan_encoded,
+  {b2l(f"{frust} = 'high-cost'")} AS frustrated_cost,
+  {b2l(f"{frust} = 'inconsistent'")} AS frustrated_quality,
+  {b2l(f"{frust} = 'limited'")} AS frustrated_limited,
+  {b2l(f"{frust} IN ('confusing', 'hard-prompt')")} AS frustrated_confusing,
+  {b2l("contains(lower(first_feature), 'video')")} AS first_feature_video,
+  {top_n('first_feature', cfg.TOP_FIRST_FEATURES)} AS first_feature_encoded,
+  CAST({case_map('lower(trim(role))', cfg.ROLE_COMMITMENT, '0')} AS BIGINT) AS role_commitment_score,
+  coalesce(lower(trim(role)), 'unknown') AS role_encoded
+FROM q"""
+
+
+def transactions_v2() -> str:
+    return view_ctes("transactions") + _TXN + f""",
+o AS (SELECT user_id, failed, coalesce(sum(CAST(succ AS BIGINT)) OVER (PARTITION BY user_id ORDER BY (us IS NULL), us, transaction_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS isl FROM t),
+streak AS (SELECT user_id, max(c) AS m FROM (SELECT user_id, isl, count(*) AS c FROM o WHERE failed GROUP BY 1, 2) GROUP BY 1),
+last AS (SELECT user_id, CAST(failed AS BIGINT) AS f FROM (
+  SELECT user_id, failed, row_number() OVER (PARTITION BY user_id ORDER BY (us IS NULL) DESC, us DESC, transaction_id DESC) AS rn FROM t) WHERE rn = 1),
+agg AS (SELECT user_id, count_if(succ) AS ns, count_if(failed) AS nf,
+   {cnt(f'failed AND us >= {OBS} - 7 * {D}')} AS f7, {cnt(f'failed AND us >= {OBS} - 14 * {D}')} AS f14,
+   min(us) FILTER (WHERE failed) AS ff FROM t GROUP BY user_id)
+SELECT a.user_id, s.m AS n_consecutive_payment_failures, l.f AS last_transaction_was_failure,
+  CAST(CASE WHEN ns > 0 THEN 1 END AS BIGINT) AS has_ever_successfully_paid,
+  nullif(f7, 0) AS n_failed_last_7d, nullif(f14, 0) AS n_failed_last_14d,
+  {fdays(OBS, 'ff')} AS days_from_first_fail_to_obs,
+  round(CASE WHEN nf > 0 THEN {sdiv('f7', 'nf')} END, 6) AS recent_fail_concentration
+FROM agg a LEFT JOIN streak s ON s.user_id = a.user_id LEFT JOIN last l ON l.user_id = a.user_id"""
+
+
+def generations_v2() -> str:
+    return view_ctes("users", "properties", "generations") + f"""
+, g AS (SELECT user_id, created_at, status, epoch_us(created_at) AS us FROM generations),
+d30 AS (SELECT DISTINCT user_id, CAST(created_at AS DATE) AS d FROM g WHERE us >= {OBS} - 30 * {D}),
+gp AS (SELECT user_id, max(gap) AS mg, count(*) AS nd FROM (
+         SELECT user_id, datediff('day', lag(d) OVER (PARTITION BY user_id ORDER BY d), d) AS gap FROM d30) GROUP BY user_id),
+agg AS (SELECT user_id, max(us) FILTER (WHERE status = 'completed') AS lc,
+   {cnt(f'us >= {OBS} - 14 * {D}')} AS t14, {cnt(f"us >= {OBS} - 14 * {D} AND status = 'completed'")} AS c14,
+   {cnt(f'us >= {OBS} - 7 * {D}')} AS l7, count(*) AS tot, max(CAST(created_at AS DATE)) AS last_day
+   FROM g GROUP BY user_id),
+pr AS (SELECT user_id, {_tenure('epoch_us(subscription_start_date)')} AS ten FROM properties)
+SELECT pr.user_id,
+  CAST(coalesce(gp.mg, 30) AS BIGINT) AS max_gap_days_last_30,
+  CAST(coalesce({clip_lo('30 - gp.nd', 0)}, 30) AS BIGINT) AS zero_gen_days_last_30,
+  {fdays(OBS, 'a.lc')} AS days_since_last_completed_gen,
+  round(CASE WHEN t14 > 0 THEN c14 / t14 END, 6) AS completion_rate_last14,
+  CAST(ten % 30 AS BIGINT) AS plan_renewal_proximity_days,
+  round({sdiv('coalesce(a.l7, 0)', '(a.tot / nullif(ten / 7.0, 0)) + 0.1')}, 6) AS gens_last7_pct_of_avg,
+  CAST(coalesce({clip_lo(fdays(OBS, 'epoch_us(CAST(a.last_day AS TIMESTAMP))'), 0)}, ten) AS BIGINT) AS trailing_silence_days
+FROM pr LEFT JOIN gp ON gp.user_id = pr.user_id LEFT JOIN agg a ON a.user_id = pr.user_id"""

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.clean import preprocess_all
 from ..functions.core import round_doubles
 from ..operators.generations import build_generation_features
+from ..operators.tables_v1 import (build_properties_features, build_purchase_features,
+                                   build_quiz_features, build_transaction_features)
+from ..operators.tables_v2 import build_generation_features_v2, build_transaction_features_v2
 from ..session import configure
 from ..sources.fixtures import FIXTURE_OBS_DATE, load_logical
 from . import oracles
@@ -29,10 +32,53 @@ def q_generation_features(spark, sf_dir):
     return round_doubles(build_generation_features(t["generations"], t["properties"], OBS))
 
 
+def q_subscription_features(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_properties_features(t["properties"], OBS))
+
+
+def q_purchase_features(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_purchase_features(t["purchases"], OBS)
+                         .drop("_first_purchase", "_last_purchase"))
+
+
+def q_payment_features(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_transaction_features(t["transactions"], t["purchases"], OBS))
+
+
+def q_quiz_features(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_quiz_features(t["quizzes"]))
+
+
+def q_payment_features_v2(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_transaction_features_v2(t["transactions"], OBS))
+
+
+def q_generation_features_v2(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return round_doubles(build_generation_features_v2(t["generations"], t["properties"], OBS))
+
+
 QUERIES = {
+    "subscription_features_v1": q_subscription_features,
     "generation_features_v1": q_generation_features,
+    "purchase_features_v1": q_purchase_features,
+    "payment_features_v1": q_payment_features,
+    "quiz_features_v1": q_quiz_features,
+    "payment_features_v2": q_payment_features_v2,
+    "generation_features_v2": q_generation_features_v2,
 }
 
 ORACLES = {
+    "subscription_features_v1": oracles.subscription_v1,
     "generation_features_v1": oracles.generations_v1,
+    "purchase_features_v1": oracles.purchases_v1,
+    "payment_features_v1": oracles.transactions_v1,
+    "quiz_features_v1": oracles.quiz_v1,
+    "payment_features_v2": oracles.transactions_v2,
+    "generation_features_v2": oracles.generations_v2,
 }

@@ -44,3 +44,27 @@ def round_cols(cols: list[tuple[str, str]]) -> str:
     for kind, c in cols:
         out.append(f"round({c}, 6) AS {c}" if kind == "d" else c)
     return ", ".join(out)
+
+
+def lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def case_map(expr: str, mapping: dict, default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {whens} ELSE {default} END)"
+
+
+def top_n(expr: str, top: list[str], fill: str = "unknown") -> str:
+    v = f"lower(trim(coalesce({expr}, {lit(fill)})))"
+    allowed = ", ".join(lit(t.lower()) for t in top + [fill])
+    return f"(CASE WHEN {v} IN ({allowed}) THEN {v} ELSE 'other' END)"
+
+
+def b2l(cond: str) -> str:
+    """Boolean (NULL -> false) as BIGINT 0/1."""
+    return f"CAST(coalesce({cond}, false) AS BIGINT)"
