@@ -209,3 +209,38 @@ def top_k_per_key(df: DataFrame, keys, score: Column, tie: Column, k: int,
     w2 = Window.partitionBy(*ks).orderBy(F.col("_sc").desc(), F.col("_tb").asc())
     d = d.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
     return d.drop("_sc", "_tb", "_b", "_r1")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys=None, tie: str | None = None,
+                    **kw) -> DataFrame:
+    """Exact quantiles with linear interpolation (NumPy's default) per key.
+
+    Without ``keys`` the whole column is one group; :func:`ordered` then
+    splits it into value-range chunks, so no task ranks more than
+    ``chunk_rows`` values.  Returns one row per key with ``q<i>`` columns."""
+    ks = _keys(keys) if keys else []
+    d = df.where(F.col(value).isNotNull())
+    if not ks:
+        d = d.withColumn("_all", F.lit(0))
+        ks = ["_all"]
+    if tie is None:
+        d = d.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+        tie = "_tie"
+    o = ordered(d, ks, value, tie, **kw)
+    n = F.col("_n")
+    cols = []
+    keep = F.lit(False)
+    for i, q in enumerate(qs):
+        h = (n - 1).cast("double") * F.lit(float(q))
+        lo, hi = F.floor(h) + 1, F.ceil(h) + 1            # 1-based positions
+        frac = h - F.floor(h)
+        keep = keep | (F.col("_pos") == lo) | (F.col("_pos") == hi)
+        v = F.col(value).cast("double")
+        cols += [F.max(F.when(F.col("_pos") == lo, v)).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_pos") == hi, v)).alias(f"_hi{i}"),
+                 F.max(frac).alias(f"_fr{i}")]
+    picked = o.where(keep).groupBy(*ks).agg(*cols)
+    out = [*ks] + [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}")
+                   for i in range(len(qs))]
+    res = picked.select(*out)
+    return res.drop("_all") if "_all" in ks else res

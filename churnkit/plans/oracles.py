@@ -168,7 +168,7 @@ SELECT user_id,
 FROM properties"""
 
 
-def purchases_v1() -> str:
+def purchases_v1(helpers: bool = False) -> str:
     return view_ctes("purchases") + f"""
 , p AS (SELECT user_id, transaction_id, purchase_time, purchase_type,
                CAST(purchase_amount_dollars AS DOUBLE) AS amt, epoch_us(purchase_time) AS us FROM purchases),
@@ -200,7 +200,7 @@ SELECT a.user_id, a.n AS n_purchases_total,
   round(CASE WHEN n_time >= 2 THEN ((last_us - first_us) / {D}.0) / (n_time - 1) END, 6) AS avg_days_between_purchases,
   CAST(CASE WHEN c.up > 0 THEN 1 END AS BIGINT) AS has_plan_upgrade,
   CAST(CASE WHEN c.down > 0 THEN 1 END AS BIGINT) AS has_plan_downgrade,
-  CASE WHEN nt > 0 THEN updates END AS n_plan_changes
+  CASE WHEN nt > 0 THEN updates END AS n_plan_changes{", first_us AS first_purchase_us" if helpers else ""}
 FROM agg a LEFT JOIN chg c ON c.user_id = a.user_id"""
 
 
@@ -339,3 +339,116 @@ SELECT pr.user_id,
   round({sdiv('coalesce(a.l7, 0)', '(a.tot / nullif(ten / 7.0, 0)) + 0.1')}, 6) AS gens_last7_pct_of_avg,
   CAST(coalesce({clip_lo(fdays(OBS, 'epoch_us(CAST(a.last_day AS TIMESTAMP))'), 0)}, ten) AS BIGINT) AS trailing_silence_days
 FROM pr LEFT JOIN gp ON gp.user_id = pr.user_id LEFT JOIN agg a ON a.user_id = pr.user_id"""
+
+
+def _rounded_names(sql: str) -> list[str]:
+    import re
+    return re.findall(r", 6\) AS (\w+)", sql)
+
+
+def matrix_v1(version: int = 1) -> str:
+    from .. import config as cfg
+    from ..operators.cross import PAYMENT_RESILIENCE
+    from .sqlkit import unround
+    parts = {"prop_f": subscription_v1(), "gen_f": generations_v1(), "pur_f": purchases_v1(helpers=True),
+             "txn_f": transactions_v1(), "quiz_f": quiz_v1()}
+    if version >= 2:
+        parts.update({"gen2_f": generations_v2(), "txn2_f": transactions_v2()})
+    doubles = ["plan_ordinal", "plan_monthly_credits", "plan_monthly_cost_usd"]
+    for v in parts.values():
+        doubles += _rounded_names(v)
+    sub = ",\n".join(f"{k} AS ({unround(v)})" for k, v in parts.items())
+    joins = "\n".join(f"LEFT JOIN {k} ON {k}.user_id = u.user_id" for k in parts)
+    stars = ", ".join(f"{k}.* EXCLUDE (user_id{', first_purchase_us' if k == 'pur_f' else ''})" for k in parts)
+    inp = "in_props"
+    cross = {
+        "payment_failure_timing_vs_activity": "days_since_last_failed_transaction - days_since_last_generation",
+        "active_during_payment_failure": "CAST(coalesce(abs(days_since_last_generation - days_since_last_failed_transaction) <= 7, false) AS BIGINT)",
+        "days_last_purchase_to_last_gen": "days_since_last_purchase - days_since_last_generation",
+        "spend_per_generation": "total_purchase_dollars / (total_generations + 1)",
+        "plan_credit_utilization_pct": "coalesce(total_credits_consumed / nullif(plan_monthly_credits * greatest(tenure_days / 30.0, 0.5), 0), CAST(0 AS DOUBLE))",
+        "plan_credit_surplus_deficit": "plan_monthly_credits * greatest(tenure_days / 30.0, 0.5) - total_credits_consumed",
+        "time_to_first_payment_issue_days": clip_lo("tenure_days - days_since_last_failed_transaction", 0),
+        "generation_to_purchase_ratio": "total_generations / (n_purchases_total + 1)",
+        "is_likely_free_tier_user": "CAST(coalesce(n_purchases_total, 0) = 0 AND coalesce(n_failed_transactions, 0) = 0 AS BIGINT)",
+        "generated_before_purchased": f"CAST(coalesce(start_us + days_to_first_generation * {D} < first_purchase_us, false) AS BIGINT)",
+        "credit_per_dollar_spent": "total_credits_consumed / (total_purchase_dollars + 1)",
+        "n_failed_txns_before_success": "n_failed_without_matching_purchase",
+        "billing_country_matches_profile": "CAST(coalesce(trim(upper(dominant_billing_country)) = country, false) AS BIGINT)",
+        "feature_expectation_mismatch": "CAST(coalesce(first_feature_video = 1 AND video_generation_ratio < 0.1, false) AS BIGINT)",
+    }
+    if version >= 2:
+        cross["time_to_first_payment_issue_days_min"] = clip_lo("tenure_days - days_from_first_fail_to_obs", 0)
+    doubles += ["spend_per_generation", "plan_credit_utilization_pct", "plan_credit_surplus_deficit",
+                "generation_to_purchase_ratio", "credit_per_dollar_spent"]
+    cross_sql = ", ".join(f"CASE WHEN {inp} THEN {e} END AS {n}" for n, e in cross.items())
+    drop_noise = ""
+    if version >= 2:
+        extras = {"credit_cost_decimal", "inter_gen_regularity", "credit_regularity_score"}
+        drop_noise = " EXCLUDE (" + ", ".join(c for c in cfg.NOISE_COLUMNS if c not in extras) + ")"
+        doubles = [d for d in doubles if d not in cfg.NOISE_COLUMNS]
+    inv = list(PAYMENT_RESILIENCE)
+    tot = sum(PAYMENT_RESILIENCE.values())
+    eng = ["completion_rate", "active_days_fraction", "gens_first_7_days", "engagement_trajectory_ratio"]
+    com = ["team_size_ordinal", "experience_ordinal", "usage_plan_commercial", "role_commitment_score"]
+    mm = ", ".join([f"min(CAST({c} AS DOUBLE)) AS mn_{c}, max(CAST({c} AS DOUBLE)) AS mx_{c}" for c in inv + eng]
+                   + [f"min(CAST(coalesce({c}, 0) AS DOUBLE)) AS mn_{c}, max(CAST(coalesce({c}, 0) AS DOUBLE)) AS mx_{c}" for c in com])
+
+    def nrm(c, fill=False):
+        v = f"CAST(coalesce({c}, 0) AS DOUBLE)" if fill else f"CAST({c} AS DOUBLE)"
+        return f"(({v} - mn_{c}) / (mx_{c} - mn_{c} + 1e-9))"
+    pr = " + ".join(f"{nrm(c)} * {PAYMENT_RESILIENCE[c] / tot!r}" for c in inv)
+    eh_s = " + ".join(f"coalesce({nrm(c)}, 0)" for c in eng)
+    eh_k = " + ".join(f"CAST({nrm(c)} IS NOT NULL AS INTEGER)" for c in eng)
+    cs = "(" + " + ".join(nrm(c, True) for c in com) + f") / {len(com)}"
+    rfm_src = {"rfm_recency_bin": "-CAST(coalesce(days_since_last_generation, 0) AS DOUBLE)",
+               "rfm_frequency_bin": "CAST(coalesce(generation_frequency_daily, 0) AS DOUBLE)",
+               "rfm_monetary_bin": "CAST(coalesce(total_purchase_dollars, 0) AS DOUBLE)"}
+    qsel = ", ".join(f"quantile_cont({e}, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q_{n}" for n, e in rfm_src.items())
+
+    def rfm(n, e):
+        q = f"q_{n}"
+        interior = f"list_distinct(list_filter([{q}[2], {q}[3], {q}[4]], lambda x: x > {q}[1] AND x < {q}[5]))"
+        nb = f"(len({interior}) + CASE WHEN {q}[5] > {q}[1] THEN 1 ELSE 0 END)"
+        return f"CASE WHEN {nb} > 0 THEN CAST(len(list_filter({interior}, lambda x: x < {e})) + 1 AS DOUBLE) END AS {n}"
+    rfm_sql = ", ".join(rfm(n, e) for n, e in rfm_src.items())
+    cats = [c for c in cfg.CATEGORICAL_COLUMNS if not (version >= 2 and c in cfg.NOISE_COLUMNS)]
+    enc = ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'unknown')) - 1 AS BIGINT) AS {c}_int" for c in cats)
+    doubles += ["payment_resilience_score", "engagement_health_score", "commitment_score",
+                "rfm_recency_bin", "rfm_frequency_bin", "rfm_monetary_bin"]
+    rep = ", ".join(f"round({d}, 6) AS {d}" for d in dict.fromkeys(doubles))
+    return view_ctes("users", "properties") + f""",
+{sub},
+base AS (
+  SELECT u.user_id, {stars}, pur_f.first_purchase_us,
+         pr.user_id IS NOT NULL AS in_props, epoch_us(pr.subscription_start_date) AS start_us,
+         trim(upper(pr.country_code)) AS country
+  FROM (SELECT DISTINCT user_id FROM users) u
+  {joins}
+  LEFT JOIN properties pr ON pr.user_id = u.user_id),
+crossed AS (SELECT * EXCLUDE (first_purchase_us, in_props, start_us, country), {cross_sql} FROM base),
+feat AS (SELECT *{drop_noise} FROM crossed),
+mm AS (SELECT {mm} FROM feat),
+qq AS (SELECT {qsel} FROM feat),
+comp AS (
+  SELECT feat.*, {pr} AS payment_resilience_score,
+         CASE WHEN ({eh_k}) > 0 THEN ({eh_s}) / ({eh_k}) END AS engagement_health_score,
+         {cs} AS commitment_score, {rfm_sql}
+  FROM feat CROSS JOIN mm CROSS JOIN qq),
+coded AS (SELECT comp.*, {enc} FROM comp)
+SELECT * REPLACE ({rep}) FROM coded"""
+
+
+def matrix_v2() -> str:
+    return matrix_v1(version=2)
+
+
+def synthetic_signal() -> str:
+    from .sqlkit import unround
+    return f"""WITH gen AS ({unround(generations_v1())})
+SELECT user_id,
+  round(CAST(gens_last_7_days - gens_first_7_days AS DOUBLE) / CAST(generation_span_days + 1 AS DOUBLE), 6) AS engagement_velocity,
+  round(((avg_credit_cost_per_gen % 1.0) + 1.0) % 1.0, 6) AS credit_cost_decimal,
+  CAST(coalesce(((avg_credit_cost_per_gen % 1.0) + 1.0) % 1.0 = 0.0, false) AS DOUBLE) AS credit_regularity_score,
+  CAST(coalesce(abs(((avg_inter_generation_hours % 1.0) + 1.0) % 1.0) < 0.05, false) AS DOUBLE) AS inter_gen_regularity
+FROM gen"""

@@ -63,6 +63,25 @@ def q_generation_features_v2(spark, sf_dir):
     return round_doubles(build_generation_features_v2(t["generations"], t["properties"], OBS))
 
 
+def q_feature_matrix_v1(spark, sf_dir):
+    from .assemble import build_feature_matrix
+    return round_doubles(build_feature_matrix(_tables(spark, sf_dir), OBS, version=1))
+
+
+def q_feature_matrix_v2(spark, sf_dir):
+    from .assemble import build_feature_matrix
+    return round_doubles(build_feature_matrix(_tables(spark, sf_dir), OBS, version=2))
+
+
+def q_synthetic_signal(spark, sf_dir):
+    from ..operators.cross import add_synthetic_signal
+    t = _tables(spark, sf_dir)
+    g = build_generation_features(t["generations"], t["properties"], OBS)
+    return round_doubles(add_synthetic_signal(g).select(
+        "user_id", "engagement_velocity", "credit_cost_decimal", "credit_regularity_score",
+        "inter_gen_regularity"))
+
+
 QUERIES = {
     "subscription_features_v1": q_subscription_features,
     "generation_features_v1": q_generation_features,
@@ -71,6 +90,9 @@ QUERIES = {
     "quiz_features_v1": q_quiz_features,
     "payment_features_v2": q_payment_features_v2,
     "generation_features_v2": q_generation_features_v2,
+    "feature_matrix_v1": q_feature_matrix_v1,
+    "feature_matrix_v2": q_feature_matrix_v2,
+    "synthetic_signal_features": q_synthetic_signal,
 }
 
 ORACLES = {
@@ -81,4 +103,7 @@ ORACLES = {
     "quiz_features_v1": oracles.quiz_v1,
     "payment_features_v2": oracles.transactions_v2,
     "generation_features_v2": oracles.generations_v2,
+    "feature_matrix_v1": oracles.matrix_v1,
+    "feature_matrix_v2": oracles.matrix_v2,
+    "synthetic_signal_features": oracles.synthetic_signal,
 }

@@ -68,3 +68,36 @@ def top_n(expr: str, top: list[str], fill: str = "unknown") -> str:
 def b2l(cond: str) -> str:
     """Boolean (NULL -> false) as BIGINT 0/1."""
     return f"CAST(coalesce({cond}, false) AS BIGINT)"
+
+
+def unround(sql: str) -> str:
+    """Drop every ``round(<expr>, 6)`` wrapper (for oracles reused as inputs)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, last_comma = 0, j + 6, None
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                last_comma = k
+            k += 1
+        if last_comma is not None and sql[last_comma + 1:k].strip() == "6":
+            out.append(sql[i:j])
+            out.append("(" + unround(sql[j + 6:last_comma]) + ")")
+            i = k + 1
+        else:
+            out.append(sql[i:j + 6])
+            i = j + 6
