@@ -95,6 +95,10 @@ QUERIES = {
     "synthetic_signal_features": q_synthetic_signal,
 }
 
+from . import o_metrics, q_metrics  # noqa: E402
+
+QUERIES.update(q_metrics.QUERIES)
+
 ORACLES = {
     "subscription_features_v1": oracles.subscription_v1,
     "generation_features_v1": oracles.generations_v1,
@@ -107,3 +111,5 @@ ORACLES = {
     "feature_matrix_v2": oracles.matrix_v2,
     "synthetic_signal_features": oracles.synthetic_signal,
 }
+
+ORACLES.update(o_metrics.ORACLES)
