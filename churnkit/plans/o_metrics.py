@@ -128,3 +128,81 @@ ORACLES = {
     "class_report": class_report,
     "joint_threshold_search": joint_threshold_search,
 }
+
+
+def blend_weight_search() -> str:
+    from ..operators.blend import weight_candidates
+    cands = weight_candidates(2)
+    vals = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for i, (a, b) in enumerate(cands))
+    return SC + _models() + f""",
+c AS (SELECT * FROM (VALUES {vals}) AS v(cand, w0, w1)),
+x AS (SELECT cand, y, a_p0 * w0 + b_p0 * w1 AS q0, a_p1 * w0 + b_p1 * w1 AS q1, a_p2 * w0 + b_p2 * w1 AS q2 FROM mm CROSS JOIN c),
+xp AS (SELECT cand, y, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM x),
+cm AS (SELECT cand, y, pred, count(*) AS n FROM xp GROUP BY ALL),
+sup AS (SELECT cand, y AS k, sum(n) AS sup FROM cm GROUP BY ALL),
+prd AS (SELECT cand, pred AS k, sum(n) AS prd FROM cm GROUP BY ALL),
+tp AS (SELECT cand, y AS k, sum(n) AS tp FROM cm WHERE y = pred GROUP BY ALL),
+rep AS (SELECT coalesce(sup.cand, prd.cand) AS cand, coalesce(sup.k, prd.k) AS k, coalesce(sup.sup, 0) AS sup, coalesce(prd.prd, 0) AS prd
+        FROM sup FULL JOIN prd ON sup.cand = prd.cand AND sup.k = prd.k),
+per AS (SELECT rep.cand, avg(CASE WHEN sup + prd > 0 THEN 2 * coalesce(tp.tp, 0) / (sup + prd) ELSE 0 END) AS macro_f1
+        FROM rep LEFT JOIN tp ON tp.cand = rep.cand AND tp.k = rep.k GROUP BY 1)
+SELECT round(macro_f1, 6) AS macro_f1, round(w0, 6) AS w0, round(w1, 6) AS w1
+FROM (SELECT * FROM per ORDER BY macro_f1 DESC, cand LIMIT 1) b JOIN c ON c.cand = b.cand"""
+
+
+def blend_fixed_weights() -> str:
+    parts = []
+    for name, (wa, wb) in [("equal", (0.5, 0.5)), ("fixed_70_30", (0.7, 0.3))]:
+        parts.append(f"""
+{name}_x AS (SELECT y, a_p0 * {wa!r} + b_p0 * {wb!r} AS p0, a_p1 * {wa!r} + b_p1 * {wb!r} AS p1, a_p2 * {wa!r} + b_p2 * {wb!r} AS p2 FROM mm),
+{name}_xp AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM {name}_x)"""
+                     + f1_ctes(f"{name}_m", f"{name}_xp", "y", "pred")
+                     + f""",
+{name}_ll AS (SELECT avg(-ln(least(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS logloss FROM {name}_x)""")
+    sel = " UNION ALL ".join(
+        f"SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, "
+        f"round(f1_0, 6) AS f1_0, round(f1_1, 6) AS f1_1, round(f1_2, 6) AS f1_2, round(logloss, 6) AS logloss, "
+        f"'{n}' AS variant FROM {n}_m, {n}_ll" for n in ("equal", "fixed_70_30"))
+    return SC + _models() + "," + ",".join(p.lstrip(",") for p in parts) + "\n" + sel
+
+
+def blend_alpha_logloss() -> str:
+    eps = "2.220446049250313e-16"
+
+    def ll(alpha_src):
+        return f"""(SELECT alpha, avg(-ln(least(greatest(CASE y WHEN 0 THEN alpha * a_p0 + (1 - alpha) * b_p0
+                     WHEN 1 THEN alpha * a_p1 + (1 - alpha) * b_p1 ELSE alpha * a_p2 + (1 - alpha) * b_p2 END, {eps}), 1 - {eps}))) AS logloss
+            FROM mm CROSS JOIN {alpha_src} GROUP BY alpha)"""
+    return SC + _models() + f""",
+a1 AS (SELECT CAST(i AS DOUBLE) / 100 AS alpha FROM range(0, 101) t(i)),
+b1 AS (SELECT alpha FROM {ll('a1')} ORDER BY logloss, alpha LIMIT 1),
+a2 AS (SELECT DISTINCT least(1.0, greatest(0.0, b1.alpha + CAST(j AS DOUBLE) / 10000)) AS alpha FROM b1, range(-100, 101) t(j)),
+b2 AS (SELECT * FROM {ll('a2')} ORDER BY logloss, alpha LIMIT 1)
+SELECT round(alpha, 6) AS alpha, round(logloss, 6) AS logloss FROM b2"""
+
+
+def fixed_cascade_metrics() -> str:
+    jt = joint_threshold_search()
+    ts = two_stage_metrics()
+    return SC + f""",
+jt AS ({jt}),
+ts AS ({ts}),
+x AS (SELECT s.*, ts.best_threshold_s1 AS bthr, jt.thr_s1 AS j1, jt.thr_s2 AS j2 FROM s, ts, jt),
+xp AS (SELECT *, CASE WHEN s1 >= bthr THEN CASE WHEN s2 >= 0.5 THEN 2 ELSE 1 END ELSE 0 END AS pred_bin,
+              CASE WHEN s1 >= j1 THEN CASE WHEN s2 >= j2 THEN 2 ELSE 1 END ELSE 0 END AS pred_joint FROM x)""" \
+        + f1_ctes("fb", "xp", "y", "pred_bin") + f1_ctes("fj", "xp", "y", "pred_joint") + """
+SELECT ts.best_threshold_s1 AS binary_thr_s1, jt.thr_s1 AS joint_thr_s1, jt.thr_s2 AS joint_thr_s2,
+  round(fb.accuracy, 6) AS accuracy_binary_thr, round(fb.macro_f1, 6) AS macro_f1_binary_thr,
+  round(fb.weighted_f1, 6) AS weighted_f1_binary_thr,
+  round(fj.accuracy, 6) AS accuracy_joint_thr, round(fj.macro_f1, 6) AS macro_f1_joint_thr,
+  round(fj.weighted_f1, 6) AS weighted_f1_joint_thr, round(fj.f1_0, 6) AS f1_not_churned_joint,
+  round(fj.f1_1, 6) AS f1_vol_churn_joint, round(fj.f1_2, 6) AS f1_invol_churn_joint
+FROM ts, jt, fb, fj"""
+
+
+ORACLES.update({
+    "blend_weight_search": blend_weight_search,
+    "blend_fixed_weights": blend_fixed_weights,
+    "blend_alpha_logloss": blend_alpha_logloss,
+    "fixed_cascade_metrics": fixed_cascade_metrics,
+})

@@ -96,3 +96,68 @@ QUERIES = {
     "class_report": q_class_report,
     "joint_threshold_search": q_joint_threshold,
 }
+
+
+def q_blend_weight_search(spark, sf_dir):
+    """Convex weight grid (step .05) maximising macro F1 of the argmax."""
+    from ..operators.blend import weight_grid_search
+    s = _with_two_models(_scores(spark, sf_dir))
+    return round_doubles(weight_grid_search(s, "y", [["a_p0", "a_p1", "a_p2"], ["b_p0", "b_p1", "b_p2"]]))
+
+
+def q_blend_fixed(spark, sf_dir):
+    """B2 + B6 (equal and fixed .7/.3 variants): F1 family of each blend."""
+    from ..operators.blend import blend
+    s = _with_two_models(_scores(spark, sf_dir))
+    ms = [["a_p0", "a_p1", "a_p2"], ["b_p0", "b_p1", "b_p2"]]
+    outs = []
+    for name, w in [("equal", [1.0, 1.0]), ("fixed_70_30", [0.7, 0.3])]:
+        b = s.select("y", *blend(ms, w))
+        b = b.withColumn("pred", M.argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
+        outs.append(M.summary_f1(b, "y", "pred").crossJoin(M.log_loss(b, "y", ["p0", "p1", "p2"]))
+                    .withColumn("variant", F.lit(name)))
+    return round_doubles(outs[0].unionByName(outs[1]))
+
+
+def q_blend_alpha(spark, sf_dir):
+    """Alpha minimising the log loss of alpha*A + (1 - alpha)*B (grid + refinement)."""
+    from ..operators.blend import alpha_search
+    s = _with_two_models(_scores(spark, sf_dir))
+    return round_doubles(alpha_search(s, "y", ["a_p0", "a_p1", "a_p2"], ["b_p0", "b_p1", "b_p2"]))
+
+
+def q_blend_em(spark, sf_dir):
+    """Simplex weights minimising log loss (EM; iterative, no SQL oracle)."""
+    from ..operators.blend import em_simplex_weights
+    s = _with_two_models(_scores(spark, sf_dir))
+    w = em_simplex_weights(s, "y", [["a_p0", "a_p1", "a_p2"], ["b_p0", "b_p1", "b_p2"]])
+    return spark.createDataFrame([(f"model_{i}", v) for i, v in enumerate(w)], "model string, weight double")
+
+
+def q_fixed_cascade(spark, sf_dir):
+    """V4: cascade scored with the binary-optimal and the jointly optimal thresholds."""
+    s = _scores(spark, sf_dir)
+    best = M.best_f1_threshold(s, "y_bin", "s1").select(F.col("threshold").alias("binary_thr_s1"))
+    jt = M.joint_threshold_search(s, "y", "s1", "s2").select(F.col("thr_s1").alias("joint_thr_s1"),
+                                                             F.col("thr_s2").alias("joint_thr_s2"))
+    x = s.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(jt))  # one-row sides
+    x = (x.withColumn("pred_bin", M.cascade_pred(F.col("s1"), F.col("s2"), F.col("binary_thr_s1"), F.lit(0.5)))
+          .withColumn("pred_joint", M.cascade_pred(F.col("s1"), F.col("s2"), F.col("joint_thr_s1"),
+                                                   F.col("joint_thr_s2"))))
+    fb = M.summary_f1(x, "y", "pred_bin").select(
+        F.col("accuracy").alias("accuracy_binary_thr"), F.col("macro_f1").alias("macro_f1_binary_thr"),
+        F.col("weighted_f1").alias("weighted_f1_binary_thr"))
+    fj = M.summary_f1(x, "y", "pred_joint").select(
+        F.col("accuracy").alias("accuracy_joint_thr"), F.col("macro_f1").alias("macro_f1_joint_thr"),
+        F.col("weighted_f1").alias("weighted_f1_joint_thr"), F.col("f1_0").alias("f1_not_churned_joint"),
+        F.col("f1_1").alias("f1_vol_churn_joint"), F.col("f1_2").alias("f1_invol_churn_joint"))
+    return round_doubles(best.crossJoin(jt).crossJoin(fb).crossJoin(fj))
+
+
+QUERIES.update({
+    "blend_weight_search": q_blend_weight_search,
+    "blend_fixed_weights": q_blend_fixed,
+    "blend_alpha_logloss": q_blend_alpha,
+    "blend_em_weights": q_blend_em,
+    "fixed_cascade_metrics": q_fixed_cascade,
+})
