@@ -95,9 +95,10 @@ QUERIES = {
     "synthetic_signal_features": q_synthetic_signal,
 }
 
-from . import o_metrics, q_metrics  # noqa: E402
+from . import o_explain, o_metrics, q_explain, q_metrics  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
+QUERIES.update(q_explain.QUERIES)
 
 ORACLES = {
     "subscription_features_v1": oracles.subscription_v1,
@@ -113,3 +114,4 @@ ORACLES = {
 }
 
 ORACLES.update(o_metrics.ORACLES)
+ORACLES.update(o_explain.ORACLES)
