@@ -22,6 +22,7 @@ user's numeric NULLs into 0 instead.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,9 @@ def build_generation_features(gens: DataFrame, props: DataFrame, obs_date: str,
                    maxes_before={"comp": F.when(completed & F.col("created_at").isNotNull(),
                                                 micros("created_at"))},
                    chunk_rows=chunk_rows, hot_rows=hot_rows, stats=stats)
+    # the annotated rows feed both the wide aggregate and the median pass:
+    # keep them instead of recomputing the attach join and chunk windows
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     us = micros("created_at")
     t0, t1 = F.col("_t0").cast("long"), F.col("_t1").cast("long")

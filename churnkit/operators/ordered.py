@@ -113,13 +113,10 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     lags = lags or {}
     sums_before = sums_before or {}
     maxes_before = maxes_before or {}
-    base = df
-    for name, c in lags.items():
-        base = base.withColumn(f"_lv_{name}", c)
-    for name, c in sums_before.items():
-        base = base.withColumn(f"_sv_{name}", c.cast("double"))
-    for name, c in maxes_before.items():
-        base = base.withColumn(f"_mv_{name}", c)
+    extra = ([c.alias(f"_lv_{n}") for n, c in lags.items()]
+             + [c.cast("double").alias(f"_sv_{n}") for n, c in sums_before.items()]
+             + [c.alias(f"_mv_{n}") for n, c in maxes_before.items()])
+    base = df.select("*", *extra) if extra else df
     if stats is None:
         stats = key_stats(base, ks, ts)
     rows = attach(base, stats, ks, hot_rows=hot_rows, row_id=tie)
@@ -128,24 +125,20 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     order = [F.col(ts).isNull(), F.col(ts), F.col(tie)]
     w = Window.partitionBy(*ks, "_chunk").orderBy(*order)
     w_before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_rn", F.row_number().over(w))
-    for name in lags:
-        rows = rows.withColumn(f"lag_{name}", F.lag(f"_lv_{name}").over(w))
-    for name in sums_before:
-        rows = rows.withColumn(f"_cs_{name}", F.coalesce(F.sum(f"_sv_{name}").over(w_before), F.lit(0.0)))
-    for name in maxes_before:
-        rows = rows.withColumn(f"_cm_{name}", F.max(f"_mv_{name}").over(w_before))
+    win = [F.row_number().over(w).alias("_rn")]
+    win += [F.lag(f"_lv_{n}").over(w).alias(f"_ilag_{n}") for n in lags]
+    win += [F.coalesce(F.sum(f"_sv_{n}").over(w_before), F.lit(0.0)).alias(f"_cs_{n}") for n in sums_before]
+    win += [F.max(f"_mv_{n}").over(w_before).alias(f"_cm_{n}") for n in maxes_before]
+    rows = rows.select("*", *win)
 
     # per-chunk summary: a handful of rows per (key, chunk)
     summ_aggs = [F.count(F.lit(1)).alias("_ccnt")]
-    last_struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
-                           *[F.col(f"_lv_{n}").alias(n) for n in lags])
     if lags:
+        last_struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
+                               *[F.col(f"_lv_{n}").alias(n) for n in lags])
         summ_aggs.append(F.max(last_struct).alias("_last"))
-    for name in sums_before:
-        summ_aggs.append(F.sum(f"_sv_{name}").alias(f"_csum_{name}"))
-    for name in maxes_before:
-        summ_aggs.append(F.max(f"_mv_{name}").alias(f"_cmax_{name}"))
+    summ_aggs += [F.sum(f"_sv_{n}").alias(f"_csum_{n}") for n in sums_before]
+    summ_aggs += [F.max(f"_mv_{n}").alias(f"_cmax_{n}") for n in maxes_before]
     summ = rows.groupBy(*ks, "_chunk").agg(*summ_aggs)
     wc = Window.partitionBy(*ks).orderBy("_chunk")
     prev = wc.rowsBetween(Window.unboundedPreceding, -1)
@@ -153,31 +146,27 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     sel = [*ks, "_chunk", "_ccnt",
            F.coalesce(F.sum("_ccnt").over(prev), F.lit(0)).alias("_rows_before"),
            F.coalesce(F.sum("_ccnt").over(nxt), F.lit(0)).alias("_rows_after")]
-    for name in lags:
-        sel.append(F.lag(F.col("_last").getField(name)).over(wc).alias(f"_plast_{name}"))
-    for name in sums_before:
-        sel.append(F.coalesce(F.sum(f"_csum_{name}").over(prev), F.lit(0.0)).alias(f"_off_{name}"))
-    for name in maxes_before:
-        sel.append(F.max(f"_cmax_{name}").over(prev).alias(f"_moff_{name}"))
+    sel += [F.lag(F.col("_last").getField(n)).over(wc).alias(f"_plast_{n}") for n in lags]
+    sel += [F.coalesce(F.sum(f"_csum_{n}").over(prev), F.lit(0.0)).alias(f"_off_{n}") for n in sums_before]
+    sel += [F.max(f"_cmax_{n}").over(prev).alias(f"_moff_{n}") for n in maxes_before]
     summ = summ.select(*sel)
 
     out = rows.join(summ, ks + ["_chunk"], "inner")
-    out = (out.withColumn("_pos", F.col("_rows_before") + F.col("_rn"))
-              .withColumn("_pos_desc", F.col("_rows_after") + F.col("_ccnt") - F.col("_rn") + 1))
-    for name in lags:
-        out = out.withColumn(f"lag_{name}", F.when(F.col("_rn") == 1, F.col(f"_plast_{name}"))
-                             .otherwise(F.col(f"lag_{name}")))
-    for name in sums_before:
-        out = out.withColumn(f"before_{name}", F.col(f"_off_{name}") + F.col(f"_cs_{name}"))
-    for name in maxes_before:
-        out = out.withColumn(f"maxbefore_{name}", F.greatest(F.col(f"_moff_{name}"), F.col(f"_cm_{name}")))
-    drop = ["_rn", "_ccnt", "_rows_before", "_rows_after", "_chunk"]
-    drop += [f"_lv_{n}" for n in lags] + [f"_plast_{n}" for n in lags]
-    drop += [f"_sv_{n}" for n in sums_before] + [f"_cs_{n}" for n in sums_before]
-    drop += [f"_off_{n}" for n in sums_before]
-    drop += [f"_mv_{n}" for n in maxes_before] + [f"_cm_{n}" for n in maxes_before]
-    drop += [f"_moff_{n}" for n in maxes_before]
-    return out.drop(*drop)
+    drop = {"_rn", "_ccnt", "_rows_before", "_rows_after", "_chunk"}
+    for n in lags:
+        drop |= {f"_lv_{n}", f"_plast_{n}", f"_ilag_{n}"}
+    for n in sums_before:
+        drop |= {f"_sv_{n}", f"_cs_{n}", f"_off_{n}"}
+    for n in maxes_before:
+        drop |= {f"_mv_{n}", f"_cm_{n}", f"_moff_{n}"}
+    new_cols = [(F.col("_rows_before") + F.col("_rn")).alias("_pos"),
+                (F.col("_rows_after") + F.col("_ccnt") - F.col("_rn") + 1).alias("_pos_desc")]
+    new_cols += [F.when(F.col("_rn") == 1, F.col(f"_plast_{n}")).otherwise(F.col(f"_ilag_{n}")).alias(f"lag_{n}")
+                 for n in lags]
+    new_cols += [(F.col(f"_off_{n}") + F.col(f"_cs_{n}")).alias(f"before_{n}") for n in sums_before]
+    new_cols += [F.greatest(F.col(f"_moff_{n}"), F.col(f"_cm_{n}")).alias(f"maxbefore_{n}") for n in maxes_before]
+    keep = [c for c in out.columns if c not in drop]
+    return out.select(*keep, *new_cols)
 
 
 def group_median(df: DataFrame, keys, value: str, tie: str, **kw) -> DataFrame:

@@ -452,3 +452,23 @@ SELECT user_id,
   CAST(coalesce(((avg_credit_cost_per_gen % 1.0) + 1.0) % 1.0 = 0.0, false) AS DOUBLE) AS credit_regularity_score,
   CAST(coalesce(abs(((avg_inter_generation_hours % 1.0) + 1.0) % 1.0) < 0.05, false) AS DOUBLE) AS inter_gen_regularity
 FROM gen"""
+
+
+def at_risk_leaderboard() -> str:
+    from .sqlkit import unround
+    return view_ctes("users") + f""",
+gen AS ({unround(generations_v1())}),
+txn AS ({unround(transactions_v1())}),
+pur AS ({unround(purchases_v1())}),
+x AS (SELECT u.user_id, gen.total_generations, gen.days_since_last_generation, gen.failure_rate_overall,
+        gen.engagement_slope, txn.has_failed_but_no_successful_payment, txn.n_failed_transactions,
+        txn.transaction_failure_rate, pur.n_purchases_total,
+        CAST(coalesce(pur.n_purchases_total, 0) = 0 AND coalesce(txn.n_failed_transactions, 0) = 0 AS BIGINT) AS is_likely_free_tier_user
+      FROM users u LEFT JOIN gen ON gen.user_id = u.user_id LEFT JOIN txn ON txn.user_id = u.user_id
+      LEFT JOIN pur ON pur.user_id = u.user_id)
+SELECT user_id, total_generations, days_since_last_generation, round(failure_rate_overall, 6) AS failure_rate_overall,
+  round(engagement_slope, 6) AS engagement_slope, has_failed_but_no_successful_payment, n_failed_transactions,
+  round(transaction_failure_rate, 6) AS transaction_failure_rate, n_purchases_total, is_likely_free_tier_user,
+  CASE WHEN has_failed_but_no_successful_payment = 1 AND is_likely_free_tier_user = 0 THEN 'invol_churn'
+       WHEN is_likely_free_tier_user = 1 THEN 'not_churned' END AS final_label
+FROM x"""

@@ -8,6 +8,7 @@ columns are rounded to 6 places (the same projection the SQL oracles use).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.clean import preprocess_all
 from ..functions.core import round_doubles
@@ -82,7 +83,33 @@ def q_synthetic_signal(spark, sf_dir):
         "inter_gen_regularity"))
 
 
+def flagship(spark, sf_dir):
+    """Users at risk: event roll-up + payments + purchases -> rule gate -> leaderboard.
+
+    One row per user, ordered worst first (gate label invol first, then
+    longest silence, then failure rate); the order is a range-partitioned
+    global sort, not a single-partition window."""
+    from ..operators.inference import apply_gate
+    t = _tables(spark, sf_dir)
+    gen = build_generation_features(t["generations"], t["properties"], OBS).select(
+        "user_id", "total_generations", "days_since_last_generation", "failure_rate_overall",
+        "engagement_slope")
+    txn = build_transaction_features(t["transactions"], t["purchases"], OBS).select(
+        "user_id", "has_failed_but_no_successful_payment", "n_failed_transactions", "transaction_failure_rate")
+    pur = build_purchase_features(t["purchases"], OBS).select("user_id", "n_purchases_total")
+    x = (t["users"].select("user_id").join(gen, "user_id", "left").join(txn, "user_id", "left")
+         .join(pur, "user_id", "left"))
+    x = x.withColumn("is_likely_free_tier_user",
+                     ((F.coalesce("n_purchases_total", F.lit(0)) == 0)
+                      & (F.coalesce("n_failed_transactions", F.lit(0)) == 0)).cast("long"))
+    x = apply_gate(x)
+    x = x.orderBy(F.col("final_label").desc_nulls_last(), F.col("days_since_last_generation").desc_nulls_first(),
+                  F.col("transaction_failure_rate").desc_nulls_last(), F.col("user_id"))
+    return round_doubles(x)
+
+
 QUERIES = {
+    "at_risk_leaderboard": flagship,
     "subscription_features_v1": q_subscription_features,
     "generation_features_v1": q_generation_features,
     "purchase_features_v1": q_purchase_features,
@@ -101,6 +128,7 @@ QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
 
 ORACLES = {
+    "at_risk_leaderboard": oracles.at_risk_leaderboard,
     "subscription_features_v1": oracles.subscription_v1,
     "generation_features_v1": oracles.generations_v1,
     "purchase_features_v1": oracles.purchases_v1,
