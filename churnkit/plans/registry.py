@@ -108,8 +108,18 @@ def flagship(spark, sf_dir):
     return round_doubles(x)
 
 
+def q_fe_features(spark, sf_dir):
+    """Section 2.12 builder on the raw logical tables (data-derived reference date)."""
+    from ..operators.fe_builder import build_fe_features
+    from .o_fe import FIXTURE_PIVOTS
+    configure(spark)
+    t = load_logical(spark, sf_dir)
+    return round_doubles(build_fe_features(t, pivots=FIXTURE_PIVOTS))
+
+
 QUERIES = {
     "at_risk_leaderboard": flagship,
+    "fe_features": q_fe_features,
     "subscription_features_v1": q_subscription_features,
     "generation_features_v1": q_generation_features,
     "purchase_features_v1": q_purchase_features,
@@ -127,8 +137,11 @@ from . import o_explain, o_metrics, q_explain, q_metrics  # noqa: E402
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
 
+from . import o_fe  # noqa: E402
+
 ORACLES = {
     "at_risk_leaderboard": oracles.at_risk_leaderboard,
+    "fe_features": o_fe.fe_features,
     "subscription_features_v1": oracles.subscription_v1,
     "generation_features_v1": oracles.generations_v1,
     "purchase_features_v1": oracles.purchases_v1,
