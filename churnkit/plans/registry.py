@@ -132,10 +132,11 @@ QUERIES = {
     "synthetic_signal_features": q_synthetic_signal,
 }
 
-from . import o_explain, o_metrics, q_explain, q_metrics  # noqa: E402
+from . import o_artifacts, o_explain, o_metrics, q_artifacts, q_explain, q_metrics  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
+QUERIES.update(q_artifacts.QUERIES)
 
 from . import o_fe  # noqa: E402
 
@@ -156,3 +157,4 @@ ORACLES = {
 
 ORACLES.update(o_metrics.ORACLES)
 ORACLES.update(o_explain.ORACLES)
+ORACLES.update(o_artifacts.ORACLES)
