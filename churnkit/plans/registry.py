@@ -132,11 +132,12 @@ QUERIES = {
     "synthetic_signal_features": q_synthetic_signal,
 }
 
-from . import o_artifacts, o_explain, o_metrics, q_artifacts, q_explain, q_metrics  # noqa: E402
+from . import o_artifacts, o_explain, o_metrics, o_profile, q_artifacts, q_explain, q_metrics, q_profile  # noqa: E402,E501
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
 QUERIES.update(q_artifacts.QUERIES)
+QUERIES.update(q_profile.QUERIES)
 
 from . import o_fe  # noqa: E402
 
@@ -158,3 +159,4 @@ ORACLES = {
 ORACLES.update(o_metrics.ORACLES)
 ORACLES.update(o_explain.ORACLES)
 ORACLES.update(o_artifacts.ORACLES)
+ORACLES.update(o_profile.ORACLES)
