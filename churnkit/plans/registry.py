@@ -133,11 +133,13 @@ QUERIES = {
 }
 
 from . import o_artifacts, o_explain, o_metrics, o_profile, q_artifacts, q_explain, q_metrics, q_profile  # noqa: E402,E501
+from . import o_sampling, q_sampling  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
 QUERIES.update(q_artifacts.QUERIES)
 QUERIES.update(q_profile.QUERIES)
+QUERIES.update(q_sampling.QUERIES)
 
 from . import o_fe  # noqa: E402
 
@@ -160,3 +162,4 @@ ORACLES.update(o_metrics.ORACLES)
 ORACLES.update(o_explain.ORACLES)
 ORACLES.update(o_artifacts.ORACLES)
 ORACLES.update(o_profile.ORACLES)
+ORACLES.update(o_sampling.ORACLES)
