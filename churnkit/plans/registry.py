@@ -133,13 +133,14 @@ QUERIES = {
 }
 
 from . import o_artifacts, o_explain, o_metrics, o_profile, q_artifacts, q_explain, q_metrics, q_profile  # noqa: E402,E501
-from . import o_sampling, q_sampling  # noqa: E402
+from . import o_sampling, q_models, q_sampling  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
 QUERIES.update(q_artifacts.QUERIES)
 QUERIES.update(q_profile.QUERIES)
 QUERIES.update(q_sampling.QUERIES)
+QUERIES.update(q_models.QUERIES)
 
 from . import o_fe  # noqa: E402
 
