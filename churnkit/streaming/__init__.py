@@ -1 +1,7 @@
+"""Streaming.
 
+The analysis this library rebuilds is batch-only (no watermarks, windows,
+sessions or state over arriving data), so no streaming operator is defined
+here.  Every roll-up in ``operators`` is a plain DataFrame function and can
+be applied per micro-batch from ``foreachBatch`` if a caller needs it.
+"""
