@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .ordered import attach, ordered
 
 ANCHOR_MIN_FREQ = 40
+#: anchor sets up to this size are searched as a broadcast literal array
+SMALL_ANCHORS = 4096
 
 
 def anchor_grid(values: DataFrame, col: str, min_freq: int = ANCHOR_MIN_FREQ) -> DataFrame:
@@ -29,7 +31,18 @@ def anchor_grid(values: DataFrame, col: str, min_freq: int = ANCHOR_MIN_FREQ) ->
 
 
 def snap(df: DataFrame, value: str, anchors: DataFrame, row_id: str, chunk_rows: int | None = None) -> DataFrame:
-    """Add ``snap_val`` and ``snap_dist`` for ``value`` (nearest anchor)."""
+    """Add ``snap_val`` and ``snap_dist`` for ``value`` (nearest anchor).
+
+    A small anchor set (checked: at most ``SMALL_ANCHORS`` values) is inlined as
+    a literal array and searched per row; a larger one goes through the global
+    chunked ordering below."""
+    small = anchors.limit(SMALL_ANCHORS + 1).collect()
+    if len(small) <= SMALL_ANCHORS:
+        arr = F.array(*[F.lit(float(r[0])) for r in small]) if small else F.array().cast("array<double>")
+        val = F.col(value).cast("double")
+        lo = F.array_max(F.filter(arr, lambda a: a < val))
+        hi = F.array_min(F.filter(arr, lambda a: a >= val))
+        return _pick(df.withColumn("_lo", lo).withColumn("_hi", hi), value)
     v = df.select(row_id, F.col(value).cast("double").alias("_v"))
     a = anchors.select(F.col("anchor").cast("double").alias("_v"))
     # kind 0 = amount row, 1 = anchor; key is constant: one global order in chunks
@@ -48,6 +61,10 @@ def snap(df: DataFrame, value: str, anchors: DataFrame, row_id: str, chunk_rows:
                  chunk_rows=chunk_rows)
     hi = hi.where(F.col("_kind") == 0).select("_rid", (-F.col("maxbefore_a")).alias("_hi"))
     x = df.withColumn("_rid", F.col(row_id).cast("string")).join(lo, "_rid", "left").join(hi, "_rid", "left")
+    return _pick(x, value).drop("_rid")
+
+
+def _pick(x: DataFrame, value: str) -> DataFrame:
     val = F.col(value).cast("double")
     pick = (F.when(F.col("_lo").isNull() & F.col("_hi").isNull(), val)
              .when(F.col("_hi").isNull(), F.col("_lo"))
@@ -55,7 +72,7 @@ def snap(df: DataFrame, value: str, anchors: DataFrame, row_id: str, chunk_rows:
              .when(F.abs(val - F.col("_lo")) < F.abs(val - F.col("_hi")), F.col("_lo"))
              .otherwise(F.col("_hi")))
     return (x.withColumn("snap_val", pick).withColumn("snap_dist", F.abs(val - F.col("snap_val")))
-             .drop("_rid", "_lo", "_hi"))
+             .drop("_lo", "_hi"))
 
 
 def digit_features(x: Column, prefix: str) -> list[Column]:

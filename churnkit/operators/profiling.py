@@ -115,3 +115,11 @@ def bridge_user_matrix(users: DataFrame, props: DataFrame, quizzes: DataFrame, a
                 .join(quizzes.select("user_id", "experience", "team_size"), "user_id", "left")
                 .join(agg, "user_id", "left"))
     return out.fillna(0, subset=["total_attempts", "total_failed", "amount_attempted", "failure_rate"])
+
+
+def describe_basic(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Count, mean, std, min, max of chosen columns (one unpivoted aggregate)."""
+    long = _long(df, cols, "double")
+    return long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
+                                      F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                      F.max("value").alias("max"))

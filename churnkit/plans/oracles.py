@@ -472,3 +472,46 @@ SELECT user_id, total_generations, days_since_last_generation, round(failure_rat
   CASE WHEN has_failed_but_no_successful_payment = 1 AND is_likely_free_tier_user = 0 THEN 'invol_churn'
        WHEN is_likely_free_tier_user = 1 THEN 'not_churned' END AS final_label
 FROM x"""
+
+
+def predict_two_stage() -> str:
+    from .o_explain import PROBA
+    from .sqlkit import unround
+    return view_ctes("users", "contributions") + """
+, yu AS (SELECT user_id, 0 AS y FROM users)""" + PROBA + f""",
+txn AS ({unround(transactions_v1())}),
+pur AS ({unround(purchases_v1())}),
+x AS (SELECT u.user_id, txn.has_failed_but_no_successful_payment, txn.n_failed_transactions, pur.n_purchases_total,
+        pr.p1 + pr.p2 AS p_churn, pr.p2 / (pr.p1 + pr.p2) AS p_invol,
+        CAST(coalesce(pur.n_purchases_total, 0) = 0 AND coalesce(txn.n_failed_transactions, 0) = 0 AS BIGINT) AS free
+      FROM users u LEFT JOIN txn ON txn.user_id = u.user_id LEFT JOIN pur ON pur.user_id = u.user_id
+      LEFT JOIN pr ON pr.user_id = u.user_id),
+g AS (SELECT *, CASE WHEN has_failed_but_no_successful_payment = 1 AND free = 0 THEN 'invol_churn'
+                     WHEN free = 1 THEN 'not_churned' END AS final_label FROM x)
+SELECT user_id, final_label, round(p_churn, 6) AS p_churn, round(p_invol, 6) AS p_invol,
+  coalesce(final_label, CASE WHEN p_churn < 0.30 THEN 'not_churned' WHEN p_churn >= 0.30 THEN
+           CASE WHEN p_invol >= 0.5 THEN 'invol_churn' ELSE 'vol_churn' END END) AS predicted_status
+FROM g"""
+
+
+def feature_lists() -> str:
+    return view_ctes("users", "contributions") + """
+, imp AS (SELECT feature, avg(m) AS mean_abs FROM (SELECT class, feature, avg(abs(contribution)) AS m FROM contributions GROUP BY 1, 2) GROUP BY 1),
+rk AS (SELECT feature, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM imp),
+ls AS (SELECT * FROM (VALUES ('all', NULL), ('top25', 25), ('top50', 50), ('top75', 75), ('top100', 100)) AS t(list, k))
+SELECT list, rank, feature FROM rk CROSS JOIN ls WHERE k IS NULL OR rank <= k"""
+
+
+def describe_v2_features() -> str:
+    from .sqlkit import unround
+    cols = ["max_gap_days_last_30", "zero_gen_days_last_30", "days_since_last_completed_gen",
+            "completion_rate_last14", "plan_renewal_proximity_days", "gens_last7_pct_of_avg", "trailing_silence_days"]
+    body = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+  round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, round(min(CAST({c} AS DOUBLE)), 6) AS min,
+  round(max(CAST({c} AS DOUBLE)), 6) AS max FROM v2""" for c in cols)
+    return f"WITH v2 AS ({unround(generations_v2())})\n{body}"
+
+
+MORE = {"predict_two_stage": predict_two_stage, "feature_lists": feature_lists,
+        "describe_v2_features": describe_v2_features}

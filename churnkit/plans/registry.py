@@ -133,7 +133,7 @@ QUERIES = {
 }
 
 from . import o_artifacts, o_explain, o_metrics, o_profile, q_artifacts, q_explain, q_metrics, q_profile  # noqa: E402,E501
-from . import o_sampling, q_models, q_sampling  # noqa: E402
+from . import o_sampling, q_models, q_more, q_sampling  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
@@ -141,6 +141,7 @@ QUERIES.update(q_artifacts.QUERIES)
 QUERIES.update(q_profile.QUERIES)
 QUERIES.update(q_sampling.QUERIES)
 QUERIES.update(q_models.QUERIES)
+QUERIES.update(q_more.QUERIES)
 
 from . import o_fe  # noqa: E402
 
@@ -164,3 +165,4 @@ ORACLES.update(o_explain.ORACLES)
 ORACLES.update(o_artifacts.ORACLES)
 ORACLES.update(o_profile.ORACLES)
 ORACLES.update(o_sampling.ORACLES)
+ORACLES.update(oracles.MORE)
