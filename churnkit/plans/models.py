@@ -269,3 +269,99 @@ def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3) -
         return seed_average([multiclass_cv(df, features, "rf", k, seed=s) for s in (1, 2, 3)])
     oof = two_stage_cv(df, features, recipe.stage1, recipe.stage2, k)
     return oof.select(KEY, "y", "fold", *hierarchical_to_3class(F.col("oof_s1"), F.col("oof_s2")))
+
+
+def tree_table(gbt_model) -> list[dict]:
+    """Parse a fitted GBT / RF model into plain arrays per tree (driver-side,
+    bounded by the model size): feature, threshold (or left categories),
+    children and node value.  Read once from the JVM tree objects."""
+    trees = []
+    weights = list(gbt_model.treeWeights) if hasattr(gbt_model, "treeWeights") else [1.0] * gbt_model.getNumTrees
+    for t, w in zip(gbt_model.trees, weights):
+        feat, thr, cats, left, right, value = [], [], [], [], [], []
+        stack = [(t._java_obj.rootNode(), -1, None)]
+        while stack:
+            node, parent, side = stack.pop()
+            i = len(feat)
+            value.append(float(node.prediction()))
+            left.append(-1)
+            right.append(-1)
+            if parent >= 0:
+                (left if side == "L" else right)[parent] = i
+            if node.getClass().getSimpleName() == "InternalNode":
+                sp = node.split()
+                feat.append(int(sp.featureIndex()))
+                if sp.getClass().getSimpleName() == "ContinuousSplit":
+                    thr.append(float(sp.threshold()))
+                    cats.append(None)
+                else:
+                    thr.append(float("nan"))
+                    cats.append(set(float(c) for c in sp.leftCategories()))
+                stack.append((node.rightChild(), i, "R"))
+                stack.append((node.leftChild(), i, "L"))
+            else:
+                feat.append(-1)
+                thr.append(float("nan"))
+                cats.append(None)
+        trees.append({"w": float(w), "feat": feat, "thr": thr, "cats": cats, "left": left, "right": right,
+                      "value": value})
+    return trees
+
+
+def tree_contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+    """X1 (trees): additive path attributions of a binary GBT margin.
+
+    Along each tree's decision path, the change of node value at every split is
+    credited to the split feature (times the tree weight); the root values sum to
+    the base.  Per row: sum of contributions + base = raw margin (checked by the
+    ``additivity_error`` column).  The parsed trees are broadcast (their size is
+    the model's, not the data's); rows are scored in ``mapInPandas`` batches."""
+    import numpy as np
+    import pandas as pd
+    gbt = model.stages[-1]
+    trees = tree_table(gbt)
+    bc = df.sparkSession.sparkContext.broadcast(trees)
+    d = prepare(df, features)
+    scored = model.transform(d).select(KEY, *features, vector_to_array("rawPrediction")[1].alias("_margin"))
+    key_type = dict(d.dtypes)[KEY]
+
+    def attribute(batches):
+        tr = bc.value
+        arrs = []
+        for t in tr:
+            cats = t["cats"]
+            arrs.append((t["w"], np.array(t["feat"]), np.array(t["thr"]), np.array(t["left"]),
+                         np.array(t["right"]), np.array(t["value"]), cats))
+        for b in batches:
+            x = b[features].to_numpy(dtype=float)
+            n = len(x)
+            rows = np.arange(n)
+            contrib = np.zeros_like(x)
+            base = 0.0
+            for w, feat, thr, left, right, value, cats in arrs:
+                base += w * value[0]
+                node = np.zeros(n, dtype=int)          # every row starts at the root
+                active = feat[node] >= 0
+                while active.any():
+                    r = rows[active]
+                    nd = node[active]
+                    f = feat[nd]
+                    v = x[r, f]
+                    go_left = v <= thr[nd]
+                    cat_nodes = [i for i, c in enumerate(nd) if cats[nd[i]] is not None]
+                    for i in cat_nodes:
+                        go_left[i] = v[i] in cats[nd[i]]
+                    nxt = np.where(go_left, left[nd], right[nd])
+                    np.add.at(contrib, (r, f), w * (value[nxt] - value[nd]))
+                    node[active] = nxt
+                    active = feat[node] >= 0
+            err = np.abs(contrib.sum(axis=1) + base - b["_margin"].to_numpy(dtype=float))
+            yield pd.DataFrame({KEY: np.repeat(b[KEY].to_numpy(), len(features)),
+                                "feature": np.tile(features, n),
+                                "contribution": contrib.reshape(-1),
+                                "base": base,
+                                "additivity_error": np.repeat(err, len(features))})
+
+    schema = f"{KEY} {key_type}, feature string, contribution double, base double, additivity_error double"
+    return scored.mapInPandas(attribute, schema).select(KEY, F.lit(1).alias("class"), "feature", "contribution",
+                                                         "base", "additivity_error")

@@ -73,7 +73,15 @@ def q_contrib(spark, sf_dir):
     return round_doubles(MD.linear_contributions(m, d, FEATURES))
 
 
+def q_tree_contrib(spark, sf_dir):
+    """X1 for trees: binary GBT (churn vs not) path attributions, long table."""
+    d = model_input(spark, sf_dir).withColumn("y", (F.col("y") > 0).cast("int"))
+    m = MD.final_fit(d, FEATURES, "gbt", {"maxIter": 10, "maxDepth": 3})
+    return round_doubles(MD.tree_contributions(m, d, FEATURES))
+
+
 QUERIES = {
+    "tree_contributions": q_tree_contrib,
     "two_stage_cv_oof": q_two_stage,
     "multiclass_rf_oof": q_multiclass_rf,
     "ovr_specialists_oof": q_ovr,
