@@ -365,3 +365,79 @@ def tree_contributions(model: PipelineModel, df: DataFrame, features: list[str])
     schema = f"{KEY} {key_type}, feature string, contribution double, base double, additivity_error double"
     return scored.mapInPandas(attribute, schema).select(KEY, F.lit(1).alias("class"), "feature", "contribution",
                                                          "base", "additivity_error")
+
+
+def categorical_cv(df: DataFrame, features: list[str], categoricals: list[str], k: int = 5,
+                   kind: str = "rf", params=None, max_bins: int = 64) -> DataFrame:
+    """Categorical-aware 3-class CV - NULL -> 'unknown', ``StringIndexer``
+    (unseen -> extra index) and trees with ``maxBins`` covering the categories."""
+    from pyspark.ml.feature import StringIndexer
+    d = prepare(df, features)
+    for c in categoricals:
+        d = d.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown")))
+    d = d.withColumn("y_d", F.col("y").cast("double"))
+    parts = []
+    for f in range(k):
+        tr, va = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+        idx = StringIndexer(inputCols=categoricals, outputCols=[f"{c}_idx" for c in categoricals],
+                            handleInvalid="keep")
+        p = dict(params or {})
+        p.setdefault("maxBins", max_bins)
+        est = learner(kind, "y_d", p)
+        pipe = Pipeline(stages=[idx, VectorAssembler(inputCols=features + [f"{c}_idx" for c in categoricals],
+                                                     outputCol="features", handleInvalid="keep"), est])
+        pr = pipe.fit(tr).transform(va).select(KEY, vector_to_array("probability").alias("_p"))
+        parts.append(pr.select(KEY, *[F.col("_p")[i].alias(f"p{i}") for i in range(3)]))
+    return d.select(KEY, "y", "fold").join(reduce(lambda a, b: a.unionByName(b), parts), KEY)
+
+
+def gbt_early_stopping(train: DataFrame, features: list[str], label: str, valid_fold: int,
+                       params: dict | None = None, tol: float = 0.01) -> PipelineModel:
+    """Binary GBT with early stopping on one fold's rows
+    (``validationIndicatorCol`` + ``validationTol``)."""
+    d = prepare(train, features).withColumn("_is_val", F.col("fold") == valid_fold)
+    p = dict(params or {})
+    est = learner("gbt", label, p)
+    est.setValidationIndicatorCol("_is_val").setValidationTol(tol)
+    return pipeline(features, est).fit(d)
+
+
+def evaluate_predictions(pred: DataFrame, labels: DataFrame, pred_col: str = "predicted_status") -> DataFrame:
+    """I4: predictions joined to labels by user, then the per-class report (V5)."""
+    from ..operators.metrics import class_report
+    names = F.create_map(F.lit("not_churned"), F.lit(0), F.lit("vol_churn"), F.lit(1), F.lit("invol_churn"), F.lit(2))
+    j = pred.select(KEY, F.element_at(names, F.col(pred_col)).alias("pred")).join(labels.select(KEY, "y"), KEY)
+    return class_report(j, "y", "pred")
+
+
+def imbalance_ablation(df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """Macro F1 of the same 3-class learner under each imbalance strategy."""
+    from ..operators.metrics import summary_f1
+    from ..operators.sampling import with_class_weight
+    rows = []
+    for name in ("none", "class_weight"):
+        d = prepare(df, features).withColumn("y_d", F.col("y").cast("double"))
+        if name == "class_weight":
+            d = with_class_weight(d, "y", "_w")
+        parts = []
+        for f in range(k):
+            tr, va = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+            est = learner("rf", "y_d", {"numTrees": 20}, "_w" if name == "class_weight" else None)
+            pr = pipeline(features, est).fit(tr).transform(va)
+            parts.append(pr.select("y", F.col("prediction").cast("int").alias("pred")))
+        m = summary_f1(reduce(lambda a, b: a.unionByName(b), parts), "y", "pred").first()
+        rows.append((name, float(m["macro_f1"]), float(m["weighted_f1"])))
+    return df.sparkSession.createDataFrame(rows, "strategy string, macro_f1 double, weighted_f1 double") \
+        .orderBy(F.col("macro_f1").desc())
+
+
+def feature_subset_ablation(df: DataFrame, subsets: dict[str, list[str]], k: int = 3) -> DataFrame:
+    """Macro F1 of the same learner per named feature subset."""
+    from ..operators.metrics import summary_f1
+    rows = []
+    for name, cols in subsets.items():
+        oof = multiclass_cv(df, cols, "rf", k, {"numTrees": 20})
+        m = summary_f1(oof.withColumn("pred", argmax3(F.col("p0"), F.col("p1"), F.col("p2"))), "y", "pred").first()
+        rows.append((name, len(cols), float(m["macro_f1"])))
+    return df.sparkSession.createDataFrame(rows, "subset string, n_features int, macro_f1 double") \
+        .orderBy(F.col("macro_f1").desc())

@@ -80,7 +80,19 @@ def q_tree_contrib(spark, sf_dir):
     return round_doubles(MD.tree_contributions(m, d, FEATURES))
 
 
+def q_ablation(spark, sf_dir):
+    """M13 + M9/M10 + M14: imbalance strategies, then feature subsets from the
+    correlation and VIF screens."""
+    from ..operators.sampling import correlation_filter, vif_filter
+    d = model_input(spark, sf_dir)
+    imb = MD.imbalance_ablation(d, FEATURES).select(F.concat(F.lit("imbalance:"), "strategy").alias("run"), "macro_f1")
+    subsets = {"all": FEATURES, "corr_095": correlation_filter(d, FEATURES), "vif_10": vif_filter(d, FEATURES)}
+    fs = MD.feature_subset_ablation(d, subsets).select(F.concat(F.lit("subset:"), "subset").alias("run"), "macro_f1")
+    return round_doubles(imb.unionByName(fs))
+
+
 QUERIES = {
+    "ablation_runs": q_ablation,
     "tree_contributions": q_tree_contrib,
     "two_stage_cv_oof": q_two_stage,
     "multiclass_rf_oof": q_multiclass_rf,
