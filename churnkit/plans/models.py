@@ -249,12 +249,16 @@ CATALOGUE = [
     Recipe("K", multiclass="rf"), Recipe("L", multiclass="lr"), Recipe("M", multiclass="mlp"),
     Recipe("N", threshold_rule="joint"), Recipe("P12", multiclass="ovr"),
     Recipe("P04", multiclass="stack", depends_on=["K", "L"]), Recipe("P09", multiclass="seed_avg", depends_on=["K"]),
+    # T7 simplified suite: forest 300 trees / depth 15 / min leaf 25, multinomial LR
+    Recipe("S_rf", multiclass="rf_big"), Recipe("S_lr", multiclass="lr"),
 ]
 
 
 def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
     """Runs one recipe; returns OOF probabilities ``(user_id, y, fold, p0, p1, p2)``."""
     from ..operators.metrics import hierarchical_to_3class
+    if recipe.multiclass == "rf_big":
+        return multiclass_cv(df, features, "rf", k, {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 25})
     if recipe.multiclass in ("rf", "lr"):
         params = {"family": "multinomial"} if recipe.multiclass == "lr" else None
         return multiclass_cv(df, features, recipe.multiclass, k, params, scale=recipe.multiclass == "lr")

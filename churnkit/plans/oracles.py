@@ -513,5 +513,23 @@ def describe_v2_features() -> str:
     return f"WITH v2 AS ({unround(generations_v2())})\n{body}"
 
 
-MORE = {"predict_two_stage": predict_two_stage, "feature_lists": feature_lists,
+def evaluate_predictions() -> str:
+    return view_ctes("users") + f""",
+p AS ({predict_two_stage()}),
+x AS (SELECT CASE u.churn_status WHEN 'not_churned' THEN 0 WHEN 'vol_churn' THEN 1 WHEN 'invol_churn' THEN 2 END AS y,
+        CASE p.predicted_status WHEN 'not_churned' THEN 0 WHEN 'vol_churn' THEN 1 WHEN 'invol_churn' THEN 2 END AS pred
+      FROM p JOIN users u ON u.user_id = p.user_id),
+cm AS (SELECT y, pred, count(*) AS n FROM x GROUP BY 1, 2),
+cls AS (SELECT y AS c FROM cm UNION SELECT pred FROM cm),
+rep AS (SELECT c, CAST(coalesce((SELECT sum(n) FROM cm WHERE y IS NOT DISTINCT FROM c), 0) AS BIGINT) AS sup,
+               CAST(coalesce((SELECT sum(n) FROM cm WHERE pred IS NOT DISTINCT FROM c), 0) AS BIGINT) AS prd,
+               CAST(coalesce((SELECT sum(n) FROM cm WHERE y = c AND pred = c), 0) AS BIGINT) AS tp FROM cls)
+SELECT CAST(c AS INTEGER) AS cls, sup AS support, prd AS predicted, tp,
+  round(CASE WHEN prd > 0 THEN tp / prd ELSE 0 END, 6) AS precision,
+  round(CASE WHEN sup > 0 THEN tp / sup ELSE 0 END, 6) AS recall,
+  round(CASE WHEN sup + prd > 0 THEN 2 * tp / (sup + prd) ELSE 0 END, 6) AS f1
+FROM rep"""
+
+
+MORE = {"predict_two_stage": predict_two_stage, "evaluate_predictions": evaluate_predictions, "feature_lists": feature_lists,
         "describe_v2_features": describe_v2_features}

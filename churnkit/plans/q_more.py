@@ -62,7 +62,18 @@ def q_permutation_importance(spark, sf_dir):
     return round_doubles(permutation_importance(m, d, FEATURES[:4], repeats=2))
 
 
+def q_evaluate_predictions(spark, sf_dir):
+    """I4: the two-stage predictions joined to the labels by user, per-class report."""
+    from ..plans.models import evaluate_predictions
+    pred = q_predict_two_stage(spark, sf_dir)
+    u = load_logical(spark, sf_dir)["users"]
+    y = F.element_at(F.create_map(F.lit("not_churned"), F.lit(0), F.lit("vol_churn"), F.lit(1),
+                                  F.lit("invol_churn"), F.lit(2)), F.col("churn_status")).cast("int")
+    return round_doubles(evaluate_predictions(pred, u.select("user_id", y.alias("y"))))
+
+
 QUERIES = {
+    "evaluate_predictions": q_evaluate_predictions,
     "predict_two_stage": q_predict_two_stage,
     "feature_lists": q_feature_lists,
     "describe_v2_features": q_describe_v2,

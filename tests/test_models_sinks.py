@@ -74,3 +74,20 @@ def test_csv_loader_repairs_years(spark):
     r = {x["user_id"]: x for x in df.collect()}
     assert r["u1"]["purchase_time"].year == 2023 and r["u2"]["purchase_time"] is None
     assert TB.load_table(spark, d, "train_users", "quizzes", optional=True) is None
+
+
+def test_recipe_catalogue_runs(data):
+    byname = {r.name: r for r in MD.CATALOGUE}
+    for name in ("A", "K"):
+        oof = MD.run_recipe(byname[name], data, ["a", "b", "c"], k=3)
+        assert oof.count() == 90 and set(oof.columns) >= {"user_id", "p0", "p1", "p2"}
+
+
+def test_any_year_rewrite_and_user_universe(spark):
+    from churnkit.functions.clean import any_year_to_2023
+    df = spark.createDataFrame([("1999-05-01",), ("1067-01-02",)], "s string")
+    assert [r[0] for r in df.select(any_year_to_2023("s")).collect()] == ["2023-05-01", "2023-01-02"]
+    a = spark.createDataFrame([("u2",), ("u1",)], "user_id string")
+    b = spark.createDataFrame([("u3",), (None,)], "user_id string")
+    uni = TB.user_universe({"users": None, "properties": a, "purchases": b})
+    assert sorted(r[0] for r in uni.collect()) == ["u1", "u2", "u3"]
