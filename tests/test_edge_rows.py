@@ -173,3 +173,13 @@ def test_snap_large_anchor_path(spark, monkeypatch):
     anchors = spark.createDataFrame([(9.0,), (10.0,)], "anchor double")
     out = {r["id"]: r["snap_val"] for r in A.snap(v, "a", anchors, "id", chunk_rows=2).collect()}
     assert out == {"0": 9.0, "1": 9.0, "2": 9.0, "3": 9.0, "4": 10.0, "5": 10.0}
+
+
+def test_fe_null_times_keep_null_frequency(spark):
+    from churnkit.operators.fe_builder import fe_purchases
+    pu = spark.createDataFrame([("u", "t1", None, "Upsell", 5.0), ("v", "t2", T(2024, 1, 2), "Upsell", 5.0)],
+                               "user_id string, transaction_id string, purchase_time timestamp, purchase_type string, purchase_amount_dollars double")
+    ref = spark.range(1).select(F.lit(1706659200000000).alias("_ref_us"))
+    out = fe_purchases(pu, ref, ["Upsell"])
+    assert one(out, "u", "purchase_frequency") is None
+    assert one(out, "v", "purchase_frequency") == 1.0
