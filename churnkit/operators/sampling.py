@@ -8,25 +8,20 @@ from the chunked :func:`ordered.ordered` (hash-range chunks), never from a
 The same hash is available in SQL, so splits are reproducible outside
 Spark.
 
-k-NN resampling (SMOTE, ADASYN, SMOTE+ENN) is exact: the minority matrix is
-broadcast only after its size is checked against a budget, and distances
-are computed with NumPy per Arrow batch in ``mapInPandas``; above the
-budget the operators refuse instead of silently approximating.
+k-NN resampling (SMOTE, ADASYN, SMOTE+ENN) uses the exact distributed
+neighbour search of :mod:`operators.knn` (projection-ordered chunks, bounded
+groups, no driver collect, no all-pairs join).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ordered import ordered
 
 SEED = 42
-#: largest minority matrix (rows x features) that k-NN resampling broadcasts
-KNN_BROADCAST_BUDGET = 20_000_000
 
 
 def hash_rank_key(key: str, seed: int = SEED) -> F.Column:
@@ -159,112 +154,80 @@ def vif_filter(df: DataFrame, cols: list[str], threshold: float = 10.0) -> list[
 
 
 # ------------------------------------------------------------------- k-NN resampling
-def _check_budget(n: int, d: int) -> None:
-    if n * d > KNN_BROADCAST_BUDGET:
-        raise ValueError(f"minority matrix {n} x {d} exceeds the exact k-NN broadcast budget "
-                         f"({KNN_BROADCAST_BUDGET}); raise KNN_BROADCAST_BUDGET or resample per stratum")
+def _counts(df: DataFrame, label: str) -> dict:
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one row per class
 
 
 def smote(df: DataFrame, label: str, features: list[str], key: str, k: int = 5, seed: int = SEED,
-          minority=None, n_new: int | None = None) -> DataFrame:
+          minority=None, n_new: int | None = None, chunk_rows: int | None = None) -> DataFrame:
     """M5: SMOTE - synthetic minority rows ``x + u * (nn - x)`` with ``nn`` one of the
-    k nearest minority neighbours (exact Euclidean k-NN).  Features must be
+    k nearest minority neighbours (exact, :func:`knn.knn_exact`).  Features must be
     non-NULL (impute first).  Returns the input plus synthetic rows
-    (``synthetic = 1``); the synthetic count balances the two classes by default."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # class count table (<= few rows)
+    (``synthetic = 1``); by default the synthetic count balances the two classes.
+
+    Synthetic row j starts from the minority row at hash rank ``j mod n_min`` and
+    takes neighbour number ``hash(seed, j) mod k`` with gap ``u`` from another
+    hash: deterministic, and built with joins only (no driver collect)."""
+    from .knn import CHUNK, knn_exact
+    counts = _counts(df, label)
     if minority is None:
         minority = min(counts, key=lambda c: (counts[c], c))
-    majority_n = max(counts.values())
-    n_new = majority_n - counts[minority] if n_new is None else n_new
-    mino = df.where(F.col(label) == minority).select(key, *features)
     n_min = counts[minority]
-    _check_budget(n_min, len(features))
+    n_new = max(counts.values()) - n_min if n_new is None else n_new
+    orig = df.select(F.col(key).cast("string").alias(key), *[F.col(f).cast("double") for f in features],
+                     label).withColumn("synthetic", F.lit(0))
     if n_new <= 0 or n_min < 2:
-        return df.withColumn("synthetic", F.lit(0))
-    # the minority matrix is small by the check above: collect it once and broadcast
-    pdf = mino.toPandas().sort_values(key).reset_index(drop=True)
-    mat = pdf[features].to_numpy(dtype=float)
-    bc = df.sparkSession.sparkContext.broadcast((pdf[key].to_numpy(), mat))
+        return orig
     kk = min(k, n_min - 1)
-    # synthetic row j is generated from base sample j % n_min (round robin), deterministic per seed
+    mino = orig.where(F.col(label) == minority).select(key, *features)
+    nn = knn_exact(mino, key, features, kk, chunk_rows or CHUNK)
+    ranked = rank_within_class(mino.withColumn("_one", F.lit(0)), "_one", key, seed).select(key, "_pos")
     spark = df.sparkSession
-    ids = spark.range(n_new).withColumnRenamed("id", "_j")
-
-    def gen(batches):
-        keys, m = bc.value
-        for b in batches:
-            j = b["_j"].to_numpy()
-            base = j % len(m)
-            rng = np.random.default_rng([seed, int(j[0]) if len(j) else 0])
-            x = m[base]
-            d2 = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-            d2[np.arange(len(base)), base] = np.inf
-            nn = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            pick = nn[np.arange(len(base)), rng.integers(0, kk, size=len(base))]
-            u = rng.random((len(base), 1))
-            out = x + u * (m[pick] - x)
-            res = pd.DataFrame(out, columns=features)
-            res.insert(0, key, [f"syn_{int(v)}" for v in j])
-            yield res
-
-    schema = T.StructType([T.StructField(key, T.StringType())] +
-                          [T.StructField(f, T.DoubleType()) for f in features])
-    syn = ids.mapInPandas(gen, schema).withColumn(label, F.lit(minority)).withColumn("synthetic", F.lit(1))
-    orig = df.select(F.col(key).cast("string").alias(key), *[F.col(f).cast("double") for f in features],
-                     label).withColumn("synthetic", F.lit(0))
+    syn = spark.range(n_new).select(
+        F.col("id").alias("_j"),
+        (F.pmod(F.col("id"), F.lit(n_min)) + 1).alias("_pos"),
+        (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(kk)) + 1).cast("int").alias("rank"),
+        (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(2 ** 31)) / float(2 ** 31)).alias("_u"))
+    syn = syn.join(ranked, "_pos").withColumnRenamed(key, "q").join(nn.select("q", "n", "rank"), ["q", "rank"])
+    base = mino.select(F.col(key).alias("q"), *[F.col(f).alias(f"_b_{f}") for f in features])
+    nb = mino.select(F.col(key).alias("n"), *[F.col(f).alias(f"_n_{f}") for f in features])
+    syn = syn.join(base, "q").join(nb, "n")
+    syn = syn.select(F.concat(F.lit("syn_"), F.col("_j").cast("string")).alias(key),
+                     *[(F.col(f"_b_{f}") + F.col("_u") * (F.col(f"_n_{f}") - F.col(f"_b_{f}"))).alias(f)
+                       for f in features],
+                     F.lit(minority).alias(label), F.lit(1).alias("synthetic"))
     return orig.unionByName(syn)
 
 
-def enn_clean(df: DataFrame, label: str, features: list[str], key: str, k: int = 3) -> DataFrame:
+def enn_clean(df: DataFrame, label: str, features: list[str], key: str, k: int = 3,
+              chunk_rows: int | None = None) -> DataFrame:
     """M7 (cleaning half): drop rows whose k nearest neighbours (exact) mostly
-    disagree with their label.  The reference set is broadcast under the budget."""
-    n = df.count()
-    _check_budget(n, len(features))
-    pdf = df.select(key, label, *features).toPandas()
-    mat = pdf[features].to_numpy(dtype=float)
-    lab = pdf[label].to_numpy()
-    bc = df.sparkSession.sparkContext.broadcast((mat, lab))
-    kk = min(k, len(mat) - 1)
-
-    def vote(batches):
-        m, y = bc.value
-        for b in batches:
-            x = b[features].to_numpy(dtype=float)
-            d2 = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-            d2[d2 == 0] = np.inf  # exclude the row itself
-            nn = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            agree = (y[nn] == b[label].to_numpy()[:, None]).sum(axis=1)
-            yield b[agree * 2 > kk] if kk > 0 else b
-
-    return df.select(key, label, *features).mapInPandas(vote, df.select(key, label, *features).schema)
-
-
-def adasyn_counts(df: DataFrame, label: str, features: list[str], key: str, minority, k: int = 5) -> DataFrame:
+    disagree with their label."""
+    from .knn import CHUNK, knn_exact
+    d = df.select(key, label, *features)
+    nn = knn_exact(d, key, features, k, chunk_rows or CHUNK)
+    lab = d.select(F.col(key).alias("n"), F.col(label).alias("_ln"))
+    votes = (nn.join(lab, "n").join(d.select(F.col(key).alias("q"), F.col(label).alias("_lq")), "q")
+             .groupBy("q").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_ln") == F.col("_lq")).alias("_agree")))
+    keep = votes.where(F.col("_agree") * 2 > F.col("_k")).select(F.col("q").alias(key))
+    return d.join(keep, key, "left_semi")
+
+
+def adasyn_counts(df: DataFrame, label: str, features: list[str], key: str, minority, k: int = 5,
+                  chunk_rows: int | None = None) -> DataFrame:
     """M6: per minority row, the share of majority rows among its k nearest
-    neighbours (normalised); multiply by the number of rows to synthesise."""
-    n = df.count()
-    _check_budget(n, len(features))
-    pdf = df.select(key, label, *features).toPandas()
-    mat = pdf[features].to_numpy(dtype=float)
-    lab = pdf[label].to_numpy()
-    bc = df.sparkSession.sparkContext.broadcast((mat, lab))
-    kk = min(k, len(mat) - 1)
-
-    def ratio(batches):
-        m, y = bc.value
-        for b in batches:
-            x = b[features].to_numpy(dtype=float)
-            d2 = ((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-            d2[d2 == 0] = np.inf
-            nn = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            r = (y[nn] != minority).sum(axis=1) / kk
-            yield pd.DataFrame({key: b[key], "majority_ratio": r.astype(float)})
-
-    mino = df.where(F.col(label) == minority).select(key, *features)
-    out = mino.mapInPandas(ratio, f"{key} {dict(df.dtypes)[key]}, majority_ratio double")
-    tot = out.agg(F.sum("majority_ratio").alias("_t"))
-    return out.crossJoin(F.broadcast(tot)).select(key, "majority_ratio",
-                                                 (F.col("majority_ratio") / F.col("_t")).alias("weight"))
+    neighbours (exact), normalised into the weight ADASYN uses to spread the
+    synthetic rows."""
+    from .knn import CHUNK, knn_exact
+    d = df.select(key, label, *features)
+    nn = knn_exact(d, key, features, k, chunk_rows or CHUNK)
+    lab = d.select(F.col(key).alias("n"), F.col(label).alias("_ln"))
+    mino = d.where(F.col(label) == minority).select(F.col(key).alias("q"))
+    r = (nn.join(mino, "q", "left_semi").join(lab, "n").groupBy("q")
+         .agg((F.count_if(F.col("_ln") != F.lit(minority)) / F.count(F.lit(1))).alias("majority_ratio")))
+    tot = r.agg(F.sum("majority_ratio").alias("_t"))
+    return r.crossJoin(F.broadcast(tot)).select(F.col("q").alias(key), "majority_ratio",
+                                               (F.col("majority_ratio") / F.col("_t")).alias("weight"))
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "user_id",

@@ -91,3 +91,26 @@ def test_any_year_rewrite_and_user_universe(spark):
     b = spark.createDataFrame([("u3",), (None,)], "user_id string")
     uni = TB.user_universe({"users": None, "properties": a, "purchases": b})
     assert sorted(r[0] for r in uni.collect()) == ["u1", "u2", "u3"]
+
+
+def test_knn_exact_matches_brute_force(spark):
+    import numpy as np
+    from churnkit.operators.knn import knn_exact
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(120, 3))
+    df = spark.createDataFrame([(f"p{i:03d}", *map(float, X[i])) for i in range(120)], "id string, a double, b double, c double")
+    got = {}
+    for r in knn_exact(df, "id", ["a", "b", "c"], 3, chunk_rows=10).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["n"]))
+    for i in range(120):
+        d = np.sqrt(((X - X[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [n for _, n in sorted(got[f"p{i:03d}"])] == [f"p{j:03d}" for j in np.argsort(d, kind="stable")[:3]]
+
+
+def test_enn_and_adasyn_run(spark):
+    rows = [(str(i), i % 2, float(i), float(i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, y int, f1 double, f2 double")
+    assert 0 < S.enn_clean(df, "y", ["f1", "f2"], "id", k=3).count() <= 40
+    w = S.adasyn_counts(df, "y", ["f1", "f2"], "id", minority=1, k=3)
+    assert abs(w.agg(F.sum("weight")).first()[0] - 1.0) < 1e-9
