@@ -78,8 +78,10 @@ def top_values(df: DataFrame, k: int = 10, max_id_card: int = 50) -> DataFrame:
     card = vc.where(F.col("value").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("_card"))
     vc = vc.join(card, "column", "left").where(
         ~((F.coalesce(F.col("_card"), F.lit(0)) > max_id_card) & F.lower(F.col("column")).contains("id")))
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
-    return vc.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("_card")
+    from .ordered import top_k_per_key
+    # a column may have many distinct values: salted two-round top-k per column
+    top = top_k_per_key(vc.drop("_card"), "column", F.col("count"), F.col("value"), k)
+    return top.withColumn("rank", F.col("rank").cast("long"))
 
 
 def class_share(df: DataFrame, col: str) -> DataFrame:
