@@ -14,7 +14,10 @@ chunk) stitches the chunk boundaries back together:
 
 Chunk ids are a deterministic function of the row's timestamp and the
 key's (count, min, max) - no sampling, no partition ids - so recomputation
-after an executor loss yields the same result.
+after an executor loss yields the same result.  Chunks are equal-width in
+time: they hold about ``CHUNK_ROWS`` rows when a key's events are spread over
+its active period; a burst packed into a small slice of a hot key's period
+makes that chunk larger (it is still separated from the rest of the key).
 
 Per-key attributes are attached to fact rows with :func:`attach`, which
 salts keys with more than ``hot_rows`` rows across several tasks.  The
