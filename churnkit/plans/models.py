@@ -402,7 +402,8 @@ def gbt_early_stopping(train: DataFrame, features: list[str], label: str, valid_
     d = prepare(train, features).withColumn("_is_val", F.col("fold") == valid_fold)
     p = dict(params or {})
     est = learner("gbt", label, p)
-    est.setValidationIndicatorCol("_is_val").setValidationTol(tol)
+    est.setValidationIndicatorCol("_is_val")
+    est.set(est.getParam("validationTol"), float(tol))
     return pipeline(features, est).fit(d)
 
 

@@ -114,3 +114,13 @@ def test_enn_and_adasyn_run(spark):
     assert 0 < S.enn_clean(df, "y", ["f1", "f2"], "id", k=3).count() <= 40
     w = S.adasyn_counts(df, "y", ["f1", "f2"], "id", minority=1, k=3)
     assert abs(w.agg(F.sum("weight")).first()[0] - 1.0) < 1e-9
+
+
+def test_categorical_cv_and_early_stopping(spark, data):
+    d = data.withColumn("cat", F.when(F.col("user_id") % 4 == 0, F.lit(None)).otherwise(
+        F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))))
+    oof = MD.categorical_cv(d, ["a", "b"], ["cat"], k=3, params={"numTrees": 5})
+    assert oof.count() == 90
+    m = MD.gbt_early_stopping(d.withColumn("yb", (F.col("y") > 0).cast("double")), ["a", "b", "c"], "yb",
+                              valid_fold=0, params={"maxIter": 30})
+    assert m.stages[-1].getNumTrees <= 30
