@@ -124,3 +124,31 @@ def test_categorical_cv_and_early_stopping(spark, data):
     m = MD.gbt_early_stopping(d.withColumn("yb", (F.col("y") > 0).cast("double")), ["a", "b", "c"], "yb",
                               valid_fold=0, params={"maxIter": 30})
     assert m.stages[-1].getNumTrees <= 30
+
+
+def test_small_helpers(spark):
+    from churnkit.functions.clean import align_columns, fill_numeric, make_labels, safe_features
+    from churnkit.operators.blend import rank_runs
+    from churnkit.plans.assemble import attach_labels
+    a = spark.createDataFrame([(1, 0.2), (2, 0.6)], "user_id long, oof_s2 double")
+    b = spark.createDataFrame([(1, 0.4), (2, 0.0)], "user_id long, oof_s2 double")
+    v = {r[0]: r[1] for r in MD.soft_vote([a, b], [3.0, 1.0]).collect()}
+    assert v[1] == pytest.approx(0.25) and v[2] == pytest.approx(0.45)
+    runs = [spark.createDataFrame([(1, 0, 0.2, 0.3, 0.5)], "user_id long, y int, p0 double, p1 double, p2 double"),
+            spark.createDataFrame([(1, 0, 0.4, 0.3, 0.3)], "user_id long, y int, p0 double, p1 double, p2 double")]
+    assert MD.seed_average(runs).first()["p0"] == pytest.approx(0.3)
+    m = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 10.0)], "user_id long, x double")
+    imp = {r[0]: r[1] for r in S.median_impute(m, ["x"], key="user_id").collect()}
+    assert imp[2] == 3.0
+    lab = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 2)], "user_id long, y int")
+    assert S.pos_weight(lab.withColumn("y", (F.col("y") > 0).cast("int"))).first()[0] == pytest.approx(1 / 3)
+    ml = {r["user_id"]: (r["y_churn"], r["y_invol"]) for r in make_labels(lab).collect()}
+    assert ml[1] == (0, 0) and ml[2] == (1, 0) and ml[3] == (1, 1)
+    al = align_columns(m, ["x", "missing"])
+    assert al.columns == ["user_id", "x", "missing"] and al.where("missing = 0").count() == 4
+    assert fill_numeric(m).where("x IS NULL").count() == 0
+    assert safe_features(m, ["missing", "x"]) == ["x"]
+    users = spark.createDataFrame([(1, "invol_churn"), (2, "not_churned")], "user_id long, churn_status string")
+    assert {r["user_id"]: r["y"] for r in attach_labels(m, users).collect()}[1] == 2
+    lb = rank_runs(spark.createDataFrame([("a", 0.1), ("b", None), ("c", 0.5)], "run string, f1 double"), "f1")
+    assert [r[0] for r in lb.collect()] == ["c", "a", "b"]
