@@ -72,30 +72,30 @@ class LineRuns:
     def __init__(self, spark: SparkSession, threshold: int, fan: int = 4):
         self.spark, self.threshold, self.fan = spark, threshold, fan
         self.buckets = partitions(spark)
-        self.levels: list[list[DataFrame]] = [[]]
-        self._tables: list[str] = []
+        self.levels: list[list[str]] = [[]]
+        self._names: list[str] = []
+        self._home = checkpoint_dir(spark)
 
-    def _run(self, counts: DataFrame) -> DataFrame:
+    def _run(self, counts: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (counts.write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo")
-         .option("path", f"{checkpoint_dir(self.spark)}/{name}").saveAsTable(name))
-        self._tables.append(name)
-        return self.spark.table(name)
+         .option("path", f"{self._home}/{name}").saveAsTable(name))
+        self._names.append(name)
+        return name
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.repartition(self.buckets, "hi", "lo").groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
+    def _merged(self, runs: list[str]) -> DataFrame:
+        # read by path: a union of bucketed tables claims a partitioning that its columnar form lacks
+        files = self.spark.read.schema(f"{_HASH}, docs long").parquet(*(f"{self._home}/{r}" for r in runs))
+        return files.repartition(self.buckets, "hi", "lo").groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
     def add(self, raw: DataFrame) -> None:
         """Take in a batch of ``(hi, lo, docs)`` rows (hashes may repeat)."""
         fresh = raw.repartition(self.buckets, "hi", "lo").groupBy("hi", "lo").agg(F.sum("docs").alias("docs"))
         for r in self.runs():
-            settled = r.where(F.col("docs") >= self.threshold).select("hi", "lo")
+            settled = self.spark.table(r).where(F.col("docs") >= self.threshold).select("hi", "lo")
             fresh = fresh.join(settled.hint("merge"), ["hi", "lo"], "left_anti")
         self.levels[0].append(self._run(fresh))
         level = 0
@@ -115,7 +115,7 @@ class LineRuns:
 
     def close(self) -> None:
         """Forget the table names; the files stay with the checkpoint folder."""
-        for name in self._tables:
+        for name in self._names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
