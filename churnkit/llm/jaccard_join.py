@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_of, written
+from .common import batches, partitions, text_of, written
 from .components import components
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -70,7 +70,8 @@ def tokens_of(text: str, width: int = 5) -> np.ndarray:
     n = max(1, len(h) - width + 1)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(min(width, len(h))):
-        out = mix(out + _K1) + h[k:k + n]
+        out *= _K2
+        out += h[k:k + n]
     return np.unique(mix(out))
 
 
@@ -85,12 +86,14 @@ def _signed(x: int) -> int:
 
 
 def chosen(tokens: np.ndarray, path: int, branching: float) -> np.ndarray:
-    """Child paths that a set takes below ``path``."""
+    """Child paths that a set takes below ``path``: a token is followed if its multiply-shift hash
+    under the path's own odd factor is small."""
     if not len(tokens):
         return tokens
-    x = mix(tokens ^ mix(np.array([path], dtype=np.int64).view(np.uint64) + _K1))
+    factor = mix(np.array([path], dtype=np.int64).view(np.uint64) + _K1) | _U(1)
+    x = tokens * factor
     p = branching / len(tokens)
-    return x if p >= 1 else x[x < _U(int(p * 2.0 ** 64))]
+    return mix(x if p >= 1 else x[x < _U(int(p * 2.0 ** 64))])
 
 
 def runs_for(recall: float, threshold: float, branching: float) -> int:
@@ -149,78 +152,112 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"])
 
 
-def _owners(members: DataFrame) -> DataFrame:
-    """Of ``path, cid, paths`` (leaf paths) the rows whose bucket block pair owns a pair of theirs."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        path, bi, bj = key
-        pdf = pdf.sort_values(["cid"], ignore_index=True)
-        paths = [p[p < path] for p in pdf["paths"].map(np.asarray)]
-        flat = np.concatenate(paths) if len(paths) else np.empty(0, np.int64)
-        _, col, n = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = n > 1
-        new = np.cumsum(keep) - 1
-        row = np.repeat(np.arange(len(paths)), list(map(len, paths)))
-        m = np.zeros((len(paths), int(keep.sum()) or 1), dtype=np.float32)
-        use = keep[col] if len(col) else np.empty(0, bool)
-        m[row[use], new[col[use]]] = 1
-        free = (m @ m.T) == 0
-        np.fill_diagonal(free, False)
-        b = pdf["b"].to_numpy()
-        if bi != bj:
-            free &= b[:, None] != b[None, :]
-        out = pdf.loc[free.any(axis=1), ["path", "bi", "bj", "b", "cid", "rows", "paths"]].copy()
-        out["paths"] = out["paths"].map(lambda p: np.asarray(p)[np.asarray(p) < path])
-        return out
-
-    return members.groupBy("path", "bi", "bj").applyInPandas(
-        run, "path long, bi int, bj int, b int, cid long, rows long, paths array<long>")
-
-
-def _links(owned: DataFrame, threshold: float) -> DataFrame:
+def _groups(it, keys: int):
+    """Record batches of one key each from batches sorted by their first ``keys`` columns."""
+    held = None
+    for b in it:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, dtype=bool)
+        for k in range(keys):
+            c = b.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(new)]
+        for i, j in zip(at, at[1:]):
+            yield b.slice(i, j - i)
+        held = b.slice(at[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, entry) of all entries of a list column."""
+    ends = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(ends)), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _common(row: np.ndarray, entry: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
+    """n x n counts of common entries, summed over ranges of entries so that no matrix is wide."""
+    _, col, times = np.unique(entry, return_inverse=True, return_counts=True)
+    keep = times > 1
+    use = keep[col]
+    row, col, width = row[use], (np.cumsum(keep) - 1)[col[use]], int(keep.sum())
+    total = np.zeros((n, n), dtype=np.float32)
+    for c in range(0, width, step):
+        own = (col >= c) & (col < c + step)
+        m = np.zeros((n, min(step, width - c)), dtype=np.float32)
+        m[row[own], col[own] - c] = 1
+        total += m @ m.T
+    return total
+
+
+def _apart(pairs: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+    """Leave out the diagonal and, in a task of two blocks, the pairs within a block."""
+    np.fill_diagonal(pairs, False)
+    if b.column(1)[0].as_py() != b.column(2)[0].as_py():
+        block = b.column(3).to_numpy()
+        pairs &= block[:, None] != block[None, :]
+    return pairs
+
+
+_MEMBER = "path long, bi int, bj int, b int, cid long, rows long, paths array<long>"
+
+
+def _dealt(df: DataFrame, n: int) -> DataFrame:
+    """Rows of a block pair together in one task, sorted, many of them to a task."""
+    return df.repartition(n, "path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "cid")
+
+
+def _owners(members: DataFrame, n: int) -> DataFrame:
+    """Of all members of block pairs those with a pair that no smaller common path owns."""
+    def run(it):
+        for b in _groups(it, 3):
+            path = b.column(0)[0].as_py()
+            row, entry = _lists(b.column(6))
+            less = entry < path
+            row, entry = row[less], entry[less]
+            own = np.flatnonzero(_apart(_common(row, entry, b.num_rows) == 0, b).any(axis=1))
+            if len(own):
+                keep = np.bincount(row, minlength=b.num_rows)
+                ends = np.cumsum([0, *keep])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(entry))
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(6)), lists.take(at)], names=b.schema.names)
+
+    return _dealt(members.select("path", "bi", "bj", "b", "cid", "rows", "paths"), n).mapInArrow(run, _MEMBER)
+
+
+def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
     """``cid, links, root``: per block pair each class's links (rows of linked classes) and its forest root."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, bi, bj = key
-        pdf = pdf.sort_values("cid", ignore_index=True)
-        size = pdf["tokens"].map(len).to_numpy()
-
-        def matrix(lists):
-            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            _, col, n = np.unique(flat, return_inverse=True, return_counts=True)
-            keep = n > 1
-            use = keep[col] if len(col) else np.empty(0, bool)
-            return row[use], (np.cumsum(keep) - 1)[col[use]], int(keep.sum())
-
-        def products(lists, step=4096):
-            """Counts of common entries, summed over column ranges so that no matrix is wide."""
-            row, col, width = matrix(lists)
-            total = np.zeros((len(lists), len(lists)), dtype=np.float32)
-            for c in range(0, width, step):
-                use = (col >= c) & (col < c + step)
-                m = np.zeros((len(lists), min(step, width - c)), dtype=np.float32)
-                m[row[use], col[use] - c] = 1
-                total += m @ m.T
-            return total
-
-        both = products(pdf["tokens"])
-        link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
-        link &= products(pdf["paths"]) == 0
-        np.fill_diagonal(link, False)
-        if bi != bj:
-            b = pdf["b"].to_numpy()
-            link &= b[:, None] != b[None, :]
-        root = np.arange(len(pdf))
-        while True:
-            new = np.where(link, root[None, :], len(pdf)).min(axis=1).clip(max=root) if len(pdf) else root
-            new = np.minimum(new, root[new])
-            if (new == root).all():
-                break
-            root = new
-        cid = pdf["cid"].to_numpy()
-        out = pd.DataFrame({"cid": cid, "links": (link @ pdf["rows"].to_numpy(dtype=np.float64)).astype("int64"), "root": cid[root]})
-        return out[link.any(axis=1)]
-
-    return owned.groupBy("path", "bi", "bj").applyInPandas(run, "cid long, links long, root long")
+    def run(it):
+        for b in _groups(it, 3):
+            m = b.num_rows
+            row, entry = _lists(b.column(7))
+            size = np.bincount(row, minlength=m)
+            both = _common(row, entry, m)
+            link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+            if link.sum() > m:  # beyond each set with itself
+                link &= _common(*_lists(b.column(6)), m) == 0
+            link = _apart(link, b)
+            any_ = link.any(axis=1)
+            if not any_.any():
+                continue
+            root = np.arange(m)
+            while True:  # smallest label of the neighbours, then of the label's label
+                new = np.minimum(np.where(link, root[None, :], m).min(axis=1), root)
+                new = np.minimum(new, root[new])
+                if (new == root).all():
+                    break
+                root = new
+            cid = b.column(4).to_numpy()
+            rows = (link @ b.column(5).to_numpy().astype(np.float64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[any_]), pa.array(rows[any_]), pa.array(cid[root][any_])],
+                                             names=["cid", "links", "root"])
+
+    return (_dealt(owned.select("path", "bi", "bj", "b", "cid", "rows", "paths", "tokens"), n)
+            .mapInArrow(run, "cid long, links long, root long"))
 
 
 def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, branching: float = 4.0, leaf: int = 64,
@@ -274,15 +311,19 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
     met = leaves[0].select("path", "cid", "size")
     for x in leaves[1:]:
         met = met.unionByName(x.select("path", "cid", "size"))
-    met = written(met, "join-leaves")
-    # each class's leaf paths (about branching * runs of them, more in dense buckets)
+    # small buckets with the same members are one bucket
+    small = (met.where(F.col("size") <= leaf).groupBy("path").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
+             .select("cids").distinct().select(F.xxhash64("cids").alias("path"), F.size("cids").cast("long").alias("size"), F.explode("cids").alias("cid")))
+    met = written(small.select("path", "cid", "size").unionByName(met.where(F.col("size") > leaf)), "join-leaves")
+    # each class's leaf paths (at most about branching * runs of them, more below wide buckets)
     own = met.groupBy("cid").agg(F.collect_set("path").alias("paths")).join(classes.select("cid", "rows"), "cid")
     n_blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     member = (met.withColumn("nb", n_blocks).withColumn("b", F.pmod(F.xxhash64("cid", "path"), F.col("nb")).cast("int"))
               .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
               .select("path", "cid", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj")))
-    owned = written(_owners(member.join(own, "cid")), "join-owned")
-    found = written(_links(owned.join(sets, "cid"), threshold), "join-links")
+    n = 4 * partitions(docs.sparkSession)
+    owned = written(_owners(member.join(own, "cid"), n), "join-owned")
+    found = written(_links(owned.join(sets, "cid"), threshold, n), "join-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     out = (classes.select(*key, "cid", "doc_id", "rows", "n").join(links, "cid", "left")
