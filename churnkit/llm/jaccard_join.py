@@ -238,9 +238,9 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
             size = np.bincount(row, minlength=m)
             both = _common(row, entry, m)
             link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
-            if link.sum() > m:  # beyond each set with itself
-                link &= _common(*_lists(b.column(6)), m) == 0
             link = _apart(link, b)
+            if link.any():
+                link &= _common(*_lists(b.column(6)), m) == 0
             any_ = link.any(axis=1)
             if not any_.any():
                 continue
