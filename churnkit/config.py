@@ -20,6 +20,9 @@ PLAN_INFO = {
     "Free": (0, 9000, 0.0),
 }
 
+# --- fixed values: plan tiers of the FE feature table
+FE_PLAN_TIER = {"Higgsfield Creator": 0, "Higgsfield Basic": 1, "Higgsfield Pro": 2, "Higgsfield Ultimate": 3}
+
 # --- fixed values: top-N category lists ------------------------------------
 TOP_COUNTRIES = ["US", "IN", "DE", "JP", "GB", "FR", "KR", "BR", "TR", "IT",
                  "CA", "AU", "UA", "ES", "VN"]

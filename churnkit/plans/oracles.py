@@ -16,7 +16,8 @@ def generations_v1() -> str:
     us_week = f"CASE WHEN us IS NULL OR start_us IS NULL THEN NULL ELSE greatest(0, {fdiv(fdays('us', 'start_us'), 7)}) END"
     sql = f"""
 , g AS (
-  SELECT g.user_id, g.generation_id, g.created_at, g.status, g.generation_type, g.resolution,
+  SELECT g.user_id, g.generation_id, g.created_at, g.status, g.generation_type, g.resolution, g.aspect_ration,
+         (epoch_us(g.completed_at) - epoch_us(g.created_at)) / 1e6 AS proc,
          CAST(g.credit_cost AS DOUBLE) AS credit_cost, CAST(g.duration AS DOUBLE) AS duration,
          epoch_us(g.created_at) AS us, epoch_us(p.subscription_start_date) AS start_us,
          coalesce(g.status = 'completed', false) AS completed,
@@ -43,6 +44,7 @@ ft AS (
         FROM g WHERE generation_type IS NOT NULL) GROUP BY user_id),
 {mode_cte('mt', 'g', 'user_id', 'generation_type', alias='dominant_generation_type')},
 {mode_cte('mh', 'g', 'user_id', 'hour(created_at)', alias='mode_hour')},
+{mode_cte('mar', 'g', 'user_id', 'aspect_ration', alias='dominant_aspect_ratio')},
 daily AS (
   SELECT user_id, count(*) AS n_active_days, stddev_samp(c) / nullif(avg(c), 0) AS generation_frequency_cv
   FROM (SELECT user_id, CAST(created_at AS DATE) AS d, count(*) AS c FROM g WHERE created_at IS NOT NULL GROUP BY 1, 2)
@@ -74,6 +76,9 @@ agg AS (
     avg(CASE WHEN is_video THEN duration END) AS avg_video_duration,
     CAST(median(duration) FILTER (WHERE is_video AND duration IS NOT NULL) AS DOUBLE) AS median_video_duration,
     count(resolution) AS n_res, {cnt("resolution IN ('4k','2k')")} AS n_hires,
+    avg(CASE WHEN completed THEN proc END) AS avg_processing_time_sec,
+    CAST(median(proc) FILTER (WHERE completed AND proc IS NOT NULL) AS DOUBLE) AS median_processing_time_sec,
+    {cnt('completed AND proc > 300')} AS n_long,
     min(us) AS first_us, max(us) AS last_us, any_value(start_us) AS start_us,
     {cnt(f'us <= start_us + 7 * {D}')} AS n_first7,
     {cnt(f'us >= {OBS} - 7 * {D}')} AS n_last7,
@@ -110,10 +115,10 @@ SELECT p.user_id,
   round(a.avg_video_duration, 6) AS avg_video_duration,
   round(a.median_video_duration, 6) AS median_video_duration,
   round(CASE WHEN a.n_res > 0 THEN a.n_hires / a.n_res END, 6) AS pct_high_resolution,
-  CAST(NULL AS VARCHAR) AS dominant_aspect_ratio,
-  CAST(NULL AS DOUBLE) AS avg_processing_time_sec,
-  CAST(NULL AS DOUBLE) AS median_processing_time_sec,
-  CASE WHEN a.n_status > 0 THEN CAST(0 AS DOUBLE) END AS pct_long_wait_gens,
+  mar.dominant_aspect_ratio,
+  round(a.avg_processing_time_sec, 6) AS avg_processing_time_sec,
+  round(a.median_processing_time_sec, 6) AS median_processing_time_sec,
+  round(CASE WHEN a.n_status > 0 THEN {sdiv('a.n_long', 'a.nc')} END, 6) AS pct_long_wait_gens,
   {fdays(OBS, 'a.last_us')} AS days_since_last_generation,
   {clip_lo(fdays('a.first_us', 'a.start_us'), 0)} AS days_to_first_generation,
   {clip_lo(fdays('a.last_us', 'a.first_us'), 0)} AS generation_span_days,
@@ -138,6 +143,7 @@ LEFT JOIN agg a ON a.user_id = p.user_id
 LEFT JOIN last10 l ON l.user_id = p.user_id
 LEFT JOIN gapagg ga ON ga.user_id = p.user_id
 LEFT JOIN ft ON ft.user_id = p.user_id
+LEFT JOIN mar ON mar.user_id = p.user_id
 LEFT JOIN mt ON mt.user_id = p.user_id
 LEFT JOIN mh ON mh.user_id = p.user_id
 LEFT JOIN daily dl ON dl.user_id = p.user_id
@@ -222,6 +228,8 @@ first AS (SELECT user_id, CAST(failed AS BIGINT) AS f FROM (
             SELECT user_id, failed, row_number() OVER (PARTITION BY user_id ORDER BY (us IS NULL), us, transaction_id) AS rn FROM t) WHERE rn = 1),
 {mode_cte('mcode', 't', 'user_id', 'failure_code', 'failed')},
 {mode_cte('mbill', 't', 'user_id', 'billing_address_country')},
+{mode_cte('mfund', 't', 'user_id', 'card_funding')},
+{mode_cte('mbrand', 't', 'user_id', 'card_brand')},
 agg AS (
   SELECT user_id, count(*) AS n, count_if(succ) AS ns, count_if(failed) AS nf,
     count(DISTINCT amt) FILTER (WHERE failed) AS namts,
@@ -230,6 +238,10 @@ agg AS (
     {cnt("failure_code = 'expired_card'")} AS exp, {cnt("failure_code = 'authentication_required'")} AS auth,
     {cnt("failure_code = 'processing_error'")} AS proc,
     {b2l('bool_or(CAST(is_prepaid AS DOUBLE) <> 0)')} AS uses_prepaid_card,
+    {b2l('bool_or(CAST(is_virtual AS DOUBLE) <> 0)')} AS uses_virtual_card,
+    {b2l('bool_or(CAST(is_business AS DOUBLE) <> 0)')} AS uses_business_card,
+    {b2l("bool_or(digital_wallet <> 'none' AND digital_wallet IS NOT NULL)")} AS uses_digital_wallet,
+    {cnt('is_3d_secure = true AND is_3d_secure_authenticated = false')} AS n3ds,
     {cnt('CAST(is_prepaid AS DOUBLE) = 1')} AS npre,
     {cnt("cvc_check = 'fail'")} AS ncf, {cnt("cvc_check = 'unavailable'")} AS n_cvc_unavailable,
     sum(amt) FILTER (WHERE succ) AS ssum, avg(amt) AS aamt, {cnt('succ AND amt > 100')} AS nhv,
@@ -248,12 +260,11 @@ SELECT a.user_id,
   nullif(auth, 0) AS n_auth_required_failures, nullif(proc, 0) AS n_processing_errors,
   mcode.mode_value AS dominant_failure_code,
   nullif(r.r, 0) AS payment_retry_count,
-  uses_prepaid_card, CAST(0 AS BIGINT) AS uses_virtual_card, CAST(0 AS BIGINT) AS uses_business_card,
-  CAST(0 AS BIGINT) AS uses_digital_wallet,
-  CAST(NULL AS VARCHAR) AS card_funding_type, CAST(NULL AS VARCHAR) AS dominant_card_brand,
+  uses_prepaid_card, uses_virtual_card, uses_business_card, uses_digital_wallet,
+  mfund.mode_value AS card_funding_type, mbrand.mode_value AS dominant_card_brand,
   mbill.mode_value AS dominant_billing_country,
   round({sdiv('npre', 'a.n')}, 6) AS pct_prepaid_transactions,
-  CAST(NULL AS BIGINT) AS n_3d_secure_friction,
+  nullif(n3ds, 0) AS n_3d_secure_friction,
   CAST(CASE WHEN ncf > 0 THEN 1 END AS BIGINT) AS has_any_cvc_failure,
   round({sdiv('ncf', 'a.n')}, 6) AS cvc_fail_rate,
   n_cvc_unavailable,
@@ -267,7 +278,9 @@ LEFT JOIN nomatch nm ON nm.user_id = a.user_id
 LEFT JOIN retry r ON r.user_id = a.user_id
 LEFT JOIN first fi ON fi.user_id = a.user_id
 LEFT JOIN mcode ON mcode.user_id = a.user_id
-LEFT JOIN mbill ON mbill.user_id = a.user_id"""
+LEFT JOIN mbill ON mbill.user_id = a.user_id
+LEFT JOIN mfund ON mfund.user_id = a.user_id
+LEFT JOIN mbrand ON mbrand.user_id = a.user_id"""
 
 
 def quiz_v1() -> str:
@@ -279,9 +292,7 @@ def quiz_v1() -> str:
     commercial = ", ".join(lit(x) for x in cfg.COMMERCIAL_USAGE_PLANS)
     depth = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in cfg.QUIZ_FIELDS)
     return view_ctes("users", "quizzes") + f"""
-, q AS (SELECT user_id, source, CAST(NULL AS VARCHAR) AS flow_type, team_size, experience,
-               CAST(NULL AS VARCHAR) AS usage_plan, frustration, first_feature, CAST(NULL AS VARCHAR) AS role
-        FROM quizzes)
+, q AS (SELECT * FROM quizzes)
 SELECT user_id,
   {depth} AS quiz_completion_depth,
   CAST({case_map('lower(trim(source))', cfg.SOURCE_INTENT, '1')} AS BIGINT) AS acquisition_channel_intent,
