@@ -3,8 +3,7 @@
 Subpackages: ``sources`` (tables, fixtures adapter, sinks), ``functions``
 (scalar rules and cleaners), ``operators`` (per-user roll-ups, metrics,
 sampling, explanations), ``plans`` (feature-matrix assembly, model recipes,
-registered queries and their SQL oracles), ``streaming`` (incremental
-roll-up of arriving events).
+registered queries and their SQL oracles).
 """
 
 __version__ = "0.1.0"

@@ -30,7 +30,7 @@ def parse_time(c) -> Column:
     """C1 + C4 (+C3): repair the year, parse as UTC timestamp, bad -> NULL.
 
     Accepts ``yyyy-MM-dd HH:mm:ss[.ffffff][+00:00]`` and ISO ``T`` forms."""
-    s = F.regexp_replace(fix_year_1067(c), "T", " ")
+    s = F.regexp_replace(fix_year_1067(c), r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     ts = F.coalesce(
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSXXX")),
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ssXXX")),

@@ -12,6 +12,7 @@ a checkpointed two-column table.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,8 @@ def blend(models: list[list[str]], weights: list[float]) -> list[Column]:
 
 
 def weight_candidates(n: int, step: float = 0.05) -> list[list[float]]:
-    """The convex weight grid of the original search (2 or 3 models)."""
+    """The convex weight grid of the original search: all weights are multiples of
+    ``step``, at least ``step`` and sum to one, for any number of models."""
     if n == 2:
         return [[float(r), float(1.0 - r)] for r in np.arange(step, 1.0, step)]
     if n == 3:
@@ -40,7 +42,9 @@ def weight_candidates(n: int, step: float = 0.05) -> list[list[float]]:
                 if w3 >= step - 1e-9:
                     out.append([round(float(w1), 10), round(float(w2), 10), float(w3)])
         return out
-    return [[1.0 / n] * n]
+    parts = round(1 / step)
+    cuts = combinations(range(1, parts), n - 1)
+    return [[round((b - a) * step, 10) for a, b in zip((0, *c), (*c, parts))] for c in cuts]
 
 
 def weight_grid_search(df: DataFrame, y: str, models: list[list[str]], step: float = 0.05) -> DataFrame:

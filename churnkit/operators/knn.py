@@ -55,15 +55,26 @@ def knn_exact(points: DataFrame, key: str, features: list[str], k: int,
             return pd.DataFrame({"q": [], "n": [], "dist": []})
         xq = q[features].to_numpy(dtype=float)
         xr = r[features].to_numpy(dtype=float)
-        d = np.sqrt(((xq[:, None, :] - xr[None, :, :]) ** 2).sum(axis=2))
+        # squared distances by a matrix product (no n x n x d array) only choose more candidates than
+        # needed; distances are then taken from the differences, so rounding cannot change a result
+        mean = xr.mean(axis=0)
+        a, c = xq - mean, xr - mean
+        near = (a * a).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (a @ c.T)
         qk, rk = q[key].to_numpy(), r[key].to_numpy()
-        d[qk[:, None] == rk[None, :]] = np.inf          # a point is not its own neighbour
-        kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
-        rows = np.repeat(np.arange(len(q)), idx.shape[1])
-        cols = idx.reshape(-1)
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
+        near[qk[:, None] == rk[None, :]] = np.inf       # a point is not its own neighbour
+        kk = min(k, near.shape[1])
+        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1] if kk else near.max(axis=1)
+        slack = 1e-9 * ((a * a).sum(axis=1) + (c * c).sum(axis=1).max()) + 1e-12
+        rows, cols = np.nonzero(np.isfinite(near) & (near <= (kth + slack)[:, None]))
+        dist = np.empty(len(rows))
+        for i in range(0, len(rows), 65536):
+            s = slice(i, i + 65536)
+            dist[s] = np.sqrt(((xq[rows[s]] - xr[cols[s]]) ** 2).sum(axis=1))
+        # k best per query, ties by key
+        order = np.lexsort((rk[cols], dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
+        first = np.searchsorted(rows, rows, side="left")
+        keep = np.arange(len(rows)) - first < kk
         return pd.DataFrame({"q": qk[rows][keep], "n": rk[cols][keep], "dist": dist[keep]})
 
     schema = _topk_schema(key_type)

@@ -70,18 +70,22 @@ def describe_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFr
 
 
 def top_values(df: DataFrame, k: int = 10, max_id_card: int = 50) -> DataFrame:
-    """Top-k values per column including NULL (ties: smallest value first),
-    skipping id-like columns with more than ``max_id_card`` distinct values."""
+    """Top-k values per column including NULL (ties: smallest value first).
+
+    Id-like columns with more than ``max_id_card`` distinct values are skipped, as in
+    the original; each leaves one row ``(column, 'skipped', distinct values, NULL)``."""
     cols = df.columns
     long = _long(df, cols, "string")
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     card = vc.where(F.col("value").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("_card"))
-    vc = vc.join(card, "column", "left").where(
-        ~((F.coalesce(F.col("_card"), F.lit(0)) > max_id_card) & F.lower(F.col("column")).contains("id")))
+    id_like = (F.coalesce(F.col("_card"), F.lit(0)) > max_id_card) & F.lower(F.col("column")).contains("id")
+    skipped = card.where(id_like).select("column", F.lit("skipped").alias("value"), F.col("_card").alias("count"),
+                                         F.lit(None).cast("long").alias("rank"))
+    vc = vc.join(card, "column", "left").where(~id_like)
     from .ordered import top_k_per_key
     # a column may have many distinct values: salted two-round top-k per column
     top = top_k_per_key(vc.drop("_card"), "column", F.col("count"), F.col("value"), k)
-    return top.withColumn("rank", F.col("rank").cast("long"))
+    return top.withColumn("rank", F.col("rank").cast("long")).unionByName(skipped)
 
 
 def class_share(df: DataFrame, col: str) -> DataFrame:

@@ -234,8 +234,12 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str =
                            repeats: int = 5, seed: int = SEED, label: str = "y") -> DataFrame:
     """For each column and repeat, permute the column across rows (values
     re-assigned by a seeded hash rank, via the chunked ranking - no global
-    window), rescore, and report the macro-F1 drop from the unpermuted score."""
+    window), rescore, and report the macro-F1 drop from the unpermuted score.
+
+    A repeat ranks the rows once, pairs each row with its partner's values and stores
+    that; every column of the repeat is then scored from the stored pairs."""
     from ..plans.models import prepare
+    from ..session import cut_lineage
     from .metrics import summary_f1
     feats = [c for c in model.stages[0].getInputCols()]
     d = prepare(df, feats).withColumn("y_d", F.col(label).cast("double"))
@@ -245,16 +249,16 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str =
         return summary_f1(p, label, "pred").select("macro_f1")
 
     base = macro(d).withColumnRenamed("macro_f1", "_base")
+    one = d.withColumn("_one", F.lit(0))
     outs = []
-    for c in columns:
-        for r in range(repeats):
-            s = seed + 1000 * r
-            a = rank_within_class(d.withColumn("_one", F.lit(0)), "_one", key, s).select(key, "_pos")
-            b = rank_within_class(d.withColumn("_one", F.lit(0)), "_one", key, s + 1).select(
-                F.col(key).alias("_src"), F.col("_pos"))
-            perm = a.join(b, "_pos").join(d.select(F.col(key).alias("_src"), F.col(c).alias("_pv")), "_src")
-            dd = d.join(perm.select(key, "_pv"), key).drop(c).withColumnRenamed("_pv", c)
-            outs.append(macro(dd).select(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), "macro_f1"))
+    for r in range(repeats):
+        s = seed + 1000 * r
+        a = rank_within_class(one, "_one", key, s).select(key, "_pos")
+        b = rank_within_class(one, "_one", key, s + 1).select("_pos", *[F.col(c).alias(f"_pv_{c}") for c in columns])
+        pairs = cut_lineage(d.join(a, key).join(b, "_pos").drop("_pos"))
+        for c in columns:
+            outs.append(macro(pairs.withColumn(c, F.col(f"_pv_{c}"))).select(
+                F.lit(c).alias("feature"), F.lit(r).alias("repeat"), "macro_f1"))
     from functools import reduce
     allp = reduce(lambda x, y: x.unionByName(y), outs)
     return (allp.crossJoin(base).groupBy("feature").agg(F.avg(F.col("_base") - F.col("macro_f1")).alias("importance"))

@@ -116,13 +116,16 @@ def two_stage_cv(df: DataFrame, features: list[str], s1: str = "gbt", s2: str =
 
 def multiclass_cv(df: DataFrame, features: list[str], kind: str = "rf", k: int = 5, params=None,
                   scale: bool = False, seed: int = 42) -> DataFrame:
-    """3-class OOF probabilities ``p0, p1, p2`` keyed by user."""
+    """3-class OOF probabilities ``p0, p1, p2`` keyed by user.
+
+    Training rows carry balanced class weights, except for the network, whose
+    learner takes none."""
     d = prepare(df, features).withColumn("y_d", F.col("y").cast("double"))
     parts = []
     for f in range(k):
-        tr = d.where(F.col("fold") != f)
+        tr = _add_weights(d.where(F.col("fold") != f), "y_d")
         va = d.where(F.col("fold") == f)
-        est = learner(kind, "y_d", params, None if kind == "mlp" else None, seed)
+        est = learner(kind, "y_d", params, None if kind == "mlp" else "_w", seed)
         m = pipeline(features, est, scale).fit(tr)
         pr = m.transform(va).select(KEY, vector_to_array("probability").alias("_p"))
         parts.append(pr.select(KEY, *[F.col("_p")[i].alias(f"p{i}") for i in range(3)]))
@@ -167,9 +170,9 @@ def stack(level1: list[DataFrame], names: list[str], k: int = 5) -> DataFrame:
 
 
 def seed_average(runs: list[DataFrame]) -> DataFrame:
-    """Mean probability per user over runs."""
+    """Mean probability per user over runs on the same folds."""
     u = reduce(lambda a, b: a.unionByName(b), runs)
-    return u.groupBy(KEY, "y").agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in range(3)])
+    return u.groupBy(KEY, "y", "fold").agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in range(3)])
 
 
 def soft_vote(frames: list[DataFrame], weights: list[float], col: str = "oof_s2") -> DataFrame:
@@ -374,11 +377,14 @@ def tree_contributions(model: PipelineModel, df: DataFrame, features: list[str])
 def categorical_cv(df: DataFrame, features: list[str], categoricals: list[str], k: int = 5,
                    kind: str = "rf", params=None, max_bins: int = 64) -> DataFrame:
     """Categorical-aware 3-class CV - NULL -> 'unknown', ``StringIndexer``
-    (unseen -> extra index) and trees with ``maxBins`` covering the categories."""
+    (unseen -> extra index) and trees whose ``maxBins`` cover the largest domain
+    (at least ``max_bins``)."""
     from pyspark.ml.feature import StringIndexer
     d = prepare(df, features)
     for c in categoricals:
         d = d.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("unknown")))
+    sizes = d.agg(*[F.count_distinct(c).alias(c) for c in categoricals]).first()  # one number per column
+    max_bins = max([max_bins, *(n + 1 for n in sizes)])
     d = d.withColumn("y_d", F.col("y").cast("double"))
     parts = []
     for f in range(k):

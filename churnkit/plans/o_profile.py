@@ -13,42 +13,63 @@ def profile_shape() -> str:
                               for t, n in N_COLS.items())
 
 
+#: columns of the fixture views
+VIEW_COLUMNS = {
+    "users": ["user_id", "churn_status"],
+    "properties": ["user_id", "subscription_start_date", "subscription_plan", "country_code"],
+    "generations": ["user_id", "generation_id", "created_at", "completed_at", "status", "credit_cost", "generation_type", "resolution",
+                    "aspect_ration", "duration"],
+    "purchases": ["user_id", "transaction_id", "purchase_time", "purchase_type", "purchase_amount_dollars"],
+    "transactions": ["user_id", "transaction_id", "transaction_time", "amount_in_usd", "failure_code", "is_prepaid", "is_virtual",
+                     "is_business", "cvc_check", "billing_address_country", "card_country", "card_brand", "card_funding",
+                     "digital_wallet", "card_3d_secure_support", "is_3d_secure", "is_3d_secure_authenticated"],
+    "quizzes": ["user_id", "source", "flow_type", "team_size", "experience", "usage_plan", "frustration", "first_feature", "role"],
+    "scores": ["doc_id", "y", "s1", "s2"],
+    "contributions": ["user_id", "class", "feature", "contribution"],
+}
+
+
 def profile_missing() -> str:
-    cols = ["user_id", "transaction_id", "transaction_time", "amount_in_usd", "failure_code", "is_prepaid",
-            "cvc_check", "billing_address_country", "card_country"]
-    return view_ctes("transactions") + "\n" + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS missing FROM transactions" for c in cols) \
-        .join(["SELECT * FROM (", ") WHERE missing > 0"])
+    return view_ctes(*VIEW_COLUMNS) + "\nSELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count_if({c} IS NULL) AS missing FROM {t}"
+        for t, cols in VIEW_COLUMNS.items() for c in cols) + ") WHERE missing > 0"
 
 
 def profile_describe_numeric() -> str:
+    from .q_profile import NUMBERS
     parts = []
-    for c in ["o_orderkey", "o_custkey", "o_totalprice"]:
-        v = f"CAST({c} AS DOUBLE)"
-        parts.append(f"""SELECT '{c}' AS "column", count({v}) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std,
+    for t, cols in NUMBERS.items():
+        for c in cols:
+            v = f"CAST({c} AS DOUBLE)"
+            parts.append(f"""SELECT '{t}' AS "table", '{c}' AS "column", count({v}) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std,
   round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(quantile_cont({v}, 0.25), 6) AS p25,
-  round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.75), 6) AS p75 FROM orders""")
+  round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.75), 6) AS p75 FROM {t}""")
     return " UNION ALL ".join(parts)
 
 
 def profile_describe_categorical() -> str:
+    from .q_profile import TEXT_COLUMNS
     parts = []
-    for c in ["o_orderstatus", "o_orderpriority"]:
-        parts.append(f"""SELECT '{c}' AS "column", sum(n) AS count, count(*) AS "unique",
-  arg_min(v, (-n, v)) AS top, max(n) AS freq FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)""")
+    for t, cols in TEXT_COLUMNS.items():
+        for c in cols:
+            parts.append(f"""SELECT '{t}' AS "table", '{c}' AS "column", sum(n) AS count, count(*) AS "unique",
+  arg_min(v, (-n, v)) AS top, max(n) AS freq FROM (SELECT {c} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)""")
     return " UNION ALL ".join(parts)
 
 
 def profile_top_values() -> str:
-    cols = ["user_id", "source", "team_size", "experience", "frustration", "first_feature"]
-    lg = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM quizzes" for c in cols)
-    return view_ctes("users", "quizzes") + f""",
+    from .q_profile import TOP_TABLES
+    # timestamps are written as Spark writes them
+    text = lambda c: f"regexp_replace(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', '')" if c.endswith(("_time", "_date")) else f"CAST({c} AS VARCHAR)"
+    lg = " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS col, {text(c)} AS value FROM {t}" for t in TOP_TABLES for c in VIEW_COLUMNS[t])
+    return view_ctes(*TOP_TABLES) + f""",
 lg AS ({lg}),
-vc AS (SELECT col, value, count(*) AS count FROM lg GROUP BY 1, 2),
-card AS (SELECT col, count(*) AS card FROM vc WHERE value IS NOT NULL GROUP BY 1),
-f AS (SELECT vc.* FROM vc LEFT JOIN card USING (col) WHERE NOT (coalesce(card.card, 0) > 50 AND contains(lower(col), 'id')))
-SELECT col AS "column", value, count, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY col ORDER BY count DESC, value ASC NULLS FIRST) AS rank FROM f) WHERE rank <= 10"""
+vc AS (SELECT tab, col, value, count(*) AS count FROM lg GROUP BY 1, 2, 3),
+card AS (SELECT tab, col, count(*) AS card FROM vc WHERE value IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT vc.* FROM vc LEFT JOIN card USING (tab, col) WHERE NOT (coalesce(card.card, 0) > 50 AND contains(lower(col), 'id')))
+SELECT tab AS "table", col AS "column", value, count, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tab, col ORDER BY count DESC, value ASC NULLS FIRST) AS rank FROM f) WHERE rank <= 10
+UNION ALL SELECT tab, col, 'skipped', card, NULL FROM card WHERE card > 50 AND contains(lower(col), 'id')"""
 
 
 def profile_class_share() -> str:

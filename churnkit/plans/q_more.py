@@ -59,7 +59,7 @@ def q_permutation_importance(spark, sf_dir):
     from ..operators.sampling import permutation_importance
     d = model_input(spark, sf_dir)
     m = final_fit(d, FEATURES, "rf", {"numTrees": 20})
-    return round_doubles(permutation_importance(m, d, FEATURES[:4], repeats=2))
+    return round_doubles(permutation_importance(m, d, FEATURES, repeats=5))
 
 
 def q_evaluate_predictions(spark, sf_dir):

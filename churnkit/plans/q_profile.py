@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
 from ..functions.core import round_doubles
 from ..operators import profiling as P
 from ..session import configure
@@ -10,6 +14,24 @@ from ..sources.fixtures import load_logical, read_driver
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+#: all numeric columns per driver table; the first breaks ties of the ranking
+NUMBERS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    "events": ["event_id", "user_id", "value"], "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"],
+}
+#: all text columns per driver table, but for free text
+TEXT_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
+    "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type"], "documents": ["lang", "source"],
+    "pages": ["url"], "conversations": ["role"],
+}
+TOP_TABLES = ["users", "properties", "purchases", "transactions", "quizzes"]
+
 
 def q_shape(spark, sf_dir):
     configure(spark)
@@ -18,23 +40,32 @@ def q_shape(spark, sf_dir):
 
 def q_missing(spark, sf_dir):
     configure(spark)
-    return P.missing_counts(load_logical(spark, sf_dir)["transactions"])
+    parts = [P.missing_counts(df).select(F.lit(t).alias("table"), "column", "missing")
+             for t, df in load_logical(spark, sf_dir).items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def q_describe_numeric(spark, sf_dir):
     configure(spark)
-    o = read_driver(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return round_doubles(P.describe(o, key="o_orderkey"))
+    parts = []
+    for t, cols in NUMBERS.items():
+        df = read_driver(spark, sf_dir, t).select(*cols)
+        parts.append(P.describe(df, key=cols[0]).withColumn("table", F.lit(t)))
+    return round_doubles(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def q_describe_categorical(spark, sf_dir):
     configure(spark)
-    return P.describe_categorical(read_driver(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    parts = [P.describe_categorical(read_driver(spark, sf_dir, t), cols).withColumn("table", F.lit(t))
+             for t, cols in TEXT_COLUMNS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def q_top_values(spark, sf_dir):
     configure(spark)
-    return P.top_values(load_logical(spark, sf_dir)["quizzes"])
+    t = load_logical(spark, sf_dir)
+    parts = [P.top_values(t[n]).withColumn("table", F.lit(n)) for n in TOP_TABLES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def q_class_share(spark, sf_dir):

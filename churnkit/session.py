@@ -11,12 +11,14 @@ The settings are the ones the operators rely on:
   ``try_divide``.
 
 On a cluster the session already exists; :func:`get_session` only fills in
-settings that are unset and never overrides ``spark.checkpoint.dir``.
+settings that still have Spark's own default and never overrides
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,6 +33,11 @@ _DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.files.maxPartitionBytes": "256MB",
 }
+#: Spark's own values of the settings above; anything else was set by someone
+_SPARK_OWN = {
+    "spark.sql.autoBroadcastJoinThreshold": {"10485760b", "10MB", "10485760"},
+    "spark.sql.files.maxPartitionBytes": {"134217728b", "128MB", "134217728"},
+}
 
 
 def get_session(master: str | None = None, app: str = "churnkit",
@@ -65,7 +72,7 @@ def configure(spark: SparkSession) -> SparkSession:
             cur = spark.conf.get(k)
         except Exception:  # pragma: no cover - unset key
             cur = None
-        if cur is None:
+        if cur is None or cur in _SPARK_OWN.get(k, ()):
             spark.conf.set(k, v)
     return spark
 
@@ -73,8 +80,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Only where it is unset and
+    driver and executors share one machine (a ``local`` master, as in tests) a
+    scratch folder is created; on a cluster that folder would not be shared, so
+    an unset directory is an error there.
     """
     cur = spark.sparkContext.getCheckpointDir()
     if cur:
@@ -84,6 +93,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:
         conf = None
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="churnkit-ckpt-")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
