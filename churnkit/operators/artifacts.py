@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordered import attach, ordered
 
 ANCHOR_MIN_FREQ = 40
@@ -103,6 +104,7 @@ def _with_snap_freq(rows: DataFrame, key: str) -> DataFrame:
     per = rows.groupBy("snap_val").agg(F.count(F.lit(1)).alias("_n"))
     tot = per.agg(F.sum("_n").alias("_tot"))
     per = per.crossJoin(F.broadcast(tot)).withColumn("snap_freq", F.col("_n") / F.col("_tot")).drop("_tot")
+    per = stored(per, "snap-values")
     return attach(rows, per, "snap_val", row_id=key).drop("_n")
 
 

@@ -1,17 +1,15 @@
 """Generation-event roll-up (v1, section 2.6): one row per property user.
 
-Plan shape (one scan of the event table per pass, all joins at user level
-except one salted row-level attach):
+Plan shape (one scan of the event table, all joins at user or chunk level):
 
-1. ``key_stats``: per-user row count and first/last time (partial agg).
-2. user table = stats + subscription start + tenure (user-level join).
-3. :func:`ordered.ordered` attaches the user table to every event (hot
-   users salted) and adds the event's position from the end (last-10
-   failure rate) and the previous completed event's time (gap hours), on
-   time chunks - no whole-user window.
-4. one wide ``groupBy(user_id).agg`` with partial aggregation for all
+1. :func:`ordered.ordered` deals the events into chunks of equal depth and
+   adds the event's position from the end (last-10 failure rate), the previous
+   completed event's time (gap hours), the user's row count, first and last time
+   and subscription start - no whole-user window, no row-level join on the user.
+   The annotated rows are stored once for both passes below.
+2. one wide ``groupBy(user_id).agg`` with partial aggregation for all
    counts, rates, recency, windows, modes and the weekly OLS sums.
-5. per-day counts (``groupBy(user, date)``) for active days and the CV,
+3. per-day counts (``groupBy(user, date)``) for active days and the CV,
    and exact medians via ranked chunks (:func:`ordered.group_median`).
 
 Null rules follow the original: a user without events is NULL for most
@@ -22,14 +20,14 @@ user's numeric NULLs into 0 instead.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions.core import (US_PER_DAY, US_PER_HOUR, clip_lower, cnt, floor_div, floor_days,
                               micros, nullif_zero, safe_div)
-from .ordered import group_median, key_stats, ordered
+from ..session import stored
+from .ordered import group_median, ordered
 
 
 def obs_ts(obs_date: str):
@@ -48,8 +46,7 @@ def _proc_seconds() -> F.Column:
 
 
 def build_generation_features(gens: DataFrame, props: DataFrame, obs_date: str, *,
-                              fill_absent: bool = False, chunk_rows: int | None = None,
-                              hot_rows: int | None = None) -> DataFrame:
+                              fill_absent: bool = False, chunk_rows: int | None = None) -> DataFrame:
     obs = obs_ts(obs_date)
     obs_us = micros(obs)
     g = gens.select("user_id", "generation_id", "created_at", "completed_at", "status",
@@ -57,17 +54,15 @@ def build_generation_features(gens: DataFrame, props: DataFrame, obs_date: str,
                     "is_free_model", "is_video", "is_image", "aspect_ration", "duration",
                     "processing_time_sec")
     start = props.select("user_id", F.col("subscription_start_date").alias("_start"))
-    stats = key_stats(g, "user_id", "created_at").join(start, "user_id", "left")
 
     st = F.col("status")
     completed = F.coalesce(st == "completed", F.lit(False))
     rows = ordered(g, "user_id", "created_at", "generation_id",
                    maxes_before={"comp": F.when(completed & F.col("created_at").isNotNull(),
                                                 micros("created_at"))},
-                   chunk_rows=chunk_rows, hot_rows=hot_rows, stats=stats)
-    # the annotated rows feed both the wide aggregate and the median pass:
-    # keep them instead of recomputing the attach join and chunk windows
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                   chunk_rows=chunk_rows, stats=start)
+    # the annotated rows feed both the wide aggregate and the median pass
+    rows = stored(rows, "generation-rows")
 
     us = micros("created_at")
     t0, t1 = F.col("_t0").cast("long"), F.col("_t1").cast("long")
@@ -216,7 +211,7 @@ def build_generation_features(gens: DataFrame, props: DataFrame, obs_date: str,
     med_src = med_src.select("user_id", "generation_id", F.col("_mv.m").alias("metric"),
                              F.col("_mv.v").alias("value"))
     med = group_median(med_src, ["user_id", "metric"], "value", "generation_id",
-                       chunk_rows=chunk_rows, hot_rows=hot_rows)
+                       chunk_rows=chunk_rows)
     med = med.groupBy("user_id").agg(
         F.max(F.when(F.col("metric") == "video", F.col("median"))).alias("median_video_duration"),
         F.max(F.when(F.col("metric") == "proc", F.col("median"))).alias("median_processing_time_sec"),

@@ -3,26 +3,18 @@
 Per-user windows (``lag``, "last 10 rows", running sums for streaks) are the
 one place where a hot user would pin all its rows into a single task: a
 plain ``Window.partitionBy("user_id")`` sorts and buffers the whole group
-in one task.  Here a key's rows are cut into contiguous *time chunks*
-whose count grows with the key's row count, windows run per
-``(key, chunk)``, and a small per-chunk summary table (a few rows per
+in one task.  Here all rows are dealt out by ranges of
+``(key, time NULLS LAST, tie)`` into *chunks* of about equal depth (Spark samples
+the split points), so any distribution of times, equal times and NULL times of
+one key are spread alike.  The chunked rows are stored once; windows run per
+``(key, chunk)``, and a small per-chunk summary table (one row per key and
 chunk) stitches the chunk boundaries back together:
 
 * position from the start / from the end of the key's sequence,
 * previous row's value (``lag``) across chunk boundaries,
-* running sums over all earlier rows.
-
-Chunk ids are a deterministic function of the row's timestamp and the
-key's (count, min, max) - no sampling, no partition ids - so recomputation
-after an executor loss yields the same result.  Chunks are equal-width in
-time: they hold about ``CHUNK_ROWS`` rows when a key's events are spread over
-its active period; a burst packed into a small slice of a hot key's period
-makes that chunk larger (it is still separated from the rest of the key).
-
-Per-key attributes are attached to fact rows with :func:`attach`, which
-salts keys with more than ``hot_rows`` rows across several tasks.  The
-hot-key table it broadcasts is bounded by construction: at most
-``total_rows / hot_rows`` keys can exceed ``hot_rows`` rows.
+* running sums and maxima over all earlier rows,
+* per-key attributes (row count, first and last time, and columns of ``stats``),
+  which reach the rows through the summary, never by a join on the key alone.
 """
 
 from __future__ import annotations
@@ -31,30 +23,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import micros
-
-#: rows per key above which the key is salted across several join tasks
-HOT_ROWS = 2_000_000
-#: target rows per ordered chunk of one key
-CHUNK_ROWS = 1_000_000
+from ..session import stored
 
 
 def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+#: a key with more than this share of all rows is salted; so at most HOT_KEYS keys are
+HOT_KEYS = 1000
+
+
 def attach(facts: DataFrame, per_key: DataFrame, keys, n_col: str = "_n",
            how: str = "left", hot_rows: int | None = None,
            row_id: str | None = None) -> DataFrame:
     """Join one-row-per-key attributes onto fact rows, splitting hot keys.
 
-    ``per_key`` must carry ``n_col`` (rows of that key in ``facts``).  Keys
-    with more than ``hot_rows`` rows get ``ceil(n / hot_rows)`` salt values:
-    their fact rows are spread by a hash of ``row_id`` and their per-key row
-    is replicated once per salt, so no single join task holds a hot key.
+    ``per_key`` must be stored and carry ``n_col`` (rows of that key in ``facts``).  Keys with
+    more than ``hot_rows`` rows (default: one thousandth of all rows, so at most
+    ``HOT_KEYS`` keys are hot and their list is a bounded broadcast) get ``ceil(n / hot_rows)``
+    salt values: their fact rows are spread by a hash of ``row_id`` and their per-key
+    row is replicated once per salt, so no single join task holds a hot key.
     """
     ks = _keys(keys)
-    hot_rows = hot_rows or HOT_ROWS
-    # bounded broadcast: |hot| <= rows(facts) / hot_rows
+    total = per_key.agg(F.sum(n_col)).first()[0] or 0
+    hot_rows = max(1, hot_rows or 0, -(-total // HOT_KEYS))
     hot = (per_key.where(F.col(n_col) > hot_rows)
            .select(*ks, F.ceil(F.col(n_col) / F.lit(hot_rows)).cast("int").alias("_nsalt")))
     hot = F.broadcast(hot)
@@ -76,32 +69,25 @@ def _num(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def key_stats(df: DataFrame, keys, ts: str) -> DataFrame:
-    """Rows, min and max of the ordering value per key (partial aggregates only)."""
-    v = _num(df, ts)
-    return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias("_n"),
-                                        F.min(v).alias("_t0"), F.max(v).alias("_t1"))
-
-
-def with_chunks(df: DataFrame, ts: str, chunk_rows: int | None = None) -> DataFrame:
-    """Chunk id from the row's ordering value and its key's ``_n/_t0/_t1``.
+def with_chunks(df: DataFrame, keys, ts: str, tie: str, chunk_rows: int | None = None) -> DataFrame:
+    """Rows with ``_chunk``: numbers that rise with ``(keys, ts NULLS LAST, tie)``.
 
-    NULL values sort last, so they form the final chunk."""
-    chunk_rows = chunk_rows or CHUNK_ROWS
-    nch = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk_rows))).cast("long")
-    v = _num(df, ts)
-    pos = F.when(F.col("_t1") > F.col("_t0"),
-                 (v - F.col("_t0")) / (F.col("_t1") - F.col("_t0")) * nch.cast("double")).otherwise(F.lit(0.0))
-    c = F.least(nch - 1, F.floor(pos).cast("long"))
-    return df.withColumn("_chunk", F.when(v.isNull(), nch).otherwise(c))
+    The number of chunks is the session's shuffle parallelism (small inputs take
+    fewer), or follows ``chunk_rows``, the rows wanted in a chunk."""
+    order = [*[F.col(k) for k in _keys(keys)], F.col(ts).isNull(), F.col(ts), F.col(tie)]
+    if chunk_rows:
+        dealt = df.repartitionByRange(max(1, -(-df.count() // chunk_rows)), *order)
+    else:
+        dealt = df.repartitionByRange(*order)
+    # stored once: the split points are sampled, so the rows must not be dealt out twice
+    return stored(dealt.withColumn("_chunk", F.spark_partition_id()), "ordered")
 
 
 def ordered(df: DataFrame, keys, ts: str, tie: str, *,
             lags: dict[str, Column] | None = None,
             sums_before: dict[str, Column] | None = None,
             maxes_before: dict[str, Column] | None = None,
-            chunk_rows: int | None = None, hot_rows: int | None = None,
-            stats: DataFrame | None = None) -> DataFrame:
+            chunk_rows: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Annotate every row with its place in the key's ``(ts NULLS LAST, tie)`` order.
 
     Adds ``_pos`` (1-based from the start), ``_pos_desc`` (1-based from the
@@ -109,8 +95,8 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     value, like ``shift(1)``), ``before_<name>`` for each entry of
     ``sums_before`` (sum over strictly earlier rows) and ``maxbefore_<name>``
     for ``maxes_before`` (max over strictly earlier rows, NULLs skipped).
-    The per-key ``_n``, ``_t0``, ``_t1`` (and any extra ``stats`` columns)
-    stay on the rows.
+    The per-key ``_n`` (rows), ``_nv`` (rows with a time), ``_t0``, ``_t1`` (first and
+    last time as a number) and the columns of ``stats`` (one row per key) stay on the rows.
     """
     ks = _keys(keys)
     lags = lags or {}
@@ -120,10 +106,7 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
              + [c.cast("double").alias(f"_sv_{n}") for n, c in sums_before.items()]
              + [c.alias(f"_mv_{n}") for n, c in maxes_before.items()])
     base = df.select("*", *extra) if extra else df
-    if stats is None:
-        stats = key_stats(base, ks, ts)
-    rows = attach(base, stats, ks, hot_rows=hot_rows, row_id=tie)
-    rows = with_chunks(rows, ts, chunk_rows)
+    rows = with_chunks(base, ks, ts, tie, chunk_rows)
 
     order = [F.col(ts).isNull(), F.col(ts), F.col(tie)]
     w = Window.partitionBy(*ks, "_chunk").orderBy(*order)
@@ -135,7 +118,8 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     rows = rows.select("*", *win)
 
     # per-chunk summary: a handful of rows per (key, chunk)
-    summ_aggs = [F.count(F.lit(1)).alias("_ccnt")]
+    v = _num(rows, ts)
+    summ_aggs = [F.count(F.lit(1)).alias("_ccnt"), F.count(v).alias("_cv"), F.min(v).alias("_c0"), F.max(v).alias("_c1")]
     if lags:
         last_struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
                                *[F.col(f"_lv_{n}").alias(n) for n in lags])
@@ -146,13 +130,17 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     wc = Window.partitionBy(*ks).orderBy("_chunk")
     prev = wc.rowsBetween(Window.unboundedPreceding, -1)
     nxt = wc.rowsBetween(1, Window.unboundedFollowing)
-    sel = [*ks, "_chunk", "_ccnt",
+    whole = Window.partitionBy(*ks)
+    sel = [*ks, "_chunk", "_ccnt", F.sum("_ccnt").over(whole).alias("_n"), F.sum("_cv").over(whole).alias("_nv"),
+           F.min("_c0").over(whole).alias("_t0"), F.max("_c1").over(whole).alias("_t1"),
            F.coalesce(F.sum("_ccnt").over(prev), F.lit(0)).alias("_rows_before"),
            F.coalesce(F.sum("_ccnt").over(nxt), F.lit(0)).alias("_rows_after")]
     sel += [F.lag(F.col("_last").getField(n)).over(wc).alias(f"_plast_{n}") for n in lags]
     sel += [F.coalesce(F.sum(f"_csum_{n}").over(prev), F.lit(0.0)).alias(f"_off_{n}") for n in sums_before]
     sel += [F.max(f"_cmax_{n}").over(prev).alias(f"_moff_{n}") for n in maxes_before]
     summ = summ.select(*sel)
+    if stats is not None:
+        summ = summ.join(stats, ks, "left")
 
     out = rows.join(summ, ks + ["_chunk"], "inner")
     drop = {"_rn", "_ccnt", "_rows_before", "_rows_after", "_chunk"}

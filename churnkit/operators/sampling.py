@@ -35,7 +35,7 @@ def rank_within_class(df: DataFrame, label: str, key: str, seed: int = SEED,
     """Adds ``_pos`` (1-based rank by hash within class) and ``_n`` (class size)."""
     d = df.withColumn("_h", hash_rank_key(key, seed))
     o = ordered(d, label, "_h", key, chunk_rows=chunk_rows)
-    return o.drop("_pos_desc", "_t0", "_t1")
+    return o.drop("_pos_desc", "_nv", "_t0", "_t1")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: dict[str, float], seed: int = SEED,

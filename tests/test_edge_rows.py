@@ -66,7 +66,7 @@ def test_null_time_counts_as_latest(spark):
     p = props(spark, [("u", T(2024, 1, 1))])
     rows = [("u", f"g{i:02d}", T(2024, 1, 1 + i), "completed", 1.0, "image_model_1") for i in range(11)]
     rows.append(("u", "g99", None, "failed", 1.0, "image_model_1"))
-    out = build_generation_features(gens(spark, rows), p, OBS, chunk_rows=3, hot_rows=4)
+    out = build_generation_features(gens(spark, rows), p, OBS, chunk_rows=3)
     assert one(out, "u", "failure_rate_last_10") == pytest.approx(0.1)
 
 

@@ -12,7 +12,7 @@ from conftest import SF
 def test_chunked_and_salted_plan_equals_plain(spark):
     t = preprocess_all(load_logical(spark, SF))
     a = build_generation_features(t["generations"], t["properties"], FIXTURE_OBS_DATE)
-    b = build_generation_features(t["generations"], t["properties"], FIXTURE_OBS_DATE, chunk_rows=2, hot_rows=3)
+    b = build_generation_features(t["generations"], t["properties"], FIXTURE_OBS_DATE, chunk_rows=2)
     def norm(r):
         return repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r))
     ra = sorted(map(norm, a.collect()))
@@ -35,3 +35,22 @@ def test_status_counts_sum_to_total(spark):
     bad = g.where(F.col("n_completed") + F.col("n_failed") + F.col("n_nsfw") + F.col("n_canceled")
                   + F.col("n_queued_or_waiting") != F.col("total_generations")).count()
     assert bad == 0
+
+
+def test_chunks_have_equal_depth_for_any_distribution(spark):
+    """Log-normal, mostly zero, constant and partly NULL order values of one hot key."""
+    from churnkit.operators.ordered import ordered, with_chunks
+    from churnkit.session import stored
+    n, target = 20_000, 1_000
+    base = spark.range(n).withColumn("k", F.lit(1))
+    values = {"lognormal": F.exp(F.randn(1) * 3), "zeros": F.when(F.rand(2) < 0.6, 0.0).otherwise(F.rand(3)),
+              "constant": F.lit(5.0), "nulls": F.when(F.rand(4) < 0.3, F.lit(None).cast("double")).otherwise(F.rand(5))}
+    for v in values.values():
+        df = stored(base.withColumn("v", v))  # random values are drawn once
+        sizes = [r["count"] for r in with_chunks(df, "k", "v", "id", target).groupBy("_chunk").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2 * target
+        got = ordered(df, "k", "v", "id", lags={"id": F.col("id")}, chunk_rows=target)
+        rows = sorted(got.collect(), key=lambda r: (r["v"] is None, r["v"] or 0.0, r["id"]))
+        assert [r["_pos"] for r in rows] == list(range(1, n + 1))
+        assert [r["_pos_desc"] for r in rows] == list(range(n, 0, -1))
+        assert [r["lag_id"] for r in rows] == [None] + [r["id"] for r in rows[:-1]]
