@@ -1,12 +1,11 @@
 """Amount artifacts (section 2.13): anchor grid, nearest-anchor snap, digit and
 Benford features, user roll-ups, and the leading-digit report.
 
-The nearest-anchor join (J10) is an as-of style join done with one global
-ordering: amounts and anchors are ranked together by value (through the
-chunked :func:`ordered.ordered`, so no single task sees the whole column)
-and each amount picks up the largest anchor below it and the smallest
-anchor at or above it as running maxima.  Nothing is broadcast whose size
-grows with the data.  Ties go to the upper anchor (the lower one wins
+The nearest-anchor join (J10) is an as-of style join over the *distinct*
+amounts: these and the anchors are ranked by value (through the chunked
+:func:`ordered.ordered`, so no single task sees the whole column), each
+picks up the largest anchor below it and the smallest one above it as running
+maxima, and the result reaches the rows by value, hot values salted.  Ties go to the upper anchor (the lower one wins
 only when strictly closer).  With no anchors a value snaps to itself.
 """
 
@@ -21,8 +20,6 @@ from ..session import stored
 from .ordered import attach, ordered
 
 ANCHOR_MIN_FREQ = 40
-#: anchor sets up to this size are searched as a broadcast literal array
-SMALL_ANCHORS = 4096
 
 
 def anchor_grid(values: DataFrame, col: str, min_freq: int = ANCHOR_MIN_FREQ) -> DataFrame:
@@ -32,37 +29,19 @@ def anchor_grid(values: DataFrame, col: str, min_freq: int = ANCHOR_MIN_FREQ) ->
 
 
 def snap(df: DataFrame, value: str, anchors: DataFrame, row_id: str, chunk_rows: int | None = None) -> DataFrame:
-    """Add ``snap_val`` and ``snap_dist`` for ``value`` (nearest anchor).
-
-    A small anchor set (checked: at most ``SMALL_ANCHORS`` values) is inlined as
-    a literal array and searched per row; a larger one goes through the global
-    chunked ordering below."""
-    small = anchors.limit(SMALL_ANCHORS + 1).collect()
-    if len(small) <= SMALL_ANCHORS:
-        arr = F.array(*[F.lit(float(r[0])) for r in small]) if small else F.array().cast("array<double>")
-        val = F.col(value).cast("double")
-        lo = F.array_max(F.filter(arr, lambda a: a < val))
-        hi = F.array_min(F.filter(arr, lambda a: a >= val))
-        return _pick(df.withColumn("_lo", lo).withColumn("_hi", hi), value)
-    v = df.select(row_id, F.col(value).cast("double").alias("_v"))
-    a = anchors.select(F.col("anchor").cast("double").alias("_v"))
-    # kind 0 = amount row, 1 = anchor; key is constant: one global order in chunks
-    both = (v.select(F.lit(0).alias("_k"), F.lit(0).alias("_kind"), "_v", F.col(row_id).cast("string").alias("_rid"))
-            .unionByName(a.select(F.lit(0).alias("_k"), F.lit(1).alias("_kind"), "_v",
-                                  F.concat(F.lit("~a"), F.col("_v").cast("string")).alias("_rid"))))
-    # largest anchor strictly below: amounts sort before anchors at equal value
-    lo = ordered(both.withColumn("_tie", F.concat(F.col("_kind").cast("string"), F.lit(":"), "_rid")),
-                 "_k", "_v", "_tie", maxes_before={"a": F.when(F.col("_kind") == 1, F.col("_v"))},
-                 chunk_rows=chunk_rows)
-    lo = lo.where(F.col("_kind") == 0).select("_rid", F.col("maxbefore_a").alias("_lo"))
-    # smallest anchor at or above: order by -value, anchors before amounts at equal value
-    neg = both.withColumn("_nv", -F.col("_v")).withColumn(
-        "_tie", F.concat(F.when(F.col("_kind") == 1, F.lit("0")).otherwise(F.lit("1")), F.lit(":"), "_rid"))
-    hi = ordered(neg, "_k", "_nv", "_tie", maxes_before={"a": F.when(F.col("_kind") == 1, F.col("_nv"))},
-                 chunk_rows=chunk_rows)
-    hi = hi.where(F.col("_kind") == 0).select("_rid", (-F.col("maxbefore_a")).alias("_hi"))
-    x = df.withColumn("_rid", F.col(row_id).cast("string")).join(lo, "_rid", "left").join(hi, "_rid", "left")
-    return _pick(x, value).drop("_rid")
+    """Add ``snap_val`` and ``snap_dist`` for ``value`` (nearest anchor); NULL stays NULL."""
+    v = F.col(value).cast("double")
+    per = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_times"))
+    grid = anchors.select(F.col("anchor").cast("double").alias("_v"), F.lit(1).alias("_a")).distinct()
+    # key is constant: one global order in chunks
+    both = stored(per.join(grid, "_v", "full").withColumn("_k", F.lit(0)).withColumn("_neg", -F.col("_v")), "snap-grid")
+    lo = ordered(both, "_k", "_v", "_v", maxes_before={"a": F.when(F.col("_a") == 1, F.col("_v"))}, chunk_rows=chunk_rows)
+    hi = ordered(both, "_k", "_neg", "_neg", maxes_before={"a": F.when(F.col("_a") == 1, F.col("_neg"))}, chunk_rows=chunk_rows)
+    x = (lo.where("_times is not null").select("_v", "_times", "_a", F.col("maxbefore_a").alias("_lo"))
+         .join(hi.select("_v", F.col("maxbefore_a").alias("_up")), "_v"))
+    x = x.withColumn("_hi", F.when(F.col("_a") == 1, F.col("_v")).otherwise(-F.col("_up"))).drop("_up", "_a")
+    picks = stored(_pick(x, "_v").select("_v", F.col("_times").alias("_n"), "snap_val", "snap_dist"), "snap-picks")
+    return attach(df.withColumn("_v", v), picks, "_v", row_id=row_id).drop("_v", "_n")
 
 
 def _pick(x: DataFrame, value: str) -> DataFrame:

@@ -81,22 +81,26 @@ def alpha_search(df: DataFrame, y: str, a: list[str], b: list[str], coarse: int
     """Alpha in [0, 1] minimising log loss of alpha*A + (1-alpha)*B.
 
     Pass one scores alphas i/coarse; pass two scores best +- j/(coarse*fine_steps).
+    Every pass is one aggregate with a mean per alpha; rows are not multiplied.
     Smallest alpha wins ties."""
     spark = df.sparkSession
     x = df.select(F.col(y).cast("int").alias("y"), *[F.col(c) for c in a + b])
 
     def run(alphas):
-        adf = spark.createDataFrame([(float(v),) for v in alphas], ["alpha"])
-        z = x.crossJoin(F.broadcast(adf))  # bounded alpha list
-        probs = [F.col("alpha") * F.col(a[c]) + (1 - F.col("alpha")) * F.col(b[c]) for c in range(3)]
-        r = z.groupBy("alpha").agg(F.avg(_logloss_expr(F.col("y"), probs)).alias("logloss"))
-        return r.agg(F.min(F.struct("logloss", "alpha")).alias("m")).select("m.alpha", "m.logloss")
-
-    first = run([i / coarse for i in range(coarse + 1)]).first()
-    c = first["alpha"]
+        pa, pb = (F.element_at(F.array(*[F.col(c) for c in m]), F.col("y") + 1) for m in (a, b))
+        z = x.select(pa.alias("_a"), pb.alias("_b"))
+
+        def loss(v):
+            p = F.lit(v) * F.col("_a") + (1 - F.lit(v)) * F.col("_b")
+            return F.avg(-F.ln(F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))))
+        row = z.agg(*[loss(v).alias(f"l{i}") for i, v in enumerate(alphas)]).first()
+        return min((row[f"l{i}"], v) for i, v in enumerate(alphas))
+
+    c = run([i / coarse for i in range(coarse + 1)])[1]
     fine = sorted({min(1.0, max(0.0, c + j / (coarse * fine_steps)))
                    for j in range(-fine_steps, fine_steps + 1)})
-    return run(fine)
+    logloss, alpha = run(fine)
+    return spark.createDataFrame([(alpha, logloss)], "alpha double, logloss double")
 
 
 def em_simplex_weights(df: DataFrame, y: str, models: list[list[str]], iters: int = 200,

@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordered import ordered
 
 EPS = float(np.finfo(np.float64).eps)
@@ -49,10 +50,11 @@ def pr_curve(df: DataFrame, label: str, score: str, keys=None, chunk_rows: int |
         grp2 = ["_k"]
     else:
         grp2 = grp
+    per = stored(per, "pr-scores")
+    # totals per key reach the rows through the chunk summary, not by a join on the key
     tot = per.groupBy(*grp2).agg(F.sum("_tp").alias("_totp"), F.sum("_fp").alias("_totn"))
     o = ordered(per, grp2, "threshold", "threshold",
-                sums_before={"tp": F.col("_tp"), "fp": F.col("_fp")}, chunk_rows=chunk_rows)
-    o = o.join(tot, grp2)
+                sums_before={"tp": F.col("_tp"), "fp": F.col("_fp")}, chunk_rows=chunk_rows, stats=tot)
     tp = F.col("_totp") - F.col("before_tp")
     fp = F.col("_totn") - F.col("before_fp")
     out = o.select(*grp2, "threshold", tp.cast("long").alias("tp"), fp.cast("long").alias("fp"),

@@ -108,7 +108,6 @@ def build_transaction_features(transactions: DataFrame, purchases: DataFrame, ob
         cnt(succ).alias("_n_succ"), cnt(fail).alias("_n_fail"),
         F.min(F.struct(F.col("transaction_time").isNull(), "transaction_time", "transaction_id",
                        fail.cast("long").alias("v"))).getField("v").alias("first_transaction_was_failure"),
-        F.size(F.collect_set(F.when(fail, amt))).cast("long").alias("_n_amts"),
         cnt(recent).alias("_n_recent"), cnt(recent & fail).alias("_n_recent_fail"),
         cnt(code == "card_declined").alias("_declined"),
         cnt(code.isin("incorrect_cvc", "invalid_cvc")).alias("_cvc"),
@@ -135,6 +134,9 @@ def build_transaction_features(transactions: DataFrame, purchases: DataFrame, ob
         F.max(F.when(fail, F.col("transaction_time"))).alias("_last_fail"),
         F.max(F.when(succ, F.col("transaction_time"))).alias("_last_succ"),
     )
+    # distinct failed amounts, pre-aggregated by (user, amount): amounts are no bounded set
+    amounts = (t.where(fail & amt.isNotNull()).select("user_id", amt.alias("_amt")).distinct()
+               .groupBy("user_id").agg(F.count(F.lit(1)).alias("_n_amts")))
     # failed attempts whose id never shows up as a purchase (anti join on the id)
     pids = purchases.select("transaction_id").where(F.col("transaction_id").isNotNull()).distinct()
     nomatch = (t.where(fail).select("user_id", "transaction_id")
@@ -148,7 +150,7 @@ def build_transaction_features(transactions: DataFrame, purchases: DataFrame, ob
     hrs = (micros("transaction_time") - F.col("lag_us")) / F.lit(float(US_PER_HOUR))
     retry = f.groupBy("user_id").agg(cnt(hrs <= cfg.RETRY_WINDOW_HOURS).alias("_retry"))
 
-    out = agg.join(nomatch, "user_id", "left").join(retry, "user_id", "left")
+    out = agg.join(nomatch, "user_id", "left").join(retry, "user_id", "left").join(amounts, "user_id", "left")
     n_tot = F.col("n_total_transaction_attempts")
     n_fail = F.col("_n_fail")
     rate = safe_div("_n_fail", n_tot)
@@ -158,7 +160,7 @@ def build_transaction_features(transactions: DataFrame, purchases: DataFrame, ob
         F.when(n_fail > 0, (F.col("_n_succ") == 0).cast("long")).alias("has_failed_but_no_successful_payment"),
         "n_failed_without_matching_purchase",
         "first_transaction_was_failure",
-        F.when(n_fail > 0, F.col("_n_amts")).alias("n_distinct_amounts_attempted"),
+        F.when(n_fail > 0, F.coalesce("_n_amts", F.lit(0))).alias("n_distinct_amounts_attempted"),
         "n_total_transaction_attempts",
         nullif_zero("_n_succ").alias("n_successful_transactions"),
         nullif_zero("_n_fail").alias("n_failed_transactions"),

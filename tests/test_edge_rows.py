@@ -166,9 +166,8 @@ def test_intervention_fallback(spark):
     assert r["cluster"] == "engagement_decay"
 
 
-def test_snap_large_anchor_path(spark, monkeypatch):
+def test_snap_over_several_chunks(spark):
     import churnkit.operators.artifacts as A
-    monkeypatch.setattr(A, "SMALL_ANCHORS", 0)  # force the chunked global-order path
     v = spark.createDataFrame([(str(i), x) for i, x in enumerate([9.0, 9.4, -1.0, 0.0, 9.5, 12.0])], "id string, a double")
     anchors = spark.createDataFrame([(9.0,), (10.0,)], "anchor double")
     out = {r["id"]: r["snap_val"] for r in A.snap(v, "a", anchors, "id", chunk_rows=2).collect()}
