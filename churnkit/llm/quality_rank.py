@@ -106,7 +106,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
         share = 1.2 * max_labelled / n
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
     got = known.select("x", "quality").toPandas()
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float) if len(got) else np.empty((0, 1))
     y = got["quality"].to_numpy() == 1 if len(got) else np.zeros(0, bool)
     if y.any() and not y.all():
         mean, scale, w = fit_pairs(x[y], x[~y], pairs)
