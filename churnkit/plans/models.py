@@ -278,100 +278,131 @@ def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3) -
     return oof.select(KEY, "y", "fold", *hierarchical_to_3class(F.col("oof_s1"), F.col("oof_s2")))
 
 
-def tree_table(gbt_model) -> list[dict]:
-    """Parse a fitted GBT / RF model into plain arrays per tree (driver-side,
-    bounded by the model size): feature, threshold (or left categories),
-    children and node value.  Read once from the JVM tree objects."""
+def tree_table(model) -> list[dict]:
+    """Parse a fitted GBT or RF model into plain arrays per tree (driver-side,
+    bounded by the model size): feature, threshold (or left categories), children,
+    cover (training weight) and outputs of each node.
+
+    A boosted tree has one output, its prediction; a forest's tree has one per class,
+    the class shares of the node.  Read once from the JVM tree objects."""
+    boosted = hasattr(model, "treeWeights") and model.__class__.__name__.startswith("GBT")
+    weights = list(model.treeWeights) if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
     trees = []
-    weights = list(gbt_model.treeWeights) if hasattr(gbt_model, "treeWeights") else [1.0] * gbt_model.getNumTrees
-    for t, w in zip(gbt_model.trees, weights):
-        feat, thr, cats, left, right, value = [], [], [], [], [], []
-        stack = [(t._java_obj.rootNode(), -1, None)]
-        while stack:
-            node, parent, side = stack.pop()
-            i = len(feat)
-            value.append(float(node.prediction()))
-            left.append(-1)
-            right.append(-1)
-            if parent >= 0:
-                (left if side == "L" else right)[parent] = i
-            if node.getClass().getSimpleName() == "InternalNode":
-                sp = node.split()
-                feat.append(int(sp.featureIndex()))
-                if sp.getClass().getSimpleName() == "ContinuousSplit":
-                    thr.append(float(sp.threshold()))
-                    cats.append(None)
-                else:
-                    thr.append(float("nan"))
-                    cats.append(set(float(c) for c in sp.leftCategories()))
-                stack.append((node.rightChild(), i, "R"))
-                stack.append((node.leftChild(), i, "L"))
+    for t, w in zip(model.trees, weights):
+        tree = {k: [] for k in ("feat", "thr", "cats", "left", "right", "cover", "value")}
+        todo = [(t._java_obj.rootNode(), -1, None)]
+        while todo:
+            node, parent, side = todo.pop()
+            i = len(tree["feat"])
+            stats = node.impurityStats()
+            tree["cover"].append(float(stats.count()))
+            if boosted:
+                tree["value"].append([float(node.prediction())])
             else:
-                feat.append(-1)
-                thr.append(float("nan"))
-                cats.append(None)
-        trees.append({"w": float(w), "feat": feat, "thr": thr, "cats": cats, "left": left, "right": right,
-                      "value": value})
+                share = [float(x) for x in stats.stats()]
+                tree["value"].append([x / (sum(share) or 1.0) for x in share])
+            tree["left"].append(-1)
+            tree["right"].append(-1)
+            if parent >= 0:
+                tree[side][parent] = i
+            inner = node.getClass().getSimpleName() == "InternalNode"
+            split = node.split() if inner else None
+            continuous = inner and split.getClass().getSimpleName() == "ContinuousSplit"
+            tree["feat"].append(int(split.featureIndex()) if inner else -1)
+            tree["thr"].append(float(split.threshold()) if continuous else float("nan"))
+            tree["cats"].append(set(map(float, split.leftCategories())) if inner and not continuous else None)
+            if inner:
+                todo += [(node.rightChild(), i, "right"), (node.leftChild(), i, "left")]
+        trees.append({"w": float(w), **tree})
     return trees
 
 
+def leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, list[tuple[int, bool]], float]]]]:
+    """(leaf, [(feature, [(node, goes left)], cover share)]) per leaf; a feature that a path
+    asks several times is one entry."""
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        f = tree["feat"][node]
+        if f < 0:
+            out.append((node, [(k, conds, z) for k, (conds, z) in path.items()]))
+            continue
+        for side in ("left", "right"):
+            child = tree[side][node]
+            conds, z = path.get(f, ([], 1.0))
+            share = tree["cover"][child] / (tree["cover"][node] or 1.0)
+            todo.append((child, {**path, f: ([*conds, (node, side == "left")], z * share)}))
+    return out
+
+
+def tree_shap(tree: dict, x):
+    """Path-dependent Shapley values of one tree for the rows of ``x``: (values n x features x outputs, base).
+
+    A leaf counts with the share of the coalitions that reach it: features outside
+    a coalition follow the training cover.  Per leaf with m features the sums over coalitions by
+    size are the coefficients of a product of m linear factors, so the work is m**3
+    per leaf and vectorised over the rows."""
+    import math
+
+    import numpy as np
+    n, outs = len(x), len(tree["value"][0])
+    left = {}
+    for i, f in enumerate(tree["feat"]):
+        if f >= 0:
+            left[i] = np.isin(x[:, f], list(tree["cats"][i])) if tree["cats"][i] is not None else x[:, f] <= tree["thr"][i]
+    phi, base = np.zeros((n, x.shape[1], outs)), np.zeros(outs)
+    for leaf, path in leaf_paths(tree):
+        value = np.asarray(tree["value"][leaf])
+        base += value * math.prod(z for _, _, z in path)
+        m = len(path)
+        on = [np.logical_and.reduce([left[i] == goes for i, goes in conds]).astype(float) for _, conds, _ in path]
+        for j, (f, _, z) in enumerate(path):
+            sums = np.zeros((m, n))  # coalitions of the other features, by size
+            sums[0] = 1.0
+            for k, (_, _, zk) in enumerate(path):
+                if k != j:
+                    sums[1:] = sums[1:] * zk + sums[:-1] * on[k]
+                    sums[0] *= zk
+            weight = np.array([math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)])
+            phi[:, f, :] += ((on[j] - z) * (weight @ sums))[:, None] * value
+    return phi, base
+
+
 def tree_contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """X1 (trees): additive path attributions of a binary GBT margin.
+    """X1 (trees): path-dependent Shapley values per user, class and feature.
 
-    Along each tree's decision path, the change of node value at every split is
-    credited to the split feature (times the tree weight); the root values sum to
-    the base.  Per row: sum of contributions + base = raw margin (checked by the
-    ``additivity_error`` column).  The parsed trees are broadcast (their size is
-    the model's, not the data's); rows are scored in ``mapInPandas`` batches."""
+    A boosted binary model explains its margin (class 1), a forest the probability
+    of every class.  Per row and class: sum of contributions + base = the model's output
+    (checked by the ``additivity_error`` column).  The parsed trees are broadcast
+    (their size is the model's, not the data's); rows are scored in ``mapInPandas`` batches."""
     import numpy as np
     import pandas as pd
-    gbt = model.stages[-1]
-    trees = tree_table(gbt)
-    bc = df.sparkSession.sparkContext.broadcast(trees)
+    last = model.stages[-1]
+    boosted = last.__class__.__name__.startswith("GBT")
+    bc = df.sparkSession.sparkContext.broadcast(tree_table(last))
     d = prepare(df, features)
-    scored = model.transform(d).select(KEY, *features, vector_to_array("rawPrediction")[1].alias("_margin"))
+    output = F.array(vector_to_array("rawPrediction")[1]) if boosted else vector_to_array("probability")
+    scored = model.transform(d).select(KEY, *features, output.alias("_out"))
     key_type = dict(d.dtypes)[KEY]
+    classes = [1] if boosted else list(range(last.numClasses))
 
     def attribute(batches):
-        tr = bc.value
-        arrs = []
-        for t in tr:
-            cats = t["cats"]
-            arrs.append((t["w"], np.array(t["feat"]), np.array(t["thr"]), np.array(t["left"]),
-                         np.array(t["right"]), np.array(t["value"]), cats))
         for b in batches:
             x = b[features].to_numpy(dtype=float)
-            n = len(x)
-            rows = np.arange(n)
-            contrib = np.zeros_like(x)
-            base = 0.0
-            for w, feat, thr, left, right, value, cats in arrs:
-                base += w * value[0]
-                node = np.zeros(n, dtype=int)          # every row starts at the root
-                active = feat[node] >= 0
-                while active.any():
-                    r = rows[active]
-                    nd = node[active]
-                    f = feat[nd]
-                    v = x[r, f]
-                    go_left = v <= thr[nd]
-                    cat_nodes = [i for i, c in enumerate(nd) if cats[nd[i]] is not None]
-                    for i in cat_nodes:
-                        go_left[i] = v[i] in cats[nd[i]]
-                    nxt = np.where(go_left, left[nd], right[nd])
-                    np.add.at(contrib, (r, f), w * (value[nxt] - value[nd]))
-                    node[active] = nxt
-                    active = feat[node] >= 0
-            err = np.abs(contrib.sum(axis=1) + base - b["_margin"].to_numpy(dtype=float))
-            yield pd.DataFrame({KEY: np.repeat(b[KEY].to_numpy(), len(features)),
-                                "feature": np.tile(features, n),
-                                "contribution": contrib.reshape(-1),
-                                "base": base,
-                                "additivity_error": np.repeat(err, len(features))})
-
-    schema = f"{KEY} {key_type}, feature string, contribution double, base double, additivity_error double"
-    return scored.mapInPandas(attribute, schema).select(KEY, F.lit(1).alias("class"), "feature", "contribution",
-                                                         "base", "additivity_error")
+            want = np.array(b["_out"].tolist(), dtype=float).reshape(len(b), len(classes))
+            phi, base = np.zeros((len(x), len(features), len(classes))), np.zeros(len(classes))
+            for tree in bc.value:
+                p, e = tree_shap(tree, x)
+                phi += tree["w"] * p
+                base += tree["w"] * e
+            err = np.abs(phi.sum(axis=1) + base - want)
+            for k, c in enumerate(classes):
+                yield pd.DataFrame({KEY: np.repeat(b[KEY].to_numpy(), len(features)), "class": c,
+                                    "feature": np.tile(features, len(x)), "contribution": phi[:, :, k].reshape(-1),
+                                    "base": base[k], "additivity_error": np.repeat(err[:, k], len(features))})
+
+    return scored.mapInPandas(attribute, f"{KEY} {key_type}, class int, feature string, contribution double, base double, "
+                                         "additivity_error double")
 
 
 def categorical_cv(df: DataFrame, features: list[str], categoricals: list[str], k: int = 5,

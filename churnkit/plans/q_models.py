@@ -74,12 +74,19 @@ def q_contrib(spark, sf_dir):
 
 
 def q_tree_contrib(spark, sf_dir):
-    """X1 for trees: binary GBT (churn vs not) path attributions, long table."""
+    """X1 for trees: Shapley values of a binary GBT (churn vs not), long table."""
     d = model_input(spark, sf_dir).withColumn("y", (F.col("y") > 0).cast("int"))
     m = MD.final_fit(d, FEATURES, "gbt", {"maxIter": 10, "maxDepth": 3})
     return round_doubles(MD.tree_contributions(m, d, FEATURES))
 
 
+def q_tree_contrib_3class(spark, sf_dir):
+    """X1 for trees: Shapley values of a 3-class forest's probabilities, long table."""
+    d = model_input(spark, sf_dir)
+    m = MD.final_fit(d, FEATURES, "rf", {"numTrees": 10, "maxDepth": 5})
+    return round_doubles(MD.tree_contributions(m, d, FEATURES))
+
+
 def q_ablation(spark, sf_dir):
     """M13 + M9/M10 + M14: imbalance strategies, then feature subsets from the
     correlation and VIF screens."""
@@ -94,6 +101,7 @@ def q_ablation(spark, sf_dir):
 QUERIES = {
     "ablation_runs": q_ablation,
     "tree_contributions": q_tree_contrib,
+    "tree_contributions_3class": q_tree_contrib_3class,
     "two_stage_cv_oof": q_two_stage,
     "multiclass_rf_oof": q_multiclass_rf,
     "ovr_specialists_oof": q_ovr,

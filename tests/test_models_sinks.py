@@ -38,6 +38,42 @@ def test_tree_contributions_additive(data):
     assert c.agg(F.max("additivity_error")).first()[0] < 1e-9
 
 
+def test_tree_values_are_shapley_values(data):
+    """Against all coalitions: features outside one follow the training cover."""
+    import math
+    from itertools import combinations
+
+    import numpy as np
+    feats = ["a", "b", "c"]
+    d = data.withColumn("y", (F.col("y") > 0).cast("int"))
+    for kind, params in (("gbt", {"maxIter": 3, "maxDepth": 4}), ("rf", {"numTrees": 3, "maxDepth": 4})):
+        df = d if kind == "gbt" else data
+        m = MD.final_fit(df, feats, kind, params)
+        c = MD.tree_contributions(m, df, feats)
+        assert c.agg(F.max("additivity_error")).first()[0] < 1e-9
+        x = np.array([list(r) for r in MD.prepare(df, feats).select(*feats).limit(8).collect()], dtype=float)
+
+        def expect(tree, node, row, known):
+            f = tree["feat"][node]
+            if f < 0:
+                return np.asarray(tree["value"][node])
+            kids = tree["left"][node], tree["right"][node]
+            if f in known:
+                return expect(tree, kids[0] if row[f] <= tree["thr"][node] else kids[1], row, known)
+            return sum(tree["cover"][k] / tree["cover"][node] * expect(tree, k, row, known) for k in kids)
+
+        for tree in MD.tree_table(m.stages[-1]):
+            phi, base = MD.tree_shap(tree, x)
+            for i, row in enumerate(x):
+                assert np.allclose(base, expect(tree, 0, row, ()))
+                for j in range(3):
+                    others = [k for k in range(3) if k != j]
+                    want = sum(math.factorial(n) * math.factorial(2 - n) / 6
+                               * (expect(tree, 0, row, (*s, j)) - expect(tree, 0, row, s))
+                               for n in range(3) for s in combinations(others, n))
+                    assert np.allclose(phi[i, j], want)
+
+
 def test_final_fit_persists(spark, data):
     path = tempfile.mkdtemp(prefix="churnkit-model-") + "/m"
     MD.final_fit(data, ["a", "b", "c"], "rf", {"numTrees": 5}, path=path, meta={"run": "t"})
