@@ -88,23 +88,41 @@ def _add_weights(train: DataFrame, label: str) -> DataFrame:
     return train.join(F.broadcast(w), label)
 
 
+def resample(train: DataFrame, label: str, features: list[str], sampler: str | None) -> DataFrame:
+    """Training rows with a weight ``_w``: all 1 (None), balanced by class ("class_weight"), or
+    1 with synthetic minority rows added ("smote": the smaller class up to the larger;
+    "smote_enn": rows whose neighbours disagree removed after that)."""
+    if sampler is None:
+        return train.withColumn("_w", F.lit(1.0))
+    if sampler == "class_weight":
+        return _add_weights(train, label)
+    from ..operators.sampling import enn_clean, smote
+    out = smote(train.select(KEY, label, *features), label, features, KEY).drop("synthetic")
+    if sampler == "smote_enn":
+        out = enn_clean(out, label, features, KEY)
+    elif sampler != "smote":
+        raise ValueError(sampler)
+    return out.withColumn("_w", F.lit(1.0))
+
+
 def two_stage_cv(df: DataFrame, features: list[str], s1: str = "gbt", s2: str = "gbt", k: int = 5,
-                 min_churn: int = 10, params1=None, params2=None) -> DataFrame:
+                 min_churn: int = 10, params1=None, params2=None, sampler: str | None = "class_weight") -> DataFrame:
     """OOF P(churn) from stage 1 on all rows, OOF P(invol | churn) from stage 2
     on churned rows (0 elsewhere); stage 2 skipped when <= ``min_churn`` churned
-    training rows.  Needs ``y``, ``fold``."""
+    training rows.  ``sampler`` (see :func:`resample`) works on the training rows of a
+    fold only.  Needs ``y``, ``fold``."""
     d = prepare(df, features).withColumn("y_churn", (F.col("y") > 0).cast("double")) \
         .withColumn("y_invol", (F.col("y") == 2).cast("double"))
     parts = []
     for f in range(k):
-        tr = _add_weights(d.where(F.col("fold") != f), "y_churn")
+        rest = d.where(F.col("fold") != f)
         va = d.where(F.col("fold") == f)
-        m1 = pipeline(features, learner(s1, "y_churn", params1, "_w")).fit(tr)
+        m1 = pipeline(features, learner(s1, "y_churn", params1, "_w")).fit(resample(rest, "y_churn", features, sampler))
         o1 = _p1(m1.transform(va), "oof_s1")
-        ctr = tr.where(F.col("y_churn") == 1).drop("_w")
+        ctr = rest.where(F.col("y_churn") == 1)
         cva = va.where(F.col("y_churn") == 1)
         if ctr.count() > min_churn and cva.limit(1).count() > 0:
-            m2 = pipeline(features, learner(s2, "y_invol", params2, "_w")).fit(_add_weights(ctr, "y_invol"))
+            m2 = pipeline(features, learner(s2, "y_invol", params2, "_w")).fit(resample(ctr, "y_invol", features, sampler))
             o2 = _p1(m2.transform(cva), "oof_s2")
             o1 = o1.join(o2, KEY, "left")
         else:
@@ -237,29 +255,43 @@ def linear_contributions(model: PipelineModel, df: DataFrame, features: list[str
 class Recipe:
     """One named pipeline of the catalogue."""
     name: str
-    features: str = "all"           # "all" or a column-list name
-    sampler: str | None = None      # None, "class_weight", "smote"
+    features: str = "all"            # name of a column list handed to run_recipe
+    sampler: str | None = "class_weight"  # of the two-stage recipes, see resample
     stage1: str = "gbt"
     stage2: str = "gbt"
-    multiclass: str | None = None   # "rf" / "lr" / "mlp" for direct 3-class recipes
-    blend: list = field(default_factory=list)
-    threshold_rule: str = "best_f1"  # or "joint"
+    multiclass: str | None = None    # a 3-class learner, or "ovr", "stack", "seed_avg"
+    blend: list = field(default_factory=list)   # names of recipes whose probabilities are averaged
+    threshold_rule: str = "argmax"   # or "best_f1" (stage 1), "joint" (both stages)
     depends_on: list = field(default_factory=list)
 
 
 CATALOGUE = [
-    Recipe("A"), Recipe("B", stage1="lr", stage2="gbt"), Recipe("C", sampler="class_weight"),
+    Recipe("A", sampler=None), Recipe("B", stage1="lr"), Recipe("C"), Recipe("D", sampler="smote"),
+    Recipe("E", threshold_rule="best_f1"), Recipe("N", sampler=None, threshold_rule="joint"),
     Recipe("K", multiclass="rf"), Recipe("L", multiclass="lr"), Recipe("M", multiclass="mlp"),
-    Recipe("N", threshold_rule="joint"), Recipe("P12", multiclass="ovr"),
-    Recipe("P04", multiclass="stack", depends_on=["K", "L"]), Recipe("P09", multiclass="seed_avg", depends_on=["K"]),
-    # T7 simplified suite: forest 300 trees / depth 15 / min leaf 25, multinomial LR
-    Recipe("S_rf", multiclass="rf_big"), Recipe("S_lr", multiclass="lr"),
+    Recipe("P03", blend=["A", "K", "L"], depends_on=["A", "K", "L"]),
+    Recipe("P04", multiclass="stack", depends_on=["K", "L"]),
+    Recipe("P08", features="core", multiclass="rf"), Recipe("P09", multiclass="seed_avg"), Recipe("P12", multiclass="ovr"),
+    # T7 simplified suite: forest of 300 trees, depth 15, 25 rows in a leaf
+    Recipe("S_rf", multiclass="rf_big"),
 ]
 
 
-def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """Runs one recipe; returns OOF probabilities ``(user_id, y, fold, p0, p1, p2)``."""
+def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3, done: dict[str, DataFrame] | None = None,
+               feature_sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """Runs one recipe; returns OOF probabilities ``(user_id, y, fold, p0, p1, p2)``.
+
+    ``done`` holds results of recipes it depends on (those not in it are run first);
+    ``feature_sets`` the column lists besides "all"."""
     from ..operators.metrics import hierarchical_to_3class
+    done = dict(done or {})
+    for other in CATALOGUE:
+        if other.name in recipe.depends_on and other.name not in done:
+            done[other.name] = run_recipe(other, df, features, k, done, feature_sets)
+    features = features if recipe.features == "all" else (feature_sets or {})[recipe.features]
+    if recipe.blend:
+        runs = reduce(lambda a, b: a.unionByName(b), [done[n].select(KEY, "y", "fold", "p0", "p1", "p2") for n in recipe.blend])
+        return seed_average([runs])
     if recipe.multiclass == "rf_big":
         return multiclass_cv(df, features, "rf", k, {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 25})
     if recipe.multiclass in ("rf", "lr"):
@@ -270,14 +302,56 @@ def run_recipe(recipe: Recipe, df: DataFrame, features: list[str], k: int = 3) -
     if recipe.multiclass == "ovr":
         return ovr_specialists(df, features, k)
     if recipe.multiclass == "stack":
-        l1 = [multiclass_cv(df, features, "rf", k), multiclass_cv(df, features, "lr", k, {"family": "multinomial"}, True)]
-        return stack(l1, ["rf", "lr"], k)
+        return stack([done[n] for n in recipe.depends_on], recipe.depends_on, k)
     if recipe.multiclass == "seed_avg":
         return seed_average([multiclass_cv(df, features, "rf", k, seed=s) for s in (1, 2, 3)])
-    oof = two_stage_cv(df, features, recipe.stage1, recipe.stage2, k)
+    oof = two_stage_cv(df, features, recipe.stage1, recipe.stage2, k, sampler=recipe.sampler)
     return oof.select(KEY, "y", "fold", *hierarchical_to_3class(F.col("oof_s1"), F.col("oof_s2")))
 
 
+def decide(recipe: Recipe, oof: DataFrame) -> DataFrame:
+    """Adds ``pred`` by the recipe's rule; thresholds are chosen on the OOF rows."""
+    from ..operators.metrics import best_f1_threshold, cascade_pred, joint_threshold_search
+    if recipe.threshold_rule == "argmax":
+        return oof.withColumn("pred", argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
+    churn = F.col("p1") + F.col("p2")
+    x = oof.withColumn("_s1", churn).withColumn("_s2", F.coalesce(F.try_divide(F.col("p2"), churn), F.lit(0.0)))
+    if recipe.threshold_rule == "best_f1":
+        thr1 = best_f1_threshold(x.withColumn("_yc", (F.col("y") > 0).cast("int")), "_yc", "_s1").first()["threshold"]
+        thr2 = 0.5
+    elif recipe.threshold_rule == "joint":
+        best = joint_threshold_search(x, "y", "_s1", "_s2").first()
+        thr1, thr2 = best["thr_s1"], best["thr_s2"]
+    else:
+        raise ValueError(recipe.threshold_rule)
+    return x.withColumn("pred", cascade_pred(F.col("_s1"), F.col("_s2"), F.lit(float(thr1)), F.lit(float(thr2)))).drop("_s1", "_s2")
+
+
+def run_catalogue(df: DataFrame, features: list[str], recipes: list[Recipe] | None = None, k: int = 3,
+                  feature_sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """The leaderboard of a catalogue, best first: ``recipe, status, macro_f1, weighted_f1``.
+
+    A recipe that fails is a row with its error and does not stop the others; recipes that
+    depend on it are skipped.  Each result is stored, so dependants read it."""
+    from ..operators.metrics import summary_f1
+    from ..session import stored
+    done: dict[str, DataFrame] = {}
+    rows = []
+    for r in recipes or CATALOGUE:
+        if any(n not in done for n in r.depends_on):
+            rows.append((r.name, "skipped", None, None))
+            continue
+        try:
+            oof = stored(run_recipe(r, df, features, k, done, feature_sets), "recipe")
+            m = summary_f1(decide(r, oof), "y", "pred").first()
+            done[r.name] = oof
+            rows.append((r.name, "ok", float(m["macro_f1"]), float(m["weighted_f1"])))
+        except Exception as e:  # one recipe's failure must not lose the others' results
+            rows.append((r.name, f"failed: {type(e).__name__}", None, None))
+    return df.sparkSession.createDataFrame(rows, "recipe string, status string, macro_f1 double, weighted_f1 double") \
+        .orderBy(F.col("macro_f1").desc_nulls_last(), "recipe")
+
+
 def tree_table(model) -> list[dict]:
     """Parse a fitted GBT or RF model into plain arrays per tree (driver-side,
     bounded by the model size): feature, threshold (or left categories), children,
@@ -452,23 +526,18 @@ def evaluate_predictions(pred: DataFrame, labels: DataFrame, pred_col: str = "pr
     return class_report(j, "y", "pred")
 
 
-def imbalance_ablation(df: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """Macro F1 of the same 3-class learner under each imbalance strategy."""
-    from ..operators.metrics import summary_f1
-    from ..operators.sampling import with_class_weight
+def imbalance_ablation(df: DataFrame, features: list[str], k: int = 3,
+                       strategies=(None, "class_weight", "smote", "smote_enn")) -> DataFrame:
+    """Macro F1 of the same two-stage recipe under each imbalance strategy, applied to
+    the training rows of each fold."""
+    from ..operators.metrics import hierarchical_to_3class, summary_f1
+    d = prepare(df, features)
     rows = []
-    for name in ("none", "class_weight"):
-        d = prepare(df, features).withColumn("y_d", F.col("y").cast("double"))
-        if name == "class_weight":
-            d = with_class_weight(d, "y", "_w")
-        parts = []
-        for f in range(k):
-            tr, va = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-            est = learner("rf", "y_d", {"numTrees": 20}, "_w" if name == "class_weight" else None)
-            pr = pipeline(features, est).fit(tr).transform(va)
-            parts.append(pr.select("y", F.col("prediction").cast("int").alias("pred")))
-        m = summary_f1(reduce(lambda a, b: a.unionByName(b), parts), "y", "pred").first()
-        rows.append((name, float(m["macro_f1"]), float(m["weighted_f1"])))
+    for s in strategies:
+        oof = two_stage_cv(d, features, "rf", "rf", k, params1={"numTrees": 20}, params2={"numTrees": 20}, sampler=s)
+        p = oof.select("y", *hierarchical_to_3class(F.col("oof_s1"), F.col("oof_s2")))
+        m = summary_f1(p.withColumn("pred", argmax3(F.col("p0"), F.col("p1"), F.col("p2"))), "y", "pred").first()
+        rows.append((s or "none", float(m["macro_f1"]), float(m["weighted_f1"])))
     return df.sparkSession.createDataFrame(rows, "strategy string, macro_f1 double, weighted_f1 double") \
         .orderBy(F.col("macro_f1").desc())
 

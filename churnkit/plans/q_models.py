@@ -73,6 +73,17 @@ def q_contrib(spark, sf_dir):
     return round_doubles(MD.linear_contributions(m, d, FEATURES))
 
 
+#: recipes of the registered leaderboard: one or two of each kind
+LEADERBOARD = ["A", "C", "N", "K", "L", "P03", "P04", "P08"]
+
+
+def q_leaderboard(spark, sf_dir):
+    """Recipes with their samplers, blends, thresholds and dependencies, one row each."""
+    d = model_input(spark, sf_dir)
+    recipes = [r for r in MD.CATALOGUE if r.name in LEADERBOARD]
+    return round_doubles(MD.run_catalogue(d, FEATURES, recipes, feature_sets={"core": FEATURES[:6]}))
+
+
 def q_tree_contrib(spark, sf_dir):
     """X1 for trees: Shapley values of a binary GBT (churn vs not), long table."""
     d = model_input(spark, sf_dir).withColumn("y", (F.col("y") > 0).cast("int"))
@@ -100,6 +111,7 @@ def q_ablation(spark, sf_dir):
 
 QUERIES = {
     "ablation_runs": q_ablation,
+    "recipe_leaderboard": q_leaderboard,
     "tree_contributions": q_tree_contrib,
     "tree_contributions_3class": q_tree_contrib_3class,
     "two_stage_cv_oof": q_two_stage,

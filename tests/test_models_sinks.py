@@ -119,6 +119,28 @@ def test_recipe_catalogue_runs(data):
         assert oof.count() == 90 and set(oof.columns) >= {"user_id", "p0", "p1", "p2"}
 
 
+def test_catalogue_isolates_failures_and_obeys_fields(data):
+    feats = ["a", "b", "c"]
+    R = MD.Recipe
+    recipes = [R("A", sampler=None), R("N", sampler=None, threshold_rule="joint"), R("K", multiclass="rf"),
+               R("bad", features="nowhere"), R("after", blend=["bad"], depends_on=["bad"]),
+               R("core", features="core", multiclass="rf"), R("mix", blend=["A", "K"], depends_on=["A", "K"])]
+    out = {r["recipe"]: r for r in MD.run_catalogue(data, feats, recipes, feature_sets={"core": ["a"]}).collect()}
+    assert out["bad"]["status"] == "failed: KeyError" and out["after"]["status"] == "skipped"
+    assert all(out[n]["status"] == "ok" for n in ("A", "N", "K", "core", "mix"))
+    # low churn probabilities: the argmax never says churn, chosen thresholds do
+    low = data.sparkSession.createDataFrame([(i, i % 3, 0, 1 - c, c * (1 - v), c * v) for i in range(30)
+                                             for c, v in [((0.1, 0.3, 0.3)[i % 3], (0.5, 0.2, 0.8)[i % 3])]],
+                                            "user_id long, y int, fold int, p0 double, p1 double, p2 double")
+    right = [MD.decide(r, low).where("y = pred").count() for r in (recipes[0], recipes[1], R("E", threshold_rule="best_f1"))]
+    assert right == [10, 30, 30]
+    a, k, mix = (MD.run_recipe(r, data, feats).orderBy("user_id").collect() for r in (recipes[0], recipes[2], recipes[6]))
+    assert all(abs((x["p1"] + y["p1"]) / 2 - z["p1"]) < 1e-9 for x, y, z in zip(a, k, mix))
+    smote = MD.resample(data.withColumn("yb", (F.col("y") == 2).cast("double")), "yb", feats, "smote")
+    n = {r["yb"]: r["count"] for r in smote.groupBy("yb").count().collect()}
+    assert n[0.0] == n[1.0]
+
+
 def test_any_year_rewrite_and_user_universe(spark):
     from churnkit.functions.clean import any_year_to_2023
     df = spark.createDataFrame([("1999-05-01",), ("1067-01-02",)], "s string")
