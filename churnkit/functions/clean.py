@@ -130,10 +130,6 @@ def dedupe_first(df: DataFrame, key: str = "user_id", order: list[str] | None =
 
 
 # C19 / C20 labels ------------------------------------------------------------------
-def label_code(c) -> Column:
-    return map_lookup(cfg.LABELS, col_(c)).cast("int")
-
-
 def make_labels(df: DataFrame, y: str = "y") -> DataFrame:
     """C20: binary churn and invol-given-churn labels from the 3-class label."""
     return (df.withColumn("y_churn", (F.col(y) > 0).cast("int"))
@@ -162,8 +158,3 @@ def align_columns(df: DataFrame, columns: list[str], key: str = "user_id") -> Da
     """Missing model columns -> 0, reordered to training order."""
     have = set(df.columns)
     return df.select(key, *[F.col(c) if c in have else F.lit(0.0).alias(c) for c in columns])
-
-
-def top_n_encode(c, top, fill_na="unknown") -> Column:
-    """C14."""
-    return encode_top_n(c, top, fill_na)

@@ -46,20 +46,11 @@ def frac_days(later, earlier) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(float(US_PER_DAY))
 
 
-def hours_between(later, earlier) -> Column:
-    return (micros(later) - micros(earlier)) / F.lit(float(US_PER_HOUR))
-
-
 def safe_div(a, b) -> Column:
     """a / b with NULL or zero denominator -> 0 (and NULL numerator -> 0)."""
     return F.coalesce(F.try_divide(col_(a), F.nullif(col_(b), F.lit(0))), F.lit(0.0))
 
 
-def ratio(a, b) -> Column:
-    """a / b, NULL when b is NULL or 0 (plain division without the fill)."""
-    return F.try_divide(col_(a), F.nullif(col_(b), F.lit(0)))
-
-
 def nullif_zero(c) -> Column:
     return F.nullif(col_(c), F.lit(0))
 
@@ -92,25 +83,6 @@ def encode_top_n(c, top_values, fill_na: str = "unknown") -> Column:
     return F.when(v.isin(allowed), v).otherwise(F.lit("other"))
 
 
-def first_by_order(value: Column, *order: Column) -> Column:
-    """Value of the first row by ``order`` among rows where value is not NULL.
-
-    ``min`` over a struct is a plain partial aggregate, so it is safe for
-    hot groups (no per-group buffering)."""
-    s = F.struct(*order, value.alias("v"))
-    return F.min(F.when(value.isNotNull(), s)).getField("v")
-
-
-def last_by_order(value: Column, *order: Column) -> Column:
-    s = F.struct(*order, value.alias("v"))
-    return F.max(F.when(value.isNotNull(), s)).getField("v")
-
-
-def time_order(ts, tie) -> list[Column]:
-    """Sort key with NULL times last (pandas ``sort_values``) and a row id tie-break."""
-    return [col_(ts).isNull().alias("_tnull"), col_(ts).alias("_t"), col_(tie).alias("_id")]
-
-
 def round_doubles(df, scale: int = 6):
     """Round every double column (report projection used by registered queries)."""
     out = []
@@ -126,8 +98,3 @@ def clip_lower(x, lo) -> Column:
     """``Series.clip(lower=lo)``: NULL stays NULL (``greatest`` would skip it)."""
     x = col_(x)
     return F.when(x.isNotNull(), F.greatest(x, F.lit(lo) if not isinstance(lo, Column) else lo))
-
-
-def clip_upper(x, hi) -> Column:
-    x = col_(x)
-    return F.when(x.isNotNull(), F.least(x, F.lit(hi) if not isinstance(hi, Column) else hi))

@@ -153,7 +153,3 @@ def load_oof(spark: SparkSession, path: str, run: str) -> DataFrame:
 def write_predictions(df: DataFrame, path: str, label_col: str = "predicted_label") -> None:
     """Two-column prediction CSV."""
     df.select("user_id", label_col).write.mode("overwrite").option("header", True).csv(path)
-
-
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)
