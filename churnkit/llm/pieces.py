@@ -118,22 +118,27 @@ class Memo:
         self.chunks: dict = {}
         self.segments: dict = dict(seed)
 
+    def known(self, segments: list[str]) -> list:
+        """Values of segments; unknown ones are merged in one call."""
+        if len(self.segments) > self.limit + len(self.seed):
+            self.segments = dict(self.seed)
+        rest = list({s for s in segments if s not in self.segments})
+        if rest:
+            self.segments.update(zip(rest, self.merge(rest)))
+        return list(map(self.segments.__getitem__, segments))
+
     def values(self, texts: list[list[str]]) -> list[list]:
         """For each list of chunks the list of their values."""
         if len(self.chunks) > self.limit:
             self.chunks = {}
-        if len(self.segments) > self.limit + len(self.seed):
-            self.segments = dict(self.seed)
         got = [list(map(self.chunks.get, chunks)) for chunks in texts]
         open_ = [k for k, values in enumerate(got) if None in values]
         new = {c for k in open_ for c, v in zip(texts[k], got[k]) if v is None}
         if new:
             parts = {c: self.split(c) for c in new}
-            rest = list({s for p in parts.values() for s in p if s not in self.segments})
-            if rest:
-                self.segments.update(zip(rest, self.merge(rest)))
-            known = self.segments.__getitem__
-            self.chunks.update({c: self.join(map(known, p)) for c, p in parts.items()})
+            self.known([s for p in parts.values() for s in p])
+            value = self.segments.__getitem__
+            self.chunks.update({c: self.join(map(value, p)) for c, p in parts.items()})
             for k in open_:
                 got[k] = list(map(self.chunks.__getitem__, texts[k]))
         return got

@@ -145,7 +145,7 @@ def _memo(model_path: str) -> Memo:
         _MEMOS[model_path] = Memo(
             {s: np.array([i], dtype="<i4").tobytes() for s, i in lat.proof.whole.items()},
             lambda c: lat.pattern.findall(" " + c),
-            lambda rest: (np.array(x, dtype="<i4").tobytes() for x in alone_many(lat.sp, rest)), b"".join)
+            lambda rest: (np.array(x, dtype="<i4").tobytes() for x in alone_many(lat.sp, rest)), b"".join, limit=150_000)
     return _MEMOS[model_path]
 
 
@@ -153,10 +153,7 @@ def _between(model_path: str, text: str) -> bytes:
     """Ids of a stretch between two cuts."""
     lat, memo = lattice(model_path), _memo(model_path)
     parts = lat.pattern.findall(text.replace(MARK, " "))
-    rest = [p for p in set(parts) if p not in memo.segments]
-    if rest:
-        memo.segments.update(zip(rest, memo.merge(rest)))
-    return b"".join(map(memo.segments.__getitem__, parts))
+    return b"".join(memo.known(parts))
 
 
 class Chunk:
@@ -337,7 +334,7 @@ def encode(docs: DataFrame, model_path: str, size: int = 32_768, fan: int = 64,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        for b in batches(it, 1024):
+        for b in batches(it):
             ids = _memo(model_path).texts(b.column(1).to_pylist(), chunks_of)
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
