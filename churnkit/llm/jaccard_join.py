@@ -149,7 +149,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                                              names=["cid", "tokens"])
 
-    return texts.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"])
+    # a row that is there twice gives its set twice; the consumers take the first
+    return texts.mapInArrow(run, "cid long, tokens array<long>")
 
 
 def _groups(it, keys: int):
@@ -233,6 +234,9 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
     """``cid, links, root``: per block pair each class's links (rows of linked classes) and its forest root."""
     def run(it):
         for b in _groups(it, 3):
+            cid = b.column(4).to_numpy()
+            if (cid[1:] == cid[:-1]).any():
+                b = b.take(pa.array(np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])))
             m = b.num_rows
             row, entry = _lists(b.column(7))
             size = np.bincount(row, minlength=m)
@@ -263,7 +267,8 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
 def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, branching: float = 4.0, leaf: int = 64,
                     depth: int = 4, dense: float = 0.3, recall: float = 0.99999, block: int = 1024, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): ``doc_id, c1, c2, n`` per row, and per class its ``rep`` row, ``rows``,
-    ``links`` to rows of other classes and component ``root`` (a class number ``cid``)."""
+    ``links`` to rows of other classes and component ``root`` (a class number ``cid``).
+    Rows also have ``th``, a hash of their text; ``rep`` and ``rep_th`` name a class's first row."""
     text = text_of(docs, text_col)
     src = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
     runs = runs_for(recall, threshold, branching)
@@ -306,7 +311,7 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cid, least, child)],
                                                      names=["cid", "g", "path"])
 
-        level = written(big.select("cid", "g", "paths", "tokens").mapInArrow(split, "cid long, g long, path long"), "join-level")
+        level = written(big.select("cid", "g", "paths", "tokens").mapInArrow(split, "cid long, g long, path long").distinct(), "join-level")
 
     met = leaves[0].select("path", "cid", "size")
     for x in leaves[1:]:
@@ -326,11 +331,11 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
     found = written(_links(owned.join(sets, "cid"), threshold, n), "join-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    out = (classes.select(*key, "cid", "doc_id", "rows", "n").join(links, "cid", "left")
+    out = (classes.select(*key, "cid", "doc_id", "th", "rows", "n").join(links, "cid", "left")
            .join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-           .select(*key, "cid", F.col("doc_id").alias("rep"), "rows", "n", F.coalesce("links", F.lit(0)).alias("links"),
+           .select(*key, "cid", F.col("doc_id").alias("rep"), F.col("th").alias("rep_th"), "rows", "n", F.coalesce("links", F.lit(0)).alias("links"),
                    F.coalesce("root", "cid").alias("root")))
-    return rows.select("doc_id", *key, "n"), written(out, "join-classes-out")
+    return rows.select("doc_id", "th", *key, "n"), written(out, "join-classes-out")
 
 
 def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
@@ -339,30 +344,35 @@ def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
     heads = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
     per_class = classes.join(heads, "root").select("c1", "c2", "class_id", "n",
                                                    (F.col("rows") - 1 + F.col("links")).alias("n_links"))
-    out = rows.drop("n").join(per_class, ["c1", "c2"])
+    out = rows.drop("n", "th").join(per_class, ["c1", "c2"])
     empty = F.col("n") == 0
     return out.select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's; texts without words all stay.
+def one_of_each(docs: DataFrame, text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """``docs`` with one row of each component: the first row of the smallest doc_id; texts without words all stay.
 
-    Rows outside any group pass without a shuffle by key.
+    The rows to leave out are named by doc_id and text hash; up to ``broadcast_rows`` of them
+    go to every task, so that no text is shuffled, more are joined by shuffle.
     """
     rows, classes = similar_classes(docs, text_col=text_col, **options)
-    multi = classes.groupBy("root").agg(F.sum("rows").alias("__all"), F.min("rep").alias("__keep"))
-    grouped = (classes.where("n > 0").join(multi.where("__all > 1"), "root")
-               .withColumn("__stay", F.col("rep").eqNullSafe(F.col("__keep")))
-               .select(F.col("c1").alias("__c1"), F.col("c2").alias("__c2"), "__keep", "__stay"))
-    width = options.get("width", 5)
-
-    @F.pandas_udf("__c1 long, __c2 long")
-    def keys(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([class_key(tokens_of(t, width)) for t in s], columns=["__c1", "__c2"])
-
-    keyed = docs.withColumn("__k", keys(text_of(docs, text_col))).withColumns({"__c1": F.col("__k.__c1"), "__c2": F.col("__k.__c2")}).drop("__k")
-    out = keyed.join(grouped, ["__c1", "__c2"], "left")
-    single = out.where("__stay is null")
-    kept = out.where(F.col("__stay") & F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__c1", "__c2"])
-    return single.unionByName(kept).select(*docs.columns)
+    first = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "rep_th")).alias("f")
+    keep = classes.where("n > 0").groupBy("root").agg(first).select(F.col("f.rep").alias("doc_id"), F.col("f.rep_th").alias("th"))
+    per = rows.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
+
+    def same(a, b, id_col="doc_id", th_col="th"):
+        return a["doc_id"].eqNullSafe(b[id_col]) & (a["th"] == b[th_col])
+
+    gone = per.join(keep, same(per, keep), "left_anti")
+    twice = per.where("times > 1").join(keep, same(per, keep), "left_semi")
+    name = lambda df, what: written(df.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), what)
+    gone, twice = name(gone, "join-gone"), name(twice, "join-twice")
+    sized = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    out = docs.withColumn("__h", F.xxhash64(text_of(docs, text_col)))
+    at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    out = out.join(sized(gone), at, "left_anti")
+    if not twice.isEmpty():
+        again = sized(twice)
+        out = out.join(again, at, "left_anti").unionByName(out.join(again, at, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    return out.select(*docs.columns)
