@@ -59,7 +59,7 @@ def tokens_of(text: str, width: int = 5) -> np.ndarray:
     words = _WORDS.findall(text.lower())
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_WORD_HASHES) > 1_000_000:
+    if len(_WORD_HASHES) > 200_000:
         _WORD_HASHES.clear()
     h = list(map(_WORD_HASHES.get, words))
     if None in h:

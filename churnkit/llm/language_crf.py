@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -212,7 +213,7 @@ def expected_words(rows: np.ndarray, lengths: np.ndarray, table: np.ndarray, mod
 class Tagger:
     """Predicts documents; keeps the emissions of known words in one table (bounded)."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         self._reset()
 
@@ -237,7 +238,7 @@ class Tagger:
             self.table[n:n + len(new)] = e
         self.rows.update(zip(new, range(n, n + len(new))))
 
-    def predict(self, texts, at_once: int = 400_000) -> list[tuple[str, float]]:
+    def predict(self, texts, at_once: int = 200_000) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         held: list[list[str]] = []
 
@@ -264,9 +265,6 @@ class Tagger:
         return out
 
 
-_TAGGERS: dict[int, Tagger] = {}
-
-
 def training_windows(docs: DataFrame, text_col: str, lang_col: str, per_language: int, window: int,
                      train: Column) -> list[tuple[str, list[str]]]:
     """At most ``per_language`` windows of each language, drawn by the hash of doc_id.
@@ -311,14 +309,11 @@ def predict(text: Column, model: Model | None, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(s: pd.Series) -> pd.DataFrame:
-        if shared.value is None:
-            return pd.DataFrame({"lang_pred": ["und"] * len(s), "score": 0.0})
-        key = id(shared.value)
-        if key not in _TAGGERS:
-            _TAGGERS.clear()
-            _TAGGERS[key] = Tagger(shared.value)
-        return pd.DataFrame(_TAGGERS[key].predict(s), columns=["lang_pred", "score"])
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(shared.value) if shared.value is not None else None  # ends with the task
+        for s in it:
+            found = tagger.predict(s) if tagger else [("und", 0.0)] * len(s)
+            yield pd.DataFrame(found, columns=["lang_pred", "score"]).astype({"score": "float64"})
 
     return run(text)
 

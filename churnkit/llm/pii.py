@@ -161,7 +161,7 @@ def _script(s: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def surrogate(kind: str, key: str, gender: str, attempt: int, secret: bytes) -> str:
     """Canonical form of the surrogate; never the entity itself."""
     for again in range(attempt * 1000, attempt * 1000 + 1000):
