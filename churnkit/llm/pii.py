@@ -9,7 +9,8 @@
    gender that the title tells.
 3. *Check*: over all distinct entities of the corpus, two that share a surrogate, or one
    whose surrogate is itself an entity, are found by aggregates; all but the first
-   draw again (a further attempt enters the key) until none is left.
+   draw again (a further attempt enters the key) until none is left.  The domain grows with the
+   attempt (more syllables, letters or digits; freed octets), so small ones cannot run out.
 4. *Apply*: texts are rewritten in one map.  Only entities on a further attempt need to be
    told; up to ``broadcast_rows`` of them go to every task, more are joined to their rows.
 
@@ -21,6 +22,7 @@ scanned whole; empty tables give no rows; all other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from functools import lru_cache
 
@@ -164,51 +166,79 @@ def _script(s: str) -> str:
 @lru_cache(maxsize=20_000)
 def surrogate(kind: str, key: str, gender: str, attempt: int, secret: bytes) -> str:
     """Canonical form of the surrogate; never the entity itself."""
-    for again in range(attempt * 1000, attempt * 1000 + 1000):
-        r = Stream(secret, kind, key, again)
+    for level in itertools.count(attempt):
+        r = Stream(secret, kind, key, attempt * 1000 + level - attempt)
         if kind == "name":
             script = _script(key)
             parts = [GIVEN[script, gender or "n"][r.below(len(GIVEN[script, gender or "n"]))]] if " " in key else []
             while len(parts) < max(1, key.count(" ") + 1):
-                family = "".join(SYLLABLES[script][r.below(16)] for _ in range(2 + r.below(2)))
+                family = "".join(SYLLABLES[script][r.below(16)] for _ in range(2 + level + r.below(2)))
                 parts.append(family.capitalize())
             out = " ".join(parts)
         elif kind == "ip":
-            a, b = map(int, key.split(".")[:2])
-            private = a == 10 or (a, b) == (192, 168) or a == 172 and 16 <= b < 32
-            head = [a, b] if private and a != 10 else [10] if a == 10 else [1 + r.below(9) if a < 10 else 11 + r.below(89) if a < 100 else 128 + r.below(40) if a < 200 else 200 + r.below(24)]
-            old = list(map(int, key.split(".")))
-            for x in old[len(head):]:  # as many digits as before
-                lo, hi = (0, 10) if x < 10 else (10, 100) if x < 100 else (100, 256)
-                head.append(lo + r.below(hi - lo))
-            out = ".".join(map(str, head))
+            out = _address(key, level, r)
         elif kind == "email":
             local, _, host = key.partition("@")
             labels = host.split(".")
             keep = 2 if labels[-2] == "example" else 1
             new = [_like(x, r) for x in labels[:len(labels) - keep]] if keep == 2 else ["example"]
-            out = _like(local, r) + "@" + ".".join(new + labels[len(labels) - keep:])
+            out = _like(local, r) + _more(level - 1, r, 36) + "@" + ".".join(new + labels[len(labels) - keep:])
         elif kind == "iban":
-            body = "".join(_like_char(c, r) for c in key[4:])
+            body = "".join(_like_char(c, r) if level < 6 else _ALNUM[r.below(36)].upper() for c in key[4:])
             out = f"{key[:2]}{98 - iban_rest(key[:2] + '00' + body):02d}{body}"
         elif kind == "card":
             body = key[0] + "".join(str(r.below(10)) for _ in key[1:-1])
             out = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-        elif kind == "ssn":
-            out = f"9{r.below(100):02d}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
+        elif kind == "ssn":  # areas from 900 are never given out; the others follow when these run short
+            area = 900 + r.below(100) if level < 6 else (1 + r.below(899))
+            out = f"{area + (area == 666):03d}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
         elif kind == "phone":
             sign, digits = ("+", key[1:]) if key[0] == "+" else ("", key)
             keep = 1 if digits[0] in "17" else 2  # the country code stays
             keep = keep if sign else 0
-            out = sign + digits[:keep] + "".join(str(r.below(10)) for _ in digits[keep:])
+            out = sign + digits[:keep] + "".join(str(r.below(10)) for _ in digits[keep:]) + _more(min(level - 3, 15 - len(digits)), r, 10)
         elif re.fullmatch("[0-9a-f]+", key):
-            out = "".join("0123456789abcdef"[r.below(16)] for _ in key)
+            out = "".join("0123456789abcdef"[r.below(16)] for _ in key) + _more(level - 4, r, 16)
         else:
             head = re.match(r"(?:[a-z]{2,4}[-_]|AKIA|xox[abprs]-)?", key)[0]
-            out = head + "".join(_like_char(c, r) for c in key[len(head):])
-        if out != key:
+            out = head + "".join(_free_char(c, level, r) for c in key[len(head):]) + _more(level - 4, r, 62)
+        if out != key and canonical(kind, out) == out:
             return out
-    return out
+
+
+_ALNUM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _more(n: int, r: Stream, below: int) -> str:
+    """``n`` further characters (none if negative) out of the first ``below`` of digits and letters."""
+    return "".join(_ALNUM[r.below(below)] for _ in range(n))
+
+
+def _free_char(c: str, level: int, r: Stream) -> str:
+    """Like ``c``; letters without a like become digits or letters, from the first level on other signs too."""
+    new = _like_char(c, r)
+    if new == c and not re.match("[0-9A-Za-zа-яА-Я]", c) and (level or c.isalnum()):
+        return _ALNUM[r.below(62)]
+    return new
+
+
+def _address(key: str, level: int, r: Stream) -> str:
+    """An address of the same block and digit counts; from level 2 on the octets behind the block are free,
+    from 6 on private ones come from 10.0.0.0/8 and others from every first octet, from 12 on all do."""
+    old = list(map(int, key.split(".")))
+    a, b = old[:2]
+    private = a == 10 or (a, b) == (192, 168) or a == 172 and 16 <= b < 32
+    if level >= 6:
+        first = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
+        head = [10] if private and level < 12 else [first[r.below(len(first))]]
+    elif private:
+        head = [10] if a == 10 else [a, b]
+    else:
+        head = [1 + r.below(9) if a < 10 else 11 + r.below(89) if a < 100 else 128 + r.below(40) if a < 200 else 200 + r.below(24)]
+    for x in old[len(head):]:  # as many digits as before
+        lo, hi = (0, 256) if level >= 2 else (0, 10) if x < 10 else (10, 100) if x < 100 else (100, 256)
+        head.append(lo + r.below(hi - lo))
+    return ".".join(map(str, head))
 
 
 def _like_char(c: str, r: Stream) -> str:
@@ -226,12 +256,12 @@ def in_format(kind: str, mention: str, value: str) -> str:
     """The surrogate's canonical form with the mention's separators and letter case."""
     if kind in ("card", "ssn", "phone", "iban"):
         it = iter(value.lstrip("+"))
-        return "".join(next(it, "") if c.isalnum() else c for c in mention)
+        return "".join(next(it, "") if c.isalnum() else c for c in mention) + "".join(it)
     if kind == "email":
         local, at, host = mention.partition("@")
         new_local, _, new_host = value.partition("@")
         return _cased(local, new_local) + at + _cased(host, new_host)
-    if kind == "secret" and mention.isupper():
+    if kind == "secret" and mention.isupper() and re.fullmatch("[0-9A-F]+", mention):
         return value.upper()
     return value
 
@@ -268,7 +298,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_of(docs, text_col)).mapInArrow(run, _ENTITY).distinct()
 
 
-def assign(found: DataFrame, secret: bytes, max_rounds: int = 50) -> DataFrame:
+def assign(found: DataFrame, secret: bytes) -> DataFrame:
     """``kind, key, gender, attempt, value`` with distinct values, none of which is an entity."""
     @F.pandas_udf("string")
     def value(kind: pd.Series, key: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -276,7 +306,7 @@ def assign(found: DataFrame, secret: bytes, max_rounds: int = 50) -> DataFrame:
 
     real = found.select("kind", F.col("key").alias("value")).distinct()
     table = written(found.withColumn("attempt", F.lit(0)).withColumn("value", value("kind", "key", "gender", "attempt")), "pii-values")
-    for _ in range(max_rounds):
+    while True:
         # of those with one value, the entity that came to it first (fewest attempts) stays
         owner = table.groupBy("kind", "value").agg(F.min(F.struct("attempt", "key", "gender")).alias("o"))
         clash = table.join(real.withColumn("__real", F.lit(True)), ["kind", "value"], "left").join(owner, ["kind", "value"])
@@ -287,7 +317,6 @@ def assign(found: DataFrame, secret: bytes, max_rounds: int = 50) -> DataFrame:
         table = written(marked.where("not again").drop("again").unionByName(
             marked.where("again").withColumn("attempt", F.col("attempt") + 1).drop("again", "value")
             .withColumn("value", value("kind", "key", "gender", "attempt"))), "pii-values")
-    raise RuntimeError("surrogates still collide; their domain is too small for the entities")
 
 
 def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:

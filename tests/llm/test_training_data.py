@@ -163,6 +163,21 @@ def test_surrogates_are_distinct_and_coreferent(spark):
             seen[r.doc_id] = a
 
 
+def test_surrogates_settle_in_small_domains(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Mr {x}" for x in sorted({a.upper() + b + c + d for a in letters for b in "aeiou" for c in letters for d in "aeiou"})[:10_000]]
+    small = [f"{a}@{b}.org" for a in letters[:10] for b in ("one", "two", "three", "four", "five")]
+    texts = names + [f"at 192.168.{a}.{b} now" for a in range(10) for b in range(10)] + small + ['password = "********"', 'password = "--------"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = pii.assign(pii.entities(df), KEY).toPandas()
+    assert table.groupby("kind").size().to_dict() == {"name": 10_000, "ip": 100, "email": 50, "secret": 2}
+    for _, own in table.groupby("kind"):
+        assert own.value.nunique() == len(own) and not set(own.value) & set(own.key)
+    assert all(x.startswith("192.168.") for x in table.value[table.kind == "ip"])
+    new = [r["__pii"].text for r in pii.replace_pii(df, KEY).collect()]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+
+
 def test_surrogates_on_edge_rows(edges, none):
     out = pii.with_surrogates(edges, KEY)
     assert out.columns == edges.columns and rows_of(out.drop("n_chars"), "doc_id", "text") == rows_of(edges, "doc_id", "text")
