@@ -1,18 +1,19 @@
 """Replacement of personal data by keyed, type-consistent surrogates.
 
 1. *Detect*: e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), IBANs (mod 97),
-   US social security numbers, secrets (long hexadecimal, well-known key prefixes, assigned tokens) and
-   person names behind a title.
+   US social security numbers, secrets (long hexadecimal, well-known key prefixes, assigned tokens),
+   person names behind one or more titles and further mentions of these names in the same text.
 2. *Assign*: an entity's canonical form (case, separators and formatting removed) and a secret key
    determine its surrogate, so all its mentions, in every document and format, get the same one.
-   Surrogates keep kind, script, letter case, digit places, separators, checksums and, for names, the
-   gender that the title tells.
+   Surrogates keep kind, script, letter case, digit places, separators, checksums and, for names of
+   several words, the gender that the titles of all mentions in the corpus tell (neutral if none or both).
 3. *Check*: over all distinct entities of the corpus, two that share a surrogate, or one
    whose surrogate is itself an entity, are found by aggregates; all but the first
    draw again (a further attempt enters the key) until none is left.  The domain grows with the
    attempt (more syllables, letters or digits; freed octets), so small ones cannot run out.
-4. *Apply*: texts are rewritten in one map.  Only entities on a further attempt need to be
-   told; up to ``broadcast_rows`` of them go to every task, more are joined to their rows.
+4. *Apply*: texts are rewritten in one map.  Only entities on a further attempt, or whose gender
+   differs between texts, need to be told; up to ``broadcast_rows`` of them go to every task, more
+   are joined to their rows.
 
 Edge cases: null texts stay null, empty ones empty; overlapping finds go to the one that
 starts first, then the longer; repeated rows are rewritten alike; very long texts are
@@ -57,23 +58,31 @@ SYLLABLES = {
 }
 _CAP = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁΆ-Ώ][a-zà-öø-ÿßα-ωά-ώа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zà-öø-ÿßα-ωά-ώа-яё]+)?"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_ASSIGN = r"(?i:(?<![A-Za-z0-9])(?:token|secret|passwd|password|api_?key)[\"']?\s*[=:]\s*)"
+_ENDS = r"\s\"'=:,;&(){}\[\]<>"
 _PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:[spr]k[-_][A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9\-]{10,})(?![A-Za-z0-9])",
-    "assigned": r"(?i:(?<![A-Za-z0-9_])(?:token|secret|passwd|password|api_?key)\s*[=:]\s*[\"'])(?P<value>[^\s\"']{8,200})(?=[\"'])",
+    "assigned": rf"{_ASSIGN}[\"'](?P<value>[^\s\"']{{8,}})(?=[\"'])",
+    # without quotes: directly behind =, or with a digit
+    "bare": rf"{_ASSIGN}(?:(?<==)|(?=[^{_ENDS}]*\d))(?P<value>[^{_ENDS}]{{8,}}+=*+)(?![(\[{{<\"'])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)",
     "ssn": r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": rf"(?<!\w)(?P<title>{_TITLE})\.?[ \t](?P<person>{_CAP}(?: {_CAP}){{0,2}})",
+    "name": rf"(?<!\w)(?P<title>(?:(?:{_TITLE})\.?[ \t]+){{1,6}})(?P<person>(?!(?:{_TITLE})\b){_CAP}(?: {_CAP}){{0,2}})",
 }
 _FIND = {k: re.compile(p) for k, p in _PATTERNS.items()}
 _TITLES = [t for ts in TITLES.values() for t in ts]
+_GENDER = {t: g for g in "mf" for t in TITLES[g]}
+_RUN = re.compile(rf"(?<!\w){_CAP}(?!\w)(?:\s{_CAP}(?!\w))*")
+_KEY_WORD = re.compile(r"(?i)token|secret|passw|api_?key")
 #: a pattern is tried only on texts that hold what every match of it holds
 _NEEDS = {
-    "email": lambda t, d: "@" in t, "assigned": lambda t, d: ('"' in t or "'" in t) and ("=" in t or ":" in t),
+    "email": lambda t, d: "@" in t,
+    **dict.fromkeys(("assigned", "bare"), lambda t, d: ("=" in t or ":" in t) and _KEY_WORD.search(t) is not None),
     "key": lambda t, d: "_" in t or "AKIA" in t or any(x in t for x in ("sk-", "pk-", "rk-", "xox")),
     "name": lambda t, d: any(x in t for x in _TITLES),
     # 32 hexadecimal characters without a decimal digit do not occur by chance
@@ -115,30 +124,52 @@ def valid(kind: str, key: str) -> bool:
     return kind != "phone" or 7 <= len(key.lstrip("+")) <= 15
 
 
+def mentions_of(text: str, names: set[str]) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the runs of capitalised words that are one of ``names``; longest first, apart."""
+    out = []
+    longest = max(n.count(" ") for n in names) + 1
+    for run in _RUN.finditer(text):
+        words = [(run.start() + w.start(), run.start() + w.end()) for w in re.finditer(r"\S+", run[0])]
+        i = 0
+        while i < len(words):
+            for k in range(min(longest, len(words) - i), 0, -1):
+                a, b = words[i][0], words[i + k - 1][1]
+                name = " ".join(text[x:y] for x, y in words[i:i + k])
+                if name in names:
+                    out.append((a, b, name))
+                    break
+            else:
+                k = 1
+            i += k
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, canonical form, gender of a name) of the entities, in order and apart."""
-    found = []
+    """(start, end, kind, canonical form, genders that titles in the text tell) of the entities, in order and apart."""
+    found, told = [], {}
     digits = _DIGIT.search(text) is not None
     for kind, pattern in _FIND.items():
         if not _NEEDS[kind](text, digits):
             continue
-        group = {"assigned": "value", "name": "person"}.get(kind, 0)
-        kind = "secret" if kind in ("key", "assigned") else kind
+        group = {"assigned": "value", "bare": "value", "name": "person"}.get(kind, 0)
+        kind = "secret" if kind in ("key", "assigned", "bare") else kind
         m = pattern.search(text)
         while m:
             a, b = m.span(group)
-            key, gender = canonical(kind, m[group]), ""
+            key = canonical(kind, m[group])
             if valid(kind, key):
                 if kind == "name":
-                    gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
-                found.append((a, -b, kind, key, gender))
+                    told.setdefault(key, set()).update(_GENDER[t] for t in re.split(r"[.\s]+", m["title"]) if t in _GENDER and " " in key)
+                found.append((a, -b, kind, key))
                 m = pattern.search(text, m.end())
             else:  # another match may begin within this one
                 m = pattern.search(text, m.start() + 1)
+    if told:
+        found += [(a, -b, "name", key) for a, b, key in mentions_of(text, told.keys())]
     out, end = [], 0
-    for a, b, kind, key, gender in sorted(found):
+    for a, b, kind, key in sorted(found):
         if a >= end:
-            out.append((a, -b, kind, key, gender))
+            out.append((a, -b, kind, key, "".join(sorted(told[key])) if kind == "name" else ""))
             end = -b
     return out
 
@@ -170,7 +201,8 @@ def surrogate(kind: str, key: str, gender: str, attempt: int, secret: bytes) ->
         r = Stream(secret, kind, key, attempt * 1000 + level - attempt)
         if kind == "name":
             script = _script(key)
-            parts = [GIVEN[script, gender or "n"][r.below(len(GIVEN[script, gender or "n"]))]] if " " in key else []
+            given = GIVEN[script, gender if gender in ("m", "f") else "n"]
+            parts = [given[r.below(len(given))]] if " " in key else []
             while len(parts) < max(1, key.count(" ") + 1):
                 family = "".join(SYLLABLES[script][r.below(16)] for _ in range(2 + level + r.below(2)))
                 parts.append(family.capitalize())
@@ -261,6 +293,9 @@ def in_format(kind: str, mention: str, value: str) -> str:
         local, at, host = mention.partition("@")
         new_local, _, new_host = value.partition("@")
         return _cased(local, new_local) + at + _cased(host, new_host)
+    if kind == "name":
+        it = iter(value.split())
+        return re.sub(r"\S+", lambda _: next(it), mention)
     if kind == "secret" and mention.isupper() and re.fullmatch("[0-9A-F]+", mention):
         return value.upper()
     return value
@@ -272,46 +307,48 @@ def _cased(old: str, new: str) -> str:
     return new if len(old) != len(new) else "".join(b.upper() if a.isupper() else b for a, b in zip(old, new))
 
 
-def rewrite(text: str, attempts, secret: bytes) -> tuple[str, int, str]:
-    """Text with surrogates, number of entities, and their kinds (sorted, comma separated)."""
+def rewrite(text: str, told, secret: bytes) -> tuple[str, int, str]:
+    """Text with surrogates, number of entities, and their kinds (sorted, comma separated).
+
+    ``told`` has (attempt, gender) by (kind, canonical form) where they differ from what the text tells."""
     parts, pos, kinds = [], 0, set()
     found = detect(text)
     for a, b, kind, key, gender in found:
-        value = surrogate(kind, key, gender, attempts.get((kind, key, gender), 0), secret)
+        attempt, gender = told.get((kind, key), (0, gender))
+        value = surrogate(kind, key, gender, attempt, secret)
         parts += [text[pos:a], in_format(kind, text[a:b], value)]
         pos = b
         kinds.add(kind)
     return ("".join([*parts, text[pos:]]) if parts else text), len(found), ",".join(sorted(kinds))
 
 
-_ENTITY = "kind string, key string, gender string"
-
-
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct ``kind, key, gender`` of the whole corpus."""
+    """``kind, key, gender, mixed`` of each entity of the corpus: the genders that any title tells, and whether texts differ."""
     def run(it):
         for b in batches(it, 2048):
             found = {x[2:] for t in b.column(0).to_pylist() for x in detect(t)}
             kind, key, gender = zip(*found) if found else ([],) * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kind, key, gender)], names=["kind", "key", "gender"])
 
-    return docs.select(text_of(docs, text_col)).mapInArrow(run, _ENTITY).distinct()
+    any_of = lambda g: F.when(F.max(F.col("gender").contains(g)), F.lit(g)).otherwise("")
+    return (docs.select(text_of(docs, text_col)).mapInArrow(run, "kind string, key string, gender string").groupBy("kind", "key")
+            .agg(F.concat(any_of("f"), any_of("m")).alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
 
 
 def assign(found: DataFrame, secret: bytes) -> DataFrame:
-    """``kind, key, gender, attempt, value`` with distinct values, none of which is an entity."""
+    """``kind, key, gender, mixed, attempt, value`` with distinct values, none of which is an entity."""
     @F.pandas_udf("string")
     def value(kind: pd.Series, key: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(*x, secret) for x in zip(kind, key, gender, attempt)], dtype=object)
 
-    real = found.select("kind", F.col("key").alias("value")).distinct()
+    real = found.select("kind", F.col("key").alias("value"))
     table = written(found.withColumn("attempt", F.lit(0)).withColumn("value", value("kind", "key", "gender", "attempt")), "pii-values")
     while True:
         # of those with one value, the entity that came to it first (fewest attempts) stays
-        owner = table.groupBy("kind", "value").agg(F.min(F.struct("attempt", "key", "gender")).alias("o"))
+        owner = table.groupBy("kind", "value").agg(F.min(F.struct("attempt", "key")).alias("o"))
         clash = table.join(real.withColumn("__real", F.lit(True)), ["kind", "value"], "left").join(owner, ["kind", "value"])
-        again = F.col("__real").isNotNull() | (F.struct("attempt", "key", "gender") != F.col("o"))
-        marked = written(clash.select("kind", "key", "gender", "attempt", "value", again.alias("again")), "pii-marked")
+        again = F.col("__real").isNotNull() | (F.struct("attempt", "key") != F.col("o"))
+        marked = written(clash.select(*table.columns, again.alias("again")), "pii-marked")
         if marked.where("again").isEmpty():
             return marked.drop("again")
         table = written(marked.where("not again").drop("again").unionByName(
@@ -323,11 +360,11 @@ def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text", broadcas
     """``docs`` with a struct ``__pii(text, n_entities, kinds)``."""
     spark = docs.sparkSession
     table = assign(written(entities(docs, text_col), "pii-entities"), secret)
-    redrawn = written(table.where("attempt > 0").select("kind", "key", "gender", "attempt"), "pii-redrawn")
+    redrawn = written(table.where("attempt > 0 or mixed").select("kind", "key", "gender", "attempt"), "pii-redrawn")
     out = "text string, n_entities long, kinds string"
     cols = ["text", "n_entities", "kinds"]
     if redrawn.count() <= broadcast_rows:
-        told = spark.sparkContext.broadcast({(r.kind, r.key, r.gender): r.attempt for r in redrawn.toLocalIterator()})
+        told = spark.sparkContext.broadcast({(r.kind, r.key): (r.attempt, r.gender) for r in redrawn.toLocalIterator()})
 
         @F.pandas_udf(out)
         def run(s: pd.Series) -> pd.DataFrame:
@@ -337,19 +374,19 @@ def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text", broadcas
 
     def mentions(it):
         for b in batches(it):
-            rows = {(k1, k2, *x[2:]) for t, k1, k2 in zip(*(b.column(i).to_pylist() for i in range(3))) for x in detect(t)}
-            c = list(zip(*rows)) or [[]] * 5
+            rows = {(k1, k2, *x[2:4]) for t, k1, k2 in zip(*(b.column(i).to_pylist() for i in range(3))) for x in detect(t)}
+            c = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.string()) for x in c[2:])],
-                                             names=["__k1", "__k2", "kind", "key", "gender"])
+                                             names=["__k1", "__k2", "kind", "key"])
 
     @F.pandas_udf(out)
     def run_own(s: pd.Series, own: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rewrite(t or "", {} if o is None else {(x["kind"], x["key"], x["gender"]): x["attempt"] for x in o}, secret)
+        return pd.DataFrame([rewrite(t or "", {} if o is None else {(x["kind"], x["key"]): (x["attempt"], x["gender"]) for x in o}, secret)
                              for t, o in zip(s, own)], columns=cols)
 
     keyed = docs.withColumns(dict(zip(["__k1", "__k2"], content_key(text_of(docs, text_col)))))
-    own = (keyed.select(text_of(keyed, text_col), "__k1", "__k2").mapInArrow(mentions, f"__k1 long, __k2 long, {_ENTITY}")
-           .dropDuplicates().join(redrawn, ["kind", "key", "gender"])
+    own = (keyed.select(text_of(keyed, text_col), "__k1", "__k2").mapInArrow(mentions, "__k1 long, __k2 long, kind string, key string")
+           .dropDuplicates().join(redrawn, ["kind", "key"])
            .groupBy("__k1", "__k2").agg(F.collect_list(F.struct("kind", "key", "gender", "attempt")).alias("__own")))
     return (keyed.join(own, ["__k1", "__k2"], "left").withColumn("__pii", run_own(F.col(text_col).cast("string"), "__own"))
             .drop("__k1", "__k2", "__own"))

@@ -178,6 +178,27 @@ def test_surrogates_settle_in_small_domains(spark):
     assert len(set(new)) == len(texts) and not set(new) & set(texts)
 
 
+def test_surrogates_reach_further_mentions_and_long_or_bare_values(spark):
+    clear = lambda text: pii.rewrite(text, {}, KEY)[0]
+    first, second = re.fullmatch(r"Mr (\w+ \w+) met us. (\w+\s\w+) left.", clear("Mr John Smith met us. John\nSmith left.")).groups()
+    assert first == second.replace("\n", " ") != "John Smith"
+    assert re.fullmatch(r"Herr Dr. (?!Weber)[A-Z][a-z]+ kam", clear("Herr Dr. Weber kam"))
+    value = "eyJ" + "aB3_" * 100
+    for text in (f'token = "{value}"', 'x ' + "0123456789abcdef" * 20, '{"password": "hunter2hunter2"}', "DB_PASSWORD=correcthorse", "password: horse1staple"):
+        old = re.search(r"eyJ\w+|[0-9a-f]{320}|hunter2hunter2|correcthorse|horse1staple", text)[0]
+        new, n, kinds = pii.rewrite(text, {}, KEY)
+        assert (n, kinds, len(new)) == (1, "secret", len(text)) and old not in new and old[-20:] not in new
+    for text in ("password: required", "secret = getpass.getpass()", "token:" * 9):
+        assert clear(text) == text
+    # one person, whatever the title; the gender of all mentions counts
+    texts = ["Dr Anna Weber", "Frau Anna Weber", "Mr Kim Lee", "Mrs Kim Lee", "Dr Kim Lee"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (100_000, -1):
+        new = [r["__pii"].text.split(" ", 1)[1] for r in pii.replace_pii(df, KEY, broadcast_rows=rows).orderBy("doc_id").collect()]
+        assert new[0] == new[1] and new[2] == new[3] == new[4]
+        assert new[0].split()[0] in pii.GIVEN["latin", "f"] and new[2].split()[0] in pii.GIVEN["latin", "n"]
+
+
 def test_surrogates_on_edge_rows(edges, none):
     out = pii.with_surrogates(edges, KEY)
     assert out.columns == edges.columns and rows_of(out.drop("n_chars"), "doc_id", "text") == rows_of(edges, "doc_id", "text")
