@@ -159,11 +159,12 @@ def _counts(df: DataFrame, label: str) -> dict:
 
 
 def smote(df: DataFrame, label: str, features: list[str], key: str, k: int = 5, seed: int = SEED,
-          minority=None, n_new: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+          minority=None, n_new: int | None = None, chunk_rows: int | None = None, origin: bool = False) -> DataFrame:
     """M5: SMOTE - synthetic minority rows ``x + u * (nn - x)`` with ``nn`` one of the
     k nearest minority neighbours (exact, :func:`knn.knn_exact`).  Features must be
     non-NULL (impute first).  Returns the input plus synthetic rows
     (``synthetic = 1``); by default the synthetic count balances the two classes.
+    ``origin`` adds ``base``, ``neighbour`` and ``gap`` (NULL on input rows).
 
     Synthetic row j starts from the minority row at hash rank ``j mod n_min`` and
     takes neighbour number ``hash(seed, j) mod k`` with gap ``u`` from another
@@ -176,6 +177,9 @@ def smote(df: DataFrame, label: str, features: list[str], key: str, k: int = 5,
     n_new = max(counts.values()) - n_min if n_new is None else n_new
     orig = df.select(F.col(key).cast("string").alias(key), *[F.col(f).cast("double") for f in features],
                      label).withColumn("synthetic", F.lit(0))
+    if origin:
+        orig = orig.select("*", *[F.lit(None).cast("string").alias(c) for c in ("base", "neighbour")],
+                           F.lit(None).cast("double").alias("gap"))
     if n_new <= 0 or n_min < 2:
         return orig
     kk = min(k, n_min - 1)
@@ -195,7 +199,8 @@ def smote(df: DataFrame, label: str, features: list[str], key: str, k: int = 5,
     syn = syn.select(F.concat(F.lit("syn_"), F.col("_j").cast("string")).alias(key),
                      *[(F.col(f"_b_{f}") + F.col("_u") * (F.col(f"_n_{f}") - F.col(f"_b_{f}"))).alias(f)
                        for f in features],
-                     F.lit(minority).alias(label), F.lit(1).alias("synthetic"))
+                     F.lit(minority).alias(label), F.lit(1).alias("synthetic"),
+                     *([F.col("q").alias("base"), F.col("n").alias("neighbour"), F.col("_u").alias("gap")] if origin else []))
     return orig.unionByName(syn)
 
 

@@ -35,16 +35,18 @@ def q_weights(spark, sf_dir):
 
 
 def q_smote(spark, sf_dir):
-    """M5 on the embeddings table (first 8 dimensions, label 0 as minority vs the rest)."""
+    """M5 on the embeddings table (all dimensions, label 0 as minority vs the rest): one row per point
+    with its vector; synthetic ones name their base, neighbour and gap."""
     configure(spark)
     from ..sources.fixtures import read_driver
     e = read_driver(spark, sf_dir, "embeddings")
-    feats = [f"e{i}" for i in range(8)]
-    d = e.select(F.col("vec_id").cast("string").alias("vec_id"), *[F.col("embedding")[i].cast("double").alias(f)
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    feats = [f"e{i}" for i in range(width)]
+    d = e.select(F.col("vec_id").cast("string").alias("vec_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f)
                                                                      for i, f in enumerate(feats)],
                  (F.col("label") == 0).cast("int").alias("y"))
-    out = S.smote(d, "y", feats, "vec_id", k=5)
-    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    out = S.smote(d, "y", feats, "vec_id", k=5, origin=True)
+    return out.select("vec_id", "y", "synthetic", "base", "neighbour", "gap", F.array(*feats).alias("vector"))
 
 
 QUERIES = {

@@ -101,6 +101,24 @@ def test_smote_balances_and_stays_in_hull(spark):
     assert 100.0 <= syn[0] <= syn[1] <= 104.0 and syn[2] == syn[3] == 50.0
 
 
+def test_smote_query_interpolates_to_true_neighbours_in_all_dimensions(spark):
+    import numpy as np
+    from churnkit.plans.q_sampling import q_smote
+    from churnkit.sources.fixtures import read_driver
+    SF = "/root/testdata/sf0.001"
+    given = {str(r["vec_id"]): (r["label"], np.array(r["embedding"], dtype=float)) for r in read_driver(spark, SF, "embeddings").collect()}
+    minority = {k: v for k, (label, v) in given.items() if label == 0}
+    rows = q_smote(spark, SF).collect()
+    old, new = [r for r in rows if not r["synthetic"]], [r for r in rows if r["synthetic"]]
+    assert {r["vec_id"]: list(r["vector"]) for r in old} == {k: list(v) for k, (_, v) in given.items()}
+    assert len(new) == len(given) - 2 * len(minority) and len({r["vec_id"] for r in new}) == len(new)
+    for r in new:
+        base, near = minority[r["base"]], minority[r["neighbour"]]
+        fifth = sorted(np.linalg.norm(base - v) for k, v in minority.items() if k != r["base"])[4]
+        assert 0 < np.linalg.norm(base - near) <= fifth + 1e-9 and 0 <= r["gap"] < 1
+        assert np.allclose(r["vector"], base + r["gap"] * (near - base))
+
+
 def test_csv_loader_repairs_years(spark):
     d = tempfile.mkdtemp(prefix="churnkit-csv-")
     with open(f"{d}/train_users_purchases.csv", "w") as fh:
