@@ -60,7 +60,7 @@ def profile_describe_categorical() -> str:
 def profile_top_values() -> str:
     from .q_profile import TOP_TABLES
     # timestamps are written as Spark writes them
-    text = lambda c: f"regexp_replace(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', '')" if c.endswith(("_time", "_date")) else f"CAST({c} AS VARCHAR)"
+    text = lambda c: f"regexp_replace(strftime({c}, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', '')" if c.endswith(("_time", "_date", "_at")) else f"CAST({c} AS VARCHAR)"
     lg = " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS col, {text(c)} AS value FROM {t}" for t in TOP_TABLES for c in VIEW_COLUMNS[t])
     return view_ctes(*TOP_TABLES) + f""",
 lg AS ({lg}),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.core import round_doubles
 from ..operators import profiling as P
 from ..session import configure
-from ..sources.fixtures import load_logical, read_driver
+from ..sources.fixtures import VIEW_SQL, load_logical, read_driver
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -30,7 +30,7 @@ TEXT_COLUMNS = {
     "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type"], "documents": ["lang", "source"],
     "pages": ["url"], "conversations": ["role"],
 }
-TOP_TABLES = ["users", "properties", "purchases", "transactions", "quizzes"]
+TOP_TABLES = list(VIEW_SQL)
 
 
 def q_shape(spark, sf_dir):

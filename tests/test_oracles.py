@@ -50,6 +50,16 @@ def test_query_matches_oracle(spark, con, name):
     assert _digest(rows, df.columns) == _digest(orows, ocols)
 
 
+def test_top_values_cover_every_logical_table(spark, con):
+    from churnkit.sources.fixtures import VIEW_SQL
+    rows = [r.asDict() for r in E.queries()["profile_top_values"](spark, SF).collect()]
+    assert {r["table"] for r in rows} == set(VIEW_SQL)
+    assert {r["value"] for r in rows if (r["table"], r["column"]) == ("generations", "status")} == {"failed", "nsfw", "canceled", "completed"}
+    res = con.execute(E.oracle_sql()["profile_top_values"])
+    cols = [d[0] for d in res.description]
+    assert _digest([tuple(r[c] for c in cols) for r in rows], cols) == _digest(res.fetchall(), cols)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
