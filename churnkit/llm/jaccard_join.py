@@ -351,7 +351,7 @@ def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """``docs`` with one row of each component: the first row of the smallest doc_id; texts without words all stay.
+    """``docs`` with one row of each component: the first row of the smallest doc_id; of texts without words one of each equal text.
 
     The rows to leave out are named by doc_id and text hash; up to ``broadcast_rows`` of them
     go to every task, so that no text is shuffled, more are joined by shuffle.
@@ -359,7 +359,9 @@ def one_of_each(docs: DataFrame, text_col: str = "text", broadcast_rows: int = 5
     rows, classes = similar_classes(docs, text_col=text_col, **options)
     first = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "rep_th")).alias("f")
     keep = classes.where("n > 0").groupBy("root").agg(first).select(F.col("f.rep").alias("doc_id"), F.col("f.rep_th").alias("th"))
-    per = rows.where("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
+    wordless = rows.where("n = 0").groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("f"))
+    keep = keep.unionByName(wordless.select("f.doc_id", "th"))
+    per = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
 
     def same(a, b, id_col="doc_id", th_col="th"):
         return a["doc_id"].eqNullSafe(b[id_col]) & (a["th"] == b[th_col])

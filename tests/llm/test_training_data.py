@@ -407,6 +407,13 @@ def test_join_on_edge_rows(edges, none, docs):
     assert jaccard_join.ngram_jaccard_join(none).count() == 0 and jaccard_join.one_of_each(none).count() == 0
 
 
+def test_one_of_each_wordless_text_stays(spark):
+    texts = ["***"] * 40 + ["", None, ""] * 20 + ["--", "--", "!?", "a word", "a word"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(None, "***"), (3, "***")], "doc_id long, text string")
+    kept = [tuple(r) for r in jaccard_join.one_of_each(df).collect()]
+    assert sorted(i for i, _ in kept) == [0, 40, 100, 102, 103]
+
+
 def test_components_of_paths_and_stars(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
