@@ -1,6 +1,7 @@
 """Language ID of code-switched text by a linear-chain conditional random field.
 
-Every word is a position of the chain.  Its emission score for a language is the sum of learned
+Every word is a position of the chain; runs over 40 letters, as in scripts without spaces, are cut into
+consecutive positions of equal length.  A position's emission score for a language is the sum of learned
 weights of its affixes, character n-grams and lexicon entry; learned transitions connect
 neighbouring words.  Forward-backward gives each word's distribution over languages; a
 document's language is the one with the largest expected number of words, and its score is that
@@ -38,21 +39,24 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: weights are addressed by a hash of the feature
 SLOTS = 1 << 16
 BLOCK = 32
+#: letters of a position of the chain
+LONGEST = 40
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words of letters; empty if the text has no letter."""
+    """Lower-case words of letters, long runs in pieces; empty if the text has no letter."""
     words = _WORDS.findall(text.lower())
     if words and not words[0].isalpha():
         words = [w for w in words if any(map(str.isalpha, w))]
+    if words and max(map(len, words)) > LONGEST:
+        words = [w[len(w) * i // n:len(w) * (i + 1) // n] for w in words for n in [-(-len(w) // LONGEST)] for i in range(n)]
     return words
 
 
 def features(word: str, lexicon: dict[str, int]) -> np.ndarray:
     """Slots of a word's affixes (1 to 3), bigrams, trigrams and lexicon entry."""
-    w = word[:40]
-    f = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)]
-    e = f"^{w}$"
+    f = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
+    e = f"^{word}$"
     f += [e[i:i + 2] for i in range(len(e) - 1)] + [e[i:i + 3] for i in range(len(e) - 2)]
     if word in lexicon:
         f.append(f"L{lexicon[word]}")

@@ -460,6 +460,13 @@ def test_blocks_are_plain_forward_backward():
         at += n
 
 
+def test_long_runs_count_with_all_their_letters():
+    model = language_crf.fit([("x", ["abab", "baba", "abba"] * 10), ("y", ["cdcd", "dcdc", "cddc"] * 10)] * 30)
+    lang, score = language_crf.Tagger(model).predict(["ab" * 20 + "cd" * 50_000])[0]
+    assert lang == "y" and score > 0.99
+    assert "".join(language_crf.words_of("語" * 81 + " ab")) == "語" * 81 + "ab" and max(map(len, language_crf.words_of("語" * 81))) <= 40
+
+
 def test_language_holds_out(spark, edges, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_crf.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
