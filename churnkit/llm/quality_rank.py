@@ -2,7 +2,7 @@
 
 A document's score is linear in its features; a pair (better, worse) is won with probability
 ``sigmoid(score(better) - score(worse))``, so the weights come from logistic loss on feature
-differences.  The scores' threshold is the quantile at which the share of training
+differences.  The scores' threshold is the quantile at which the share of all labelled training
 documents above it is the share of good labels; the reported score is the sigmoid of the
 distance from it, so 0.5 is the threshold.
 
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import exact_quantiles
 from .common import text_of, written
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -101,7 +102,8 @@ def rank_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     rows = written(src.select("doc_id", held_out(3, 1).alias("held_out"), features_of(F.col("__t")).alias("x")), "rank-features")
     told = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
     known = rows.where("not held_out").join(told, "doc_id").select("doc_id", "x", "quality")
-    n = known.count()
+    n, good = known.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    labelled = known
     if n > max_labelled:  # a share by hash, then exactly the bound
         share = 1.2 * max_labelled / n
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
@@ -110,16 +112,19 @@ def rank_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     y = got["quality"].to_numpy() == 1 if len(got) else np.zeros(0, bool)
     if y.any() and not y.all():
         mean, scale, w = fit_pairs(x[y], x[~y], pairs)
-        cut = float(np.quantile(((x - mean) / scale) @ w, 1 - y.mean()))
     else:
-        mean, scale, w, cut = 0.0, 1.0, None, 0.0
+        mean, scale, w = 0.0, 1.0, None
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
         if w is None or not len(s):
-            return pd.Series(np.full(len(s), 0.5))
-        z = ((np.array(s.tolist(), dtype=float) - mean) / scale) @ w - cut
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-    return (rows.select("doc_id", "held_out", score("x").alias("score"))
+            return pd.Series(np.zeros(len(s)))
+        return pd.Series((((np.array(s.tolist(), dtype=float) - mean) / scale) * w).sum(axis=1))
+
+    cut = 0.0
+    if w is not None:  # over all labelled training rows, however few the fit took
+        scored = written(labelled.select("doc_id", score("x").alias("z")), "rank-scores")
+        cut = exact_quantiles(scored, "z", [1 - good / n], tie="doc_id").first()["q0"]
+    z = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score("x") - F.lit(cut)))
+    return (rows.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

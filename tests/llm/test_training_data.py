@@ -307,6 +307,17 @@ def test_pairwise_scores_hold_out(spark, edges, none):
     assert quality_rank.rank_quality(none, told).count() == 0
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["Fine words.", "and", "!!!", "###", "12"][:2 + 3 * (i % 3 == 0)]) for _ in range(20 + i % 30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    got = quality_rank.rank_quality(docs, told, max_labelled=40).toPandas()
+    train = got[~got.held_out]
+    good = sum(i % 3 != 0 for i in train.doc_id)
+    assert abs(int(train.predicted.sum()) - good) <= 1
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
