@@ -21,6 +21,7 @@ from . import (
     quality_rules,
     sentencepiece_scan,
     token_counts,
+    vector_codes,
 )
 from .common import documents
 
@@ -85,9 +86,40 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.language_id(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.lower(F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0"))))
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The definition in plain SQL: every distance spelled out, one CTE per assignment and update."""
+    ctes = [f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % {parts} = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""x AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v
+  FROM k, range({parts}) r(p))""",
+            f"""c0 AS MATERIALIZED (SELECT p, e, v FROM x JOIN
+  (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {entries}) f USING (vec_id))"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, label, p, any_value(v) AS v, min({{'d': d, 'e': e}}) AS m FROM
+  (SELECT x.vec_id, label, x.p, x.v, e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+   FROM x JOIN c{i} c ON x.p = c.p) GROUP BY vec_id, label, p)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS MATERIALIZED (SELECT p, e, j, sum(y) AS s, count(*) AS n FROM
+  (SELECT p, m.e AS e, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY p, e, j)""")
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(u.v, c.v) AS v FROM c{i} c LEFT JOIN
+  (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM s{i} GROUP BY p, e) u ON c.p = u.p AND c.e = u.e)""")
+    return "WITH " + ",\n".join(ctes) + f""",
+o AS (SELECT vec_id, label, lower(string_agg(printf('%02x', m.e), '' ORDER BY p)) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_sentencepiece_scan, op3_pii_surrogates, op4_best_two_fit, op5_exact_dedup, op6_pairwise_quality,
-    op7_risk_controlled_rules, op8_ngram_jaccard_join, op9_line_dedup, op10_language_crf)}
+    op7_risk_controlled_rules, op8_ngram_jaccard_join, op9_line_dedup, op10_language_crf, op11_vector_codes)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -106,4 +138,5 @@ m AS (SELECT k.doc_id, i, line, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_vector_codes": _codes_sql(),
 }
