@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import (
     exact_dedup,
+    filter_audit,
     jaccard_join,
     language_crf,
     line_dedup,
@@ -93,6 +94,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """The definition in plain SQL: every distance spelled out, one CTE per assignment and update."""
     ctes = [f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -119,7 +124,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_sentencepiece_scan, op3_pii_surrogates, op4_best_two_fit, op5_exact_dedup, op6_pairwise_quality,
-    op7_risk_controlled_rules, op8_ngram_jaccard_join, op9_line_dedup, op10_language_crf, op11_vector_codes)}
+    op7_risk_controlled_rules, op8_ngram_jaccard_join, op9_line_dedup, op10_language_crf, op11_vector_codes, op12_filter_audit)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -139,4 +144,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
     "op11_vector_codes": _codes_sql(),
+    "op12_filter_audit": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(words) < 200 AS a,
+             100 * len(list_distinct(words)) < 50 * len(words) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+             regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e
+      FROM w LEFT JOIN l USING (doc_id)),
+g AS MATERIALIZED (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+             CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+             count(*) AS n, sum(good) AS ng, sum(toxic) AS nt FROM f GROUP BY ALL),
+x(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS MATERIALIZED (SELECT concat(p.k, q.k, r.k, s.k, u.k) AS filter_order FROM x p, x q, x r, x s, x u
+      WHERE len(list_distinct([p.k, q.k, r.k, s.k, u.k])) = 5),
+m AS (SELECT failed, filter_order, coalesce(list_min(list_transform(string_split(failed, ''), lambda k: instr(filter_order, k))), 9) AS gone
+      FROM (SELECT DISTINCT failed FROM g WHERE failed <> ''), o UNION ALL SELECT '', filter_order, 9 FROM o),
+r AS MATERIALIZED (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step:step] AS k,
+             coalesce(sum(n) FILTER (gone > step), 0) AS kept, coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+             coalesce(sum(n) FILTER (gone < step AND contains(failed, filter_order[step:step])), 0) AS redundant,
+             coalesce(sum(n) FILTER (failed = filter_order[step:step]), 0) AS unique_fails,
+             coalesce(sum(ng) FILTER (gone = step), 0) AS good_lost, coalesce(sum(nt) FILTER (gone = step), 0) AS toxic_lost
+      FROM g JOIN m USING (failed), range(1, 6) z(step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM r""",
 }
