@@ -136,10 +136,15 @@ def _matrices(it, dim: int):
             yield part, part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _shared(spark, books: list[np.ndarray], small: bool):
+    """The codebooks (Python integers, so means stay exact) for the tasks: as float64 where that holds them."""
+    return spark.sparkContext.broadcast([b.astype(np.float64) if small else b for b in books])
+
+
 def _new_entries(rows: DataFrame, books: list[np.ndarray], dim: int, small: bool, n_limbs: int) -> list[np.ndarray]:
     """One round: assign all parts, then replace every used entry by the floor of its parts' mean."""
     parts, k, width = len(books), len(books[0]), dim // len(books)
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+    shared = _shared(rows.sparkSession, books, small)
     low = (1 << _SUM_BITS) - 1
 
     def run(it):
@@ -165,7 +170,7 @@ def _new_entries(rows: DataFrame, books: list[np.ndarray], dim: int, small: bool
     out = [b.copy() for b in books]
     for r in sums.toLocalIterator():          # at most parts * entries rows
         whole = [sum(int(r[f"s{i * n_limbs + j}"]) << (_SUM_BITS * j) for j in range(n_limbs)) for i in range(width + 1)]
-        out[r["part"]][r["entry"]] = [float(s // whole[0]) for s in whole[1:]]
+        out[r["part"]][r["entry"]] = [s // whole[0] for s in whole[1:]]
     shared.unpersist()
     return out
 
@@ -188,12 +193,12 @@ def vector_codes(vectors: DataFrame, vector_col: str = "embedding", parts: int =
     small = fits_int64(largest, dim) and largest < 1 << 31
     n_limbs = max(2, (int(largest).bit_length() + 40) // _SUM_BITS + 1)     # sums of up to 2**40 rows
     first = rows.select("vec_id", "v").orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()
-    start = np.array([r["v"] for r in first], dtype=np.float64)
+    start = _whole(np.array([r["v"] for r in first]))
     width = dim // parts
-    books = [np.ascontiguousarray(start[:, p * width:(p + 1) * width]) for p in range(parts)]
+    books = [start[:, p * width:(p + 1) * width].copy() for p in range(parts)]
     for _ in range(rounds):
         books = _new_entries(rows, books, dim, small, n_limbs)
-    shared = spark.sparkContext.broadcast(books)
+    shared = _shared(spark, books, small)
 
     def assign(it):
         for b, x in _matrices(it, dim):
