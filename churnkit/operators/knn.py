@@ -1,117 +1,228 @@
-"""Exact k-nearest neighbours (Euclidean) without a driver collect or all-pairs join.
-
-1. Project every point on its highest-variance coordinate ``j`` (one
-   aggregate row of variances).  ``|x_j - y_j| <= ||x - y||``, so a
-   projection gap bounds the true distance from below.
-2. Rank points along the projection with the chunked :func:`ordered.ordered`
-   and cut them into chunks of ``chunk_rows`` consecutive points.
-3. Round 0: neighbours inside each chunk (``applyInPandas`` per chunk; a
-   group holds at most ``chunk_rows`` points).
-4. Round o = 1, 2, ...: a query chunk ``c`` is paired with chunk ``c +- o``
-   only while the projection gap between them is below the largest current
-   k-th distance of its queries; each (query chunk, candidate chunk) pair is
-   one group of at most ``2 * chunk_rows`` points and emits only k
-   candidates per query.  Stops when no pair can improve a query.
-
-The result is exact: any point closer than the current k-th distance lies in
-a chunk whose projection gap is smaller than that distance, and those chunks
-are all visited before the loop ends.  Each round's candidates are
-checkpointed (short lineage).
+"""Exact k-nearest neighbours (Euclidean) over a pivot partition.
+
+1. Equal points are one *vector* (with its ``k + 1`` smallest keys), so a point that a third
+   of all rows repeat is searched once.
+2. A bounded sample gives pivots (at most :data:`MAX_PIVOTS`); every vector goes to the cell of its nearest
+   pivot.  A cell is ordered by distance from its pivot (chunked order, so a dense cell is no
+   single task) and cut into *blocks* of ``chunk_rows``: rings around the pivot.
+3. The triangle inequality bounds the distance of a query ``q`` to a block (pivot ``p``, ring
+   ``[lo, hi]``) from below by ``max(d(q, p) - hi, lo - d(q, p), 0)``.
+4. Three joins, however many blocks there are: neighbours within the own block; then
+   the nearest few blocks, to tighten each query's k-th distance; then all other blocks whose bound does
+   not exceed it.  A task joins one pair of blocks, at most ``2 * chunk_rows`` vectors.
+
+The result is exact: a block that is left out holds no vector within the k-th distance, ties
+included.  How many pairs are left depends on the data: clustered points visit few, and where
+distances concentrate no exact method can prune.  Pivots only decide how much is pruned.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .ordered import ordered
+from ..session import stored
+from .ordered import attach, ordered, top_k_per_key
 
 CHUNK = 2048
+#: bounds what is broadcast: pivots, and blocks of 24 bytes
+MAX_PIVOTS, MAX_BLOCKS = 4096, 1 << 20
+#: sampled vectors per pivot
+SAMPLE = 16
+#: blocks that the tightening round visits at least, if the bound allows
+NEAR = 2
 
 
-def _topk_schema(key_type: str) -> str:
-    return f"q {key_type}, n {key_type}, dist double"
+def choose_pivots(sample: np.ndarray, m: int, seed: int = 42) -> np.ndarray:
+    """``m`` rows of ``sample``, each drawn with probability by its squared distance to those before it."""
+    rng = np.random.default_rng(seed)
+    at = [0]
+    gap = ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(at) < m and gap.max() > 0:
+        i = int(np.searchsorted(np.cumsum(gap), rng.random() * gap.sum()))
+        i = min(i, len(sample) - 1)
+        at.append(i)
+        gap = np.minimum(gap, ((sample - sample[i]) ** 2).sum(axis=1))
+    return sample[sorted(set(at))]
 
 
-def knn_exact(points: DataFrame, key: str, features: list[str], k: int,
-              chunk_rows: int = CHUNK) -> DataFrame:
-    """``(q, n, dist, rank)``: the k nearest other points of every point (ties by key)."""
-    key_type = dict(points.dtypes)[key]
-    var = points.agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in features]).first()  # d numbers
-    j = max(features, key=lambda c: (var[c] or 0.0))
-    p = points.select(key, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("_proj", F.col(j))
-    o = ordered(p.withColumn("_k0", F.lit(0)), "_k0", "_proj", key, chunk_rows=chunk_rows)
-    pts = cut_lineage(o.select(key, *features, "_proj",
-                               ((F.col("_pos") - 1) / F.lit(chunk_rows)).cast("long").alias("_c")))
-    bounds = pts.groupBy("_c").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi"))
-
-    def topk_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_role"] == 0]
-        r = pdf[pdf["_role"] == 1]
-        if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({"q": [], "n": [], "dist": []})
-        xq = q[features].to_numpy(dtype=float)
-        xr = r[features].to_numpy(dtype=float)
-        # squared distances by a matrix product (no n x n x d array) only choose more candidates than
-        # needed; distances are then taken from the differences, so rounding cannot change a result
-        mean = xr.mean(axis=0)
-        a, c = xq - mean, xr - mean
-        near = (a * a).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (a @ c.T)
-        qk, rk = q[key].to_numpy(), r[key].to_numpy()
-        near[qk[:, None] == rk[None, :]] = np.inf       # a point is not its own neighbour
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All Euclidean distances by one matrix product about the mean of ``y`` (rounded; callers add a slack)."""
+    mean = y.mean(axis=0)
+    a, b = x - mean, y - mean
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0))
+
+
+def slack(x: np.ndarray, y: np.ndarray) -> float:
+    """More than the rounding error of :func:`distances` can be."""
+    mean = y.mean(axis=0)
+    scale = ((x - mean) ** 2).sum(axis=1).max() + ((y - mean) ** 2).sum(axis=1).max()
+    return float(np.sqrt(scale * 1e-12) + 1e-12)
+
+
+def block_bounds(to_pivot: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distances from queries (rows of ``to_pivot``, distances to all pivots) to blocks."""
+    d = to_pivot[:, cell]
+    return np.maximum(np.maximum(d - hi, lo - d), 0)
+
+
+def _matrix(column) -> np.ndarray:
+    """A column of equally long number lists as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _nearest_of_pair(k: int, kind: pa.DataType):
+    """The k nearest references (role 1) of every query (role 0) of a block pair."""
+    schema = pa.schema([("q", kind), ("n", kind), ("dist", pa.float64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        role = table.column("_role").to_numpy()
+        ids, v = table.column("vid").combine_chunks(), _matrix(table.column("v"))
+        qa, ra = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        if not len(qa) or not len(ra):
+            return schema.empty_table()
+        xq, xr = v[qa], v[ra]
+        order = np.empty(len(ids), dtype=np.int64)      # ties go by key
+        order[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        rank = order[ra]
+        same = pa.compute.rank(ids, tiebreaker="min").to_numpy()
+        near = distances(xq, xr)
+        near[same[qa][:, None] == same[ra][None, :]] = np.inf       # a vector is not its own neighbour
         kk = min(k, near.shape[1])
-        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1] if kk else near.max(axis=1)
-        slack = 1e-9 * ((a * a).sum(axis=1) + (c * c).sum(axis=1).max()) + 1e-12
-        rows, cols = np.nonzero(np.isfinite(near) & (near <= (kth + slack)[:, None]))
+        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+        # the product only chooses (a few more than needed); distances are taken from the differences
+        rows, cols = np.nonzero(np.isfinite(near) & (near <= (kth + 2 * slack(xq, xr))[:, None]))
         dist = np.empty(len(rows))
         for i in range(0, len(rows), 65536):
             s = slice(i, i + 65536)
             dist[s] = np.sqrt(((xq[rows[s]] - xr[cols[s]]) ** 2).sum(axis=1))
-        # k best per query, ties by key
-        order = np.lexsort((rk[cols], dist, rows))
-        rows, cols, dist = rows[order], cols[order], dist[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < kk
-        return pd.DataFrame({"q": qk[rows][keep], "n": rk[cols][keep], "dist": dist[keep]})
-
-    schema = _topk_schema(key_type)
-    cols = [key, *features, "_proj"]
-
-    def pair_round(qside: DataFrame, rside: DataFrame) -> DataFrame:
-        # one group per (query chunk, candidate chunk): at most 2 * chunk_rows points
-        g = (qside.select("_pair", *cols, F.lit(0).alias("_role"))
-             .unionByName(rside.select("_pair", *cols, F.lit(1).alias("_role"))))
-        return g.groupBy("_pair").applyInPandas(topk_pairs, schema)
-
-    def keep_best(c: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
-        w = Window.partitionBy("q").orderBy("dist", "n")  # a query's group holds <= k * rounds rows
-        return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    same = pts.withColumn("_pair", F.col("_c"))
-    cand = cut_lineage(keep_best(pair_round(same, same).dropDuplicates(["q", "n"])))
-    n_chunks = bounds.count()
-    for off in range(1, int(n_chunks)):
-        # current k-th distance per query (inf when fewer than k found)
-        kth = cand.groupBy("q").agg(F.count(F.lit(1)).alias("_m"), F.max("dist").alias("_d"))
-        qd = pts.join(kth, pts[key] == kth["q"], "left").select(
-            *cols, "_c", F.when(F.coalesce(F.col("_m"), F.lit(0)) < k, F.lit(float("inf")))
-            .otherwise(F.col("_d")).alias("_dk"))
-        b = bounds.select(F.col("_c").alias("_cc"), "_lo", "_hi")
-        # queries whose window still reaches chunk c+off (right) or c-off (left)
-        right = (qd.withColumn("_cc", F.col("_c") + off).join(b, "_cc")
-                 .where(F.col("_lo") - F.col("_proj") < F.col("_dk")))
-        left = (qd.withColumn("_cc", F.col("_c") - off).join(b, "_cc")
-                .where(F.col("_proj") - F.col("_hi") < F.col("_dk")))
-        need = right.unionByName(left)
-        if need.limit(1).count() == 0:
-            break
-        qside = need.withColumn("_pair", F.concat_ws(":", F.col("_c").cast("string"), F.col("_cc").cast("string")))
-        pairs = qside.select("_cc", "_pair").distinct()
-        rside = pts.join(pairs, pts["_c"] == pairs["_cc"]).drop("_cc")
-        new = pair_round(qside.drop("_cc", "_lo", "_hi", "_dk"), rside)
-        cand = cut_lineage(keep_best(cand.drop("rank").unionByName(new).dropDuplicates(["q", "n"])))
-    return cand
+        by = np.lexsort((rank[cols], dist, rows))
+        rows, cols, dist = rows[by], cols[by], dist[by]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < kk
+        return pa.table([ids.take(pa.array(qa[rows[keep]])), ids.take(pa.array(ra[cols[keep]])), pa.array(dist[keep])], schema=schema)
+
+    return run
+
+
+def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(df.schema[col].dataType)
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy("dist", "n")      # k candidates of each block that the query visited
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _vector_neighbours(vectors: DataFrame, k: int, chunk_rows: int, visits: dict | None) -> DataFrame:
+    """``q, n, dist, rank``: the k nearest other rows of ``vectors(vid, v)``, whose vectors all differ."""
+    spark = vectors.sparkSession
+    n = vectors.count()
+    kind = vectors.schema["vid"].dataType.simpleString()
+    out_schema = f"q {kind}, n {kind}, dist double"
+    if n < 2:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    chunk_rows = max(chunk_rows, -(-n // MAX_BLOCKS))
+    m = min(MAX_PIVOTS, -(-n // chunk_rows))
+    drawn = vectors.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE * m)            # bounded by MAX_PIVOTS
+    pivots = spark.sparkContext.broadcast(choose_pivots(np.array([r["v"] for r in drawn.collect()], dtype=float), m))
+
+    def to_cells(it):
+        for b in it:
+            x = _matrix(b.column(1))
+            if not len(x):
+                continue
+            cell = distances(x, pivots.value).argmin(axis=1)
+            r = np.sqrt(((x - pivots.value[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(r)], names=["vid", "v", "_cell", "_r"])
+
+    placed = vectors.select("vid", "v").mapInArrow(to_cells, f"vid {kind}, v array<double>, _cell int, _r double")
+    rows = ordered(placed, "_cell", "_r", "vid", chunk_rows=chunk_rows)
+    rows = rows.select("vid", "v", "_cell", "_r", F.floor((F.col("_pos") - 1) / chunk_rows).cast("long").alias("_ring"))
+    rings = stored(rows.groupBy("_cell", "_ring").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"), F.count(F.lit(1)).alias("size")), "knn-rings")
+    table = rings.orderBy("_cell", "_ring").toPandas()                                    # at most MAX_BLOCKS + MAX_PIVOTS rows
+    numbered = spark.createDataFrame([(int(c), int(g), i) for i, (c, g) in enumerate(zip(table["_cell"], table["_ring"]))],
+                                     "_cell int, _ring long, _b int")
+    pts = stored(rows.join(numbered, ["_cell", "_ring"]).select("vid", "v", F.col("_b").alias("_a")), "knn-points")
+    blocks = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("_cell", "lo", "hi", "size")))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """k nearest per query and pair, for ``pairs(vid, v, _a, _b)`` of queries and the blocks they visit."""
+        refs = pairs.select("_a", "_b").distinct().join(pts.select(F.col("_a").alias("_b"), "vid", "v"), "_b")
+        both = (pairs.select("_a", "_b", "vid", "v", F.lit(0).alias("_role"))
+                .unionByName(refs.select("_a", "_b", "vid", "v", F.lit(1).alias("_role"))))
+        return both.groupBy("_a", "_b").applyInArrow(_nearest_of_pair(k, _arrow_type(vectors, "vid")), out_schema)
+
+    def survivors(queries: DataFrame, first: bool) -> DataFrame:
+        """Blocks beyond the own one that may hold neighbours: the nearest few first, then all others."""
+        def run(it):
+            cell, lo, hi, size = blocks.value
+            for b in it:
+                for i in range(0, b.num_rows, 1024):
+                    s = b.slice(i, 1024)
+                    x, own = _matrix(s.column(1)), s.column(2).to_numpy()
+                    dk = s.column(3).to_numpy()
+                    to_pivot = distances(x, pivots.value)
+                    lower = block_bounds(to_pivot, cell, lo, hi)
+                    may = lower <= (dk + 2 * slack(x, pivots.value))[:, None]
+                    may[np.arange(len(x)), own] = False
+                    for q, seen in enumerate(s.column(4).to_pylist()):
+                        may[q, seen] = False
+                    if first:      # by bound, then by pivot distance, until there are NEAR blocks and k vectors
+                        for q in range(len(x)):
+                            c = np.flatnonzero(may[q])
+                            c = c[np.lexsort((to_pivot[q, cell[c]], lower[q, c]))]
+                            enough = np.searchsorted(np.cumsum(size[c]), k) + 1
+                            may[q, c[max(NEAR, enough):]] = False
+                    rows, at = np.nonzero(may)
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([*(s.column(j).take(take) for j in range(3)), pa.array(at, pa.int32())],
+                                                     names=["vid", "v", "_a", "_b"])
+
+        out = queries.select("vid", "v", "_a", "dk", "seen").mapInArrow(run, f"vid {kind}, v array<double>, _a int, _b int")
+        return stored(out, "knn-pairs")
+
+    def queries(cand: DataFrame, seen: DataFrame | None) -> DataFrame:
+        kth = cand.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("dk")).withColumnRenamed("q", "vid")
+        out = pts.join(kth, "vid", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf"))))
+        if seen is None:
+            return out.withColumn("seen", F.array().cast("array<int>"))
+        been = seen.groupBy("vid").agg(F.collect_list("_b").alias("seen"))             # a few blocks per query
+        return out.join(been, "vid", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>")))
+
+    cand = stored(_best(joined(pts.withColumn("_b", F.col("_a"))), k).drop("rank"), "knn-own")
+    near = survivors(queries(cand, None), True)
+    cand = stored(_best(cand.unionByName(joined(near)), k).drop("rank"), "knn-near")
+    rest = survivors(queries(cand, near), False)
+    if visits is not None:
+        pairs = near.select("_a", "_b").unionByName(rest.select("_a", "_b")).distinct().count()
+        visits.update(blocks=len(table), pairs=pairs + len(table), all_pairs=len(table) ** 2)
+    return stored(_best(cand.unionByName(joined(rest)), k), "knn")
+
+
+def knn_exact(points: DataFrame, key: str, features: list[str], k: int,
+              chunk_rows: int = CHUNK, visits: dict | None = None) -> DataFrame:
+    """``(q, n, dist, rank)``: the k nearest other points of every point (ties by key).
+
+    ``visits``, if given, receives how many block pairs were joined and how many there are."""
+    p = stored(points.select(F.col(key).alias("vid"), F.array(*[F.col(c).cast("double") for c in features]).alias("v")), "knn-input")
+    groups = stored(p.groupBy("v").agg(F.min("vid").alias("vid"), F.count(F.lit(1)).alias("_n")), "knn-vectors")
+    between = _vector_neighbours(groups, k, chunk_rows, visits)
+    if groups.where("_n > 1").isEmpty():
+        return between
+    # equal points: each vector's smallest keys stand for it, and its points are neighbours at distance 0
+    firsts = (top_k_per_key(p, "v", F.lit(0), F.col("vid"), k + 1).groupBy("v")
+              .agg(F.sort_array(F.collect_list("vid")).alias("keys")))                 # k + 1 keys
+    heads = stored(groups.join(firsts, "v").select("vid", "_n", "v", "keys"), "knn-keys")
+    far = (between.join(heads.select(F.col("vid").alias("n"), "keys"), "n")
+           .groupBy("q").agg(F.collect_list(F.struct("dist", "keys")).alias("far")))   # k vectors of k + 1 keys
+    per = stored(heads.join(far.withColumnRenamed("q", "vid"), "vid", "left").drop("vid"), "knn-per-vector")
+    own = F.transform("keys", lambda x: F.struct(F.lit(0.0).alias("dist"), x.alias("n")))
+    others = F.flatten(F.transform(F.coalesce("far", F.array()), lambda g: F.transform(
+        g["keys"], lambda x: F.struct(g["dist"].alias("dist"), x.alias("n")))))
+    best = F.slice(F.array_sort(F.filter(F.concat(own, others), lambda c: c["n"] != F.col("vid"))), 1, k)
+    out = attach(p, per, "v", n_col="_n", row_id="vid").select(F.col("vid").alias("q"), F.posexplode(best).alias("at", "c"))
+    return out.select("q", "c.n", "c.dist", (F.col("at") + 1).alias("rank"))

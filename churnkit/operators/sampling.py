@@ -9,8 +9,8 @@ The same hash is available in SQL, so splits are reproducible outside
 Spark.
 
 k-NN resampling (SMOTE, ADASYN, SMOTE+ENN) uses the exact distributed
-neighbour search of :mod:`operators.knn` (projection-ordered chunks, bounded
-groups, no driver collect, no all-pairs join).
+neighbour search of :mod:`operators.knn` (pivot cells cut into rings, pairs of blocks
+that the triangle inequality leaves).
 """
 
 from __future__ import annotations
@@ -172,9 +172,9 @@ def smote(df: DataFrame, label: str, features: list[str], key: str, k: int = 5,
     from .knn import CHUNK, knn_exact
     counts = _counts(df, label)
     if minority is None:
-        minority = min(counts, key=lambda c: (counts[c], c))
-    n_min = counts[minority]
-    n_new = max(counts.values()) - n_min if n_new is None else n_new
+        minority = min(counts, key=lambda c: (counts[c], c), default=None)
+    n_min = counts.get(minority, 0)
+    n_new = max(counts.values(), default=0) - n_min if n_new is None else n_new
     orig = df.select(F.col(key).cast("string").alias(key), *[F.col(f).cast("double") for f in features],
                      label).withColumn("synthetic", F.lit(0))
     if origin:
@@ -223,16 +223,93 @@ def adasyn_counts(df: DataFrame, label: str, features: list[str], key: str, mino
     """M6: per minority row, the share of majority rows among its k nearest
     neighbours (exact), normalised into the weight ADASYN uses to spread the
     synthetic rows."""
+    r = majority_neighbours(df, label, features, key, minority, k, chunk_rows)
+    tot = r.agg(F.sum("majority_neighbours").alias("_t"))
+    return r.crossJoin(F.broadcast(tot)).select(key, (F.col("majority_neighbours") / F.col("neighbours")).alias("majority_ratio"),
+                                               (F.col("majority_neighbours") / F.col("_t")).alias("weight"))
+
+
+def majority_neighbours(df: DataFrame, label: str, features: list[str], key: str, minority, k: int = 5,
+                        chunk_rows: int | None = None) -> DataFrame:
+    """Per minority row its ``neighbours`` (k, or all others of a small table) and how many of them are of another class."""
     from .knn import CHUNK, knn_exact
     d = df.select(key, label, *features)
     nn = knn_exact(d, key, features, k, chunk_rows or CHUNK)
-    lab = d.select(F.col(key).alias("n"), F.col(label).alias("_ln"))
     mino = d.where(F.col(label) == minority).select(F.col(key).alias("q"))
-    r = (nn.join(mino, "q", "left_semi").join(lab, "n").groupBy("q")
-         .agg((F.count_if(F.col("_ln") != F.lit(minority)) / F.count(F.lit(1))).alias("majority_ratio")))
-    tot = r.agg(F.sum("majority_ratio").alias("_t"))
-    return r.crossJoin(F.broadcast(tot)).select(F.col("q").alias(key), "majority_ratio",
-                                               (F.col("majority_ratio") / F.col("_t")).alias("weight"))
+    lab = d.select(F.col(key).alias("n"), F.col(label).alias("_ln"))
+    return (mino.join(nn, "q", "left").join(lab, "n", "left").groupBy(F.col("q").alias(key))
+            .agg(F.count("n").alias("neighbours"), F.count_if(~F.col("_ln").eqNullSafe(F.lit(minority))
+                                                             & F.col("n").isNotNull()).alias("majority_neighbours")))
+
+
+def adasyn_allocation(df: DataFrame, label: str, features: list[str], key: str, minority, n_new: int, k: int = 5,
+                      chunk_rows: int | None = None) -> DataFrame:
+    """M6: exactly ``n_new`` synthetic rows dealt to the minority rows: ``key, majority_neighbours, n_new``.
+
+    A row's quota is ``n_new * c / C`` with ``c`` of its neighbours and ``C`` of all rows' neighbours
+    in another class.  Quotas are cut down and what is missing goes to the largest
+    remainders, ties by key; all in whole numbers, so the counts are the same everywhere.
+    Ranks by remainder come from the chunked order, as a third of all rows may share a
+    remainder.  If no row has a neighbour of another class, all have the same quota."""
+    from ..session import stored
+    c = stored(majority_neighbours(df, label, features, key, minority, k, chunk_rows), "adasyn-neighbours")
+    total, rows = c.agg(F.sum("majority_neighbours"), F.count(F.lit(1))).first()
+    weight = F.col("majority_neighbours") if total else F.lit(1).cast("long")
+    total = int(total or rows or 1)
+    q = (c.select(key, "majority_neighbours", (weight * F.lit(int(n_new)).cast("decimal(20,0)")).alias("_share"))
+         .select("*", F.expr(f"_share div {total}").alias("_floor"), F.expr(f"_share % {total}").cast("long").alias("_rem")))
+    left = int(n_new) - int(q.agg(F.sum("_floor")).first()[0] or 0)
+    o = ordered(q.select(key, "majority_neighbours", "_floor", (-F.col("_rem")).alias("_by"), F.lit(0).alias("_all")), "_all", "_by", key,
+                chunk_rows=chunk_rows)
+    return o.select(key, "majority_neighbours", (F.col("_floor") + (F.col("_pos") <= left).cast("long")).alias("n_new"))
+
+
+#: synthetic rows that one task makes of one row at a time
+_MADE_AT_ONCE = 10_000
+
+
+def adasyn(df: DataFrame, label: str, features: list[str], key: str, k: int = 5, seed: int = SEED, minority=None,
+           n_new: int | None = None, chunk_rows: int | None = None, origin: bool = False) -> DataFrame:
+    """M6: ADASYN - the input plus ``n_new`` synthetic minority rows ``x + u * (nn - x)`` (``synthetic`` = 1).
+
+    Rows with more majority neighbours get more (:func:`adasyn_allocation`); ``nn`` is one of the
+    k nearest *minority* neighbours, drawn with ``u`` by seeded hashes of the row and the number of the
+    synthetic row.  A row's share is made in pieces of 10,000 by many tasks.  Features must be
+    non-NULL.  By default the classes become equal in number; ``origin`` adds
+    ``base``, ``neighbour`` and ``gap``."""
+    from .knn import CHUNK, knn_exact
+    counts = _counts(df, label)
+    if minority is None:
+        minority = min(counts, key=lambda c: (counts[c], c), default=None)
+    n_min = counts.get(minority, 0)
+    n_new = max(counts.values(), default=0) - n_min if n_new is None else n_new
+    orig = df.select(F.col(key).cast("string").alias(key), *[F.col(f).cast("double") for f in features],
+                     label).withColumn("synthetic", F.lit(0))
+    if origin:
+        orig = orig.select("*", *[F.lit(None).cast("string").alias(c) for c in ("base", "neighbour")],
+                           F.lit(None).cast("double").alias("gap"))
+    if n_new <= 0 or n_min < 2:
+        return orig
+    kk = min(k, n_min - 1)
+    plan = adasyn_allocation(orig, label, features, key, minority, n_new, k, chunk_rows).where("n_new > 0")
+    mino = orig.where(F.col(label) == minority).select(key, *features)
+    nn = knn_exact(mino, key, features, kk, chunk_rows or CHUNK)
+    pieces = plan.select(F.col(key).alias("q"), "n_new", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr(f"(n_new - 1) div {_MADE_AT_ONCE}"))).alias("_piece"))
+    first = F.col("_piece") * _MADE_AT_ONCE
+    last = F.least(F.col("n_new"), first + _MADE_AT_ONCE) - 1
+    syn = pieces.repartition("q", "_piece").select("q", F.explode(F.sequence(first, last)).alias("_j"))
+    syn = syn.select("q", "_j", (F.pmod(F.xxhash64(F.lit(seed), "q", "_j"), F.lit(kk)) + 1).cast("int").alias("rank"),
+                     (F.pmod(F.xxhash64(F.lit(seed + 1), "q", "_j"), F.lit(2 ** 31)) / float(2 ** 31)).alias("_u"))
+    base = mino.select(F.col(key).alias("q"), *[F.col(f).alias(f"_b_{f}") for f in features])
+    nb = mino.select(F.col(key).alias("n"), *[F.col(f).alias(f"_n_{f}") for f in features])
+    pairs = nn.select("q", "n", "rank").join(base, "q").join(nb, "n")                  # k rows per minority row
+    syn = syn.join(pairs, ["q", "rank"])
+    syn = syn.select(F.concat(F.lit("ada_"), "q", F.lit("_"), F.col("_j").cast("string")).alias(key),
+                     *[(F.col(f"_b_{f}") + F.col("_u") * (F.col(f"_n_{f}") - F.col(f"_b_{f}"))).alias(f) for f in features],
+                     F.lit(minority).alias(label), F.lit(1).alias("synthetic"),
+                     *([F.col("q").alias("base"), F.col("n").alias("neighbour"), F.col("_u").alias("gap")] if origin else []))
+    return orig.unionByName(syn)
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "user_id",

@@ -91,12 +91,16 @@ def _add_weights(train: DataFrame, label: str) -> DataFrame:
 def resample(train: DataFrame, label: str, features: list[str], sampler: str | None) -> DataFrame:
     """Training rows with a weight ``_w``: all 1 (None), balanced by class ("class_weight"), or
     1 with synthetic minority rows added ("smote": the smaller class up to the larger;
-    "smote_enn": rows whose neighbours disagree removed after that)."""
+    "smote_enn": rows whose neighbours disagree removed after that; "adasyn": more rows where
+    the neighbours are of the other class)."""
     if sampler is None:
         return train.withColumn("_w", F.lit(1.0))
     if sampler == "class_weight":
         return _add_weights(train, label)
-    from ..operators.sampling import enn_clean, smote
+    from ..operators.sampling import adasyn, enn_clean, smote
+    if sampler == "adasyn":
+        out = adasyn(train.select(KEY, label, *features), label, features, KEY).drop("synthetic")
+        return out.withColumn("_w", F.lit(1.0))
     out = smote(train.select(KEY, label, *features), label, features, KEY).drop("synthetic")
     if sampler == "smote_enn":
         out = enn_clean(out, label, features, KEY)
@@ -527,7 +531,7 @@ def evaluate_predictions(pred: DataFrame, labels: DataFrame, pred_col: str = "pr
 
 
 def imbalance_ablation(df: DataFrame, features: list[str], k: int = 3,
-                       strategies=(None, "class_weight", "smote", "smote_enn")) -> DataFrame:
+                       strategies=(None, "class_weight", "smote", "smote_enn", "adasyn")) -> DataFrame:
     """Macro F1 of the same two-stage recipe under each imbalance strategy, applied to
     the training rows of each fold."""
     from ..operators.metrics import hierarchical_to_3class, summary_f1

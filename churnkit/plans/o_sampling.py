@@ -32,9 +32,26 @@ def class_weights() -> str:
 SELECT y, count(*) AS n_c, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM lab GROUP BY y"""
 
 
+def adasyn_allocation() -> str:
+    """All distances spelled out; quotas and largest remainders in whole numbers."""
+    return """
+WITH e AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label = 0 AS INTEGER) AS y FROM embeddings),
+d AS (SELECT a.vec_id, b.y AS yb, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+        sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), b.vec_id) AS r
+      FROM e a JOIN e b ON a.y = 1 AND a.vec_id <> b.vec_id),
+c AS (SELECT e.vec_id, count(*) FILTER (d.vec_id IS NOT NULL AND yb IS DISTINCT FROM 1) AS m
+      FROM e LEFT JOIN d ON e.vec_id = d.vec_id AND r <= 5 WHERE e.y = 1 GROUP BY e.vec_id),
+g AS (SELECT greatest(0, count(*) FILTER (y = 0) - count(*) FILTER (y = 1)) AS n FROM e),
+w AS (SELECT vec_id, m, CASE WHEN sum(m) OVER () > 0 THEN m ELSE 1 END AS w FROM c),
+q AS (SELECT vec_id, m, (w * n) // CAST(sum(w) OVER () AS BIGINT) AS f, (w * n) % CAST(sum(w) OVER () AS BIGINT) AS rem, n FROM w, g),
+k AS (SELECT *, row_number() OVER (ORDER BY rem DESC, vec_id) AS pos, sum(f) OVER () AS given FROM q)
+SELECT vec_id, m AS majority_neighbours, CAST(f + CASE WHEN pos <= n - given THEN 1 ELSE 0 END AS BIGINT) AS n_new FROM k"""
+
+
 ORACLES = {
     "stratified_splits": stratified_splits,
     "holdout_split": holdout_split,
     "stratified_folds": stratified_folds,
     "class_weights": class_weights,
+    "adasyn_allocation": adasyn_allocation,
 }

@@ -34,9 +34,8 @@ def q_weights(spark, sf_dir):
     return round_doubles(S.class_weights(_labelled(spark, sf_dir)))
 
 
-def q_smote(spark, sf_dir):
-    """M5 on the embeddings table (all dimensions, label 0 as minority vs the rest): one row per point
-    with its vector; synthetic ones name their base, neighbour and gap."""
+def _points(spark, sf_dir):
+    """The embeddings, one column per dimension, ``y`` = 1 for label 0 (the minority) and 0 for the rest."""
     configure(spark)
     from ..sources.fixtures import read_driver
     e = read_driver(spark, sf_dir, "embeddings")
@@ -45,14 +44,37 @@ def q_smote(spark, sf_dir):
     d = e.select(F.col("vec_id").cast("string").alias("vec_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f)
                                                                      for i, f in enumerate(feats)],
                  (F.col("label") == 0).cast("int").alias("y"))
+    return d, feats
+
+
+def q_smote(spark, sf_dir):
+    """M5 on the embeddings table (all dimensions, label 0 as minority vs the rest): one row per point
+    with its vector; synthetic ones name their base, neighbour and gap."""
+    d, feats = _points(spark, sf_dir)
     out = S.smote(d, "y", feats, "vec_id", k=5, origin=True)
     return out.select("vec_id", "y", "synthetic", "base", "neighbour", "gap", F.array(*feats).alias("vector"))
 
 
+def q_adasyn(spark, sf_dir):
+    """M6 on the embeddings table: one row per point with its vector; synthetic ones name base, neighbour and gap."""
+    d, feats = _points(spark, sf_dir)
+    out = S.adasyn(d, "y", feats, "vec_id", k=5, minority=1, origin=True)
+    return out.select("vec_id", "y", "synthetic", "base", "neighbour", "gap", F.array(*feats).alias("vector"))
+
+
+def q_adasyn_allocation(spark, sf_dir):
+    """M6: how many synthetic rows each minority row gets, so that the classes become equal in number."""
+    d, feats = _points(spark, sf_dir)
+    n = d.agg(F.count_if(F.col("y") == 0).alias("rest"), F.count_if(F.col("y") == 1).alias("minority")).first()
+    return S.adasyn_allocation(d, "y", feats, "vec_id", 1, max(0, n["rest"] - n["minority"]), k=5)
+
+
 QUERIES = {
     "stratified_splits": q_splits,
     "holdout_split": q_holdout,
     "stratified_folds": q_folds,
     "class_weights": q_weights,
     "smote_oversample": q_smote,
+    "adasyn_oversample": q_adasyn,
+    "adasyn_allocation": q_adasyn_allocation,
 }
