@@ -1,10 +1,9 @@
 """Probability blending.
 
 Inputs are DataFrames with one row per user and per-model probability
-columns.  Searches evaluate every candidate in one pass: the candidate
-table is small and fixed (at most 171 weight triples or a few hundred
-alphas), it is broadcast and crossed with the rows, and each candidate is
-reduced by partial aggregation before any shuffle.  The EM solver for
+columns.  Searches evaluate every candidate (at most 171 weight triples or a few
+hundred alphas) in one pass over the rows, which are not multiplied: each task
+reduces its rows to counts or sums per candidate before any shuffle.  The EM solver for
 log-loss-optimal simplex weights runs one aggregation per iteration over
 a checkpointed two-column table.
 """
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .metrics import EPS, argmax3
+from .metrics import EPS, macro_f1_of_counts
 
 
 def blend(models: list[list[str]], weights: list[float]) -> list[Column]:
@@ -47,28 +46,59 @@ def weight_candidates(n: int, step: float = 0.05) -> list[list[float]]:
     return [[round((b - a) * step, 10) for a, b in zip((0, *c), (*c, parts))] for c in cuts]
 
 
+def candidate_counts(df: DataFrame, y: str, models: list[list[str]], cands: list[list[float]]) -> DataFrame:
+    """``cand, y, pred, n``: confusion counts of the blended argmax under every candidate, in one pass.
+
+    Along the candidates a row's argmax changes at few of them, so a row adds ``+1`` and ``-1`` to a table of
+    differences only where it does; prefix sums of the table give all counts.  Rows are never multiplied and a
+    task emits at most ``candidates x 9`` rows per label."""
+    import pyarrow as pa
+    n_c, w = len(cands), np.asarray(cands, dtype=float)
+
+    def run(it):
+        table: dict[int, np.ndarray] = {}
+        for b in it:
+            label = b.column(0).to_numpy(zero_copy_only=False)
+            p = [[b.column(1 + 3 * m + c).to_numpy(zero_copy_only=False).astype(float) for c in range(3)] for m in range(len(models))]
+            for i in range(0, b.num_rows, 4096):
+                s = slice(i, i + 4096)
+                q = []
+                for c in range(3):
+                    total = p[0][c][s][:, None] * w[None, :, 0]
+                    for m in range(1, len(models)):
+                        total = total + p[m][c][s][:, None] * w[None, :, m]
+                    q.append(total)
+                pred = np.where((q[0] >= q[1]) & (q[0] >= q[2]), 0, np.where(q[1] >= q[2], 1, 2))
+                for v in np.unique(label[s]):
+                    own = pred[label[s] == v]
+                    diff = table.setdefault(int(v), np.zeros((n_c + 1, 3), dtype=np.int64))
+                    diff[0] += np.bincount(own[:, 0], minlength=3)
+                    row, at = np.nonzero(own[:, 1:] != own[:, :-1])          # the breakpoints
+                    np.add.at(diff, (at + 1, own[row, at + 1]), 1)
+                    np.add.at(diff, (at + 1, own[row, at]), -1)
+        for v, diff in table.items():
+            counts = np.cumsum(diff[:n_c], axis=0)
+            at, pred = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), v), pa.int32()), pa.array(pred, pa.int32()),
+                                              pa.array(counts[at, pred], pa.int64())], names=["cand", "y", "pred", "n"])
+
+    x = df.where(F.col(y).isNotNull()).select(F.col(y).cast("int").alias("y"), *[F.col(c).cast("double") for m in models for c in m])
+    return x.mapInArrow(run, "cand int, y int, pred int, n long").groupBy("cand", "y", "pred").agg(F.sum("n").alias("n"))
+
+
 def weight_grid_search(df: DataFrame, y: str, models: list[list[str]], step: float = 0.05) -> DataFrame:
-    """Macro-F1-maximising convex weights; first maximum in candidate order."""
-    spark = df.sparkSession
+    """Macro-F1-maximising convex weights of any number of models; first maximum in candidate order."""
     cands = weight_candidates(len(models), step)
-    n = len(models)
-    cdf = spark.createDataFrame([(i, *w) for i, w in enumerate(cands)],
-                                ["cand"] + [f"w{j}" for j in range(n)])
-    x = df.select(F.col(y).cast("int").alias("y"), *[F.col(c) for m in models for c in m])
-    x = x.crossJoin(F.broadcast(cdf))  # bounded: <= 171 candidates
-    ps = [reduce(lambda a, b: a + b, [F.col(m[c]) * F.col(f"w{j}") for j, m in enumerate(models)])
-          for c in range(3)]
-    x = x.select("cand", "y", argmax3(*ps).alias("pred"))
-    cm = x.groupBy("cand", "y", "pred").agg(F.count(F.lit(1)).alias("n"))
-    sup = cm.groupBy("cand", F.col("y").alias("c")).agg(F.sum("n").alias("sup"))
-    prd = cm.groupBy("cand", F.col("pred").alias("c")).agg(F.sum("n").alias("prd"))
-    tp = cm.where(F.col("y") == F.col("pred")).groupBy("cand", F.col("y").alias("c")).agg(F.sum("n").alias("tp"))
-    rep = sup.join(prd, ["cand", "c"], "full").join(tp, ["cand", "c"], "left").fillna(0, subset=["sup", "prd", "tp"])
-    f1 = F.when(F.col("sup") + F.col("prd") > 0, 2 * F.col("tp") / (F.col("sup") + F.col("prd"))).otherwise(0.0)
-    per = rep.groupBy("cand").agg(F.avg(f1).alias("macro_f1"))
+    per = macro_f1_of_counts(candidate_counts(df, y, models, cands), ["cand"])
     best = per.agg(F.max(F.struct("macro_f1", (-F.col("cand")).alias("nc"))).alias("b"))
-    return (best.select((-F.col("b.nc")).alias("cand"), F.col("b.macro_f1").alias("macro_f1"))
-                .join(F.broadcast(cdf), "cand").drop("cand"))
+    row = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in cands])[-F.col("b.nc")]      # at most 171 candidates
+    return best.select(F.col("b.macro_f1").alias("macro_f1"), *[row[j].alias(f"w{j}") for j in range(len(models))])
+
+
+def optimal_blend(df: DataFrame, y: str, models: list[list[str]], step: float = 0.05) -> DataFrame:
+    """B6, variant "optimal": rows with the blend ``p0, p1, p2`` under the best weights of the grid."""
+    best = weight_grid_search(df, y, models, step).first()
+    return df.select(y, *blend(models, [best[f"w{j}"] for j in range(len(models))]))
 
 
 def _logloss_expr(y: Column, probs: list[Column]) -> Column:

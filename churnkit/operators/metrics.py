@@ -118,6 +118,16 @@ def summary_f1(df: DataFrame, y: str, pred: str, keys=None, classes=(0, 1, 2)) -
     return rep.groupBy(*ks).agg(*aggs)
 
 
+def macro_f1_of_counts(cm: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, macro_f1`` of confusion counts ``keys, y, pred, n``: the mean F1 of the classes in ``y`` or ``pred``."""
+    as_class = F.explode(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("prd"), F.lit(0).cast("long").alias("tp")),
+                                 F.struct(F.col("pred").alias("c"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("prd"),
+                                          F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"))))
+    per = cm.select(*keys, as_class.alias("_c")).groupBy(*keys, "_c.c").agg(*[F.sum(f"_c.{v}").alias(v) for v in ("sup", "prd", "tp")])
+    f1 = F.when(F.col("sup") + F.col("prd") > 0, 2 * F.col("tp") / (F.col("sup") + F.col("prd"))).otherwise(0.0)
+    return per.groupBy(*keys).agg(F.avg(f1).alias("macro_f1"))
+
+
 def argmax3(p0: Column, p1: Column, p2: Column) -> Column:
     """Argmax of three probabilities, first class on ties."""
     return (F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)).cast("int")

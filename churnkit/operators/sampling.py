@@ -135,22 +135,55 @@ def correlation_filter(df: DataFrame, cols: list[str], threshold: float = 0.95)
     return [x for x in cols if x not in drop]
 
 
-def vif_filter(df: DataFrame, cols: list[str], threshold: float = 10.0) -> list[str]:
-    """Repeatedly drop the column with the largest VIF until all <= threshold.
-
-    VIF_j = [R^-1]_jj with R the correlation matrix (the centred form; the
-    uncentred statsmodels variant differs when columns have non-zero means)."""
-    keep = list(cols)
-    r = correlation_matrix(df, cols)
-    while len(keep) > 1:
-        idx = [cols.index(c) for c in keep]
-        sub = r[np.ix_(idx, idx)]
-        vif = np.diag(np.linalg.pinv(sub))
+def gram_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Uncentred ``X'X`` (NULL as 0): one pass, a task sends one matrix of its rows."""
+    import pyarrow as pa
+    d = len(cols)
+
+    def run(it):
+        total = np.zeros((d, d))
+        for b in it:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) if b.num_rows else np.zeros((0, d))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
+
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    rows = x.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    out = np.zeros((d, d))
+    for r in rows.toLocalIterator():        # d * d numbers
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def vif_filter(df: DataFrame, cols: list[str], threshold: float = 10.0, tol: float = 1e-10) -> list[str]:
+    """Repeatedly drop the column with the largest variance inflation (the first of equals) until none exceeds ``threshold``.
+
+    The uncentred form: a column against all others without intercept, ``[G^-1]_jj G_jj`` of the Gram matrix ``G``.  The
+    matrix is built once; a dropped column is swept out of its inverse.  Columns that others span
+    exactly have infinite inflation and go first; columns of zeros only are kept, as their inflation is undefined."""
+    g = gram_matrix(df, cols)
+    scale = np.sqrt(np.diag(g))
+    live = [j for j in range(len(cols)) if scale[j] > 0]
+    kept = set(range(len(cols)))
+    g = g / np.where(scale > 0, scale, 1)[:, None] / np.where(scale > 0, scale, 1)[None, :]
+    while len(live) > 1:
+        values, vectors = np.linalg.eigh(g[np.ix_(live, live)])
+        null = vectors[:, values < tol * len(live)]
+        if not null.shape[1]:
+            break
+        gone = live[int(np.argmax((np.abs(null) > 1e-6).any(axis=1)))]
+        live.remove(gone)
+        kept.discard(gone)
+    inv = np.linalg.inv(g[np.ix_(live, live)]) if live else np.zeros((0, 0))
+    while len(live) > 1:
+        vif = np.diag(inv)
         j = int(np.argmax(vif))
         if vif[j] <= threshold:
             break
-        keep.pop(j)
-    return keep
+        rest = [i for i in range(len(live)) if i != j]
+        inv = inv[np.ix_(rest, rest)] - np.outer(inv[rest, j], inv[j, rest]) / inv[j, j]
+        kept.discard(live.pop(j))
+    return [c for j, c in enumerate(cols) if j in kept]
 
 
 # ------------------------------------------------------------------- k-NN resampling
@@ -318,30 +351,89 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str =
     re-assigned by a seeded hash rank, via the chunked ranking - no global
     window), rescore, and report the macro-F1 drop from the unpermuted score.
 
-    A repeat ranks the rows once, pairs each row with its partner's values and stores
-    that; every column of the repeat is then scored from the stored pairs."""
-    from ..plans.models import prepare
-    from ..session import cut_lineage
-    from .metrics import summary_f1
-    feats = [c for c in model.stages[0].getInputCols()]
-    d = prepare(df, feats).withColumn("y_d", F.col(label).cast("double"))
+    Each repeat ranks the rows once and pairs every row with its partner's values.  One pass over the pairs
+    scores all columns: the tasks hold the parsed trees, a column that is permuted only changes the trees that ask for it, and
+    confusion counts per (repeat, column) leave the task.  The plan has the same size for any number of columns."""
+    from functools import reduce
 
-    def macro(frame):
-        p = model.transform(frame).select(label, F.col("prediction").cast("int").alias("pred"))
-        return summary_f1(p, label, "pred").select("macro_f1")
+    import pyarrow as pa
 
-    base = macro(d).withColumnRenamed("macro_f1", "_base")
+    from ..plans.models import prepare, tree_table
+    from ..session import stored
+    from .metrics import macro_f1_of_counts
+    feats = [c.removeprefix("_x_") for c in next(s for s in model.stages if s.hasParam("inputCols")).getInputCols()]
+    last = model.stages[-1]
+    boosted = last.__class__.__name__.startswith("GBT")
+    trees = df.sparkSession.sparkContext.broadcast(tree_table(last))
+    at = [feats.index(c) for c in columns]
+    d = prepare(df, feats).select(key, F.col(label).cast("int").alias("y"), F.array(*feats).alias("x"))
     one = d.withColumn("_one", F.lit(0))
-    outs = []
-    for r in range(repeats):
+
+    def partners(r):
         s = seed + 1000 * r
-        a = rank_within_class(one, "_one", key, s).select(key, "_pos")
-        b = rank_within_class(one, "_one", key, s + 1).select("_pos", *[F.col(c).alias(f"_pv_{c}") for c in columns])
-        pairs = cut_lineage(d.join(a, key).join(b, "_pos").drop("_pos"))
-        for c in columns:
-            outs.append(macro(pairs.withColumn(c, F.col(f"_pv_{c}"))).select(
-                F.lit(c).alias("feature"), F.lit(r).alias("repeat"), "macro_f1"))
-    from functools import reduce
-    allp = reduce(lambda x, y: x.unionByName(y), outs)
-    return (allp.crossJoin(base).groupBy("feature").agg(F.avg(F.col("_base") - F.col("macro_f1")).alias("importance"))
-            .orderBy(F.col("importance").desc(), "feature"))
+        a = rank_within_class(one.select(key, "_one"), "_one", key, s).select(key, "_pos")
+        b = rank_within_class(one.select(key, "_one", F.array(*[F.col("x")[j] for j in at]).alias("z")), "_one", key, s + 1).select("_pos", "z")
+        return d.join(a, key).join(b, "_pos").select(F.lit(r).alias("repeat"), "y", "x", "z")
+
+    pairs = stored(reduce(lambda a, b: a.unionByName(b), [partners(r) for r in range(repeats)]), "permuted")
+
+    def run(it):
+        counts: dict[tuple[int, int, int, int], int] = {}
+        asks = [set(f for f in t["feat"] if f >= 0) for t in trees.value]
+
+        def leaves(t, x):
+            feat, thr, left, right = (np.array(t[k]) for k in ("feat", "thr", "left", "right"))
+            node = np.zeros(len(x), dtype=np.int64)
+            while True:
+                f = feat[node]
+                inner = f >= 0
+                if not inner.any():
+                    return np.asarray(t["value"])[node] * t["w"]
+                i = np.flatnonzero(inner)
+                v = x[i, f[i]]
+                goes = v <= thr[node[i]]
+                for n in {n for n in np.unique(node[i]) if t["cats"][n] is not None}:
+                    own = node[i] == n
+                    goes[own] = np.isin(v[own], list(t["cats"][n]))
+                node[i] = np.where(goes, left[node[i]], right[node[i]])
+
+        def classes(total):
+            return (total[:, 0] > 0).astype(np.int64) if boosted else total.argmax(axis=1)
+
+        def add(rep, col, y, pred):
+            code, n = np.unique(y * 1000 + pred, return_counts=True)
+            for c, k in zip(code.tolist(), n.tolist()):
+                counts[rep, col, c // 1000, c % 1000] = counts.get((rep, col, c // 1000, c % 1000), 0) + k
+
+        for b in it:
+            for i in range(0, b.num_rows, 4096):
+                s = b.slice(i, 4096)
+                rep, y = (s.column(j).to_numpy() for j in (0, 1))
+                x, z = (s.column(j).flatten().to_numpy().reshape(s.num_rows, -1) for j in (2, 3))
+                own = [leaves(t, x) for t in trees.value]
+                total = np.sum(own, axis=0)
+                for r in np.unique(rep):
+                    m = rep == r
+                    add(int(r), -1, y[m], classes(total[m]))
+                for k, j in enumerate(at):
+                    hit = [t for t, a in enumerate(asks) if j in a]
+                    changed = total
+                    if hit:
+                        swapped = x.copy()
+                        swapped[:, j] = z[:, k]
+                        changed = np.sum([leaves(trees.value[t], swapped) if t in hit else own[t] for t in range(len(own))], axis=0)
+                    pred = classes(changed)
+                    for r in np.unique(rep):
+                        m = rep == r
+                        add(int(r), k, y[m], pred[m])
+        if counts:
+            cols = list(zip(*[(*k, n) for k, n in counts.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.int64()])],
+                                             names=["repeat", "column", "y", "pred", "n"])
+
+    cm = pairs.where("y is not null").mapInArrow(run, "repeat int, column int, y int, pred int, n long")
+    f1 = stored(macro_f1_of_counts(cm.groupBy("repeat", "column", "y", "pred").agg(F.sum("n").alias("n")), ["repeat", "column"]), "permuted-f1")
+    base = f1.where("column < 0").select("repeat", F.col("macro_f1").alias("_base"))
+    name = F.array(*[F.lit(c) for c in columns])[F.col("column")]
+    return (f1.where("column >= 0").join(base, "repeat").groupBy(name.alias("feature"))
+            .agg(F.avg(F.col("_base") - F.col("macro_f1")).alias("importance")).orderBy(F.col("importance").desc(), "feature"))

@@ -130,13 +130,16 @@ ORACLES = {
 }
 
 
-def blend_weight_search() -> str:
+def _weight_search(names: str, models: str) -> str:
+    """CTEs up to ``best`` (macro_f1 and the weights) over the rows of ``mm`` for models named by letters."""
     from ..operators.blend import weight_candidates
-    cands = weight_candidates(2)
-    vals = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for i, (a, b) in enumerate(cands))
-    return SC + _models() + f""",
-c AS (SELECT * FROM (VALUES {vals}) AS v(cand, w0, w1)),
-x AS (SELECT cand, y, a_p0 * w0 + b_p0 * w1 AS q0, a_p1 * w0 + b_p1 * w1 AS q1, a_p2 * w0 + b_p2 * w1 AS q2 FROM mm CROSS JOIN c),
+    n = len(names)
+    vals = ", ".join("(" + ", ".join([str(i)] + [f"CAST({v!r} AS DOUBLE)" for v in w]) + ")" for i, w in enumerate(weight_candidates(n)))
+    ws = ", ".join(f"w{j}" for j in range(n))
+    qs = ", ".join(" + ".join(f"{m}_p{c} * w{j}" for j, m in enumerate(names)) + f" AS q{c}" for c in range(3))
+    return SC + models + f""",
+c AS (SELECT * FROM (VALUES {vals}) AS v(cand, {ws})),
+x AS (SELECT cand, y, {qs} FROM mm CROSS JOIN c),
 xp AS (SELECT cand, y, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS pred FROM x),
 cm AS (SELECT cand, y, pred, count(*) AS n FROM xp GROUP BY ALL),
 sup AS (SELECT cand, y AS k, sum(n) AS sup FROM cm GROUP BY ALL),
@@ -145,9 +148,29 @@ tp AS (SELECT cand, y AS k, sum(n) AS tp FROM cm WHERE y = pred GROUP BY ALL),
 rep AS (SELECT coalesce(sup.cand, prd.cand) AS cand, coalesce(sup.k, prd.k) AS k, coalesce(sup.sup, 0) AS sup, coalesce(prd.prd, 0) AS prd
         FROM sup FULL JOIN prd ON sup.cand = prd.cand AND sup.k = prd.k),
 per AS (SELECT rep.cand, avg(CASE WHEN sup + prd > 0 THEN 2 * coalesce(tp.tp, 0) / (sup + prd) ELSE 0 END) AS macro_f1
-        FROM rep LEFT JOIN tp ON tp.cand = rep.cand AND tp.k = rep.k GROUP BY 1)
-SELECT round(macro_f1, 6) AS macro_f1, round(w0, 6) AS w0, round(w1, 6) AS w1
-FROM (SELECT * FROM per ORDER BY macro_f1 DESC, cand LIMIT 1) b JOIN c ON c.cand = b.cand"""
+        FROM rep LEFT JOIN tp ON tp.cand = rep.cand AND tp.k = rep.k GROUP BY 1),
+best AS (SELECT macro_f1, {ws} FROM (SELECT * FROM per ORDER BY macro_f1 DESC, cand LIMIT 1) b JOIN c ON c.cand = b.cand)"""
+
+
+def blend_weight_search() -> str:
+    return _weight_search("ab", _models()) + "\nSELECT round(macro_f1, 6) AS macro_f1, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM best"
+
+
+def blend_weight_search3() -> str:
+    three = _models().replace("mm AS (", "m2 AS (") + """,
+mm AS (SELECT m2.*, 1 - (s1 + s2) / 2 AS c_p0, (s1 + s2) / 2 * (1 - s2) AS c_p1, (s1 + s2) / 2 * s2 AS c_p2
+       FROM m2 JOIN (SELECT doc_id, s1, s2 FROM s) USING (doc_id))"""
+    return _weight_search("abc", three) + "\nSELECT round(macro_f1, 6) AS macro_f1, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM best"
+
+
+def blend_optimal() -> str:
+    return _weight_search("ab", _models()) + """,
+ox AS (SELECT y, a_p0 * (w0 / (w0 + w1)) + b_p0 * (w1 / (w0 + w1)) AS p0, a_p1 * (w0 / (w0 + w1)) + b_p1 * (w1 / (w0 + w1)) AS p1,
+       a_p2 * (w0 / (w0 + w1)) + b_p2 * (w1 / (w0 + w1)) AS p2 FROM mm, best),
+oxp AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS pred FROM ox)""" + "," + f1_ctes("om", "oxp", "y", "pred").lstrip(",") + """,
+oll AS (SELECT avg(-ln(least(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS logloss FROM ox)
+SELECT round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(f1_0, 6) AS f1_0,
+       round(f1_1, 6) AS f1_1, round(f1_2, 6) AS f1_2, round(logloss, 6) AS logloss FROM om, oll"""
 
 
 def blend_fixed_weights() -> str:
@@ -202,6 +225,8 @@ FROM ts, jt, fb, fj"""
 
 ORACLES.update({
     "blend_weight_search": blend_weight_search,
+    "blend_weight_search3": blend_weight_search3,
+    "blend_optimal": blend_optimal,
     "blend_fixed_weights": blend_fixed_weights,
     "blend_alpha_logloss": blend_alpha_logloss,
     "fixed_cascade_metrics": fixed_cascade_metrics,

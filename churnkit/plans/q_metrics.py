@@ -119,6 +119,25 @@ def q_blend_fixed(spark, sf_dir):
     return round_doubles(outs[0].unionByName(outs[1]))
 
 
+def q_blend_weight_search3(spark, sf_dir):
+    """B3 with three models: 171 weight triples."""
+    from ..operators.blend import weight_grid_search
+    s = _scores(spark, sf_dir)
+    m3 = M.hierarchical_to_3class((F.col("s1") + F.col("s2")) / 2, F.col("s2"))
+    models = {"a": M.hierarchical_to_3class(F.col("s1"), F.col("s2")), "b": M.hierarchical_to_3class(F.col("s2"), F.col("s1")), "c": m3}
+    x = s.select("y", *[c.alias(f"{n}_p{i}") for n, m in models.items() for i, c in enumerate(m)])
+    return round_doubles(weight_grid_search(x, "y", [[f"{n}_p{i}" for i in range(3)] for n in "abc"]))
+
+
+def q_blend_optimal(spark, sf_dir):
+    """B6, optimal variant: F1 family and log loss under the best weights of the grid."""
+    from ..operators.blend import optimal_blend
+    s = _with_two_models(_scores(spark, sf_dir))
+    b = optimal_blend(s, "y", [["a_p0", "a_p1", "a_p2"], ["b_p0", "b_p1", "b_p2"]])
+    b = b.withColumn("pred", M.argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
+    return round_doubles(M.summary_f1(b, "y", "pred").crossJoin(M.log_loss(b, "y", ["p0", "p1", "p2"])))
+
+
 def q_blend_alpha(spark, sf_dir):
     """Alpha minimising the log loss of alpha*A + (1 - alpha)*B (grid + refinement)."""
     from ..operators.blend import alpha_search
@@ -156,6 +175,8 @@ def q_fixed_cascade(spark, sf_dir):
 
 QUERIES.update({
     "blend_weight_search": q_blend_weight_search,
+    "blend_weight_search3": q_blend_weight_search3,
+    "blend_optimal": q_blend_optimal,
     "blend_fixed_weights": q_blend_fixed,
     "blend_alpha_logloss": q_blend_alpha,
     "blend_em_weights": q_blend_em,

@@ -210,8 +210,8 @@ def test_small_helpers(spark):
     b = spark.createDataFrame([(1, 0.4), (2, 0.0)], "user_id long, oof_s2 double")
     v = {r[0]: r[1] for r in MD.soft_vote([a, b], [3.0, 1.0]).collect()}
     assert v[1] == pytest.approx(0.25) and v[2] == pytest.approx(0.45)
-    runs = [spark.createDataFrame([(1, 0, 0.2, 0.3, 0.5)], "user_id long, y int, p0 double, p1 double, p2 double"),
-            spark.createDataFrame([(1, 0, 0.4, 0.3, 0.3)], "user_id long, y int, p0 double, p1 double, p2 double")]
+    runs = [spark.createDataFrame([(1, 0, 1, 0.2, 0.3, 0.5)], "user_id long, y int, fold int, p0 double, p1 double, p2 double"),
+            spark.createDataFrame([(1, 0, 1, 0.4, 0.3, 0.3)], "user_id long, y int, fold int, p0 double, p1 double, p2 double")]
     assert MD.seed_average(runs).first()["p0"] == pytest.approx(0.3)
     m = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0), (4, 10.0)], "user_id long, x double")
     imp = {r[0]: r[1] for r in S.median_impute(m, ["x"], key="user_id").collect()}
