@@ -1,5 +1,4 @@
-"""Registered queries: two-stage batch prediction, feature lists, v2 describe,
-permutation importance."""
+"""Registered queries: two-stage batch prediction, feature lists, v2 describe."""
 
 from __future__ import annotations
 
@@ -52,16 +51,6 @@ def q_describe_v2(spark, sf_dir):
     return round_doubles(describe_basic(v2, V2_COLS))
 
 
-def q_permutation_importance(spark, sf_dir):
-    """Macro-F1 drop when one column is permuted (hash-rank permutation), rows-only."""
-    from ..plans.models import final_fit
-    from ..plans.q_models import FEATURES, model_input
-    from ..operators.sampling import permutation_importance
-    d = model_input(spark, sf_dir)
-    m = final_fit(d, FEATURES, "rf", {"numTrees": 20})
-    return round_doubles(permutation_importance(m, d, FEATURES, repeats=5))
-
-
 def q_evaluate_predictions(spark, sf_dir):
     """I4: the two-stage predictions joined to the labels by user, per-class report."""
     from ..plans.models import evaluate_predictions
@@ -77,5 +66,4 @@ QUERIES = {
     "predict_two_stage": q_predict_two_stage,
     "feature_lists": q_feature_lists,
     "describe_v2_features": q_describe_v2,
-    "permutation_importance": q_permutation_importance,
 }

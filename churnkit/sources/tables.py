@@ -70,6 +70,34 @@ def _csv_schema(table: str) -> T.StructType:
     return T.StructType(fields)
 
 
+#: column that holds a record the reader could not take as it is
+_CORRUPT = "_record"
+
+
+def read_tolerant(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """A CSV table bound to its schema, and its quarantine ``table, reason, record``.
+
+    Only the header is looked at before; columns are taken by name in any order, absent ones are NULL, others are
+    dropped.  A number or flag that does not parse is NULL, as is a time, and the record goes to the quarantine as well
+    ("malformed", or "bad time: <column>"); a row is never lost and a bad one never ends the job."""
+    types = dict(SCHEMAS[table])
+    header = spark.read.option("header", True).csv(path).columns
+    read = T.StructType([T.StructField(c, S if isinstance(types.get(c, S), T.TimestampType) else types.get(c, S)) for c in header]
+                        + [T.StructField(_CORRUPT, S)])
+    raw = (spark.read.schema(read).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
+           .option("enforceSchema", True).csv(path))
+    times = [c for c, t in SCHEMAS[table] if isinstance(t, T.TimestampType) and c in header]
+    parsed = raw.withColumns({f"_t_{c}": parse_time(F.col(c)) for c in times})
+    record = F.coalesce(F.col(_CORRUPT), F.to_json(F.struct(*[F.col(f"`{c}`") for c in header])))
+    reasons = [F.when(F.col(_CORRUPT).isNotNull(), F.lit("malformed"))]
+    reasons += [F.when(F.col(f"_t_{c}").isNull() & (F.trim(c) != ""), F.lit(f"bad time: {c}")) for c in times]
+    bad = (parsed.select(record.alias("record"), F.explode(F.filter(F.array(*reasons), lambda r: r.isNotNull())).alias("reason"))
+           .select(F.lit(table).alias("table"), "reason", "record"))
+    keep = [c for c, _ in SCHEMAS[table] if c in header]
+    good = parsed.select(*[F.col(f"_t_{c}" if c in times else c).alias(c) for c in keep])
+    return conform(good, table), bad
+
+
 def load_table(spark: SparkSession, base: str, prefix: str, table: str,
                optional: bool = False) -> DataFrame | None:
     """Read one CSV table; ``None`` when an optional table is missing."""
@@ -78,15 +106,28 @@ def load_table(spark: SparkSession, base: str, prefix: str, table: str,
         if optional:
             return None
         raise FileNotFoundError(path)
-    header = spark.read.option("header", True).csv(path).columns
-    keep = [f for f in _csv_schema(table).fields if f.name in header]
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    df = df.drop(*[c for c in df.columns if c.startswith("Unnamed") or c == "_c0"])
-    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in keep])
-    for name, dtype in SCHEMAS[table]:
-        if isinstance(dtype, T.TimestampType) and name in df.columns:
-            df = df.withColumn(name, parse_time(F.col(name)))
-    return conform(df, table)
+    return read_tolerant(spark, path, table)[0]
+
+
+def quarantine(spark: SparkSession, base: str, split: str, path: str) -> DataFrame:
+    """Writes the bad records of a split's tables to ``path`` and returns them."""
+    found = [read_tolerant(spark, f, t)[1] for t, s in TABLE_SUFFIX.items() if _exists(spark, f := f"{base}/{split}_users{s}.csv")]
+    schema = "table string, reason string, record string"
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for d in found[1:]:
+        out = out.unionByName(d)
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def load_available(spark: SparkSession, base: str, split: str) -> dict[str, DataFrame | None]:
+    """The tables that are there (others ``None``); without a users file the users are those of the other tables."""
+    tables = {t: load_table(spark, base, f"{split}_users", t, optional=True) for t in TABLE_SUFFIX}
+    if all(v is None for v in tables.values()):
+        raise FileNotFoundError(f"{base}/{split}_users*.csv")
+    if tables["users"] is None:
+        tables["users"] = conform(user_universe(tables), "users")
+    return tables
 
 
 def load_split(spark: SparkSession, base: str, split: str) -> dict[str, DataFrame]:
