@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,19 @@ def text_of(docs: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
 
+def keeping_columns(stage):
+    """For a stage that returns its table's columns: columns with a leading ``__`` bear other names meanwhile,
+    so they cannot clash with a stage's own."""
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = {c: f"c{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not own:
+            return stage(docs, *args, **options)
+        out = stage(docs.withColumnsRenamed(own), *args, **options)
+        return out.withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)
+    return run
+
+
 def content_key(text: Column) -> list[Column]:
     """128 bits that stand for a text where rows need a key and doc_id may repeat or be null."""
     return [F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(7)).alias("__k2")]

@@ -4,9 +4,8 @@ A text's fingerprint is the value of its normalised bytes as a polynomial over t
 fields.  It composes: ``h(AB) = h(A) * B**len(B) + h(B)``, so the chunks of a huge document
 are hashed in parallel tasks and combined by length-shifted arithmetic.  Rows of equal
 (fingerprint, length) then undergo a comparison chunk by chunk: per group and chunk the
-smallest and largest bytes must be the same.  That is a partial aggregate which streams
-over the chunks; a group that holds a third of all rows sends at most one row per chunk
-and map task.  A group that fails it (a true collision) is split by SHA-256.
+smallest and largest bytes must be the same.  Texts of a group that holds a large share of
+all rows are compared in place: a map task sends one row per chunk of the group.  A group that fails it (a true collision) is split by SHA-256.
 
 Edge cases: null counts as empty and equals texts of white space only; the row with most
 code points in the original text stays, then the smallest doc_id (nulls last); repeated rows
@@ -136,8 +135,12 @@ def _huge_fingerprints(docs: DataFrame, huge: int) -> DataFrame:
     return whole.select("text_sha256", fold("__parts").alias("__f")).select("text_sha256", "__f.f1", "__f.f2")
 
 
-def _collided(docs: DataFrame, groups: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Keys (f1, f2, n) of groups whose texts differ in some chunk, by comparing all their chunks."""
+def _collided(docs: DataFrame, groups: DataFrame, total: int = 0, chunk: int = 4096, hot_share: int = 1000) -> DataFrame:
+    """Keys (f1, f2, n) of groups whose texts differ in some chunk, by comparing all their chunks.
+
+    Texts of groups with more than ``1 / hot_share`` of all rows (at most ``hot_share`` keys, which are
+    broadcast) are compared where they lie: a task sends the smallest and largest bytes per group and chunk.  Only texts of
+    smaller groups travel to their group's key."""
     def fp(it):
         for b in batches(it):
             data = [normalise(t) for t in b.column(0).to_pylist()]
@@ -147,7 +150,10 @@ def _collided(docs: DataFrame, groups: DataFrame, chunk: int = 4096) -> DataFram
                  pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=["f1", "f2", "n", "data"])
 
     keyed = docs.select("text").mapInArrow(fp, "f1 long, f2 long, n long, data binary")
-    again = keyed.join(groups.select("f1", "f2", "n"), ["f1", "f2", "n"], "left_semi")
+    key = ["f1", "f2", "n"]
+    hot = F.col("rows") > max(64, total // hot_share)
+    in_place = keyed.join(F.broadcast(groups.where(hot).select(*key)), key, "left_semi")
+    again = in_place.unionByName(keyed.join(groups.where(~hot).select(*key), key, "left_semi"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n") - 1) / chunk).cast("int"))))
     parts = again.select("f1", "f2", "n", "data", at.alias("c")).select(
         "f1", "f2", "n", "c", F.substring("data", F.col("c") * chunk + 1, F.lit(chunk)).alias("part"))
@@ -168,17 +174,17 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", huge: int = 1 << 16, ho
     tall = tall.join(long_ones, "text_sha256").withColumnsRenamed({"__f1": "f1", "__f2": "f2"}).select(short.columns)
     rows = written(short.unionByName(tall), "dedup-digests")
 
-    by_print = rows.groupBy("f1", "f2", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and n > 0")
-    bad = written(_collided(src, by_print).withColumn("__bad", F.lit(True)), "dedup-collisions")
+    total = rows.count()
+    by_print = written(rows.groupBy("f1", "f2", "n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 and n > 0"), "dedup-repeated")
+    bad = written(_collided(src, by_print, total).withColumn("__bad", F.lit(True)), "dedup-collisions")
     if not bad.isEmpty():
         rows = (rows.join(bad, ["f1", "f2", "n"], "left")
-                .withColumn("__sub", F.when("__bad", F.col("text_sha256")).otherwise(F.lit(""))).drop("__bad"))
+                .withColumn("__sub", F.when(F.col("__bad"), F.col("text_sha256")).otherwise(F.lit(""))).drop("__bad"))
     else:
         rows = rows.withColumn("__sub", F.lit(""))
     key = ["f1", "f2", "n", "__sub"]
     first = F.min(F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id")))
     groups = written(rows.groupBy(*key).agg(first.alias("__b"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
-    total = rows.count()
     hot_size = max(10_000, total // hot_share)
     hot = groups.where(F.col("group_size") > hot_size)
     hot_keys = F.broadcast(hot.withColumnsRenamed({"__b": "__hb", "group_size": "__hg"}))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, text_of, written
+from .common import batches, keeping_columns, partitions, text_of, written
 from .components import components
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -350,6 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
                       F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
+@keeping_columns
 def one_of_each(docs: DataFrame, text_col: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
     """``docs`` with one row of each component: the first row of the smallest doc_id; of texts without words one of each equal text.
 

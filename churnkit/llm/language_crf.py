@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keeping_columns
 from .quality_rank import held_out
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -329,6 +330,7 @@ def language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return docs.select("doc_id", held_out(4, 2).alias("held_out"), p.alias("__p")).select("doc_id", "held_out", "__p.lang_pred", "__p.score")
 
 
+@keeping_columns
 def confident(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
     """``docs`` without rows that have no letter or no language with ``min_score`` of the words."""
     model = train(docs, rows=~held_out(4, 2), **options)

@@ -13,13 +13,15 @@ sorted by the hash, so that runs meet in merge joins without a shuffle.  A batch
 Edge cases: a null or empty text is one empty line; empty lines (keys under ``min_chars``
 code points) are never dropped; a line repeated inside a document counts once for it; each row
 counts as a document, repeated rows too; an empty table leaves no run; a text that loses
-all lines becomes empty; other columns are kept as they are.
+all lines becomes empty; very long texts are split whole in one task; other columns are kept as they are,
+also one that bears a name of this module's own columns (:func:`with_lines_dropped`).
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import batches, content_key, partitions, text_of, written
+from .common import batches, content_key, keeping_columns, partitions, text_of, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ENDS = b" \t\n\x0b\x0c\r"
@@ -125,17 +127,51 @@ def frequent_lines(docs: DataFrame, min_docs: int, text_col: str = "text", min_c
     counts = batch_counts(docs, text_col, min_chars, n_batches)
     stored = written(counts.repartition(partitions(docs.sparkSession), "batch", "hi", "lo"), "line-batches")
     runs = LineRuns(docs.sparkSession, min_docs, fan)
-    for k in range(n_batches):
-        runs.add(stored.where(F.col("batch") == k).drop("batch"))
-    out = written(runs.frequent(), "line-frequent")
-    runs.close()
-    return out
+    try:
+        for k in range(n_batches):
+            runs.add(stored.where(F.col("batch") == k).drop("batch"))
+        return written(runs.frequent(), "line-frequent")
+    finally:
+        runs.close()
+
+
+class HashTable:
+    """128-bit hashes as two sorted arrays, 16 bytes each hash."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray):
+        order = np.lexsort((lo, hi))
+        self.hi, self.lo = hi[order], lo[order]
+
+    def holds(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Which of the given hashes are in the table."""
+        out = np.zeros(len(hi), dtype=bool)
+        at, end = np.searchsorted(self.hi, hi, "left"), np.searchsorted(self.hi, hi, "right")
+        one = end - at == 1
+        out[one] = self.lo[at[one]] == lo[one]
+        for i in np.flatnonzero(end - at > 1):      # hashes that share 64 bits
+            out[i] = (self.lo[at[i]:end[i]] == lo[i]).any()
+        return out
 
 
-def _strip(text: str, drop, min_chars: int) -> tuple[str, int, int]:
+def _table(frequent: DataFrame, n: int) -> HashTable:
+    hi, lo = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for i, r in enumerate(frequent.toLocalIterator()):
+        hi[i], lo[i] = r.hi, r.lo
+    return HashTable(hi, lo)
+
+
+def _joined(text: str, keep) -> tuple[str, int, int]:
     lines = text.split("\n")
-    keep = [x for x, h in zip(lines, line_hashes(text, min_chars)) if h is None or h not in drop]
-    return "\n".join(keep), len(lines), len(lines) - len(keep)
+    left = [x for x, k in zip(lines, keep) if k]
+    return "\n".join(left), len(lines), len(lines) - len(left)
+
+
+def _strip(texts: list[str], table: HashTable, min_chars: int) -> list[tuple[str, int, int]]:
+    """(text, lines, dropped lines) of texts without the lines that the table holds."""
+    keys = [line_hashes(t, min_chars) for t in texts]
+    flat = np.array([h for k in keys for h in k if h is not None], dtype=np.int64).reshape(-1, 2)
+    gone = iter(table.holds(flat[:, 0], flat[:, 1]).tolist())
+    return [_joined(t, [h is None or not next(gone) for h in k]) for t, k in zip(texts, keys)]
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", min_chars: int = 1,
@@ -147,13 +183,14 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", min
     """
     kind = "text string, n_lines long, n_dropped long"
     text = text_of(docs, text_col)
-    if frequent.count() <= broadcast_rows:
-        shared = docs.sparkSession.sparkContext.broadcast(
-            frozenset((r.hi, r.lo) for r in frequent.toLocalIterator()))
+    n = frequent.count()
+    if n <= broadcast_rows:
+        shared = docs.sparkSession.sparkContext.broadcast(_table(frequent, n))
 
         @F.pandas_udf(kind)
         def strip(s: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([_strip(t, shared.value, min_chars) for t in s], columns=["text", "n_lines", "n_dropped"])
+            rows = [r for i in range(0, len(s), 256) for r in _strip(s.iloc[i:i + 256].tolist(), shared.value, min_chars)]
+            return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
         return docs.withColumn("__lines", strip(text))
 
@@ -166,8 +203,11 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", min
 
     @F.pandas_udf(kind)
     def strip_own(s: pd.Series, own: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_strip(t, set() if o is None else {(x["hi"], x["lo"]) for x in o}, min_chars)
-                             for t, o in zip(s, own)], columns=["text", "n_lines", "n_dropped"])
+        out = []
+        for t, o in zip(s, own):
+            drop = set() if o is None else {(x["hi"], x["lo"]) for x in o}
+            out.append(_joined(t, [h is None or h not in drop for h in line_hashes(t, min_chars)]))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     keyed = docs.withColumns(dict(zip(["__k1", "__k2"], content_key(text))))
     hits = (keyed.select(text.alias("t"), "__k1", "__k2").mapInArrow(explode, f"__k1 long, __k2 long, {_HASH}")
@@ -184,6 +224,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, text_col: str = "text", min_
     return drop_lines(docs, frequent_lines(docs, min_docs, text_col, min_chars, n_batches, fan), text_col, min_chars)
 
 
+@keeping_columns
 def with_lines_dropped(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its text cleaned and, if there is one, ``n_chars`` brought up to date."""
     out = line_dedup(docs, **options)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, content_key, text_of, written
+from .common import batches, content_key, keeping_columns, text_of, written
 
 #: titles that tell a gender, and given names by gender and script for surrogates (fixed values)
 TITLES = {
@@ -392,6 +392,7 @@ def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text", broadcas
             .drop("__k1", "__k2", "__own"))
 
 
+@keeping_columns
 def with_surrogates(docs: DataFrame, secret: bytes, **options) -> DataFrame:
     """``docs`` with its text rewritten (null stays null) and, if there is one, ``n_chars`` brought up to date."""
     out = replace_pii(docs, secret, **options)

@@ -524,3 +524,39 @@ def test_registered_with_the_entry():
     import __spark_entry__ as entry
     q = entry.queries()
     assert all(any(name.startswith(f"op{n}_") for name in q) for n in range(1, 11)) and "pipeline" in q
+
+
+COLLIDING = ["gidddddfgdfdeddgeeddeddddd", "ddhdegfddedjdgfddddedddddd"]
+
+
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_a_true_collision_is_split(spark, monkeypatch, chunk):
+    a, b = COLLIDING
+    assert a != b and exact_dedup.fingerprint(a.encode()) == exact_dedup.fingerprint(b.encode())
+    rows = [(1, a), (2, b), (3, a + " "), (4, b), (5, "x")] + [(10 + i, a) for i in range(100)]      # also in a hot group
+    real = exact_dedup._collided
+    monkeypatch.setattr(exact_dedup, "_collided", lambda *args: real(*args, chunk=chunk))
+    for take in (5, len(rows)):
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(spark.createDataFrame(rows[:take], "doc_id long, text string")).collect()}
+        n = take - 5 + 2
+        assert (got[1].keep_id, got[1].group_size, got[3].kept) == (3, n, True) and (got[2].keep_id, got[4].keep_id, got[2].group_size) == (2, 2, 2)
+        assert got[5].group_size == 1 and got[2].text_sha256 == hashlib.sha256(b.encode()).hexdigest()
+
+
+def test_hash_table_finds_hashes_that_share_half(spark):
+    hi, lo = np.array([5, -7, 5, 9]), np.array([1, 2, 3, 4])
+    t = line_dedup.HashTable(hi, lo)
+    assert t.holds(np.array([5, 5, 5, -7, 9, 0]), np.array([1, 2, 3, 2, 4, 0])).tolist() == [True, False, True, True, True, False]
+    assert line_dedup.HashTable(hi[:0], lo[:0]).holds(hi, lo).tolist() == [False] * 4
+
+
+def test_stages_keep_columns_that_bear_their_own_names(spark):
+    text = "Mr John Smith wrote this long line of plain English words for the test of the stage and the end"
+    rows = [(i, f"same line of all\n{text} {i}", "en", "s", 9) + tuple(f"{c}{i}" for c in ("a", "b", "c", "d", "e")) for i in range(12)] + [(50, None) + (None,) * 8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                       "__lines string, __pii string, __h string, __lang string, __k1 string")
+    for out in (line_dedup.with_lines_dropped(docs), pii.with_surrogates(docs, KEY), jaccard_join.one_of_each(docs)):
+        assert out.columns == docs.columns
+        for r in out.where("doc_id < 50").collect():
+            assert [r[c] for c in ("__lines", "__pii", "__h", "__lang", "__k1")] == [f"{c}{r.doc_id}" for c in "abcde"]
+    assert line_dedup.with_lines_dropped(docs).where("text like 'same line%'").count() == 0
