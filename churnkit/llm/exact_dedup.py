@@ -151,7 +151,7 @@ def _collided(docs: DataFrame, groups: DataFrame, total: int = 0, chunk: int = 4
 
     keyed = docs.select("text").mapInArrow(fp, "f1 long, f2 long, n long, data binary")
     key = ["f1", "f2", "n"]
-    hot = F.col("rows") > max(64, total // hot_share)
+    hot = F.col("rows") > max(64, total // hot_share) if "rows" in groups.columns else F.lit(False)
     in_place = keyed.join(F.broadcast(groups.where(hot).select(*key)), key, "left_semi")
     again = in_place.unionByName(keyed.join(groups.where(~hot).select(*key), key, "left_semi"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n") - 1) / chunk).cast("int"))))
