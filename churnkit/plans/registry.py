@@ -133,7 +133,7 @@ QUERIES = {
 }
 
 from . import o_artifacts, o_explain, o_metrics, o_profile, q_artifacts, q_explain, q_metrics, q_profile  # noqa: E402,E501
-from . import o_sampling, q_ensembles, q_models, q_more, q_sampling  # noqa: E402
+from . import o_sampling, q_ensembles, q_explanations, q_models, q_more, q_sampling  # noqa: E402
 
 QUERIES.update(q_metrics.QUERIES)
 QUERIES.update(q_explain.QUERIES)
@@ -143,6 +143,7 @@ QUERIES.update(q_sampling.QUERIES)
 QUERIES.update(q_models.QUERIES)
 QUERIES.update(q_more.QUERIES)
 QUERIES.update(q_ensembles.QUERIES)
+QUERIES.update(q_explanations.QUERIES)
 
 from . import o_fe  # noqa: E402
 
