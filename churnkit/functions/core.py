@@ -60,6 +60,20 @@ def cnt(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
+def _money(c) -> Column:
+    return col_(c).try_cast("decimal(28,6)")
+
+
+def money_sum(c) -> Column:
+    """Sum of money or credits to a millionth.  Added up as decimals, so the order in which rows and partial sums meet
+    does not matter; NULL, NaN and infinite values count as missing."""
+    return F.sum(_money(c)).cast("double")
+
+
+def money_avg(c) -> Column:
+    return F.try_divide(money_sum(c), F.count(_money(c)))
+
+
 def flag(cond: Column) -> Column:
     """Boolean -> 0/1 int with NULL -> 0 (``.astype(int)`` on a comparison)."""
     return F.coalesce(cond, F.lit(False)).cast("int")

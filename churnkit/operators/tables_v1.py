@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions.core import (US_PER_DAY, US_PER_HOUR, cnt, encode_top_n, flag, floor_days,
-                              map_lookup, micros, norm_lower, nullif_zero, safe_div)
+                              map_lookup, micros, money_avg, money_sum, norm_lower, nullif_zero, safe_div)
 from ..functions.clean import dedupe_first, experience_ordinal, frustration_canon, team_size_ordinal
 from .generations import obs_ts, tenure_days
 from .ordered import ordered
@@ -48,9 +48,9 @@ def build_purchase_features(purchases: DataFrame, obs_date: str, *,
         cnt(ty == "Credits package").alias("_credits"),
         cnt(ty == "Upsell").alias("_upsells"),
         cnt(ty == "Reactivation").alias("_react"),
-        F.sum(amt).alias("_sum"), F.avg(amt).alias("avg_purchase_dollars"),
+        money_sum(amt).alias("_sum"), money_avg(amt).alias("avg_purchase_dollars"),
         F.max(amt).alias("max_purchase_dollars"),
-        F.sum(F.when(ty == "Credits package", amt)).alias("_credit_sum"),
+        money_sum(F.when(ty == "Credits package", amt)).alias("_credit_sum"),
         F.min("purchase_time").alias("_first_purchase"),
         F.max("purchase_time").alias("_last_purchase"),
         F.count("purchase_time").alias("_n_time"),

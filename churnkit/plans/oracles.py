@@ -188,8 +188,8 @@ agg AS (
     {cnt("purchase_type = 'Credits package'")} AS credits,
     {cnt("purchase_type = 'Upsell'")} AS upsells,
     {cnt("purchase_type = 'Reactivation'")} AS react,
-    sum(amt) AS s, avg(amt) AS a, max(amt) AS m,
-    sum(amt) FILTER (WHERE purchase_type = 'Credits package') AS cs,
+    CAST(sum(CAST(amt AS DECIMAL(28,6))) AS DOUBLE) AS s, CAST(sum(CAST(amt AS DECIMAL(28,6))) AS DOUBLE) / count(amt) AS a, max(amt) AS m,
+    CAST(sum(CAST(amt AS DECIMAL(28,6))) FILTER (WHERE purchase_type = 'Credits package') AS DOUBLE) AS cs,
     min(us) AS first_us, max(us) AS last_us, count(us) AS n_time
   FROM p GROUP BY user_id)
 SELECT a.user_id, a.n AS n_purchases_total,
