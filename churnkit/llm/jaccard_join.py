@@ -10,6 +10,9 @@ Rows with the same set of 5-grams form a *class*; classes are joined, copies are
   sampled anew along the path, up to ``depth`` levels, unless their sets are alike: where two
   members share their minimal token with probability ``dense`` or more, splitting would
   only repeat the bucket.
+* **Lone tokens.** Buckets that stay wide lose the classes that cannot have a link in them:
+  a partner holds at least ``threshold`` of a set, so a class with more than the rest of its
+  tokens in no other class of the wide buckets has none.  One aggregate by token, without a join, tells.
 * **Brute force.** Within a leaf bucket all intersections are counted exactly, by products
   of 0/1 matrices over the tokens that occur twice.  A pair belongs to the smallest of the
   paths that both classes took, so each pair is verified in one bucket only, and sets are sent
@@ -264,6 +267,29 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
             .mapInArrow(run, "cid long, links long, root long"))
 
 
+def _without_lone(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``path, cid, size`` of wide buckets without the classes that have no link in any of them.
+
+    A class of ``n`` tokens, ``alone`` of them held by no other class of ``wide``, shares at most ``n - alone`` with
+    any, and a link needs ``threshold * n``.  The owner of a token with one holder is its least (and greatest) holder,
+    so a token that a third of all rows hold is one row of a partial aggregate.  Classes that go leave further
+    tokens alone, so rounds go on while each takes a tenth of the classes."""
+    held = written(sets.join(wide.select("cid").distinct(), "cid", "left_semi").select("cid", "tokens"), "join-wide-tokens")
+    left = held.select("cid").distinct().count()
+    while left:
+        alone = (held.select("cid", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
+                 .where("cid = last").groupBy("cid").agg(F.count(F.lit(1)).alias("alone")))
+        gone = (held.join(alone, "cid").where(F.size("tokens") - F.col("alone") < threshold * F.size("tokens") - 1e-6)
+                .select("cid").distinct())
+        held = written(held.join(gone, "cid", "left_anti"), "join-wide-tokens")
+        before, left = left, held.select("cid").distinct().count()
+        if before - left < 0.1 * before:
+            break
+    wide = wide.select("path", "cid").join(held.select("cid").distinct(), "cid", "left_semi")
+    sizes = wide.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return wide.join(sizes, "path").select("path", "cid", "size")
+
+
 def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, branching: float = 4.0, leaf: int = 64,
                     depth: int = 4, dense: float = 0.3, recall: float = 0.99999, block: int = 1024, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): ``doc_id, c1, c2, n`` per row, and per class its ``rep`` row, ``rows``,
@@ -316,6 +342,9 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
     met = leaves[0].select("path", "cid", "size")
     for x in leaves[1:]:
         met = met.unionByName(x.select("path", "cid", "size"))
+    wide = written(met.where(F.col("size") > leaf), "join-wide-leaves")
+    if not wide.isEmpty():
+        met = met.where(F.col("size") <= leaf).unionByName(written(_without_lone(wide, sets, threshold), "join-wide-left"))
     # small buckets with the same members are one bucket
     small = (met.where(F.col("size") <= leaf).groupBy("path").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
              .select("cids").distinct().select(F.xxhash64("cids").alias("path"), F.size("cids").cast("long").alias("size"), F.explode("cids").alias("cid")))

@@ -406,6 +406,36 @@ def test_join_is_brute_force(spark, options):
     assert rows_of(got, "doc_id", "class_id", "n_links") == brute_join(rows)
 
 
+def edited_copies(n=150, seed=5):
+    """Copies of one text, each with so many words changed that only a few are similar, and copies of some copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    out = []
+    for i in range(n):
+        w = list(out[-1].split() if i % 10 == 9 else base)
+        for k in rng.sample(range(len(w)), 1 if i % 10 == 9 else 7):
+            w[k] = word()
+        out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("options", [{"leaf": 16, "block": 8}, {"leaf": 4, "block": 16, "dense": 0.1}])
+def test_join_of_a_wide_group_of_edited_copies(spark, options):
+    rows = edited_copies()
+    got = rows_of(jaccard_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), **options), "doc_id", "class_id", "n_links")
+    assert got == brute_join(rows) and 0 < sum(x[2] > 0 for x in got) < len(rows) / 2
+
+
+def test_lone_classes_leave_wide_buckets(spark):
+    sets = [(1, list(range(0, 100))), (2, list(range(5, 105))), (3, list(range(30, 130))), (4, [*range(0, 60), *range(200, 240)]),
+            (4, [*range(0, 60), *range(200, 240)])]
+    wide = spark.createDataFrame([(p, c, 4) for p in (7, 8) for c in range(1, 5)] + [(9, 4, 2), (9, 3, 2)], "path long, cid long, size long")
+    left = jaccard_join._without_lone(wide, spark.createDataFrame(sets, "cid long, tokens array<long>"), 0.8)
+    # 3 has 25 of 100 alone and 4, whose set is there twice, 40; 1 and 2 share 95
+    assert rows_of(left, "path", "cid", "size") == [(7, 1, 2), (7, 2, 2), (8, 1, 2), (8, 2, 2)]
+
+
 def test_join_on_edge_rows(edges, none, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert rows_of(jaccard_join.ngram_jaccard_join(docs), "doc_id", "class_id", "n_links") == brute_join(rows)
