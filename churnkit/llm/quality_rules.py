@@ -93,21 +93,34 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     """Exact upper confidence bound of a proportion with ``k`` of ``n``: the p where P(X <= k) = delta."""
     if k >= n:
         return 1.0
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(n, n - k, -1)) - np.log(np.arange(1, k + 1)))]) if k else np.zeros(1)
-    i = np.arange(k + 1)
-
-    def tail(p: float) -> float:
-        x = logs + i * math.log(p) + (n - i) * math.log1p(-p)
-        top = x.max()
-        return math.exp(top) * float(np.exp(x - top).sum())
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        lo, hi = (p, hi) if 0 < p < 1 and tail(p) > delta else (lo, p)
+        lo, hi = (p, hi) if 0 < p < 1 and beta_share(1 - p, n - k, k + 1) > delta else (lo, p)
     return hi
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (Lentz's method): P(X <= k) of n draws
+    at p is the share of ``1 - p`` for ``(n - k, k + 1)``.  Its cost does not grow with the counts but for their square root."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + num * d) or tiny)
+            c = (1 + num / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14 or m > 1_000_000:
+            return front * out
+
+
 def select_cutoffs(counts: dict, alpha: float, delta: float) -> dict:
     """stratum -> cutoff per rule (None: no cutoff holds), from ``{stratum: (n, [[rejected per candidate]])}``."""
     tests = max(1, len(counts)) * len(RULES) * len(CANDIDATES)
