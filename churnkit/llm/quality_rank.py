@@ -106,7 +106,9 @@ def rank_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     labelled = known
     if n > max_labelled:  # a share by hash, then exactly the bound
         share = 1.2 * max_labelled / n
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # in the order of a hash, so that the same rows give the same fit
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "x").limit(max_labelled)
     got = known.select("x", "quality").toPandas()
     x = np.array(got["x"].tolist(), dtype=float) if len(got) else np.empty((0, 1))
     y = got["quality"].to_numpy() == 1 if len(got) else np.zeros(0, bool)
