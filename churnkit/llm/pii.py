@@ -1,7 +1,7 @@
 """Replacement of personal data by keyed, type-consistent surrogates.
 
-1. *Detect*: e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), IBANs (mod 97),
-   US social security numbers, secrets (long hexadecimal, well-known key prefixes, assigned tokens),
+1. *Detect*: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (Luhn), IBANs (mod 97),
+   US social security numbers, secrets (long hexadecimal, well-known key prefixes, assigned tokens, passwords in URLs),
    person names behind one or more titles and further mentions of these names in the same text.
 2. *Assign*: an entity's canonical form (case, separators and formatting removed) and a secret key
    determine its surrogate, so all its mentions, in every document and format, get the same one.
@@ -23,9 +23,10 @@ scanned whole; empty tables give no rows; all other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import itertools
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -56,8 +57,14 @@ SYLLABLES = {
     "cyrillic": ("ба", "вер", "гор", "дан", "жел", "зор", "кор", "лав", "мир", "нов", "пет", "ров", "сол", "тор", "фед", "чер"),
     "greek": ("βα", "γερ", "δημ", "θεο", "καρ", "λαμ", "μαν", "νικ", "παπ", "ραλ", "σαβ", "ταν", "φιλ", "χρι", "ψαρ", "ζαχ"),
 }
-_CAP = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁΆ-Ώ][a-zà-öø-ÿßα-ωά-ώа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zà-öø-ÿßα-ωά-ώа-яё]+)?"
-_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_UP, _LOW = "[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁΆ-Ώ]", "[a-zà-öø-ÿßα-ωά-ώа-яё]"
+# McDonald, O'Brien, SMITH, Smith-Jones
+_PART = rf"(?:{_UP}['’](?={_UP}))?{_UP}(?:{_LOW}+(?:{_UP}{_LOW}+)*|{_UP}+(?!{_LOW}))"
+_CAP = rf"{_PART}(?:[-'’]{_PART})?"
+#: titles that count in capitals too; others are common words
+_CAPITALS = {t.upper(): t for t in ("Mr", "Mrs", "Dr", "Prof", "Herr", "Frau")}
+_TITLES = [*(t for ts in TITLES.values() for t in ts), *_CAPITALS]
+_TITLE = "|".join(sorted(_TITLES, key=len, reverse=True))
 _ASSIGN = r"(?i:(?<![A-Za-z0-9])(?:token|secret|passwd|password|api_?key)[\"']?\s*[=:]\s*)"
 _ENDS = r"\s\"'=:,;&(){}\[\]<>"
 _PATTERNS = {
@@ -70,19 +77,23 @@ _PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)",
     "ssn": r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
+    "login": r"(?<=://)[^\s/:@]+:(?P<value>[^\s/@]+)(?=@)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": rf"(?<!\w)(?P<title>(?:(?:{_TITLE})\.?[ \t]+){{1,6}})(?P<person>(?!(?:{_TITLE})\b){_CAP}(?: {_CAP}){{0,2}})",
+    "name": rf"(?<!\w)(?P<title>(?:(?:{_TITLE})\.?[ \t]+){{1,6}})(?P<person>(?!(?:{_TITLE})\b){_CAP}(?:[ \t\xa0]+{_CAP}){{0,2}})",
 }
 _FIND = {k: re.compile(p) for k, p in _PATTERNS.items()}
-_TITLES = [t for ts in TITLES.values() for t in ts]
 _GENDER = {t: g for g in "mf" for t in TITLES[g]}
-_RUN = re.compile(rf"(?<!\w){_CAP}(?!\w)(?:\s{_CAP}(?!\w))*")
+_GENDER |= {up: _GENDER[t] for up, t in _CAPITALS.items() if t in _GENDER}
+_RUN = re.compile(rf"(?<!\w){_CAP}(?!\w)(?:\s+{_CAP}(?!\w))*")
 _KEY_WORD = re.compile(r"(?i)token|secret|passw|api_?key")
 #: a pattern is tried only on texts that hold what every match of it holds
 _NEEDS = {
     "email": lambda t, d: "@" in t,
     **dict.fromkeys(("assigned", "bare"), lambda t, d: ("=" in t or ":" in t) and _KEY_WORD.search(t) is not None),
+    "login": lambda t, d: "://" in t and "@" in t,
+    "ip6": lambda t, d: t.count(":") > 1,
     "key": lambda t, d: "_" in t or "AKIA" in t or any(x in t for x in ("sk-", "pk-", "rk-", "xox")),
     "name": lambda t, d: any(x in t for x in _TITLES),
     # 32 hexadecimal characters without a decimal digit do not occur by chance
@@ -113,6 +124,13 @@ def canonical(kind: str, mention: str) -> str:
         return mention.lower() if kind == "email" or re.fullmatch("[0-9A-Fa-f]+", mention) else mention
     if kind == "ip":
         return ".".join(str(int(x)) for x in mention.split("."))
+    if kind == "ip6":
+        try:
+            return str(ipaddress.IPv6Address(mention))
+        except ValueError:
+            return ""
+    if kind == "name":  # in capitals or not, whatever the spaces
+        return " ".join(w[0] + w[1:].lower() if w.isupper() else w for w in mention.split())
     return mention
 
 
@@ -121,6 +139,8 @@ def valid(kind: str, key: str) -> bool:
         return 13 <= len(key) <= 19 and luhn(key)
     if kind == "iban":
         return iban_rest(key) == 1
+    if kind == "ip6":
+        return key != ""
     return kind != "phone" or 7 <= len(key.lstrip("+")) <= 15
 
 
@@ -134,8 +154,8 @@ def mentions_of(text: str, names: set[str]) -> list[tuple[int, int, str]]:
         while i < len(words):
             for k in range(min(longest, len(words) - i), 0, -1):
                 a, b = words[i][0], words[i + k - 1][1]
-                name = " ".join(text[x:y] for x, y in words[i:i + k])
-                if name in names:
+                name = canonical("name", text[a:b])
+                if name in names and (k > 1 or not text[a:b].isupper()):
                     out.append((a, b, name))
                     break
             else:
@@ -151,8 +171,8 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     for kind, pattern in _FIND.items():
         if not _NEEDS[kind](text, digits):
             continue
-        group = {"assigned": "value", "bare": "value", "name": "person"}.get(kind, 0)
-        kind = "secret" if kind in ("key", "assigned", "bare") else kind
+        group = {"assigned": "value", "bare": "value", "login": "value", "name": "person"}.get(kind, 0)
+        kind = "secret" if kind in ("key", "assigned", "bare", "login") else kind
         m = pattern.search(text)
         while m:
             a, b = m.span(group)
@@ -209,6 +229,8 @@ def surrogate(kind: str, key: str, gender: str, attempt: int, secret: bytes) ->
             out = " ".join(parts)
         elif kind == "ip":
             out = _address(key, level, r)
+        elif kind == "ip6":  # of the block set aside for documentation
+            out = str(ipaddress.IPv6Address("2001:db8:" + ":".join(f"{r.below(1 << 16):x}" for _ in range(6))))
         elif kind == "email":
             local, _, host = key.partition("@")
             labels = host.split(".")
@@ -294,7 +316,7 @@ def in_format(kind: str, mention: str, value: str) -> str:
         new_local, _, new_host = value.partition("@")
         return _cased(local, new_local) + at + _cased(host, new_host)
     if kind == "name":
-        it = iter(value.split())
+        it = iter(value.upper().split() if mention.isupper() else value.split())
         return re.sub(r"\S+", lambda _: next(it), mention)
     if kind == "secret" and mention.isupper() and re.fullmatch("[0-9A-F]+", mention):
         return value.upper()
@@ -336,24 +358,31 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def assign(found: DataFrame, secret: bytes) -> DataFrame:
-    """``kind, key, gender, mixed, attempt, value`` with distinct values, none of which is an entity."""
+    """``kind, key, gender, mixed, attempt, value`` with distinct values, none of which is an entity.
+
+    Each round draws and writes only the entities that clashed in the one before."""
     @F.pandas_udf("string")
     def value(kind: pd.Series, key: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(*x, secret) for x in zip(kind, key, gender, attempt)], dtype=object)
 
+    cols = [*found.columns, "attempt", "value"]
     real = found.select("kind", F.col("key").alias("value"))
-    table = written(found.withColumn("attempt", F.lit(0)).withColumn("value", value("kind", "key", "gender", "attempt")), "pii-values")
+    settled: list[DataFrame] = []
+    new = written(found.withColumn("attempt", F.lit(0)).withColumn("value", value("kind", "key", "gender", "attempt")), "pii-values")
     while True:
-        # of those with one value, the entity that came to it first (fewest attempts) stays
-        owner = table.groupBy("kind", "value").agg(F.min(F.struct("attempt", "key")).alias("o"))
-        clash = table.join(real.withColumn("__real", F.lit(True)), ["kind", "value"], "left").join(owner, ["kind", "value"])
-        again = F.col("__real").isNotNull() | (F.struct("attempt", "key") != F.col("o"))
-        marked = written(clash.select(*table.columns, again.alias("again")), "pii-marked")
-        if marked.where("again").isEmpty():
-            return marked.drop("again")
-        table = written(marked.where("not again").drop("again").unionByName(
-            marked.where("again").withColumn("attempt", F.col("attempt") + 1).drop("again", "value")
-            .withColumn("value", value("kind", "key", "gender", "attempt"))), "pii-values")
+        # a value goes to the entity that came to it first (fewest attempts, then the smaller key); all of ``settled`` took fewer
+        taken = reduce(DataFrame.unionByName, (x.select("kind", "value") for x in settled), real).withColumn("__taken", F.lit(True))
+        owner = new.groupBy("kind", "value").agg(F.min("key").alias("__owner"))
+        marked = written(new.join(owner, ["kind", "value"]).join(taken, ["kind", "value"], "left")
+                         .select(*cols, (F.col("__taken").isNotNull() | (F.col("key") != F.col("__owner"))).alias("again")), "pii-marked")
+        settled.append(marked.where("not again").select(*cols))
+        again = marked.where("again").select(*cols)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        if len(settled) == 8:  # keeps the plan short
+            settled = [written(reduce(DataFrame.unionByName, settled), "pii-settled")]
+        new = written(again.withColumn("attempt", F.col("attempt") + 1).drop("value")
+                      .withColumn("value", value("kind", "key", "gender", "attempt")), "pii-values")
 
 
 def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:

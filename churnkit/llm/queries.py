@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -33,7 +34,8 @@ TEST_KEY = "key for synthetic tables"
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    return spark.conf.get("churnkit.pii.key", TEST_KEY).encode()[:64]
+    key = spark.conf.get("churnkit.pii.key", TEST_KEY).encode()
+    return key if len(key) <= 64 else hashlib.blake2b(key).digest()
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -199,6 +200,42 @@ def test_surrogates_reach_further_mentions_and_long_or_bare_values(spark):
         assert new[0].split()[0] in pii.GIVEN["latin", "f"] and new[2].split()[0] in pii.GIVEN["latin", "n"]
 
 
+@pytest.mark.parametrize("text, gone", [
+    ("Ms McDonald came", "Donald"), ("Mr. O'Brien left", "Brien"), ("MR JOHN SMITH left", "SMITH"), ("Mr John  Smith left", "Smith"),
+    ("Mr Smith-Jones left", "Jones"), ("Mr John Smith left. JOHN SMITH came back.", "SMITH"), ("FRAU MÜLLER kam", "MÜLLER"),
+    ("host 2001:db8::1 is up", "db8::1 "), ("fe80::1ff:fe23:4567:890a, up", "4567:890a"), ("ftp://user:hunter2@host/x", "hunter2")])
+def test_surrogates_of_whole_names_addresses_and_logins(text, gone):
+    out, n, _ = pii.rewrite(text, {}, KEY)
+    assert gone not in out and n >= 1
+    assert [w for w in out.split() if w.islower()] == [w for w in text.split() if w.islower()] or "//" in out or ":" in out
+    if "SMITH" in text:
+        assert any(w.isupper() and len(w) > 2 for w in out.split())
+
+
+def test_surrogates_leave_times_scopes_and_capitals_alone():
+    for text in ("at 12:30:45 std::vector a::b 10:20", "MISS THIS AND GO", "THE SMITH FAMILY", "a title Mr alone", "see http://host:80/a@b"):
+        assert pii.rewrite(text, {}, KEY) == (text, 0, "")
+
+
+def test_long_keys_count_whole(spark):
+    from churnkit.llm import queries
+    a, b = "k" * 64 + "a", "k" * 64 + "b"
+    try:
+        spark.conf.set("churnkit.pii.key", a)
+        one = queries.pii_key(spark)
+        spark.conf.set("churnkit.pii.key", b)
+        assert one != queries.pii_key(spark) and len(one) == 64
+    finally:
+        spark.conf.unset("churnkit.pii.key")
+
+
+def test_upper_bound_of_many_rejections_is_quick():
+    t = time.perf_counter()
+    p = quality_rules.upper_bound(1_000_000, 30_000_000, 1e-6)
+    # normal approximation: 4.75 standard deviations above the share
+    assert abs(p - (1 / 30 + 4.753 * math.sqrt(1 / 30 * 29 / 30 / 30e6))) < 1e-6 and time.perf_counter() - t < 1
+
+
 def test_surrogates_on_edge_rows(edges, none):
     out = pii.with_surrogates(edges, KEY)
     assert out.columns == edges.columns and rows_of(out.drop("n_chars"), "doc_id", "text") == rows_of(edges, "doc_id", "text")
