@@ -4,8 +4,8 @@ Benford features, user roll-ups, and the leading-digit report.
 The nearest-anchor join (J10) is an as-of style join over the *distinct*
 amounts: these and the anchors are ranked by value (through the chunked
 :func:`ordered.ordered`, so no single task sees the whole column), each
-picks up the largest anchor below it and the smallest one above it as running
-maxima, and the result reaches the rows by value, hot values salted.  Ties go to the upper anchor (the lower one wins
+picks up the largest anchor below it and the smallest one from it on as a running
+maximum and minimum of one ordering, and the result reaches the rows by value, hot values salted.  Ties go to the upper anchor (the lower one wins
 only when strictly closer).  With no anchors a value snaps to itself.
 """
 
@@ -34,12 +34,11 @@ def snap(df: DataFrame, value: str, anchors: DataFrame, row_id: str, chunk_rows:
     per = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_times"))
     grid = anchors.select(F.col("anchor").cast("double").alias("_v"), F.lit(1).alias("_a")).distinct()
     # key is constant: one global order in chunks
-    both = stored(per.join(grid, "_v", "full").withColumn("_k", F.lit(0)).withColumn("_neg", -F.col("_v")), "snap-grid")
-    lo = ordered(both, "_k", "_v", "_v", maxes_before={"a": F.when(F.col("_a") == 1, F.col("_v"))}, chunk_rows=chunk_rows)
-    hi = ordered(both, "_k", "_neg", "_neg", maxes_before={"a": F.when(F.col("_a") == 1, F.col("_neg"))}, chunk_rows=chunk_rows)
-    x = (lo.where("_times is not null").select("_v", "_times", "_a", F.col("maxbefore_a").alias("_lo"))
-         .join(hi.select("_v", F.col("maxbefore_a").alias("_up")), "_v"))
-    x = x.withColumn("_hi", F.when(F.col("_a") == 1, F.col("_v")).otherwise(-F.col("_up"))).drop("_up", "_a")
+    both = per.join(grid, "_v", "full").withColumn("_k", F.lit(0))
+    anchor = F.when(F.col("_a") == 1, F.col("_v"))
+    x = ordered(both, "_k", "_v", "_v", maxes_before={"a": anchor}, mins_after={"a": anchor}, chunk_rows=chunk_rows)
+    x = (x.where("_times is not null")
+         .select("_v", "_times", F.col("maxbefore_a").alias("_lo"), F.when(F.col("_a") == 1, F.col("_v")).otherwise(F.col("minafter_a")).alias("_hi")))
     picks = stored(_pick(x, "_v").select("_v", F.col("_times").alias("_n"), "snap_val", "snap_dist"), "snap-picks")
     return attach(df.withColumn("_v", v), picks, "_v", row_id=row_id).drop("_v", "_n")
 

@@ -12,7 +12,7 @@ chunk) stitches the chunk boundaries back together:
 
 * position from the start / from the end of the key's sequence,
 * previous row's value (``lag``) across chunk boundaries,
-* running sums and maxima over all earlier rows,
+* running sums and maxima over all earlier rows, minima over all later ones,
 * per-key attributes (row count, first and last time, and columns of ``stats``),
   which reach the rows through the summary, never by a join on the key alone.
 """
@@ -87,6 +87,7 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
             lags: dict[str, Column] | None = None,
             sums_before: dict[str, Column] | None = None,
             maxes_before: dict[str, Column] | None = None,
+            mins_after: dict[str, Column] | None = None,
             chunk_rows: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Annotate every row with its place in the key's ``(ts NULLS LAST, tie)`` order.
 
@@ -94,7 +95,8 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     end), ``lag_<name>`` for each entry of ``lags`` (the previous row's
     value, like ``shift(1)``), ``before_<name>`` for each entry of
     ``sums_before`` (sum over strictly earlier rows) and ``maxbefore_<name>``
-    for ``maxes_before`` (max over strictly earlier rows, NULLs skipped).
+    for ``maxes_before`` (max over strictly earlier rows, NULLs skipped), and
+    ``minafter_<name>`` for ``mins_after`` (min over strictly later rows).
     The per-key ``_n`` (rows), ``_nv`` (rows with a time), ``_t0``, ``_t1`` (first and
     last time as a number) and the columns of ``stats`` (one row per key) stay on the rows.
     """
@@ -102,9 +104,11 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     lags = lags or {}
     sums_before = sums_before or {}
     maxes_before = maxes_before or {}
+    mins_after = mins_after or {}
     extra = ([c.alias(f"_lv_{n}") for n, c in lags.items()]
              + [c.cast("double").alias(f"_sv_{n}") for n, c in sums_before.items()]
-             + [c.alias(f"_mv_{n}") for n, c in maxes_before.items()])
+             + [c.alias(f"_mv_{n}") for n, c in maxes_before.items()]
+             + [c.alias(f"_nv_{n}") for n, c in mins_after.items()])
     base = df.select("*", *extra) if extra else df
     rows = with_chunks(base, ks, ts, tie, chunk_rows)
 
@@ -115,6 +119,10 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     win += [F.lag(f"_lv_{n}").over(w).alias(f"_ilag_{n}") for n in lags]
     win += [F.coalesce(F.sum(f"_sv_{n}").over(w_before), F.lit(0.0)).alias(f"_cs_{n}") for n in sums_before]
     win += [F.max(f"_mv_{n}").over(w_before).alias(f"_cm_{n}") for n in maxes_before]
+    # as the rows before in the opposite order, which are added up while they pass
+    w_down = (Window.partitionBy(*ks, "_chunk").orderBy(F.col(ts).isNull().desc(), F.col(ts).desc(), F.col(tie).desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    win += [F.min(f"_nv_{n}").over(w_down).alias(f"_cn_{n}") for n in mins_after]
     rows = rows.select("*", *win)
 
     # per-chunk summary: a handful of rows per (key, chunk)
@@ -126,6 +134,7 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
         summ_aggs.append(F.max(last_struct).alias("_last"))
     summ_aggs += [F.sum(f"_sv_{n}").alias(f"_csum_{n}") for n in sums_before]
     summ_aggs += [F.max(f"_mv_{n}").alias(f"_cmax_{n}") for n in maxes_before]
+    summ_aggs += [F.min(f"_nv_{n}").alias(f"_cmin_{n}") for n in mins_after]
     summ = rows.groupBy(*ks, "_chunk").agg(*summ_aggs)
     wc = Window.partitionBy(*ks).orderBy("_chunk")
     prev = wc.rowsBetween(Window.unboundedPreceding, -1)
@@ -138,6 +147,7 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
     sel += [F.lag(F.col("_last").getField(n)).over(wc).alias(f"_plast_{n}") for n in lags]
     sel += [F.coalesce(F.sum(f"_csum_{n}").over(prev), F.lit(0.0)).alias(f"_off_{n}") for n in sums_before]
     sel += [F.max(f"_cmax_{n}").over(prev).alias(f"_moff_{n}") for n in maxes_before]
+    sel += [F.min(f"_cmin_{n}").over(nxt).alias(f"_noff_{n}") for n in mins_after]
     summ = summ.select(*sel)
     if stats is not None:
         summ = summ.join(stats, ks, "left")
@@ -150,12 +160,15 @@ def ordered(df: DataFrame, keys, ts: str, tie: str, *,
         drop |= {f"_sv_{n}", f"_cs_{n}", f"_off_{n}"}
     for n in maxes_before:
         drop |= {f"_mv_{n}", f"_cm_{n}", f"_moff_{n}"}
+    for n in mins_after:
+        drop |= {f"_nv_{n}", f"_cn_{n}", f"_noff_{n}"}
     new_cols = [(F.col("_rows_before") + F.col("_rn")).alias("_pos"),
                 (F.col("_rows_after") + F.col("_ccnt") - F.col("_rn") + 1).alias("_pos_desc")]
     new_cols += [F.when(F.col("_rn") == 1, F.col(f"_plast_{n}")).otherwise(F.col(f"_ilag_{n}")).alias(f"lag_{n}")
                  for n in lags]
     new_cols += [(F.col(f"_off_{n}") + F.col(f"_cs_{n}")).alias(f"before_{n}") for n in sums_before]
     new_cols += [F.greatest(F.col(f"_moff_{n}"), F.col(f"_cm_{n}")).alias(f"maxbefore_{n}") for n in maxes_before]
+    new_cols += [F.least(F.col(f"_noff_{n}"), F.col(f"_cn_{n}")).alias(f"minafter_{n}") for n in mins_after]
     keep = [c for c in out.columns if c not in drop]
     return out.select(*keep, *new_cols)
 

@@ -427,7 +427,9 @@ def matrix_v1(version: int = 1) -> str:
     enc = ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'unknown')) - 1 AS BIGINT) AS {c}_int" for c in cats)
     doubles += ["payment_resilience_score", "engagement_health_score", "commitment_score",
                 "rfm_recency_bin", "rfm_frequency_bin", "rfm_monetary_bin"]
-    rep = ", ".join(f"round({d}, 6) AS {d}" for d in dict.fromkeys(doubles))
+    # money by a small count often ends in a half at the seventh place: rounded as a decimal, half up, as in Spark
+    rep = ", ".join(f"CAST(round(CAST({d} AS DECIMAL(38, 12)), 6) AS DOUBLE) AS {d}" if d == "spend_per_generation" else f"round({d}, 6) AS {d}"
+                    for d in dict.fromkeys(doubles))
     return view_ctes("users", "properties") + f""",
 {sub},
 base AS (

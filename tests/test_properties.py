@@ -49,8 +49,17 @@ def test_chunks_have_equal_depth_for_any_distribution(spark):
         df = stored(base.withColumn("v", v))  # random values are drawn once
         sizes = [r["count"] for r in with_chunks(df, "k", "v", "id", target).groupBy("_chunk").count().collect()]
         assert sum(sizes) == n and max(sizes) <= 2 * target
-        got = ordered(df, "k", "v", "id", lags={"id": F.col("id")}, chunk_rows=target)
+        marked = F.when(F.col("id") % 7 == 0, F.col("id"))
+        got = ordered(df, "k", "v", "id", lags={"id": F.col("id")}, maxes_before={"m": marked}, mins_after={"m": marked}, chunk_rows=target)
         rows = sorted(got.collect(), key=lambda r: (r["v"] is None, r["v"] or 0.0, r["id"]))
         assert [r["_pos"] for r in rows] == list(range(1, n + 1))
         assert [r["_pos_desc"] for r in rows] == list(range(n, 0, -1))
         assert [r["lag_id"] for r in rows] == [None] + [r["id"] for r in rows[:-1]]
+        ids = [r["id"] if r["id"] % 7 == 0 else None for r in rows]
+        top, low, before, after = None, None, [], []
+        for x, y in zip(ids, ids[::-1]):
+            before.append(top)
+            after.append(low)
+            top = x if top is None or x is not None and x > top else top
+            low = y if low is None or y is not None and y < low else low
+        assert [r["maxbefore_m"] for r in rows] == before and [r["minafter_m"] for r in rows] == after[::-1]
