@@ -66,14 +66,23 @@ def pr_curve(df: DataFrame, label: str, score: str, keys=None, chunk_rows: int |
 
 def average_precision(df: DataFrame, label: str, score: str, keys=None, **kw) -> DataFrame:
     ks = _keys(keys)
-    curve = pr_curve(df, label, score, ks or None, **kw)
-    return curve.groupBy(*ks).agg(F.sum(F.col("_dr") * F.col("precision")).alias("average_precision"))
+    return ap_of_curve(pr_curve(df, label, score, ks or None, **kw), ks)
+
+
+def ap_of_curve(curve: DataFrame, keys=None) -> DataFrame:
+    """Average precision of a :func:`pr_curve`."""
+    return curve.groupBy(*_keys(keys)).agg(F.sum(F.col("_dr") * F.col("precision")).alias("average_precision"))
 
 
 def best_f1_threshold(df: DataFrame, label: str, score: str, keys=None, **kw) -> DataFrame:
     """Threshold maximising 2PR/(P+R+1e-9); lowest threshold on ties."""
     ks = _keys(keys)
-    c = pr_curve(df, label, score, ks or None, **kw)
+    return best_f1_of_curve(pr_curve(df, label, score, ks or None, **kw), ks)
+
+
+def best_f1_of_curve(c: DataFrame, keys=None) -> DataFrame:
+    """:func:`best_f1_threshold` of a :func:`pr_curve`."""
+    ks = _keys(keys)
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-9))
     c = c.withColumn("f1", f1)
     best = F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("nt")))

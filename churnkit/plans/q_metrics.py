@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.core import round_doubles
 from ..operators import metrics as M
 from ..sources.fixtures import load_logical
-from ..session import configure
+from ..session import configure, stored
 
 
 def _scores(spark, sf_dir):
@@ -31,11 +31,11 @@ def q_pr_curve(spark, sf_dir):
 def q_two_stage_metrics(spark, sf_dir):
     """V1: AP of both stages, best-F1 threshold, 3-class scores of the cascade."""
     s = _scores(spark, sf_dir)
-    ap1 = M.average_precision(s, "y_bin", "s1").withColumnRenamed("average_precision", "pr_auc_s1")
+    curve = stored(M.pr_curve(s, "y_bin", "s1"), "pr-curve")  # read for its area and for its best threshold
+    ap1 = M.ap_of_curve(curve).withColumnRenamed("average_precision", "pr_auc_s1")
     ap2 = (M.average_precision(s.where(F.col("y_bin") == 1), "y_invol", "s2")
            .withColumnRenamed("average_precision", "pr_auc_s2"))
-    best = M.best_f1_threshold(s, "y_bin", "s1").select(F.col("threshold").alias("best_threshold_s1"),
-                                                          F.col("f1").alias("best_f1_s1"))
+    best = M.best_f1_of_curve(curve).select(F.col("threshold").alias("best_threshold_s1"), F.col("f1").alias("best_f1_s1"))
     x = s.crossJoin(F.broadcast(best))  # one-row side
     x = x.withColumn("pred_s1", (F.col("s1") >= F.col("best_threshold_s1")).cast("int"))
     x = x.withColumn("pred3", M.cascade_pred(F.col("s1"), F.col("s2"), F.col("best_threshold_s1"), F.lit(0.5)))
