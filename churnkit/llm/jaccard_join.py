@@ -267,6 +267,33 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
             .mapInArrow(run, "cid long, links long, root long"))
 
 
+def _holders(held: DataFrame, room: int = 1 << 19) -> DataFrame:
+    """``t, lo, hi``: tokens with their least and greatest class, met already over some ``room`` tokens of a task, so that
+    what alike classes share is sent once and not once a class."""
+    def met(cids, tokens):
+        cid, t = np.concatenate(cids), np.concatenate(tokens)
+        order = np.lexsort((cid, t))
+        cid, t = cid[order], t[order]
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.empty(0, np.int64)
+        last = np.r_[first[1:], len(t)][:len(first)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t[first], cid[first], cid[last])], names=["t", "lo", "hi"])
+
+    def run(it):
+        cids, tokens, n = [], [], 0
+        for b in batches(it):
+            row, entry = _lists(b.column(1))
+            cids.append(b.column(0).to_numpy()[row])
+            tokens.append(entry)
+            n += len(entry)
+            if n >= room:
+                yield met(cids, tokens)
+                cids, tokens, n = [], [], 0
+        if cids:
+            yield met(cids, tokens)
+
+    return held.select("cid", "tokens").mapInArrow(run, "t long, lo long, hi long")
+
+
 def _without_lone(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``path, cid, size`` of wide buckets without the classes that have no link in any of them.
 
@@ -277,7 +304,7 @@ def _without_lone(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     held = written(sets.join(wide.select("cid").distinct(), "cid", "left_semi").select("cid", "tokens"), "join-wide-tokens")
     left = held.select("cid").distinct().count()
     while left:
-        alone = (held.select("cid", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
+        alone = (_holders(held).groupBy("t").agg(F.min("lo").alias("cid"), F.max("hi").alias("last"))
                  .where("cid = last").groupBy("cid").agg(F.count(F.lit(1)).alias("alone")))
         gone = (held.join(alone, "cid").where(F.size("tokens") - F.col("alone") < threshold * F.size("tokens") - 1e-6)
                 .select("cid").distinct())
