@@ -69,3 +69,20 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable():
     qs, os_ = E.queries(), E.oracle_sql()
     assert set(os_) <= set(qs)
+
+
+def test_country_codes_follow_the_nation_table(spark, tmp_path):
+    """The code is the one of the nation's name, whatever its key; a key that the table lacks has none."""
+    from churnkit.sources.fixtures import load_logical, view_ctes
+    tables = {"customer": ("c_custkey long, c_nationkey int", [(1, 7), (2, 9), (3, 2), (4, 5), (50, 7)]),
+              "nation": ("n_nationkey int, n_name string", [(7, "BRAZIL"), (9, "FRANCE"), (5, None)]),
+              "events": ("user_id long, event_id long, event_type string, ts timestamp, value double", []),
+              "labels": ("doc_id long, quality int, toxic int", [])}
+    c = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = {1: "BR", 2: "FR", 3: None, 4: None, 50: None}
+    props = load_logical(spark, str(tmp_path))["properties"]
+    assert {r["user_id"]: r["country_code"] for r in props.collect()} == want
+    assert dict(c.execute(view_ctes("properties") + " SELECT user_id, country_code FROM properties").fetchall()) == want
