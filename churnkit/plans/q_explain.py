@@ -13,7 +13,7 @@ from ..sources.fixtures import load_logical
 
 def _load(spark, sf_dir):
     configure(spark)
-    t = load_logical(spark, sf_dir)
+    t = load_logical(spark, sf_dir, spread=True)
     y = F.element_at(F.create_map(F.lit("not_churned"), F.lit(0), F.lit("vol_churn"), F.lit(1),
                                   F.lit("invol_churn"), F.lit(2)), F.col("churn_status"))
     users = t["users"].select("user_id", y.cast("int").alias("y"))
