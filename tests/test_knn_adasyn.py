@@ -117,3 +117,22 @@ def test_fifth_strategy_trains(spark, two_classes):
     d = df.withColumnRenamed("id", "user_id")
     out = MD.resample(d.withColumn("yb", F.col("y").cast("double")), "yb", ["a", "b", "c"], "adasyn")
     assert {r["yb"]: r["count"] for r in out.groupBy("yb").count().collect()} == {0.0: 60, 1.0: 60}
+
+
+def test_few_asking_points_and_bounded_blocks(spark, monkeypatch):
+    """Only the keys that ask are searched, with the neighbours they have among all points (equal ones too); blocks
+    grow with the points, so their number, and how often the joins move a point, does not."""
+    import numpy as np
+    from churnkit.operators import knn as K
+    monkeypatch.setattr(K, "CHUNK", 8)
+    monkeypatch.setattr(K, "BLOCKS", 6)
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    x[250:] = x[:50]                                        # equal points
+    for rows in (x[:250], x):
+        df = spark.createDataFrame([(f"k{i:03d}", *map(float, r)) for i, r in enumerate(rows)], "id string, a double, b double, c double, d double")
+        ask = df.where("id in ('k003', 'k017', 'k120', 'k249')")
+        visits = {}
+        every = {tuple(r) for r in K.knn_exact(df, "id", list("abcd"), 3).collect()}
+        some = {tuple(r) for r in K.knn_exact(df, "id", list("abcd"), 3, visits=visits, ask=ask).collect()}
+        assert some == {r for r in every if r[0] in {"k003", "k017", "k120", "k249"}} and len(some) == 12
+        assert visits["blocks"] <= 2 * 6 + 1               # before: 8 points a block, 32 blocks and more
