@@ -23,6 +23,7 @@ is ``und``; empty tables give no rows; lang, source and doc_id never enter a pre
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -54,14 +55,51 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def features(word: str, lexicon: dict[str, int]) -> np.ndarray:
-    """Slots of a word's affixes (1 to 3), bigrams, trigrams and lexicon entry."""
-    f = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    e = f"^{word}$"
-    f += [e[i:i + 2] for i in range(len(e) - 1)] + [e[i:i + 3] for i in range(len(e) - 2)]
-    if word in lexicon:
-        f.append(f"L{lexicon[word]}")
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in f), dtype=np.int64, count=len(f))
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def _slots(data: np.ndarray, first: np.ndarray, last: np.ndarray, kind: bytes = b"") -> np.ndarray:
+    """``crc32(kind + data[first:last]) % SLOTS`` of many stretches of bytes at once."""
+    c = np.full(len(first), zlib.crc32(kind) ^ 0xFFFFFFFF, dtype=np.uint32)
+    size = last - first
+    least, most = (int(size.min()), int(size.max())) if len(size) else (0, 0)
+    for k in range(least):
+        c = _CRC[(c ^ data[first + k]) & 0xFF] ^ (c >> 8)
+    for k in range(least, most):
+        on = np.flatnonzero(size > k)
+        c[on] = _CRC[(c[on] ^ data[first[on] + k]) & 0xFF] ^ (c[on] >> 8)
+    return (~c % SLOTS).astype(np.int64)
+
+
+def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words' affixes (1 to 3), bigrams, trigrams and lexicon entry, word after word, and where each word's begin."""
+    data = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    head = np.cumsum(n + 2) - (n + 2) + 1                             # a word's first letter
+    entry = np.fromiter((lexicon.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    count = 6 + (n + 1) + n + (entry >= 0)
+    ends = np.cumsum(count)
+    starts = ends - count
+    flat = np.empty(int(count.sum()), dtype=np.int64)
+    for k in (1, 2, 3):
+        m = np.minimum(k, n)
+        flat[starts + k - 1] = _slots(data, at[head], at[head + m], b"p")
+        flat[starts + k + 2] = _slots(data, at[head + n - m], at[head + n], b"s")
+    for width, many, place in ((2, n + 1, starts + 6), (3, n, starts + 6 + n + 1)):
+        i = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        c = np.repeat(head - 1, many) + i
+        flat[np.repeat(place, many) + i] = _slots(data, at[c], at[c + width])
+    known = np.flatnonzero(entry >= 0)
+    flat[ends[known] - 1] = [zlib.crc32(f"L{x}".encode()) % SLOTS for x in entry[known]]
+    return flat, starts
 
 
 class Model:
@@ -94,7 +132,12 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, rate: float = 0.4
              for i, k in [(0, len(words) // 2 or 1), (len(words) // 2 or 1, len(words))] if words[i:i + k]]
     weights, trans, start = np.zeros((SLOTS, n)), np.zeros((n, n)), np.zeros(n)
     g_w, g_t, g_s = (np.full_like(x, 1e-2) for x in (weights, trans, start))
+    vocabulary = sorted({w for _, words in spans for w in words})
     memo: dict[str, np.ndarray] = {}
+    for i in range(0, len(vocabulary), 4096):
+        part = vocabulary[i:i + 4096]
+        flat, starts = features_of(part, lexicon)
+        memo.update(zip(part, np.split(flat, starts[1:])))
     for _ in range(epochs):
         order = rng.permutation(len(spans))
         i = 0
@@ -105,10 +148,7 @@ def fit(samples: list[tuple[str, list[str]]], epochs: int = 4, rate: float = 0.4
             ys = np.concatenate([np.full(len(w), y) for y, w in chain])
             slots = []
             for _, words in chain:
-                for w in words:
-                    if w not in memo:
-                        memo[w] = features(w, lexicon)
-                    slots.append(memo[w])
+                slots += map(memo.__getitem__, words)
             flat, row = np.concatenate(slots), np.repeat(np.arange(len(slots)), list(map(len, slots)))
             e = np.zeros((len(slots), n))
             np.add.at(e, row, weights[flat])
@@ -232,10 +272,7 @@ class Tagger:
         new = [w for w in words if w not in self.rows]
         if not new:
             return
-        slots = [features(w, self.model.lexicon) for w in new]
-        starts = np.cumsum([0, *map(len, slots)])[:-1]
-        e = np.add.reduceat(self.model.weights[np.concatenate(slots)].astype(np.float64), starts, axis=0)
-        e = np.exp(np.clip(e - e.max(axis=1, keepdims=True), -60, 0))
+        e = np.concatenate([self._emissions(new[i:i + 4096]) for i in range(0, len(new), 4096)])
         n = len(self.rows)
         if n + len(new) > len(self.table):
             self.table = np.concatenate([self.table[:n], e, np.empty((n + len(new), e.shape[1]))])
@@ -243,15 +280,19 @@ class Tagger:
             self.table[n:n + len(new)] = e
         self.rows.update(zip(new, range(n, n + len(new))))
 
+    def _emissions(self, words: list[str]) -> np.ndarray:
+        flat, starts = features_of(words, self.model.lexicon)
+        e = np.add.reduceat(self.model.weights[flat].astype(np.float64), starts, axis=0)
+        return np.exp(np.clip(e - e.max(axis=1, keepdims=True), -60, 0))
+
     def predict(self, texts, at_once: int = 200_000) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         held: list[list[str]] = []
 
         def settle():
             self._learn({w for words in held for w in words} if len(held) > 1 else set(held[0]))
-            look = self.rows.__getitem__
             lengths = np.array(list(map(len, held)))
-            rows = np.fromiter((r for words in held for r in map(look, words)), dtype=np.int64, count=int(lengths.sum()))
+            rows = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(held)), dtype=np.int64, count=int(lengths.sum()))
             n = expected_words(rows, lengths, self.table, self.model)
             for k, row in zip(lengths, n):
                 best = int(row.argmax())
