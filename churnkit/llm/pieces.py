@@ -109,8 +109,8 @@ class Memo:
 
     A text comes as chunks at which it may be cut; a chunk that is not known yet is split
     into segments by ``split``, the unknown segments of all texts go to ``merge`` in one
-    call, and ``join`` puts their values together.  Between calls the tables start over
-    (the seed of proven segments stays) beyond ``limit`` entries, so memory is bounded.
+    call, and ``join`` puts their values together; a single value stands for itself.  Between calls the tables
+    start over (the seed of proven segments stays) beyond ``limit`` entries, so memory is bounded.
     """
 
     def __init__(self, seed: dict, split, merge, join, limit: int = 700_000):
@@ -120,12 +120,15 @@ class Memo:
 
     def known(self, segments: list[str]) -> list:
         """Values of segments; unknown ones are merged in one call."""
+        self._learn(set(segments))
+        return list(map(self.segments.__getitem__, segments))
+
+    def _learn(self, segments: set[str]) -> None:
         if len(self.segments) > self.limit + len(self.seed):
             self.segments = dict(self.seed)
-        rest = list({s for s in segments if s not in self.segments})
+        rest = [s for s in segments if s not in self.segments]
         if rest:
             self.segments.update(zip(rest, self.merge(rest)))
-        return list(map(self.segments.__getitem__, segments))
 
     def values(self, texts: list[list[str]]) -> list[list]:
         """For each list of chunks the list of their values."""
@@ -135,10 +138,11 @@ class Memo:
         open_ = [k for k, values in enumerate(got) if None in values]
         new = {c for k in open_ for c, v in zip(texts[k], got[k]) if v is None}
         if new:
-            parts = {c: self.split(c) for c in new}
-            self.known([s for p in parts.values() for s in p])
+            new = list(new)
+            parts = [p if len(p) != 1 else p[0] for p in map(self.split, new)]
+            self._learn({s for p in parts for s in ((p,) if isinstance(p, str) else p)})
             value = self.segments.__getitem__
-            self.chunks.update({c: self.join(map(value, p)) for c, p in parts.items()})
+            self.chunks.update(zip(new, [value(p) if isinstance(p, str) else self.join(map(value, p)) for p in parts]))
             for k in open_:
                 got[k] = list(map(self.chunks.__getitem__, texts[k]))
         return got

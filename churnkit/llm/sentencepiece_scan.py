@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -138,6 +139,12 @@ def lattice(model_path: str) -> Lattice:
 _MEMOS: dict[str, Memo] = {}
 
 
+def _as_bytes(lists: list[list[int]]) -> list[bytes]:
+    ends = list(accumulate(map(len, lists), initial=0))
+    flat = np.fromiter(chain.from_iterable(lists), dtype="<i4", count=ends[-1]).tobytes()
+    return [flat[4 * i:4 * j] for i, j in zip(ends, ends[1:])]
+
+
 def _memo(model_path: str) -> Memo:
     """Ids of segments as little-endian bytes."""
     if model_path not in _MEMOS:
@@ -145,7 +152,7 @@ def _memo(model_path: str) -> Memo:
         _MEMOS[model_path] = Memo(
             {s: np.array([i], dtype="<i4").tobytes() for s, i in lat.proof.whole.items()},
             lambda c: lat.pattern.findall(" " + c),
-            lambda rest: (np.array(x, dtype="<i4").tobytes() for x in alone_many(lat.sp, rest)), b"".join, limit=150_000)
+            lambda rest: _as_bytes(alone_many(lat.sp, rest)), b"".join, limit=150_000)
     return _MEMOS[model_path]
 
 
