@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -182,18 +183,26 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), np.diff(ends)), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _common(row: np.ndarray, entry: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
-    """n x n counts of common entries, summed over ranges of entries so that no matrix is wide."""
+def _strips(n: int, room: int = 1 << 19) -> Iterator[slice]:
+    """Rows of an n x n matrix in strips of about ``room`` numbers, so that what is derived from it stays small."""
+    step = max(1, room // max(1, n))
+    return (slice(i, min(n, i + step)) for i in range(0, n, step))
+
+
+def _common(row: np.ndarray, entry: np.ndarray, n: int, room: int = 1 << 21) -> np.ndarray:
+    """n x n counts of common entries, summed over ranges of entries so that no matrix holds more than some ``room`` numbers."""
     _, col, times = np.unique(entry, return_inverse=True, return_counts=True)
     keep = times > 1
     use = keep[col]
     row, col, width = row[use], (np.cumsum(keep) - 1)[col[use]], int(keep.sum())
     total = np.zeros((n, n), dtype=np.float32)
+    step = min(4096, max(64, room // max(1, n)))
     for c in range(0, width, step):
         own = (col >= c) & (col < c + step)
         m = np.zeros((n, min(step, width - c)), dtype=np.float32)
         m[row[own], col[own] - c] = 1
-        total += m @ m.T
+        for s in _strips(n):
+            total[s] += m[s] @ m.T
     return total
 
 
@@ -244,7 +253,10 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
             row, entry = _lists(b.column(7))
             size = np.bincount(row, minlength=m)
             both = _common(row, entry, m)
-            link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+            link = np.empty((m, m), dtype=bool)
+            for s in _strips(m):
+                link[s] = both[s] >= threshold * (size[s, None] + size[None, :] - both[s]) - 1e-6
+            del both
             link = _apart(link, b)
             if link.any():
                 link &= _common(*_lists(b.column(6)), m) == 0
@@ -253,13 +265,14 @@ def _links(owned: DataFrame, threshold: float, n: int) -> DataFrame:
                 continue
             root = np.arange(m)
             while True:  # smallest label of the neighbours, then of the label's label
-                new = np.minimum(np.where(link, root[None, :], m).min(axis=1), root)
+                new = np.minimum(np.concatenate([np.where(link[s], root[None, :], m).min(axis=1) for s in _strips(m)]), root)
                 new = np.minimum(new, root[new])
                 if (new == root).all():
                     break
                 root = new
             cid = b.column(4).to_numpy()
-            rows = (link @ b.column(5).to_numpy().astype(np.float64)).astype(np.int64)
+            times = b.column(5).to_numpy().astype(np.float64)
+            rows = np.concatenate([link[s] @ times for s in _strips(m)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cid[any_]), pa.array(rows[any_]), pa.array(cid[root][any_])],
                                              names=["cid", "links", "root"])
 
@@ -353,8 +366,10 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
         def split(it):
             for b in batches(it):
                 cid, child, least = [], [], []
-                for c, g, paths, tokens in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    t = np.array(tokens, dtype=np.int64).view(np.uint64)
+                ends = b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()
+                tokens = b.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                for k, (c, g, paths) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
+                    t = tokens[ends[k]:ends[k + 1]]
                     for p in paths:
                         x = chosen(t, p, branching)
                         child.append(x.view(np.int64))
