@@ -307,6 +307,14 @@ def _holders(held: DataFrame, room: int = 1 << 19) -> DataFrame:
     return held.select("cid", "tokens").mapInArrow(run, "t long, lo long, hi long")
 
 
+def _lone(held: DataFrame, threshold: float) -> DataFrame:
+    """``cid`` of the classes of ``held`` (``cid, tokens``) that hold more than the rest of their tokens alone among these."""
+    alone = (_holders(held).groupBy("t").agg(F.min("lo").alias("cid"), F.max("hi").alias("last"))
+             .where("cid = last").groupBy("cid").agg(F.count(F.lit(1)).alias("alone")))
+    return (held.join(alone, "cid").where(F.size("tokens") - F.col("alone") < threshold * F.size("tokens") - 1e-6)
+            .select("cid").distinct())
+
+
 def _without_lone(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``path, cid, size`` of wide buckets without the classes that have no link in any of them.
 
@@ -317,11 +325,7 @@ def _without_lone(wide: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     held = written(sets.join(wide.select("cid").distinct(), "cid", "left_semi").select("cid", "tokens"), "join-wide-tokens")
     left = held.select("cid").distinct().count()
     while left:
-        alone = (_holders(held).groupBy("t").agg(F.min("lo").alias("cid"), F.max("hi").alias("last"))
-                 .where("cid = last").groupBy("cid").agg(F.count(F.lit(1)).alias("alone")))
-        gone = (held.join(alone, "cid").where(F.size("tokens") - F.col("alone") < threshold * F.size("tokens") - 1e-6)
-                .select("cid").distinct())
-        held = written(held.join(gone, "cid", "left_anti"), "join-wide-tokens")
+        held = written(held.join(_lone(held, threshold), "cid", "left_anti"), "join-wide-tokens")
         before, left = left, held.select("cid").distinct().count()
         if before - left < 0.1 * before:
             break
@@ -361,7 +365,9 @@ def similar_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bra
                  .groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.max(F.col("size") * F.col("size"))).alias("alike")))
         wide = written(alike.where(F.col("alike") < dense).select("path"), "join-wide")
         leaves.append(met.join(wide, "path", "left_anti"))
-        big = met.join(wide, "path", "left_semi").groupBy("cid", "g").agg(F.collect_set("path").alias("paths")).join(sets, "cid")
+        big = written(met.join(wide, "path", "left_semi").groupBy("cid", "g").agg(F.collect_set("path").alias("paths")), "join-big")
+        # a class without a link in the wide buckets has none in their children either
+        big = big.join(_lone(sets.join(big.select("cid"), "cid", "left_semi"), threshold), "cid", "left_anti").join(sets, "cid")
 
         def split(it):
             for b in batches(it):
